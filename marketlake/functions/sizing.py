@@ -1,0 +1,21 @@
+"""Broadcast only what is proven small.
+
+``bounded_broadcast`` counts at most ``max_rows + 1`` rows of a candidate side
+(a cheap, limit-terminated job on a dimension) and adds the broadcast hint only
+when the bound holds; otherwise the join stays a shuffle join and AQE decides
+at runtime from real shuffle sizes. Aggregated sides whose size depends on the
+data (per-symbol summaries) are not hinted at all: AQE converts them to a
+broadcast join only when their measured size is under
+``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+DEFAULT_MAX_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
