@@ -18,7 +18,11 @@ def _k(props: str = "props"):
 
 
 def ticks(spark: SparkSession, base: str) -> DataFrame:
-    ev = read_table(spark, base, "events")
+    return ticks_from(read_table(spark, base, "events"))
+
+
+def ticks_from(ev: DataFrame) -> DataFrame:
+    """The ``ticks`` projection of an events frame (batch or stream)."""
     et = F.col("event_type")
     side = F.col("user_id") % 3
     return ev.select(
@@ -40,8 +44,12 @@ def trades(spark: SparkSession, base: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, base: str) -> DataFrame:
+    return quotes_from(ticks(spark, base))
+
+
+def quotes_from(t: DataFrame) -> DataFrame:
     """Odd ids of the feed are quotes: a 0.50-wide market around the price."""
-    t = ticks(spark, base).filter(F.col("id") % 2 == 1)
+    t = t.filter(F.col("id") % 2 == 1)
     half = F.lit(0.25).cast("decimal(20,8)")
     return t.select(
         "id", "timestamp", "symbol", "exchange",
@@ -53,7 +61,11 @@ def quotes(spark: SparkSession, base: str) -> DataFrame:
 
 
 def depth(spark: SparkSession, base: str) -> DataFrame:
-    ev = read_table(spark, base, "events")
+    return depth_from(read_table(spark, base, "events"))
+
+
+def depth_from(ev: DataFrame) -> DataFrame:
+    """The ``depth`` projection of an events frame (batch or stream)."""
     et = F.col("event_type")
     k = _k()
     return ev.select(

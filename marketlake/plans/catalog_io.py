@@ -1 +1,393 @@
-"""Registered queries for ingest, life-cycle and streaming operators."""
+"""Registered queries for ingest, life-cycle and streaming operators.
+
+Each query derives its raw input (feed lines, binary frames, a stream) from
+the given tables, runs the operator end to end - writing to a fresh folder
+under the shared checkpoint directory where the operator is a writer - and
+returns what it reads back, so the DuckDB oracle checks the round trip.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
+
+from .. import fixtures as fx
+from ..functions.exchange import exchange_sql
+from ..functions.timefn import iso
+from ..operators import depth as dp, filters as fl, normalize as nz, quality
+from ..session import scratch_path
+from ..sources import frames as fr, json_feed as jf
+from ..sources.archive import read_archive, read_json_table
+from ..streaming import jobs
+from . import lifecycle as lc
+from .catalog import _M1_RULES, _as_of, _vp, register
+from .oracle_views import AS_OF
+
+# ---------------------------------------------------------------- feed lines
+
+
+def feed_lines(spark, base) -> DataFrame:
+    """A JSON-lines feed built from the views: trades as TICK/TRADE, quotes as
+    QUOTE/BBO, each depth snapshot as a DEPTH message plus a STATUS line, an
+    unknown-type line and one line of broken JSON."""
+    t, q, d = fx.trades(spark, base), fx.quotes(spark, base), fx.depth(spark, base)
+    ticks = t.select(F.to_json(F.struct(
+        F.when(F.col("id") % 4 == 0, "TICK").otherwise("TRADE").alias("type"), "symbol", "exchange",
+        iso("timestamp").alias("timestamp"), F.col("price").cast("double").alias("price"), "size",
+        "aggressor_side", "trade_id")).alias("value"))
+    quotes = q.select(F.to_json(F.struct(
+        F.when(F.col("id") % 4 == 1, "QUOTE").otherwise("BBO").alias("type"), "symbol", "exchange",
+        iso("timestamp").alias("timestamp"), F.col("bid_price").cast("double").alias("bid_price"),
+        F.col("ask_price").cast("double").alias("ask_price"), "bid_size", "ask_size")).alias("value"))
+    lvl = F.struct("level", F.col("price").cast("double").alias("price"), "size", "order_count")
+    snaps = d.groupBy("symbol", "exchange", "timestamp").agg(
+        F.sort_array(F.collect_list(F.when(F.col("side") == "B", lvl))).alias("bids"),
+        F.sort_array(F.collect_list(F.when(F.col("side") == "S", lvl))).alias("asks"))
+    depth = snaps.select(F.to_json(F.struct(
+        F.lit("DEPTH").alias("type"), "symbol", "exchange", iso("timestamp").alias("timestamp"),
+        "bids", "asks")).alias("value"))
+    status = snaps.select(F.to_json(F.struct(F.lit("STATUS").alias("type"), "symbol")).alias("value"))
+    unknown = snaps.select(F.to_json(F.struct(F.lit("HEARTBEAT").alias("type"), "symbol")).alias("value"))
+    broken = snaps.select(F.concat(F.lit('{"type": "TICK", "symbol": "'), F.col("symbol"),
+                                   F.lit('", "price": ')).alias("value"))
+    return ticks.unionByName(quotes).unionByName(depth).unionByName(status) \
+        .unionByName(unknown).unionByName(broken)
+
+
+def _routed(spark, base):
+    good, bad = jf.parse_lines(feed_lines(spark, base))
+    return jf.route(good), good, bad
+
+
+_SNAPS = '(SELECT count(*) FROM (SELECT DISTINCT symbol, "timestamp" FROM depth))'
+
+
+@register("S3_feed_routes", f"""
+    SELECT 'tick' AS route, count(*) AS messages FROM trades
+    UNION ALL SELECT 'quote', count(*) FROM quotes
+    UNION ALL SELECT 'depth', {_SNAPS} UNION ALL SELECT 'log', {_SNAPS}
+    UNION ALL SELECT 'unknown', {_SNAPS} UNION ALL SELECT 'invalid', {_SNAPS}""")
+def q_s3_routes(spark, base):
+    _, good, bad = _routed(spark, base)
+    return jf.route_counts(good, bad)
+
+
+@register("S4_N2_feed_ticks", """
+    SELECT "timestamp", symbol, exchange, price, size, CAST(NULL AS DECIMAL(20,8)) AS bid_price,
+           CAST(NULL AS DECIMAL(20,8)) AS ask_price, CAST(NULL AS INTEGER) AS bid_size,
+           CAST(NULL AS INTEGER) AS ask_size, aggressor_side, trade_id
+    FROM trades""")
+def q_s4_ticks(spark, base):
+    routes, _, _ = _routed(spark, base)
+    return nz.normalize_ticks(routes["tick"])
+
+
+@register("N4_feed_quotes", """
+    SELECT "timestamp", symbol, exchange, NULLIF(bid_price, 0) AS bid_price, NULLIF(ask_price, 0) AS ask_price,
+           bid_size, ask_size
+    FROM quotes""")
+def q_n4(spark, base):
+    routes, _, _ = _routed(spark, base)
+    return nz.normalize_quotes(routes["quote"])
+
+
+_RANKED = """(SELECT *, row_number() OVER (PARTITION BY symbol, "timestamp", side
+                                          ORDER BY level, price, size, order_count) AS pos
+              FROM depth)"""
+
+
+@register("N6_feed_long_depth", f"""
+    SELECT "timestamp", symbol, exchange, side, CAST(pos AS INTEGER) AS level, price, size,
+           CAST(NULL AS INTEGER) AS order_count
+    FROM {_RANKED} r WHERE pos <= 10""")
+def q_n6(spark, base):
+    routes, _, _ = _routed(spark, base)
+    return dp.to_long_depth(routes["depth"], max_levels=10)
+
+
+@register("N5_feed_wide_depth", f"""
+    SELECT "timestamp", symbol, '' AS update_type,
+           CAST(least(count(*) FILTER (WHERE side = 'B'), 10) + least(count(*) FILTER (WHERE side = 'S'), 10)
+                AS INTEGER) AS depth,
+           CAST(max(price) FILTER (WHERE side = 'B' AND pos = 1) AS DOUBLE) AS best_bid,
+           CAST(max(price) FILTER (WHERE side = 'S' AND pos = 1) AS DOUBLE) AS best_ask
+    FROM {_RANKED} r GROUP BY symbol, "timestamp" """)
+def q_n5(spark, base):
+    routes, _, _ = _routed(spark, base)
+    w = dp.to_wide_depth(routes["depth"], arrival=F.col("timestamp").cast("timestamp_ntz"))
+    return w.select("timestamp", "symbol", "update_type", "depth",
+                    F.col("bids")[0]["price"].alias("best_bid"), F.col("asks")[0]["price"].alias("best_ask"))
+
+
+# ---------------------------------------------------------------- binary frames
+
+def frame_table(spark, base) -> DataFrame:
+    t, q, d = fx.trades(spark, base), fx.quotes(spark, base), fx.depth(spark, base)
+    snaps = d.groupBy("symbol", "timestamp").agg(F.min("id").alias("id"))
+    return (fr.encode_trade_frames(t).unionByName(fr.encode_quote_frames(q))
+            .unionByName(fr.encode_bare_frames(snaps, 109)).unionByName(fr.encode_bare_frames(snaps, 999)))
+
+
+@register("S5_frame_types", f"""
+    SELECT 'LAST_TRADE' AS type_name, count(*) AS frames FROM trades
+    UNION ALL SELECT 'BID_OFFER', count(*) FROM quotes
+    UNION ALL SELECT 'MARKET_DEPTH_UPDATE', {_SNAPS} UNION ALL SELECT 'UNKNOWN', {_SNAPS}""")
+def q_s5_types(spark, base):
+    dec, _ = fr.decode_frames(frame_table(spark, base))
+    return dec.groupBy("type_name").agg(F.count(F.lit(1)).alias("frames"))
+
+
+@register("S5_N3_binary_ticks", f"""
+    SELECT id, date_trunc('millisecond', "timestamp") AS "timestamp", symbol,
+           {exchange_sql('symbol')} AS exchange, price, size
+    FROM trades""")
+def q_s5_ticks(spark, base):
+    dec, _ = fr.decode_frames(frame_table(spark, base))
+    ticks = nz.normalize_ticks_strict(dec.filter(F.col("type_name") == "LAST_TRADE"))
+    return ticks.select("id", "timestamp", "symbol", "exchange", "price", "size")
+
+
+@register("S5_binary_quotes", """
+    SELECT id, symbol, CAST(bid_price AS DOUBLE) AS bid_price, bid_size, CAST(ask_price AS DOUBLE) AS ask_price,
+           ask_size FROM quotes""")
+def q_s5_quotes(spark, base):
+    dec, _ = fr.decode_frames(frame_table(spark, base))
+    return dec.filter(F.col("type_name") == "BID_OFFER").select(
+        "id", "symbol", "bid_price", F.col("bid_size").cast("int").alias("bid_size"), "ask_price",
+        F.col("ask_size").cast("int").alias("ask_size"))
+
+
+# ---------------------------------------------------------------- life cycle (E*, W3, A18)
+
+@register("E1_export_ticks_csv", f"""
+    SELECT * FROM ticks WHERE "timestamp" > {AS_OF} - INTERVAL 7 DAY""")
+def q_e1(spark, base):
+    t = fx.ticks(spark, base)
+    path = scratch_path(spark, "export-ticks")
+    lc.export_ticks(t, path, days=7, as_of=_as_of(spark, base))
+    return lc.read_csv(spark, path, t.schema)
+
+
+@register("E2_export_depth_csv", f"""
+    SELECT * FROM depth WHERE symbol = 'VIEW' AND "timestamp" > {AS_OF} - INTERVAL 7 DAY""")
+def q_e2(spark, base):
+    d = fx.depth(spark, base)
+    path = scratch_path(spark, "export-depth")
+    lc.export_depth(d, path, symbol="view", days=7, as_of=_as_of(spark, base))
+    return lc.read_csv(spark, path, d.schema)
+
+
+@register("E3_export_profile_csv", f"""
+    SELECT symbol, price_level, CAST(sum(buy_volume) AS BIGINT) AS buy_vol,
+           CAST(sum(sell_volume) AS BIGINT) AS sell_vol, CAST(sum(buy_volume - sell_volume) AS BIGINT) AS delta
+    FROM volume_profile WHERE "timestamp" > {AS_OF} - INTERVAL 7 DAY GROUP BY symbol, price_level""")
+def q_e3(spark, base):
+    path = scratch_path(spark, "export-profile")
+    vp = _vp(spark, base)
+    lc.export_profile(vp, path, days=7, as_of=_as_of(spark, base))
+    schema = "symbol string, price_level decimal(20,8), buy_vol bigint, sell_vol bigint, delta bigint"
+    from pyspark.sql.types import _parse_datatype_string
+    return lc.read_csv(spark, path, _parse_datatype_string(schema))
+
+
+@register("E4_incremental_snapshot", f"""
+    SELECT 'ticks' AS table_name, count(*) AS record_count FROM ticks WHERE "timestamp" > {AS_OF} - INTERVAL 3 DAY
+    UNION ALL SELECT 'depth', count(*) FROM depth WHERE "timestamp" > {AS_OF} - INTERVAL 3 DAY
+    UNION ALL SELECT 'symbols', count(*) FROM symbols WHERE updated_at > {AS_OF} - INTERVAL 3 DAY""")
+def q_e4(spark, base):
+    a = _as_of(spark, base)
+    tables = {"ticks": fx.ticks(spark, base), "depth": fx.depth(spark, base), "symbols": fx.symbols(spark)}
+    path = scratch_path(spark, "snapshot")
+    lc.incremental_snapshot(spark, tables, a - lc.dt.timedelta(days=3), path, a,
+                            ts_cols={"symbols": "updated_at"})
+    back = read_archive(spark, path, {k: v.schema for k, v in tables.items()})
+    out = None
+    for name in tables:
+        part = back[name].agg(F.count(F.lit(1)).alias("record_count")).select(
+            F.lit(name).alias("table_name"), "record_count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _archive_ticks(spark, base):
+    a = _as_of(spark, base)
+    t = fx.ticks(spark, base)
+    root = scratch_path(spark, "archive")
+    cutoff = a - lc.dt.timedelta(days=15)
+    man = lc.archive(spark, {"ticks": t}, cutoff, os.path.join(root, "archive"),
+                     os.path.join(root, "kept"), a)
+    kept = spark.read.parquet(os.path.join(root, "kept", "ticks")).drop("date")
+    return t, kept, os.path.join(root, "archive"), man
+
+
+@register("E5_archive", f"""
+    SELECT 'ticks' AS table_name,
+           count(*) FILTER (WHERE "timestamp" < {AS_OF} - INTERVAL 15 DAY) AS archived_rows,
+           count(*) FILTER (WHERE "timestamp" >= {AS_OF} - INTERVAL 15 DAY) AS kept_rows
+    FROM ticks""")
+def q_e5(spark, base):
+    _, kept, arch, _ = _archive_ticks(spark, base)
+    man = read_json_table(spark, os.path.join(arch, "_manifest"), lc.MANIFEST)
+    n_kept = kept.agg(F.count(F.lit(1)).alias("kept_rows")).withColumn("table_name", F.lit("ticks"))
+    return man.select("table_name", F.col("record_count").alias("archived_rows")).join(n_kept, "table_name")
+
+
+@register("E6_restore_twice", "SELECT * FROM ticks")
+def q_e6(spark, base):
+    t, kept, arch, _ = _archive_ticks(spark, base)
+    once = lc.restore(spark, arch, {"ticks": kept.select(*t.columns)}, {"ticks": t.schema}, {"ticks": ["id"]})
+    twice = lc.restore(spark, arch, once, {"ticks": t.schema}, {"ticks": ["id"]})
+    return twice["ticks"]
+
+
+@register("E7_purge", f"""SELECT * FROM ticks WHERE "timestamp" >= {AS_OF} - INTERVAL 20 DAY""")
+def q_e7(spark, base):
+    kept, _ = lc.purge(fx.ticks(spark, base), lc.retention_cutoff(_as_of(spark, base), 20))
+    return kept
+
+
+@register("E8_metrics_history", "SELECT * FROM metrics")
+def q_e8(spark, base):
+    m = fx.metrics(spark, base)
+    path = scratch_path(spark, "metrics-history")
+    lc.append_metrics(m, path)
+    return read_json_table(spark, path, m.schema).select(*m.columns)
+
+
+@register("W3_partition_retention", f"""
+    SELECT symbol, day, n_rows, part_rank,
+           part_rank <= 10 OR day >= date_trunc('day', {AS_OF} - INTERVAL 7 DAY) AS keep
+    FROM (SELECT symbol, date_trunc('day', "timestamp") AS day, count(*) AS n_rows,
+                 row_number() OVER (PARTITION BY symbol ORDER BY date_trunc('day', "timestamp") DESC) AS part_rank
+          FROM ticks GROUP BY symbol, date_trunc('day', "timestamp")) p""")
+def q_w3(spark, base):
+    plan = lc.partition_retention(fx.ticks(spark, base), 7, 10, _as_of(spark, base))
+    return plan.select("symbol", "day", F.col("rows").alias("n_rows"), F.col("rank").alias("part_rank"), "keep")
+
+
+@register("A18_manifest", f"""
+    SELECT 'ticks' AS table_name, count(*) AS record_count, {AS_OF} - INTERVAL 15 DAY AS cutoff,
+           {AS_OF} AS created_at FROM ticks WHERE "timestamp" < {AS_OF} - INTERVAL 15 DAY
+    UNION ALL
+    SELECT 'depth', count(*), {AS_OF} - INTERVAL 15 DAY, {AS_OF} FROM depth
+    WHERE "timestamp" < {AS_OF} - INTERVAL 15 DAY""")
+def q_a18(spark, base):
+    a = _as_of(spark, base)
+    cutoff = a - lc.dt.timedelta(days=15)
+    return lc.manifest({"ticks": fl.older_than(fx.ticks(spark, base), cutoff),
+                        "depth": fl.older_than(fx.depth(spark, base), cutoff)}, cutoff, a)
+
+
+# ---------------------------------------------------------------- streams (T*)
+
+def _run(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    jobs.run_to_completion(jobs.write_batches(stream, out, ckpt, mode))
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException:  # no micro-batch had rows
+        schema = stream.schema.add("batch_id", "long")
+        return spark.createDataFrame([], schema)
+
+
+def _events_stream(spark, base):
+    return jobs.stream_table(spark, base, "events")
+
+
+@register("T1_ingest", "SELECT * FROM ticks")
+def q_t1(spark, base):
+    out, ckpt = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ckpt")
+    jobs.run_to_completion(jobs.ingest(fx.ticks_from(_events_stream(spark, base)), out, ckpt))
+    t = fx.ticks(spark, base)
+    return spark.read.parquet(out).select(*t.columns)
+
+
+@register("T3_subscribed_stream", """
+    SELECT t.* FROM ticks t
+    WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.active AND s.symbol = t.symbol AND s.exchange = t.exchange)""")
+def q_t3(spark, base):
+    s = jobs.subscribed_stream(fx.ticks_from(_events_stream(spark, base)), fx.symbols(spark).filter("active"))
+    return _run(spark, s, "subscribed").drop("batch_id")
+
+
+@register("T4_live_stats_stream", f"""
+    SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS window_start,
+           time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR AS window_end, symbol,
+           count(*) AS tick_count, max(price) AS max_price, max("timestamp") AS last_update
+    FROM ticks GROUP BY 1, 2, symbol
+    HAVING time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR <= {AS_OF} - INTERVAL 1 MINUTE""")
+def q_t4(spark, base):
+    s = jobs.live_stats_stream(fx.ticks_from(_events_stream(spark, base)), "1 hour", None, "1 minute")
+    return _run(spark, s, "live-stats").drop("batch_id")
+
+
+@register("T5_book_stream", """
+    SELECT b.* FROM (
+        SELECT DISTINCT ON (symbol, side, level) symbol, side, level, price, size, order_count, "timestamp", id
+        FROM depth ORDER BY symbol, side, level, "timestamp" DESC, id DESC) b
+    JOIN (SELECT symbol, max("timestamp") AS m FROM depth GROUP BY symbol) x USING (symbol)
+    WHERE b."timestamp" >= x.m - INTERVAL 1 DAY""")
+def q_t5(spark, base):
+    s = jobs.book_stream(fx.depth_from(_events_stream(spark, base)), "1 day")
+    out = _run(spark, s, "book", "update")
+    newest = out.groupBy("symbol").agg(F.max("batch_id").alias("batch_id"))
+    return out.join(newest, ["symbol", "batch_id"], "left_semi").drop("batch_id")
+
+
+@register("T6_bars_stream", f"""
+    SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS "timestamp",
+           time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR AS period_end, symbol,
+           arg_min(price, ("timestamp", id)) AS open_price, max(price) AS high_price, min(price) AS low_price,
+           arg_max(price, ("timestamp", id)) AS close_price, CAST(sum(size) AS BIGINT) AS volume,
+           count(*) AS trade_count,
+           CAST(sum(CASE WHEN aggressor_side = 'BUY' THEN size ELSE 0 END) AS BIGINT) AS buy_volume,
+           CAST(sum(CASE WHEN aggressor_side = 'SELL' THEN size ELSE 0 END) AS BIGINT) AS sell_volume,
+           CAST(sum(CASE WHEN aggressor_side = 'BUY' THEN size ELSE 0 END)
+              - sum(CASE WHEN aggressor_side = 'SELL' THEN size ELSE 0 END) AS BIGINT) AS delta
+    FROM ticks GROUP BY 1, 2, symbol
+    HAVING time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR <= {AS_OF} - INTERVAL 10 MINUTE""")
+def q_t6(spark, base):
+    s = jobs.bars_stream(fx.ticks_from(_events_stream(spark, base)), "1 hour", "10 minutes")
+    return _run(spark, s, "bars").drop("batch_id")
+
+
+@register("T7_gap_stream", """
+    SELECT symbol, gap_start, gap_end, round(date_diff('microsecond', gap_start, gap_end) / 1e6, 6) AS gap_seconds
+    FROM (SELECT symbol, lag("timestamp") OVER (PARTITION BY symbol ORDER BY "timestamp", id) AS gap_start,
+                 "timestamp" AS gap_end FROM ticks) x
+    WHERE date_diff('microsecond', gap_start, gap_end) > 3600000000""")
+def q_t7(spark, base):
+    s = jobs.gap_stream(fx.ticks_from(_events_stream(spark, base)), "1 hour", "10 minutes")
+    out = _run(spark, s, "gaps")
+    return out.filter(F.col("kind") == "gap").select("symbol", "gap_start", "gap_end", "gap_seconds")
+
+
+@register("T8_alert_stream", """
+    WITH RECURSIVE a AS (
+        SELECT entity, 'low_data_activity' AS alert_type, ts,
+               row_number() OVER (PARTITION BY entity ORDER BY ts) AS rn
+        FROM metrics WHERE value < 4),
+    r AS (
+        SELECT entity, alert_type, ts, rn, ts AS last_fired, true AS fired FROM a WHERE rn = 1
+        UNION ALL
+        SELECT a.entity, a.alert_type, a.ts, a.rn,
+               CASE WHEN date_diff('microsecond', r.last_fired, a.ts) >= 10800000000 THEN a.ts ELSE r.last_fired END,
+               date_diff('microsecond', r.last_fired, a.ts) >= 10800000000
+        FROM r JOIN a ON a.entity = r.entity AND a.alert_type = r.alert_type AND a.rn = r.rn + 1)
+    SELECT entity, alert_type, ts FROM r WHERE fired""")
+def q_t8(spark, base):
+    alerts = quality.evaluate_rules(fx.metrics(spark, base), _M1_RULES)
+    src = scratch_path(spark, "alerts-src")
+    alerts.write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    return _run(spark, jobs.alert_stream(stream, "3 hours"), "alerts").drop("batch_id")
+
+
+@register("T9_dedup_stream", "SELECT * FROM ticks")
+def q_t9(spark, base):
+    first = fx.ticks_from(_events_stream(spark, base))
+    replay = fx.ticks_from(_events_stream(spark, base))
+    s = jobs.dedup_stream(first.unionByName(replay), ["id"], "1 hour")
+    return _run(spark, s, "dedup").drop("batch_id")
