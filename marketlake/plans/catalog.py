@@ -367,7 +367,7 @@ def q_n7(spark, base):
     w = dp.long_to_wide(fx.depth(spark, base))
     return w.select("symbol", "timestamp", F.size("bids").cast("bigint").alias("n_bids"),
                     F.size("asks").cast("bigint").alias("n_asks"), "depth",
-                    F.col("bids")[0]["level"].alias("first_bid_level"))
+                    F.get("bids", 0)["level"].alias("first_bid_level"))
 
 
 # ---------------------------------------------------------------- symbols and joins

@@ -118,7 +118,7 @@ def q_n5(spark, base):
     routes, _, _ = _routed(spark, base)
     w = dp.to_wide_depth(routes["depth"], arrival=F.col("timestamp").cast("timestamp_ntz"))
     return w.select("timestamp", "symbol", "update_type", "depth",
-                    F.col("bids")[0]["price"].alias("best_bid"), F.col("asks")[0]["price"].alias("best_ask"))
+                    F.get("bids", 0)["price"].alias("best_bid"), F.get("asks", 0)["price"].alias("best_ask"))
 
 
 # ---------------------------------------------------------------- binary frames
