@@ -6,9 +6,11 @@ These helpers split each key's sequence into time buckets and partition by
 (key, bucket), so a hot key is spread over as many tasks as it has buckets.
 What crosses a bucket border (the previous row, a running total, the last
 non-null value) is computed on a per-(key, bucket) summary table - one row per
-key and bucket, tiny next to the data - and joined back. The big side is
-already hash-partitioned on (key, bucket) by the window, so that join does not
-shuffle it again.
+key and bucket, tiny next to the data - and joined back. The summary is
+aggregated from the input with map-side partial aggregation, so its shuffle
+carries one row per (task, key, bucket) over the pruned columns only; the
+window side is already hash-partitioned on (key, bucket), so the join back
+does not move the big side again (AQE broadcasts the summary when it is small).
 
 ``bucket`` is a ``date_trunc`` unit ('hour', 'day', 'week', ...); pick it so
 one bucket of the hottest key fits comfortably in a task.
@@ -45,7 +47,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     for c in carry:
         b = b.withColumn(f"_seq_lag_{c}", F.lag(c).over(w))
     # Last row of each (key, bucket), then the previous non-empty bucket's last row.
-    last = b.groupBy(*keys, BUCKET).agg(
+    last = with_bucket(df, order[0], bucket).groupBy(*keys, BUCKET).agg(
         F.max_by(F.struct(*carry), F.struct(*order)).alias("_seq_last"))
     wb = Window.partitionBy(*keys).orderBy(BUCKET)
     edge = last.select(*keys, BUCKET, F.lag("_seq_last").over(wb).alias("_seq_edge"))
@@ -68,7 +70,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     w = (Window.partitionBy(*keys, BUCKET).orderBy(*_cols(order))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     b = b.withColumn("_seq_in", F.sum(value).over(w))
-    totals = b.groupBy(*keys, BUCKET).agg(F.sum(value).alias("_seq_tot"))
+    totals = with_bucket(df, order[0], bucket).groupBy(*keys, BUCKET).agg(F.sum(value).alias("_seq_tot"))
     wb = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, BUCKET,
                             F.coalesce(F.sum("_seq_tot").over(wb), F.lit(0)).alias("_seq_off"))
@@ -78,20 +80,26 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
 
 def last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                  out: str, bucket: str = "day") -> DataFrame:
+                  out: str, bucket: str = "day", descending: bool = False) -> DataFrame:
     """Add ``out`` = last non-null ``value`` at or before each row, per key (forward fill).
 
     The fill that crosses bucket borders comes from the newest non-null value
-    of the nearest earlier bucket that has one.
+    of the nearest earlier bucket that has one. With ``descending=True`` the
+    sequence runs backwards: each row gets the first non-null value at or
+    after it (a backward fill).
     """
     keys, order = list(keys), list(order)
     b = with_bucket(df, order[0], bucket)
-    w = (Window.partitionBy(*keys, BUCKET).orderBy(*_cols(order))
+    cols = [c.desc() for c in _cols(order)] if descending else _cols(order)
+    w = (Window.partitionBy(*keys, BUCKET).orderBy(*cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     b = b.withColumn("_seq_fill", F.last(value, ignorenulls=True).over(w))
     ordering = F.when(F.col(value).isNotNull(), F.struct(*order))
-    last = b.groupBy(*keys, BUCKET).agg(F.max_by(F.col(value), ordering).alias("_seq_blast"))
-    wb = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    pick = F.min_by if descending else F.max_by
+    last = with_bucket(df, order[0], bucket).groupBy(*keys, BUCKET).agg(
+        pick(F.col(value), ordering).alias("_seq_blast"))
+    wb = (Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET))
+          .rowsBetween(Window.unboundedPreceding, -1))
     edge = last.select(*keys, BUCKET,
                        F.last("_seq_blast", ignorenulls=True).over(wb).alias("_seq_edge"))
     res = b.join(edge, [*keys, BUCKET], "left")

@@ -72,3 +72,14 @@ def test_suppress_equals_greedy(spark, offsets):
     df = spark.createDataFrame([("e", "t", t) for t in times], "entity string, alert_type string, ts timestamp_ntz")
     got = sorted(set(r.ts for r in quality.suppress(df, "300 seconds").collect()))
     assert got == _greedy(times, 300)
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=4_000), min_size=1, max_size=40))
+def test_suppress_path_walk_equals_greedy(spark, offsets):
+    """Long-chain path (pointer doubling) forced for every chain."""
+    base = dt.datetime(2024, 1, 1, 23, 0)
+    times = [base + dt.timedelta(seconds=o) for o in offsets]
+    df = spark.createDataFrame([("e", "t", t) for t in times], "entity string, alert_type string, ts timestamp_ntz")
+    got = sorted(set(r.ts for r in quality.suppress(df, "300 seconds", fold_limit=0).collect()))
+    assert got == _greedy(times, 300)
