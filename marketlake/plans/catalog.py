@@ -398,7 +398,12 @@ def q_j2(spark, base):
 
 
 @register("J4_upsert_symbols", f"""
-    WITH inc AS (SELECT upper(trim(symbol)) AS symbol, min(exchange) AS in_exchange FROM requests GROUP BY 1),
+    WITH req AS (
+        SELECT symbol, exchange FROM requests
+        UNION ALL
+        SELECT DISTINCT lower(substr(symbol, 1, 2)) || 'z4', {exchange_sql("upper(substr(symbol, 1, 2)) || 'Z4'")}
+        FROM ticks),
+    inc AS (SELECT upper(trim(symbol)) AS symbol, min(exchange) AS in_exchange FROM req GROUP BY 1),
     merged AS (
         SELECT s.id, coalesce(s.symbol, i.symbol) AS symbol,
                coalesce(s.exchange, i.in_exchange, 'CME') AS exchange, s.description,
@@ -411,7 +416,13 @@ def q_j2(spark, base):
            symbol, exchange, description, active, created_at, updated_at
     FROM merged""")
 def q_j4(spark, base):
-    return joins.upsert_symbols(fx.symbols(spark), fx.requests(spark, base), _as_of(spark, base))
+    """Requests for every traded symbol (existing rows: re-activated, touched)
+    plus a new contract per root (inserted with the next ids)."""
+    new = fx.ticks(spark, base).select(
+        F.concat(F.lower(F.substring("symbol", 1, 2)), F.lit("z4")).alias("symbol")).distinct()
+    new = new.withColumn("exchange", exchange_for(F.upper("symbol")))
+    incoming = fx.requests(spark, base).unionByName(new)
+    return joins.upsert_symbols(fx.symbols(spark), incoming, _as_of(spark, base))
 
 
 @register("J5_insert_missing", "SELECT * FROM ticks")
@@ -558,6 +569,19 @@ def q_m3(spark, base):
     return quality.low_activity(fx.ticks(spark, base), 4, "1 hour")
 
 
+@register("A3_stored_size")
+def q_a3_size(spark, base):
+    """Bytes on storage per table from file metadata (no SQL twin: DuckDB
+    cannot see the files behind its views), with the console's readable form."""
+    from ..functions.timefn import human_size
+    from ..sources.tables import stored_size
+    out = None
+    for name in ("events", "lineitem"):
+        part = stored_size(spark, base, name).select(F.lit(name).alias("table_name"), "size_bytes")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("size_text", human_size("size_bytes"))
+
+
 def queries() -> dict[str, QueryFn]:
     from . import catalog_io  # noqa: F401  (registers ingest, life-cycle and stream queries)
     return {k: v[0] for k, v in REGISTRY.items()}
