@@ -79,6 +79,9 @@ def depth_from(ev: DataFrame) -> DataFrame:
         F.col("value").cast("decimal(20,8)").alias("price"),
         k.alias("size"),
         (k % 7 + 1).alias("order_count"),
+        # Book message: rows of 20 consecutive event ids on the same symbol and
+        # day form one message, so a snapshot never exceeds 20 rows.
+        F.expr("event_id div 20").alias("msg_id"),
     )
 
 

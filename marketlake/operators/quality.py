@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.sequence import last_non_null, previous_row, running_sum
 from ..functions.timefn import interval_micros, micros_between
+from ..session import checkpoint_dir
 
 
 def data_gaps(ticks: DataFrame, threshold: str = "300 seconds", bucket: str = "day",
@@ -73,9 +74,10 @@ def evaluate_rules(metrics: DataFrame, rules=DEFAULT_RULES,
     metric map per snapshot (bounded by the number of metric names); the rules
     are applied to it as a literal array, so no join is needed.
     """
-    snap = metrics.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", F.col("value").cast("double"))))
-         .alias("_m"))
+    # A metric sampled twice in one snapshot counts with its largest value.
+    per_metric = metrics.groupBy(*keys, "metric").agg(F.max(F.col("value").cast("double")).alias("value"))
+    snap = per_metric.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("_m"))
     rule_arr = F.array(*[F.struct(F.lit(r.metric).alias("metric"), F.lit(r.op).alias("op"),
                                   F.lit(float(r.threshold)).alias("threshold"),
                                   F.lit(r.alert_type).alias("alert_type"),
@@ -116,6 +118,10 @@ def suppress(alerts: DataFrame, cooldown: str = "300 seconds", ts_col: str = "ts
              (micros_between("prev__ts", "_ts") >= F.lit(c_us))).cast("bigint")
     chains = running_sum(prev.withColumn("_start", start), list(keys), ["_ts"], "_start",
                          "_chain", bucket).select(*keys, "_ts", "_chain")
+    # Materialised once in the shared checkpoint folder: both the fold and the
+    # long-chain branch read it (alert-sized, not tick-sized).
+    checkpoint_dir(alerts.sparkSession)
+    chains = chains.checkpoint()
     sizes = chains.groupBy(*keys, "_chain").agg(F.count(F.lit(1)).alias("_n"))
     short = sizes.filter(F.col("_n") <= fold_limit).drop("_n")
     long_ = sizes.filter(F.col("_n") > fold_limit).drop("_n")

@@ -42,10 +42,10 @@ def console_ticks(ticks: DataFrame, symbol: str | None = None, limit: int | None
     return top.select(*cols)
 
 
-def recent_depth(wide: DataFrame, symbol: str, limit: int | None = None) -> DataFrame:
-    """O2: newest wide depth rows of a symbol."""
+def recent_depth(wide: DataFrame, symbol: str, limit: int | None = None, tie: str = "id") -> DataFrame:
+    """O2: newest wide depth rows of a symbol (``tie`` orders equal times)."""
     n = clamp_limit(limit, *DEPTH_LIMIT)
-    return newest(by_symbol(wide, symbol), n)
+    return newest(by_symbol(wide, symbol), n, tie=tie)
 
 
 def ordered_for_export(df: DataFrame, keys: list[str]) -> DataFrame:

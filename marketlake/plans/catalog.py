@@ -76,15 +76,15 @@ def q_o1(spark, base):
 
 @register("O2_recent_depth", """
     WITH snap AS (
-        SELECT symbol, "timestamp", count(*) FILTER (WHERE side = 'B') AS n_bids,
+        SELECT symbol, "timestamp", msg_id, count(*) FILTER (WHERE side = 'B') AS n_bids,
                count(*) FILTER (WHERE side = 'S') AS n_asks
-        FROM depth WHERE symbol = 'VIEW' GROUP BY 1, 2)
-    SELECT "timestamp", symbol, CAST(n_bids + n_asks AS INTEGER) AS depth, n_bids, n_asks
-    FROM snap ORDER BY "timestamp" DESC LIMIT 50""")
+        FROM depth WHERE symbol = 'VIEW' GROUP BY 1, 2, 3)
+    SELECT "timestamp", symbol, msg_id, CAST(n_bids + n_asks AS INTEGER) AS depth, n_bids, n_asks
+    FROM snap ORDER BY "timestamp" DESC, msg_id DESC LIMIT 50""")
 def q_o2(spark, base):
-    wide = dp.long_to_wide(fx.depth(spark, base))
-    top = topk.recent_depth(wide, "view")
-    return top.select("timestamp", "symbol", "depth",
+    wide = dp.long_to_wide(fx.depth(spark, base), ("symbol", "timestamp", "msg_id"))
+    top = topk.recent_depth(wide, "view", tie="msg_id")
+    return top.select("timestamp", "symbol", "msg_id", "depth",
                       F.size("bids").cast("bigint").alias("n_bids"),
                       F.size("asks").cast("bigint").alias("n_asks"))
 
@@ -354,18 +354,18 @@ def q_w5(spark, base):
 @register("N8_long_wide_roundtrip", """
     SELECT symbol, "timestamp", side, level, price, size, order_count, id FROM depth""")
 def q_n8(spark, base):
-    rt = dp.wide_to_long(dp.long_to_wide(fx.depth(spark, base)))
+    rt = dp.wide_to_long(dp.long_to_wide(fx.depth(spark, base), ("symbol", "timestamp", "msg_id")), ("symbol", "timestamp", "msg_id"))
     return rt.select("symbol", "timestamp", "side", "level", "price", "size", "order_count", "id")
 
 
 @register("N7_long_to_wide", """
-    SELECT symbol, "timestamp", count(*) FILTER (WHERE side = 'B') AS n_bids,
+    SELECT symbol, "timestamp", msg_id, count(*) FILTER (WHERE side = 'B') AS n_bids,
            count(*) FILTER (WHERE side = 'S') AS n_asks, CAST(count(*) AS INTEGER) AS depth,
            min(level) FILTER (WHERE side = 'B') AS first_bid_level
-    FROM depth GROUP BY symbol, "timestamp" """)
+    FROM depth GROUP BY symbol, "timestamp", msg_id""")
 def q_n7(spark, base):
-    w = dp.long_to_wide(fx.depth(spark, base))
-    return w.select("symbol", "timestamp", F.size("bids").cast("bigint").alias("n_bids"),
+    w = dp.long_to_wide(fx.depth(spark, base), ("symbol", "timestamp", "msg_id"))
+    return w.select("symbol", "timestamp", "msg_id", F.size("bids").cast("bigint").alias("n_bids"),
                     F.size("asks").cast("bigint").alias("n_asks"), "depth",
                     F.get("bids", 0)["level"].alias("first_bid_level"))
 
@@ -511,7 +511,7 @@ def q_n13(spark, base):
 
 
 @register("N12_enforce_depth", """
-    SELECT id, "timestamp", symbol, exchange, side, level, price, size, order_count, 0 AS implied_size
+    SELECT id, "timestamp", symbol, exchange, side, level, price, size, order_count, msg_id, 0 AS implied_size
     FROM depth""")
 def q_n12(spark, base):
     from ..schemas import enforce

@@ -42,7 +42,7 @@ def feed_lines(spark, base) -> DataFrame:
         iso("timestamp").alias("timestamp"), F.col("bid_price").cast("double").alias("bid_price"),
         F.col("ask_price").cast("double").alias("ask_price"), "bid_size", "ask_size")).alias("value"))
     lvl = F.struct("level", F.col("price").cast("double").alias("price"), "size", "order_count")
-    snaps = d.groupBy("symbol", "exchange", "timestamp").agg(
+    snaps = d.groupBy("symbol", "exchange", "timestamp", "msg_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == "B", lvl))).alias("bids"),
         F.sort_array(F.collect_list(F.when(F.col("side") == "S", lvl))).alias("asks"))
     depth = snaps.select(F.to_json(F.struct(
@@ -61,7 +61,7 @@ def _routed(spark, base):
     return jf.route(good), good, bad
 
 
-_SNAPS = '(SELECT count(*) FROM (SELECT DISTINCT symbol, "timestamp" FROM depth))'
+_SNAPS = '(SELECT count(*) FROM (SELECT DISTINCT symbol, "timestamp", msg_id FROM depth))'
 
 
 @register("S3_feed_routes", f"""
@@ -93,7 +93,7 @@ def q_n4(spark, base):
     return nz.normalize_quotes(routes["quote"])
 
 
-_RANKED = """(SELECT *, row_number() OVER (PARTITION BY symbol, "timestamp", side
+_RANKED = """(SELECT *, row_number() OVER (PARTITION BY symbol, "timestamp", msg_id, side
                                           ORDER BY level, price, size, order_count) AS pos
               FROM depth)"""
 
@@ -113,7 +113,7 @@ def q_n6(spark, base):
                 AS INTEGER) AS depth,
            CAST(max(price) FILTER (WHERE side = 'B' AND pos = 1) AS DOUBLE) AS best_bid,
            CAST(max(price) FILTER (WHERE side = 'S' AND pos = 1) AS DOUBLE) AS best_ask
-    FROM {_RANKED} r GROUP BY symbol, "timestamp" """)
+    FROM {_RANKED} r GROUP BY symbol, "timestamp", msg_id""")
 def q_n5(spark, base):
     routes, _, _ = _routed(spark, base)
     w = dp.to_wide_depth(routes["depth"], arrival=F.col("timestamp").cast("timestamp_ntz"))
@@ -125,7 +125,7 @@ def q_n5(spark, base):
 
 def frame_table(spark, base) -> DataFrame:
     t, q, d = fx.trades(spark, base), fx.quotes(spark, base), fx.depth(spark, base)
-    snaps = d.groupBy("symbol", "timestamp").agg(F.min("id").alias("id"))
+    snaps = d.groupBy("symbol", "timestamp", "msg_id").agg(F.min("id").alias("id"))
     return (fr.encode_trade_frames(t).unionByName(fr.encode_quote_frames(q))
             .unionByName(fr.encode_bare_frames(snaps, 109)).unionByName(fr.encode_bare_frames(snaps, 999)))
 

@@ -37,7 +37,7 @@ VIEWS = [
                CASE WHEN CAST(floor(user_id / 10) AS BIGINT) % 2 = 0 THEN 'B' ELSE 'S' END AS side,
                CAST(user_id % 10 + 1 AS INTEGER) AS level,
                CAST(value AS DECIMAL(20,8)) AS price, {_K} AS size,
-               {_K} % 7 + 1 AS order_count
+               {_K} % 7 + 1 AS order_count, event_id // 20 AS msg_id
         FROM events"""),
     ("symbols", _symbols_sql()),
     ("order_updates", """

@@ -142,12 +142,20 @@ def book_stream(depth: DataFrame, ttl: str = "1 minute") -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         book = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp", "id"])
-        for r in rows.itertuples(index=False):
-            ts_us = int(pd.Timestamp(r.timestamp).value // 1000)
-            book[f"{r.side}|{int(r.level)}"] = [float(r.price), int(r.size),
-                                               None if pd.isna(r.order_count) else int(r.order_count),
-                                               ts_us, int(r.id)]
+        # Chunks are folded one at a time (memory: one chunk plus the book);
+        # within a chunk only the newest row per level matters, and across
+        # chunks the newer (timestamp, id) wins, so arrival order is irrelevant.
+        for chunk in batches:
+            us = chunk["timestamp"].astype("datetime64[us]").astype("int64")
+            chunk = chunk.assign(t_us=us).sort_values(["t_us", "id"])
+            newest_rows = chunk.drop_duplicates(["side", "level"], keep="last")
+            for r in newest_rows.itertuples(index=False):
+                k = f"{r.side}|{int(r.level)}"
+                cur = book.get(k)
+                if cur is None or (int(r.t_us), int(r.id)) > (cur[3], cur[4]):
+                    book[k] = [float(r.price), int(r.size),
+                               None if pd.isna(r.order_count) else int(r.order_count),
+                               int(r.t_us), int(r.id)]
         newest = max(v[3] for v in book.values())
         book = {k: v for k, v in book.items() if v[3] >= newest - ttl_us}
         state.update((json.dumps(book),))
