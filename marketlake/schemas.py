@@ -168,3 +168,18 @@ def enforce(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     ok = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     rejected = tagged.filter(F.col("reject_reason").isNotNull())
     return ok, rejected
+
+
+def create_table_ddl(name: str, location: str, partition_by_date: bool = True) -> str:
+    """S2 as SQL: ``CREATE TABLE ... USING parquet [PARTITIONED BY (date)] LOCATION``.
+
+    Event tables get a ``date`` partition column (derived from ``timestamp``
+    on write), which turns time predicates into partition pruning.
+    """
+    schema = SCHEMAS[name]
+    cols = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
+    part = partition_by_date and "timestamp" in schema.fieldNames()
+    if part:
+        cols.append("`date` date")
+    return (f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(cols)}) USING parquet"
+            + (" PARTITIONED BY (`date`)" if part else "") + f" LOCATION '{location}'")
