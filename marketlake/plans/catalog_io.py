@@ -124,10 +124,16 @@ def q_n5(spark, base):
 # ---------------------------------------------------------------- binary frames
 
 def frame_table(spark, base) -> DataFrame:
+    """Captured frames as a stored table (what a capture job would write):
+    trades as LAST_TRADE, quotes as BID_OFFER, one depth-update and one
+    unknown-type frame per book message."""
     t, q, d = fx.trades(spark, base), fx.quotes(spark, base), fx.depth(spark, base)
     snaps = d.groupBy("symbol", "timestamp", "msg_id").agg(F.min("id").alias("id"))
-    return (fr.encode_trade_frames(t).unionByName(fr.encode_quote_frames(q))
-            .unionByName(fr.encode_bare_frames(snaps, 109)).unionByName(fr.encode_bare_frames(snaps, 999)))
+    frames = (fr.encode_trade_frames(t).unionByName(fr.encode_quote_frames(q))
+              .unionByName(fr.encode_bare_frames(snaps, 109)).unionByName(fr.encode_bare_frames(snaps, 999)))
+    path = scratch_path(spark, "frames")
+    frames.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("S5_frame_types", f"""
@@ -230,8 +236,12 @@ def _archive_ticks(spark, base):
 def q_e5(spark, base):
     _, kept, arch, _ = _archive_ticks(spark, base)
     man = read_json_table(spark, os.path.join(arch, "_manifest"), lc.MANIFEST)
-    n_kept = kept.agg(F.count(F.lit(1)).alias("kept_rows")).withColumn("table_name", F.lit("ticks"))
-    return man.select("table_name", F.col("record_count").alias("archived_rows")).join(n_kept, "table_name")
+    archived = man.select("table_name", F.col("record_count").alias("archived_rows"),
+                          F.lit(0).cast("bigint").alias("kept_rows"))
+    n_kept = kept.select(F.lit("ticks").alias("table_name"), F.lit(0).cast("bigint").alias("archived_rows"),
+                         F.lit(1).cast("bigint").alias("kept_rows"))
+    return archived.unionByName(n_kept).groupBy("table_name").agg(
+        F.sum("archived_rows").alias("archived_rows"), F.sum("kept_rows").alias("kept_rows"))
 
 
 @register("E6_restore_twice", "SELECT * FROM ticks")

@@ -124,37 +124,60 @@ def _u_bytes(v: Column, n: int) -> Column:
     return F.unhex(F.lpad(F.hex(v.cast("bigint")), 2 * n, "0"))
 
 
-def _f64_bytes_udf():
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+def f64_bits(x: Column) -> Column:
+    """IEEE-754 bit pattern of a double as a (signed) long, built-in only.
 
-    def f64_bytes(s):
-        arr = s.astype("float64").to_numpy().astype(">f8")
-        return pd.Series([arr[i:i + 1].tobytes() for i in range(len(arr))])
-    f64_bytes.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return pandas_udf(f64_bytes, "binary")
+    The binary exponent comes from ``log2`` and is corrected by one step when
+    rounding put it off; scaling by a power of two and removing the leading 1
+    are exact, so the 52-bit mantissa is exact. Zero, subnormals, infinities
+    and NaN are handled explicitly.
+    """
+    a = F.abs(x)
+    scale = lambda v, k: F.try_divide(v, F.pow(F.lit(2.0), k))  # noqa: E731  (exact: power of two)
+    finite = (a > 0.0) & (a < float("inf"))
+    e0 = F.floor(F.when(finite, F.log2(a))).try_cast("int")
+    e = (F.when(scale(a, e0) >= 2.0, e0 + 1)
+          .when(scale(a, e0) < 1.0, e0 - 1).otherwise(e0))
+    normal_m = ((scale(a, e) - F.lit(1.0)) * F.lit(float(2 ** 52))).try_cast("bigint")
+    two_537 = F.pow(F.lit(2.0), F.lit(537.0))  # 2**1074 overflows a double; scale twice
+    sub_m = F.when(a < 2.3e-308, a * two_537 * two_537).try_cast("bigint")
+    magnitude = (F.when(a == 0.0, F.lit(0).cast("bigint"))
+                  .when(F.isnan(x), F.lit(0x7FF8000000000000))
+                  .when(a == float("inf"), F.lit(0x7FF0000000000000))
+                  .when(e < -1022, sub_m)
+                  .otherwise(F.shiftleft((e + 1023).cast("bigint"), 52) + normal_m))
+    negative = (x < 0.0) | (x.cast("string") == "-0.0")
+    return F.when(negative, magnitude + F.lit(-(2 ** 63))).otherwise(magnitude)
+
+
+def f64_bytes(x: Column) -> Column:
+    """8 big-endian bytes of a double (``hex`` of a negative long is its
+    two's complement, which is exactly the sign-bit-set pattern)."""
+    return F.unhex(F.lpad(F.hex(f64_bits(x)), 16, "0"))
+
+
+def _frame(df: DataFrame, code: int) -> DataFrame:
+    body = F.col("_body")
+    return df.select("id", F.concat(_u_bytes(F.length(body) + 2, 4), _u_bytes(F.lit(code), 2),
+                                    body).alias("frame"))
 
 
 def encode_trade_frames(ticks: DataFrame) -> DataFrame:
     """LAST_TRADE frames (one per tick row): symbol, price, size, epoch ms."""
-    f64b = _f64_bytes_udf()
     sym = F.encode(F.col("symbol"), "UTF-8")
     ms = F.expr(f"timestampdiff(MILLISECOND, {_EPOCH}, `timestamp`)")
-    body = F.concat(_u_bytes(F.length(sym), 4), sym, f64b(F.col("price").cast("double")),
+    body = F.concat(_u_bytes(F.length(sym), 4), sym, f64_bytes(F.col("price").cast("double")),
                     _u_bytes(F.col("size"), 4), _u_bytes(ms, 8))
-    return ticks.select("id", F.concat(_u_bytes(F.length(body) + 2, 4),
-                                       _u_bytes(F.lit(LAST_TRADE), 2), body).alias("frame"))
+    return _frame(ticks.select("id", body.alias("_body")), LAST_TRADE)
 
 
 def encode_quote_frames(quotes: DataFrame) -> DataFrame:
     """BID_OFFER frames: symbol, bid, bid size, ask, ask size."""
-    f64b = _f64_bytes_udf()
     sym = F.encode(F.col("symbol"), "UTF-8")
     body = F.concat(_u_bytes(F.length(sym), 4), sym,
-                    f64b(F.col("bid_price").cast("double")), _u_bytes(F.col("bid_size"), 4),
-                    f64b(F.col("ask_price").cast("double")), _u_bytes(F.col("ask_size"), 4))
-    return quotes.select("id", F.concat(_u_bytes(F.length(body) + 2, 4),
-                                        _u_bytes(F.lit(BID_OFFER), 2), body).alias("frame"))
+                    f64_bytes(F.col("bid_price").cast("double")), _u_bytes(F.col("bid_size"), 4),
+                    f64_bytes(F.col("ask_price").cast("double")), _u_bytes(F.col("ask_size"), 4))
+    return _frame(quotes.select("id", body.alias("_body")), BID_OFFER)
 
 
 def encode_bare_frames(df: DataFrame, code: int) -> DataFrame:

@@ -133,3 +133,16 @@ def test_enforce_rejects(spark):
     ok, rej = enforce(df, "depth")
     assert [r.id for r in ok.collect()] == [1] and ok.first().implied_size == 0
     assert sorted((r.id, r.reject_reason) for r in rej.collect()) == [(2, "side not in B,S"), (3, "level is null")]
+
+
+def test_double_bytes_native_round_trip(spark):
+    import math
+    import random
+    rnd = random.Random(3)
+    vals = [0.0, -0.0, 1.0, -1.5, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308,
+            float("inf"), float("-inf"), 0.1, 6.55] + [rnd.uniform(-1e9, 1e9) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    rows = df.select("x", fr.f64_bytes(F.col("x")).alias("b"), fr.f64(fr.f64_bytes(F.col("x")), 1).alias("y")).collect()
+    for r in rows:
+        assert bytes(r.b) == struct.pack(">d", r.x)
+        assert r.y == r.x and math.copysign(1, r.y) == math.copysign(1, r.x)
