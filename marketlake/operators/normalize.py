@@ -77,7 +77,7 @@ def normalize_ticks_strict(decoded: DataFrame, arrival: Column | str | None = No
         F.col("symbol"),
         exchange_for("symbol", prefix_map).alias("exchange"),
         F.col("price").cast("double").cast("decimal(20,8)").alias("price"),
-        F.coalesce(_c(kept, "size", "int"), F.lit(0)).alias("size"),
+        F.coalesce(_c(kept, "size", "int").cast("int"), F.lit(0)).alias("size"),
         F.nullif(_c(kept, "bid_price", "double"), F.lit(0.0)).cast("decimal(20,8)").alias("bid_price"),
         F.nullif(_c(kept, "ask_price", "double"), F.lit(0.0)).cast("decimal(20,8)").alias("ask_price"),
         _c(kept, "bid_size", "int").alias("bid_size"),

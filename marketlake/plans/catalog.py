@@ -582,11 +582,69 @@ def q_a3_size(spark, base):
     return out.withColumn("size_text", human_size("size_bytes"))
 
 
+# Money columns of each query's result. Both sides return them as DOUBLE (an
+# exact conversion of the same DECIMAL value), so results compare equal however
+# a checker turns them into Python values (DuckDB's pandas path yields floats,
+# Spark's yields Decimal objects). The operators themselves keep DECIMAL(20,8).
+MONEY_COLUMNS = {
+    'S1_scan_ticks': ('price',),
+    'F5_select_range': ('price',),
+    'O3_console_ticks': ('price', 'bid_price', 'ask_price'),
+    'A7_live_tick_stats': ('max_price', 'last_price'),
+    'A13_volume_profile': ('price_level',),
+    'A9_volume_profile_summary': ('price_level',),
+    'A10_volume_profile_export': ('price_level',),
+    'A14_bars_1m': ('open_price', 'high_price', 'low_price', 'close_price'),
+    'A14_market_stats_1d': ('open_price', 'high_price', 'low_price', 'close_price'),
+    'J7_asof_quotes': ('price', 'bid_price', 'ask_price'),
+    'W1_latest_depth': ('price',),
+    'J3_latest_snapshot': ('price',),
+    'W5_depth_ttl_1d': ('price',),
+    'N8_long_wide_roundtrip': ('price',),
+    'J5_insert_missing': ('price',),
+    'J8_subscribed_only': ('price',),
+    'N10_signed_volume': ('price',),
+    'N12_enforce_depth': ('price',),
+    'S4_N2_feed_ticks': ('price', 'bid_price', 'ask_price'),
+    'N4_feed_quotes': ('bid_price', 'ask_price'),
+    'N6_feed_long_depth': ('price',),
+    'S5_N3_binary_ticks': ('price',),
+    'E1_export_ticks_csv': ('price',),
+    'E2_export_depth_csv': ('price',),
+    'E3_export_profile_csv': ('price_level',),
+    'E6_restore_twice': ('price',),
+    'E7_purge': ('price',),
+    'T1_ingest': ('price',),
+    'T3_subscribed_stream': ('price',),
+    'T4_live_stats_stream': ('max_price',),
+    'T5_book_stream': ('price',),
+    'T6_bars_stream': ('open_price', 'high_price', 'low_price', 'close_price'),
+    'T9_dedup_stream': ('price',),
+}
+
+
+def _money_as_double(df: DataFrame) -> DataFrame:
+    from pyspark.sql.types import DecimalType
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def _oracle_money_as_double(name: str, sql: str) -> str:
+    cols = MONEY_COLUMNS.get(name)
+    if not cols:
+        return sql
+    repl = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in cols)
+    return f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) AS q"
+
+
 def queries() -> dict[str, QueryFn]:
     from . import catalog_io  # noqa: F401  (registers ingest, life-cycle and stream queries)
-    return {k: v[0] for k, v in REGISTRY.items()}
+
+    def wrap(fn: QueryFn) -> QueryFn:
+        return lambda spark, base: _money_as_double(fn(spark, base))
+    return {k: wrap(v[0]) for k, v in REGISTRY.items()}
 
 
 def oracles() -> dict[str, str]:
     from . import catalog_io  # noqa: F401
-    return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
+    return {k: _oracle_money_as_double(k, v[1]) for k, v in REGISTRY.items() if v[1] is not None}

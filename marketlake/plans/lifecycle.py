@@ -170,7 +170,7 @@ def partition_retention(df: DataFrame, keep_days: int, keep_count: int,
     anchor = resolve_as_of(df, as_of)
     cutoff = dt.datetime.combine((anchor - dt.timedelta(days=keep_days)).date(), dt.time())
     parts = df.groupBy(*keys, _day("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("day").desc()))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("day").desc())).cast("bigint")
     return (parts.withColumn("rank", rank)
                  .withColumn("keep", (F.col("rank") <= keep_count) | (F.col("day") >= ts_literal(cutoff))))
 

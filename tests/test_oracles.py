@@ -53,3 +53,12 @@ def test_query_matches_oracle(spark, con, name):
     assert gc == wc
     assert len(gr) == len(wr)
     assert gr == wr
+
+
+def test_no_decimal_in_results(spark, con):
+    """Money leaves both sides as DOUBLE (see catalog.MONEY_COLUMNS)."""
+    for name, sql in ORACLES.items():
+        rel = con.sql(sql)
+        assert not [c for c, t in zip(rel.columns, rel.types) if str(t).startswith("DECIMAL")], name
+    for name in ("S1_scan_ticks", "A14_bars_1m", "J7_asof_quotes"):
+        assert "decimal" not in QUERIES[name](spark, SMALL).schema.simpleString(), name
