@@ -617,6 +617,7 @@ MONEY_COLUMNS = {
     'T1_ingest': ('price',),
     'T3_subscribed_stream': ('price',),
     'T4_live_stats_stream': ('max_price',),
+    'T4_live_stats_sliding': ('max_price',),
     'T5_book_stream': ('price',),
     'T6_bars_stream': ('open_price', 'high_price', 'low_price', 'close_price'),
     'T9_dedup_stream': ('price',),

@@ -333,6 +333,22 @@ def q_t4(spark, base):
     return _run(spark, s, "live-stats").drop("batch_id")
 
 
+@register("T4_live_stats_sliding", f"""
+    WITH w AS (
+        SELECT symbol, price, "timestamp",
+               time_bucket(INTERVAL 2 SECOND, "timestamp") - k * INTERVAL 2 SECOND AS window_start
+        FROM ticks, range(30) AS r(k))
+    SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, symbol, count(*) AS tick_count,
+           max(price) AS max_price, max("timestamp") AS last_update
+    FROM w GROUP BY 1, 2, symbol
+    HAVING window_start + INTERVAL 1 MINUTE <= {AS_OF} - INTERVAL 1 MINUTE""")
+def q_t4_sliding(spark, base):
+    """The live view as the console shows it: 1-minute activity refreshed every 2 seconds."""
+    s = jobs.live_stats_stream(fx.ticks_from(_events_stream(spark, base)), "1 minute", jobs.LIVE_REFRESH,
+                               "1 minute")
+    return _run(spark, s, "live-sliding").drop("batch_id")
+
+
 @register("T5_book_stream", """
     SELECT b.* FROM (
         SELECT DISTINCT ON (symbol, side, level) symbol, side, level, price, size, order_count, "timestamp", id

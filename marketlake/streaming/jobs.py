@@ -45,6 +45,12 @@ def trigger_options(available_now: bool = True, interval: str = f"{BATCH_SECONDS
     return {"availableNow": True} if available_now else {"processingTime": interval}
 
 
+def source_rate_options(kind: str = "files", max_files: int = 1) -> dict:
+    """Bound each micro-batch - the declared queue cap for offset-based
+    sources (Kafka-style), a file count for file sources."""
+    return {"maxOffsetsPerTrigger": QUEUE_CAP} if kind == "offsets" else {"maxFilesPerTrigger": max_files}
+
+
 def run_to_completion(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
