@@ -615,6 +615,7 @@ MONEY_COLUMNS = {
     'E6_restore_twice': ('price',),
     'E7_purge': ('price',),
     'T1_ingest': ('price',),
+    'T1_feed_ingest_ticks': ('price',),
     'T3_subscribed_stream': ('price',),
     'T4_live_stats_stream': ('max_price',),
     'T4_live_stats_sliding': ('max_price',),

@@ -314,6 +314,41 @@ def q_t1(spark, base):
     return spark.read.parquet(out).select(*t.columns)
 
 
+def _feed_ingest(spark, base) -> str:
+    src = scratch_path(spark, "feed-src")
+    feed_lines(spark, base).write.text(src)
+    out, ckpt = scratch_path(spark, "feed-out"), scratch_path(spark, "feed-ckpt")
+    jobs.run_to_completion(jobs.ingest_feed(spark, src, out, ckpt))
+    return out
+
+
+@register("T1_feed_ingest", f"""
+    SELECT 'ticks' AS table_name, count(*) AS row_count FROM trades
+    UNION ALL SELECT 'quotes', count(*) FROM quotes
+    UNION ALL SELECT 'depth', count(*) FROM {_RANKED} r WHERE pos <= 10
+    UNION ALL SELECT 'log', {_SNAPS} UNION ALL SELECT 'unknown', {_SNAPS}
+    UNION ALL SELECT 'rejects', {_SNAPS}""")
+def q_t1_feed(spark, base):
+    """The collector pipeline as one stream: feed files -> parse -> route ->
+    normalise -> a table per route (row counts per table)."""
+    out = _feed_ingest(spark, base)
+    parts = [spark.read.parquet(f"{out}/{n}").agg(F.count(F.lit(1)).alias("row_count"))
+             .select(F.lit(n).alias("table_name"), "row_count")
+             for n in ("ticks", "quotes", "depth", "log", "unknown", "rejects")]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+@register("T1_feed_ingest_ticks", """
+    SELECT "timestamp", symbol, exchange, price, size, aggressor_side, trade_id FROM trades""")
+def q_t1_feed_ticks(spark, base):
+    out = _feed_ingest(spark, base)
+    return spark.read.parquet(f"{out}/ticks").select(
+        "timestamp", "symbol", "exchange", "price", "size", "aggressor_side", "trade_id")
+
+
 @register("T3_subscribed_stream", """
     SELECT t.* FROM ticks t
     WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.active AND s.symbol = t.symbol AND s.exchange = t.exchange)""")

@@ -261,3 +261,47 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
             .foreachBatch(sink).trigger(**trigger_options(available_now)).start())
+
+
+# ------------------------------------------------------------------ T1 for the JSON feed
+
+def ingest_feed(spark: SparkSession, source: str, out_base: str, checkpoint: str,
+                available_now: bool = True, max_files: int = 1):
+    """T1 + S3/S4 + N2/N4/N6: newline-delimited JSON files -> one table per
+    route, in one streaming query.
+
+    Each micro-batch is parsed once (invalid lines go to ``rejects``), routed
+    by message type and written to ``ticks``, ``quotes``, ``depth``, ``log``
+    and ``unknown`` under ``out_base`` (ticks/quotes/depth partitioned by
+    date). The batch is persisted for the duration of the multi-sink write
+    and released afterwards; the checkpoint makes the whole write restartable.
+    """
+    from ..operators.depth import to_long_depth
+    from ..operators.normalize import normalize_quotes, normalize_ticks
+    from ..sources import json_feed as jf
+
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(source)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            good, bad = jf.parse_lines(batch)
+            routes = jf.route(good)
+            arrival = F.lit(None).cast("timestamp_ntz")
+            tables = {
+                "ticks": normalize_ticks(routes["tick"], arrival=arrival),
+                "quotes": normalize_quotes(routes["quote"], arrival=arrival),
+                "depth": to_long_depth(routes["depth"], arrival=arrival),
+            }
+            for name, df in tables.items():
+                (df.withColumn("date", F.to_date("timestamp")).withColumn("batch_id", F.lit(batch_id))
+                   .write.mode("append").partitionBy("date").parquet(f"{out_base}/{name}"))
+            for name in ("log", "unknown"):
+                routes[name].select(F.to_json(F.struct("*")).alias("message"), F.lit(batch_id).alias("batch_id")) \
+                    .write.mode("append").parquet(f"{out_base}/{name}")
+            bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{out_base}/rejects")
+        finally:
+            batch.unpersist()
+
+    return (lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch)
+            .trigger(**trigger_options(available_now)).start())
