@@ -46,22 +46,31 @@ ROUTES = {
 }
 
 
-def parse_lines(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """S3: text lines -> (messages, rejects). A line that is not a JSON object
-    is a reject (kept with its text, never silently dropped); blank lines are
-    skipped as the reference does."""
+def parse_tagged(lines: DataFrame, col: str = "value") -> DataFrame:
+    """S3 in one projection: (_line, m, _bad) per non-blank line. Persist this
+    frame when both messages and rejects are consumed, so each line is parsed once."""
     text = F.trim(F.col(col))
     parsed = lines.filter(text != "").select(
         F.col(col).alias("_line"),
         F.from_json(F.col(col), MESSAGE, {"mode": "PERMISSIVE",
                                           "columnNameOfCorruptRecord": CORRUPT}).alias("m"))
-    bad = F.col("m").isNull() | F.col(f"m.{CORRUPT}").isNotNull()
-    good = parsed.filter(~bad).select("m.*").drop(CORRUPT)
-    rejects = parsed.filter(bad).select(F.col("_line").alias("line"),
-                                        F.lit("invalid JSON").alias("reject_reason"))
+    return parsed.withColumn("_bad", F.col("m").isNull() | F.col(f"m.{CORRUPT}").isNotNull())
+
+
+def split_tagged(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good = parsed.filter(~F.col("_bad")).select("m.*").drop(CORRUPT)
+    rejects = parsed.filter(F.col("_bad")).select(F.col("_line").alias("line"),
+                                                  F.lit("invalid JSON").alias("reject_reason"))
     return good, rejects
 
 
+def parse_lines(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """S3: text lines -> (messages, rejects). A line that is not a JSON object
+    is a reject (kept with its text, never silently dropped); blank lines are
+    skipped as the reference does."""
+    return split_tagged(parse_tagged(lines, col))
+
+
 def read_json_feed(spark: SparkSession, path: str, streaming: bool = False,
                    **options) -> tuple[DataFrame, DataFrame]:
     """S3 over files: one message per line (text source, batch or stream)."""

@@ -273,8 +273,9 @@ def ingest_feed(spark: SparkSession, source: str, out_base: str, checkpoint: str
     Each micro-batch is parsed once (invalid lines go to ``rejects``), routed
     by message type and written to ``ticks``, ``quotes``, ``depth``, ``log``
     and ``unknown`` under ``out_base`` (ticks/quotes/depth partitioned by
-    date). The batch is persisted for the duration of the multi-sink write
-    and released afterwards; the checkpoint makes the whole write restartable.
+    date). The parsed batch is persisted for the duration of the multi-sink
+    write and released afterwards (a lost block is recomputed from the
+    batch's source files); the checkpoint makes the whole write restartable.
     """
     from ..operators.depth import to_long_depth
     from ..operators.normalize import normalize_quotes, normalize_ticks
@@ -283,9 +284,9 @@ def ingest_feed(spark: SparkSession, source: str, out_base: str, checkpoint: str
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(source)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        parsed = jf.parse_tagged(batch).persist()   # each line parsed once for all sinks
         try:
-            good, bad = jf.parse_lines(batch)
+            good, bad = jf.split_tagged(parsed)
             routes = jf.route(good)
             arrival = F.lit(None).cast("timestamp_ntz")
             tables = {
@@ -301,7 +302,7 @@ def ingest_feed(spark: SparkSession, source: str, out_base: str, checkpoint: str
                     .write.mode("append").parquet(f"{out_base}/{name}")
             bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{out_base}/rejects")
         finally:
-            batch.unpersist()
+            parsed.unpersist()
 
     return (lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch)
             .trigger(**trigger_options(available_now)).start())
