@@ -204,6 +204,8 @@ def asof_quotes(trades: DataFrame, quotes: DataFrame, tolerance: str | None = No
     if tolerance is not None:
         stale = F.timestamp_diff("MICROSECOND", F.col("quote_timestamp"), F.col("timestamp")) \
             > F.lit(interval_micros(tolerance))
+        out = out.withColumn("_stale", F.coalesce(stale, F.lit(False)))
         for c in ["quote_timestamp", *qcols]:
-            out = out.withColumn(c, F.when(stale, F.lit(None)).otherwise(F.col(c)))
+            out = out.withColumn(c, F.when(F.col("_stale"), F.lit(None)).otherwise(F.col(c)))
+        out = out.drop("_stale")
     return out

@@ -143,6 +143,11 @@ def shape_rows(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def to_json_rows(df: DataFrame, col: str = "json") -> DataFrame:
+    """N11 response body: each shaped row as one JSON object."""
+    return shape_rows(df).select(F.to_json(F.struct("*")).alias(col))
+
+
 def parse_symbols(df: DataFrame, col: str = "symbols", default_exchange: str = "CME") -> DataFrame:
     """N13: 'ES:CME, nq' -> rows (symbol, exchange): split on commas, trim, drop
     empties, upper-case, split an optional ':EXCHANGE' (default CME)."""

@@ -103,10 +103,16 @@ def status_counts(df: DataFrame, col: str, values: list[str]) -> DataFrame:
                   *[F.count_if(F.col(col) == v).alias(f"{v.lower()}_count") for v in values])
 
 
-def freshness(tables: Mapping[str, DataFrame], as_of: dt.datetime,
+def freshness(tables: Mapping[str, DataFrame | None], as_of: dt.datetime,
               interval: str = "5 minutes", ts_col: str = "timestamp") -> DataFrame:
-    """A table is healthy when it has a row newer than ``as_of - interval``."""
+    """A table is healthy when it has a row newer than ``as_of - interval``;
+    a missing table (``None``) is reported unhealthy."""
     cutoff = ts_literal(as_of - parse_interval(interval))
-    return _union_all([df.agg((F.count_if(F.col(ts_col) > cutoff) > 0).alias("healthy"))
-                         .select(F.lit(name).alias("table_name"), "healthy")
-                       for name, df in tables.items()])
+    present = {n: df for n, df in tables.items() if df is not None}
+    spark = next(iter(present.values())).sparkSession
+    parts = [df.agg((F.count_if(F.col(ts_col) > cutoff) > 0).alias("healthy"))
+               .select(F.lit(name).alias("table_name"), "healthy") for name, df in present.items()]
+    missing = [n for n, df in tables.items() if df is None]
+    if missing:
+        parts.append(spark.createDataFrame([(n, False) for n in missing], "table_name string, healthy boolean"))
+    return _union_all(parts)

@@ -105,3 +105,24 @@ def test_export_files_are_globally_ordered(spark):
             lines = fh.read().splitlines()[1:]
         stamps += [ln.split(",")[1] for ln in lines]
     assert stamps == sorted(stamps) and len(stamps) == n
+
+
+def test_freshness_missing_table_and_json_rows(spark):
+    from marketlake.operators import stats
+    t = fx.ticks(spark, SMALL)
+    a = t.agg(F.max("timestamp")).first()[0]
+    got = {r.table_name: r.healthy for r in stats.freshness({"ticks": t, "symbol_metadata": None}, a).collect()}
+    assert got == {"ticks": True, "symbol_metadata": False}
+    js = nz.to_json_rows(t.limit(1)).first().json
+    assert js.startswith("{") and '"price":' in js and "T" in js
+
+
+def test_asof_tolerance(spark):
+    from marketlake.operators import flow
+    tr = _ticks(spark, [(1, T0, "ES", "CME", Decimal(1), 1), (2, T0 + dt.timedelta(minutes=10), "ES", "CME", Decimal(1), 1)])
+    q = spark.createDataFrame([(9, T0 - dt.timedelta(seconds=30), "ES", Decimal("0.5"), Decimal("1.5"), 1, 1)],
+                              "id long, timestamp timestamp_ntz, symbol string, bid_price decimal(20,8), "
+                              "ask_price decimal(20,8), bid_size int, ask_size int")
+    got = {r.id: r.bid_price for r in flow.asof_quotes(tr.select("id", "timestamp", "symbol", "size"), q,
+                                                          tolerance="1 minute").collect()}
+    assert got == {1: Decimal("0.5"), 2: None}
