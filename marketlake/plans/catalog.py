@@ -614,6 +614,7 @@ MONEY_COLUMNS = {
     'E3_export_profile_csv': ('price_level',),
     'E6_restore_twice': ('price',),
     'E7_purge': ('price',),
+    'E7_purge_table': ('price',),
     'T1_ingest': ('price',),
     'T1_feed_ingest_ticks': ('price',),
     'T3_subscribed_stream': ('price',),

@@ -258,6 +258,38 @@ def q_e7(spark, base):
     return kept
 
 
+def _table_name(prefix: str) -> str:
+    import uuid
+    return f"{prefix}_{uuid.uuid4().hex[:12]}"
+
+
+@register("E7_purge_table", f"""SELECT * FROM ticks WHERE "timestamp" >= {AS_OF} - INTERVAL 20 DAY""")
+def q_e7_table(spark, base):
+    """Retention on a day-partitioned table: older days dropped, one day rewritten."""
+    t = fx.ticks(spark, base)
+    name = _table_name("ticks_retention")
+    lc.save_partitioned(t, name)
+    lc.purge_table(spark, name, lc.retention_cutoff(_as_of(spark, base), 20))
+    return spark.table(name).select(*t.columns)
+
+
+@register("E5_archive_table", f"""
+    SELECT 'archived' AS part, count(*) AS row_count FROM ticks WHERE "timestamp" < {AS_OF} - INTERVAL 15 DAY
+    UNION ALL SELECT 'kept', count(*) FROM ticks WHERE "timestamp" >= {AS_OF} - INTERVAL 15 DAY""")
+def q_e5_table(spark, base):
+    """Archive on a day-partitioned table, then read both sides back."""
+    a = _as_of(spark, base)
+    t = fx.ticks(spark, base)
+    name = _table_name("ticks_archive")
+    lc.save_partitioned(t, name)
+    arch = scratch_path(spark, "archive-table")
+    lc.archive_table(spark, name, a - lc.dt.timedelta(days=15), arch, a)
+    archived = read_json_table(spark, os.path.join(arch, name), t.schema)
+    return (archived.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("archived").alias("part"), "row_count")
+            .unionByName(spark.table(name).agg(F.count(F.lit(1)).alias("row_count"))
+                         .select(F.lit("kept").alias("part"), "row_count")))
+
+
 @register("E8_metrics_history", "SELECT * FROM metrics")
 def q_e8(spark, base):
     m = fx.metrics(spark, base)

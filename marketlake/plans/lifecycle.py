@@ -183,3 +183,62 @@ def apply_retention(df: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("sy
     """Rows of the partitions W3 keeps (semi join on the small partition list)."""
     kept = plan.filter("keep").select(*keys, "day")
     return df.withColumn("day", _day("timestamp")).join(kept, [*keys, "day"], "left_semi").drop("day")
+
+
+# ------------------------------------------------------------------ partitioned tables
+#
+# On a table partitioned by day a retention delete touches at most one day of
+# data: whole days before the cut-off day are dropped as partitions (files and
+# metadata of a managed table), the cut-off day is rewritten without its old
+# rows, and every later day is left alone. The rewrite is staged in the shared
+# checkpoint folder first, so the job never overwrites files it is reading.
+
+def save_partitioned(df: DataFrame, table: str, ts_col: str = "timestamp") -> None:
+    """Store an event frame as a managed table partitioned by ``date``."""
+    (df.withColumn("date", F.to_date(F.col(ts_col))).repartitionByRange("date", ts_col)
+       .sortWithinPartitions("date", ts_col).write.mode("overwrite").partitionBy("date").saveAsTable(table))
+
+
+def _partition_days(spark: SparkSession, table: str) -> list[dt.date]:
+    rows = spark.sql(f"SHOW PARTITIONS {table}").collect()      # one short string per day
+    return sorted(dt.date.fromisoformat(r[0].split("=", 1)[1]) for r in rows)
+
+
+def purge_table(spark: SparkSession, table: str, cutoff: dt.datetime, ts_col: str = "timestamp") -> int:
+    """E7 on a day-partitioned table; returns the number of rows deleted."""
+    from ..session import scratch_path
+    tbl = spark.table(table)
+    deleted = tbl.filter(F.col("date") <= F.lit(cutoff.date())).filter(
+        F.col(ts_col) < ts_literal(cutoff)).count()
+    cut_day = cutoff.date()
+    days = _partition_days(spark, table)
+    if cut_day in days:
+        day = tbl.filter(F.col("date") == F.lit(cut_day))          # partition pruning: one day read
+        keep = day.filter(F.col(ts_col) >= ts_literal(cutoff))
+        if keep.isEmpty():
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (date='{cut_day.isoformat()}')")
+        elif not day.filter(F.col(ts_col) < ts_literal(cutoff)).isEmpty():
+            staged = scratch_path(spark, "purge-stage")
+            keep.write.parquet(staged)
+            (spark.read.parquet(staged).select(*tbl.columns).write
+                  .option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True))
+    for d in days:
+        if d < cut_day:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (date='{d.isoformat()}')")
+    return deleted
+
+
+def archive_table(spark: SparkSession, table: str, cutoff: dt.datetime, archive_path: str,
+                  created_at: dt.datetime, ts_col: str = "timestamp") -> DataFrame:
+    """E5 on a day-partitioned table: rows before ``cutoff`` are written to the
+    archive (gzip JSON, partition-pruned scan), then removed with
+    ``purge_table``. No-op when nothing is old enough. Returns the manifest."""
+    old = spark.table(table).filter(F.col("date") <= F.lit(cutoff.date())).filter(
+        F.col(ts_col) < ts_literal(cutoff)).drop("date")
+    n = 0
+    if not old.isEmpty():
+        n = _write_counted(old, lambda d: _json(d, os.path.join(archive_path, table)))
+        purge_table(spark, table, cutoff, ts_col)
+    man = _manifest_rows(spark, {table: n}, cutoff, created_at)
+    _json(man, os.path.join(archive_path, "_manifest"))
+    return man

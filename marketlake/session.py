@@ -32,6 +32,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # Local runs keep managed tables out of the working directory.
+    conf.setdefault("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="marketlake-warehouse-"))
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)

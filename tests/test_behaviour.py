@@ -126,3 +126,21 @@ def test_asof_tolerance(spark):
     got = {r.id: r.bid_price for r in flow.asof_quotes(tr.select("id", "timestamp", "symbol", "size"), q,
                                                           tolerance="1 minute").collect()}
     assert got == {1: Decimal("0.5"), 2: None}
+
+
+def test_purge_table_touches_one_day(spark):
+    import uuid
+    t = fx.ticks(spark, SMALL)
+    a = t.agg(F.max("timestamp")).first()[0]
+    cutoff = a - dt.timedelta(days=12, hours=5)
+    name = f"t_{uuid.uuid4().hex[:8]}"
+    lc.save_partitioned(t, name)
+    later = (cutoff + dt.timedelta(days=2)).date().isoformat()
+    files_before = sorted(spark.table(name).filter(F.col("date") == later).inputFiles())
+    deleted = lc.purge_table(spark, name, cutoff)
+    assert deleted == t.filter(F.col("timestamp") < F.lit(cutoff)).count()
+    kept = spark.table(name)
+    assert kept.count() == t.count() - deleted
+    assert kept.agg(F.min("timestamp")).first()[0] >= cutoff
+    assert sorted(spark.table(name).filter(F.col("date") == later).inputFiles()) == files_before
+    spark.sql(f"DROP TABLE {name}")
