@@ -2,9 +2,10 @@
 E6 restore, E7 retention purge, E8 metrics history, W3 partition retention,
 A18 manifests.
 
-Parquet has no row deletes. Jobs split one scan into what leaves and what
-stays and write both in parallel to *new* paths; the caller swaps paths (or
-drops whole date partitions). Nothing is collected to the driver: row counts
+Parquet has no row deletes. On day-partitioned tables (``purge_table``,
+``archive_table``) only the cut-off day is rewritten and older days are dropped
+as partitions; the path-based variants split one scan into what leaves and what
+stays and write both to *new* paths for the caller to swap. Nothing is collected to the driver: row counts
 for manifests come from ``Observation`` metrics gathered during the write.
 Text outputs always carry microsecond timestamp formats.
 """
