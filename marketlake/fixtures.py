@@ -1,13 +1,11 @@
 """Market-data views over the driver's tables (FIXTURES.md part B).
 
 Every view is a projection of a stored table, so its work grows with the
-table. The same definitions exist as DuckDB SQL in ``plans.oracle``.
+table. The same definitions exist as DuckDB SQL in ``plans.oracle_views``.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .sources.tables import read_table
@@ -94,7 +92,6 @@ SYMBOL_ROWS = [
     (5, "ERROR", "CME", "error feed", True),
     (6, "IDLE", "CME", "no ticks", True),
 ]
-SYMBOLS_CREATED = dt.datetime(2024, 1, 1)
 
 
 def symbols(spark: SparkSession, base: str | None = None) -> DataFrame:

@@ -11,8 +11,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numbering import consecutive_ids
 from ..functions.sizing import bounded_broadcast
 from ..functions.timefn import resolve_as_of, ts_literal
 from .stats import depth_activity, tick_activity
@@ -54,8 +55,8 @@ def upsert_symbols(current: DataFrame, incoming: DataFrame, as_of: dt.datetime,
                    default_exchange: str = "CME") -> DataFrame:
     """Insert new symbols; for an existing symbol set ``active`` and touch
     ``updated_at`` (exchange and description keep their stored values).
-    New ids continue after the current maximum, in symbol order (the
-    dimension is small; the numbering window runs over new symbols only)."""
+    New ids continue after the current maximum, in symbol order
+    (``consecutive_ids``: distributed, no single-task window)."""
     now = ts_literal(as_of)
     inc = incoming.select(F.upper(F.trim("symbol")).alias("symbol"),
                           F.col("exchange").alias("in_exchange"),
@@ -78,9 +79,8 @@ def upsert_symbols(current: DataFrame, incoming: DataFrame, as_of: dt.datetime,
         F.when(hit, now).otherwise(F.col("c.updated_at")).alias("updated_at"),
         is_new.alias("_new"))
     old = merged.filter(~F.col("_new"))
-    new = merged.filter(F.col("_new")).withColumn(
-        "id", F.lit(max_id).cast("bigint") + F.row_number().over(Window.orderBy("symbol")))
-    return old.unionByName(new).drop("_new")
+    new = consecutive_ids(merged.filter(F.col("_new")).drop("id"), ["symbol"], "id", int(max_id))
+    return old.unionByName(new.select(*old.columns)).drop("_new")
 
 
 def insert_missing(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,6 @@ map per (entity, ts) so a rule can see a metric as missing and use its default.
 
 from __future__ import annotations
 
-import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F

@@ -34,10 +34,6 @@ def _as_of(spark: SparkSession, base: str) -> dt.datetime:
     return resolve_as_of(fx.ticks(spark, base))
 
 
-def _money(c: str) -> F.Column:
-    return F.col(c).cast("decimal(38,8)").alias(c)
-
-
 # ---------------------------------------------------------------- scans, filters, top-k
 
 @register("S1_scan_ticks", "SELECT * FROM ticks")
