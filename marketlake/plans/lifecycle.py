@@ -191,8 +191,10 @@ def apply_retention(df: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("sy
 # On a table partitioned by day a retention delete touches at most one day of
 # data: whole days before the cut-off day are dropped as partitions (files and
 # metadata of a managed table), the cut-off day is rewritten without its old
-# rows, and every later day is left alone. The rewrite is staged in the shared
-# checkpoint folder first, so the job never overwrites files it is reading.
+# rows (INSERT OVERWRITE with a static partition spec: one partition, whatever
+# the session's overwrite mode), and every later day is left alone. The rewrite
+# is staged in the shared checkpoint folder first, so the job never overwrites
+# files it is reading.
 
 def save_partitioned(df: DataFrame, table: str, ts_col: str = "timestamp") -> None:
     """Store an event frame as a managed table partitioned by ``date``."""
@@ -220,9 +222,15 @@ def purge_table(spark: SparkSession, table: str, cutoff: dt.datetime, ts_col: st
             spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (date='{cut_day.isoformat()}')")
         elif not day.filter(F.col(ts_col) < ts_literal(cutoff)).isEmpty():
             staged = scratch_path(spark, "purge-stage")
-            keep.write.parquet(staged)
-            (spark.read.parquet(staged).select(*tbl.columns).write
-                  .option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True))
+            keep.drop("date").write.parquet(staged)
+            view = f"_purge_{table}"
+            spark.read.parquet(staged).createOrReplaceTempView(view)
+            cols = ", ".join(f"`{c}`" for c in tbl.columns if c != "date")
+            # A static partition spec overwrites exactly this day, whatever the
+            # session's partition-overwrite mode.
+            spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (date='{cut_day.isoformat()}') "
+                      f"SELECT {cols} FROM {view}")
+            spark.catalog.dropTempView(view)
     for d in days:
         if d < cut_day:
             spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (date='{d.isoformat()}')")
