@@ -62,3 +62,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/marketlake/{name}-{uuid.uuid4().hex}"
+
+
+def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
+                 target_partition_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
+    """Settings for a large cluster, sized from the bytes a job reads.
+
+    - Scan splits of ``target_partition_bytes`` (256 MB): a 100 TB scan becomes
+      about 400 000 tasks, each small enough to stream without spilling.
+    - Initial shuffle partitions: enough for ``target_partition_bytes`` per
+      partition if a shuffle carried the whole input (the worst case - partial
+      aggregation usually shrinks it), at least 2 waves of the cluster's cores;
+      AQE then coalesces small partitions to the advisory size at runtime.
+    - Skew join handling splits any shuffle partition over 5x the median and
+      1 GB; broadcast joins only under 64 MB of measured size.
+    """
+    cores = executors * cores_per_executor
+    shuffle = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 ** 3),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 ** 2),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 ** 2),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    }

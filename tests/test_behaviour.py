@@ -149,3 +149,10 @@ def test_purge_table_touches_one_day(spark):
     assert kept.agg(F.min("timestamp")).first()[0] >= cutoff
     assert sorted(spark.table(name).filter(F.col("date") == later).inputFiles()) == files_before
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_cluster_conf_sizes_partitions():
+    from marketlake.session import cluster_conf
+    conf = cluster_conf(100 * 1024 ** 4)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
+    assert int(cluster_conf(10 * 1024 ** 3)["spark.sql.shuffle.partitions"]) == 8000   # 2 waves of 4000 cores
