@@ -47,3 +47,18 @@ def stored_size(spark: SparkSession, base: str, name: str) -> DataFrame:
     files = df.select(F.col("_metadata.file_path").alias("p"),
                       F.col("_metadata.file_size").alias("s")).distinct()
     return files.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("bigint").alias("size_bytes"))
+
+
+def latest_time(spark: SparkSession, table: str, ts_col: str = "timestamp"):
+    """Newest ``ts_col`` of a day-partitioned catalog table, reading only the
+    newest non-empty day (partition list from metadata, then a pruned scan)
+    instead of scanning the whole table for the ``as_of`` anchor."""
+    import datetime as dt
+    days = sorted((dt.date.fromisoformat(r[0].split("=", 1)[1])
+                   for r in spark.sql(f"SHOW PARTITIONS {table}").collect()), reverse=True)
+    tbl = spark.table(table)
+    for day in days:
+        newest = tbl.filter(F.col("date") == F.lit(day)).agg(F.max(ts_col).alias("m")).first()["m"]
+        if newest is not None:
+            return newest
+    return None

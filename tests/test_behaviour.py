@@ -156,3 +156,13 @@ def test_cluster_conf_sizes_partitions():
     conf = cluster_conf(100 * 1024 ** 4)
     assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
     assert int(cluster_conf(10 * 1024 ** 3)["spark.sql.shuffle.partitions"]) == 8000   # 2 waves of 4000 cores
+
+
+def test_latest_time_reads_newest_partition(spark):
+    import uuid
+    from marketlake.sources.tables import latest_time
+    t = fx.ticks(spark, SMALL)
+    name = f"t_{uuid.uuid4().hex[:8]}"
+    lc.save_partitioned(t, name)
+    assert latest_time(spark, name) == t.agg(F.max("timestamp")).first()[0]
+    spark.sql(f"DROP TABLE {name}")
