@@ -42,11 +42,12 @@ def write_event_table(df: DataFrame, path: str, ts_col: str = "timestamp",
 
 
 def stored_size(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A3 size part: bytes on storage, from the scan's file metadata."""
-    df = read_table(spark, base, name)
-    files = df.select(F.col("_metadata.file_path").alias("p"),
-                      F.col("_metadata.file_size").alias("s")).distinct()
-    return files.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("bigint").alias("size_bytes"))
+    """A3 size part: bytes on storage. The ``binaryFile`` source lists the
+    table's files and, with only ``length`` selected, never reads their
+    contents: one row per file, not per data row."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+             .option("recursiveFileLookup", "true").load(table_path(base, name)).select("length"))
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("size_bytes"))
 
 
 def latest_time(spark: SparkSession, table: str, ts_col: str = "timestamp"):
