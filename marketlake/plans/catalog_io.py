@@ -457,6 +457,17 @@ def q_t7(spark, base):
     return out.filter(F.col("kind") == "gap").select("symbol", "gap_start", "gap_end", "gap_seconds")
 
 
+@register("T7_stall_stream", f"""
+    SELECT symbol, max("timestamp") AS gap_start FROM ticks GROUP BY symbol
+    HAVING max("timestamp") + INTERVAL 10 MINUTE < {AS_OF} - INTERVAL 10 MINUTE""")
+def q_t7_stall(spark, base):
+    """Stalls: symbols whose last tick is more than the threshold behind the
+    watermark when the stream has drained (event-time timeout)."""
+    s = jobs.gap_stream(fx.ticks_from(_events_stream(spark, base)), "10 minutes", "10 minutes")
+    out = _run(spark, s, "stalls")
+    return out.filter(F.col("kind") == "stall").select("symbol", "gap_start")
+
+
 @register("T8_alert_stream", """
     WITH RECURSIVE a AS (
         SELECT entity, 'low_data_activity' AS alert_type, ts,
