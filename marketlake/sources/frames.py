@@ -47,8 +47,11 @@ def u64(b: Column, pos: Column | int) -> Column:
 def f64(b: Column, pos: Column | int) -> Column:
     """IEEE-754 big-endian double at 1-based ``pos``."""
     p = pos if isinstance(pos, Column) else F.lit(pos)
-    hi = u_int(b, p, 4)
-    lo = u_int(b, p + 4, 4)
+    return f64_from_words(u_int(b, p, 4), u_int(b, p + 4, 4))
+
+
+def f64_from_words(hi: Column, lo: Column) -> Column:
+    """IEEE-754 double from its high and low unsigned 32-bit words."""
     sign = F.when(hi >= F.lit(2 ** 31), F.lit(-1.0)).otherwise(F.lit(1.0))
     exp = F.shiftright(hi, 20).bitwiseAND(0x7FF)
     mant = hi.bitwiseAND(0xFFFFF) * F.lit(2 ** 32) + lo
@@ -74,47 +77,52 @@ def decode_frames(frames: DataFrame, col: str = "frame") -> tuple[DataFrame, Dat
     LAST_TRADE/BID_OFFER bodies below the minimum size carry the type only,
     as in the reference; a frame whose bytes end before its declared length
     or its declared symbol is a reject.
+
+    The header, body and symbol offsets are computed in their own projections
+    and referenced by name, so each is evaluated once per row and the field
+    decoders stay small enough for whole-stage code generation.
     """
     f = F.col(col)
-    declared = u_int(f, 1, 4)
-    code = u_int(f, 5, 2)
-    body_len = declared - 2
-    actual = F.length(f) - 6
-    x = frames.select(
-        *[c for c in frames.columns if c != col], f.alias("_f"),
-        declared.alias("_declared"), code.cast("int").alias("msg_type"),
-        F.call_function("substring", f, F.lit(7), body_len.cast("int")).alias("_body"),
-        actual.alias("_actual"))
-    body = F.col("_body")
-    blen = F.length(body)
-    symlen = u_int(body, 1, 4)
-    sym_end = F.lit(5) + symlen                      # 1-based position after the symbol
-    is_trade = (F.col("msg_type") == LAST_TRADE) & (blen >= MIN_BODY[LAST_TRADE])
-    is_quote = (F.col("msg_type") == BID_OFFER) & (blen >= MIN_BODY[BID_OFFER])
-    need = F.when(is_trade, sym_end - 1 + 20).when(is_quote, sym_end - 1 + 24)
-    truncated = (F.col("_declared") < 2) | (F.col("_actual") < F.col("_declared") - 2) | \
-        (need.isNotNull() & (blen < need))
-    symbol = F.decode(F.call_function("substring", body, F.lit(5), symlen.cast("int")), "UTF-8")
+    keep = [c for c in frames.columns if c != col]
+    x = frames.select(*keep, f.alias("_f"), u_int(f, 1, 4).alias("_declared"),
+                      u_int(f, 5, 2).cast("int").alias("msg_type"), (F.length(f) - 6).alias("_actual"))
+    x = x.withColumn("_body", F.call_function("substring", F.col("_f"), F.lit(7),
+                                              (F.col("_declared") - 2).cast("int")))
+    x = x.select("*", F.length("_body").alias("_blen"), u_int(F.col("_body"), 1, 4).alias("_symlen"))
+    is_trade = (F.col("msg_type") == LAST_TRADE) & (F.col("_blen") >= MIN_BODY[LAST_TRADE])
+    is_quote = (F.col("msg_type") == BID_OFFER) & (F.col("_blen") >= MIN_BODY[BID_OFFER])
+    x = x.select("*", (F.lit(5) + F.col("_symlen")).alias("_p"),     # 1-based position after the symbol
+                 F.when(is_trade, "T").when(is_quote, "Q").alias("_kind"))
+    need = F.when(F.col("_kind") == "T", F.col("_p") - 1 + 20).when(F.col("_kind") == "Q", F.col("_p") - 1 + 24)
+    x = x.withColumn("_bad", (F.col("_declared") < 2) | (F.col("_actual") < F.col("_declared") - 2) |
+                     (need.isNotNull() & (F.col("_blen") < need)))
+    body, p = F.col("_body"), F.col("_p")
+    trade, quote = F.col("_kind") == "T", F.col("_kind") == "Q"
+    # Both bodies continue with 32-bit words after the symbol: LAST_TRADE =
+    # price(w0,w1) size(w2) epoch-ms(w3,w4); BID_OFFER = bid(w0,w1) bid size(w2)
+    # ask(w3,w4) ask size(w5). Each word is extracted once per row.
+    words = [F.when(F.col("_kind").isNotNull(), u_int(body, p + 4 * k, 4)).alias(f"_w{k}") for k in range(6)]
+    x = x.select("*", *words)
+    w = [F.col(f"_w{k}") for k in range(6)]
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     d = x.select(
-        "*", truncated.alias("_bad"),
+        *keep, "_f", "_bad", "msg_type",
         type_name(F.col("msg_type")).alias("type_name"),
-        F.when(is_trade | is_quote, symbol).alias("symbol"),
-        F.when(is_trade, f64(body, sym_end)).alias("price"),
-        F.when(is_trade, u_int(body, sym_end + 8, 4)).cast("bigint").alias("size"),
-        F.when(is_trade, u64(body, sym_end + 12)).alias("_ms"),
-        F.when(is_quote, f64(body, sym_end)).alias("bid_price"),
-        F.when(is_quote, u_int(body, sym_end + 8, 4)).alias("bid_size"),
-        F.when(is_quote, f64(body, sym_end + 12)).alias("ask_price"),
-        F.when(is_quote, u_int(body, sym_end + 20, 4)).alias("ask_size"))
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    d = d.withColumn("timestamp", F.timestamp_add("MILLISECOND", F.col("_ms").cast("bigint"), epoch))
-    keep = [c for c in frames.columns if c != col]
+        F.when(F.col("_kind").isNotNull(),
+               F.decode(F.call_function("substring", body, F.lit(5), F.col("_symlen").cast("int")), "UTF-8"))
+         .alias("symbol"),
+        F.when(trade, f64_from_words(w[0], w[1])).alias("price"),
+        F.when(trade, w[2]).alias("size"),
+        F.when(trade, F.timestamp_add("MILLISECOND", w[3] * F.lit(2 ** 32) + w[4], epoch)).alias("timestamp"),
+        F.when(quote, f64_from_words(w[0], w[1])).alias("bid_price"),
+        F.when(quote, w[2]).alias("bid_size"),
+        F.when(quote, f64_from_words(w[3], w[4])).alias("ask_price"),
+        F.when(quote, w[5]).alias("ask_size"))
     out_cols = keep + ["msg_type", "type_name", "symbol", "price", "size", "timestamp",
                        "bid_price", "bid_size", "ask_price", "ask_size"]
     decoded = d.filter(~F.col("_bad")).select(*out_cols)
     rejects = d.filter(F.col("_bad")).select(
-        *keep, F.col("_f").alias(col), "msg_type",
-        F.lit("truncated frame").alias("reject_reason"))
+        *keep, F.col("_f").alias(col), "msg_type", F.lit("truncated frame").alias("reject_reason"))
     return decoded, rejects
 
 
