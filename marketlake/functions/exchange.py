@@ -8,7 +8,7 @@ codegen next to the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values (must equal the reference's prefix table, in its declared order).
 PREFIX_EXCHANGE = [
@@ -42,3 +42,16 @@ def exchange_sql(symbol_sql: str, prefix_map=None, default: str = DEFAULT_EXCHAN
     arms = " ".join(f"WHEN starts_with({root}, '{p}') THEN '{e}'"
                     for p, e in (prefix_map or PREFIX_EXCHANGE))
     return f"CASE {arms} ELSE '{default}' END"
+
+
+def with_exchange(df: DataFrame, symbol_col: str = "symbol", out: str = "exchange",
+                  prefix_map=None, default: str = DEFAULT_EXCHANGE) -> DataFrame:
+    """J6 on a frame: the symbol root is computed once per row in its own
+    projection (it is referenced by every CASE arm, and CASE conditions do not
+    share sub-expressions), then the first matching prefix decides."""
+    rooted = df.withColumn("_xch_root", symbol_root(symbol_col))
+    expr = None
+    for prefix, exchange in (prefix_map or PREFIX_EXCHANGE):
+        cond = F.col("_xch_root").startswith(prefix)
+        expr = F.when(cond, exchange) if expr is None else expr.when(cond, exchange)
+    return rooted.withColumn(out, expr.otherwise(default) if expr is not None else F.lit(default)).drop("_xch_root")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.exchange import exchange_for
+from ..functions.exchange import with_exchange
 from ..functions.timefn import iso
 
 
@@ -68,14 +68,15 @@ def normalize_ticks_strict(decoded: DataFrame, arrival: Column | str | None = No
     """Binary-path tick. Rows without symbol or price are dropped;
     the exchange comes from the symbol's root (J6); aggressor 1 -> BUY,
     any other value -> SELL, absent -> NULL."""
-    kept = decoded.filter(F.col("symbol").isNotNull() & F.col("price").isNotNull())
+    kept = with_exchange(decoded.filter(F.col("symbol").isNotNull() & F.col("price").isNotNull()),
+                         "symbol", "_exchange", prefix_map)
     aggr = _c(kept, "aggressor", "int")
     return kept.select(
         *([F.col("id")] if "id" in kept.columns else []),
         F.coalesce(_c(kept, "timestamp", "timestamp_ntz"),
                    _arrival(arrival).cast("timestamp_ntz")).alias("timestamp"),
         F.col("symbol"),
-        exchange_for("symbol", prefix_map).alias("exchange"),
+        F.col("_exchange").alias("exchange"),
         F.col("price").cast("double").cast("decimal(20,8)").alias("price"),
         F.coalesce(_c(kept, "size", "int").cast("int"), F.lit(0)).alias("size"),
         F.nullif(_c(kept, "bid_price", "double"), F.lit(0.0)).cast("decimal(20,8)").alias("bid_price"),

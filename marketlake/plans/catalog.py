@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixtures as fx
-from ..functions.exchange import exchange_for, exchange_sql
+from ..functions.exchange import exchange_for, exchange_sql, with_exchange
 from ..functions.timefn import resolve_as_of
 from ..operators import depth as dp, filters as fl, flow, joins, normalize as nz, quality, stats, topk
 from .oracle_views import AS_OF, with_views
@@ -436,8 +436,7 @@ def q_j6(spark, base):
     ev = fx.read_table(spark, base, "events")
     sym = F.concat(F.upper(F.substring("event_type", 1, 2)), F.lit("Z"),
                    (F.year("ts") % 10).cast("string"))
-    return ev.select(F.col("event_id").alias("id"), sym.alias("symbol")).withColumn(
-        "exchange", exchange_for("symbol"))
+    return with_exchange(ev.select(F.col("event_id").alias("id"), sym.alias("symbol")))
 
 
 @register("J8_subscribed_only", """

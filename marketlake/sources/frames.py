@@ -105,8 +105,11 @@ def decode_frames(frames: DataFrame, col: str = "frame") -> tuple[DataFrame, Dat
     x = x.select("*", *words)
     w = [F.col(f"_w{k}") for k in range(6)]
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    d = x.select(
-        *keep, "_f", "_bad", "msg_type",
+    # The fields leave through a one-element ``inline``: filters on them (the
+    # normaliser's guards) cannot be pushed beneath a generator, so the decode
+    # expressions are evaluated once per row instead of again inside filters.
+    d = x.select(*keep, "_f", "_bad", F.inline(F.array(F.struct(
+        F.col("msg_type"),
         type_name(F.col("msg_type")).alias("type_name"),
         F.when(F.col("_kind").isNotNull(),
                F.decode(F.call_function("substring", body, F.lit(5), F.col("_symlen").cast("int")), "UTF-8"))
@@ -117,7 +120,7 @@ def decode_frames(frames: DataFrame, col: str = "frame") -> tuple[DataFrame, Dat
         F.when(quote, f64_from_words(w[0], w[1])).alias("bid_price"),
         F.when(quote, w[2]).alias("bid_size"),
         F.when(quote, f64_from_words(w[3], w[4])).alias("ask_price"),
-        F.when(quote, w[5]).alias("ask_size"))
+        F.when(quote, w[5]).alias("ask_size")))))
     out_cols = keep + ["msg_type", "type_name", "symbol", "price", "size", "timestamp",
                        "bid_price", "bid_size", "ask_price", "ask_size"]
     decoded = d.filter(~F.col("_bad")).select(*out_cols)
