@@ -50,10 +50,13 @@ def parse_tagged(lines: DataFrame, col: str = "value") -> DataFrame:
     """S3 in one projection: (_line, m, _bad) per non-blank line. Persist this
     frame when both messages and rejects are consumed, so each line is parsed once."""
     text = F.trim(F.col(col))
-    parsed = lines.filter(text != "").select(
+    # The parsed message leaves through a one-element ``inline``: filters on it
+    # (reject split, routing) cannot be pushed beneath a generator, so each
+    # line is parsed once instead of once more inside every pushed filter.
+    parsed = lines.filter(text != "").select(F.inline(F.array(F.struct(
         F.col(col).alias("_line"),
         F.from_json(F.col(col), MESSAGE, {"mode": "PERMISSIVE",
-                                          "columnNameOfCorruptRecord": CORRUPT}).alias("m"))
+                                          "columnNameOfCorruptRecord": CORRUPT}).alias("m")))))
     return parsed.withColumn("_bad", F.col("m").isNull() | F.col(f"m.{CORRUPT}").isNotNull())
 
 
