@@ -144,6 +144,13 @@ def shape_rows(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def with_thousands(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Counts as text with thousands separators (console tables)."""
+    for c in cols:
+        df = df.withColumn(c, F.format_number(F.col(c), 0))
+    return df
+
+
 def to_json_rows(df: DataFrame, col: str = "json") -> DataFrame:
     """N11 response body: each shaped row as one JSON object."""
     return shape_rows(df).select(F.to_json(F.struct("*")).alias(col))

@@ -166,3 +166,10 @@ def test_latest_time_reads_newest_partition(spark):
     lc.save_partitioned(t, name)
     assert latest_time(spark, name) == t.agg(F.max("timestamp")).first()[0]
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_thousands_and_human_size(spark):
+    from marketlake.functions.timefn import human_size
+    df = spark.createDataFrame([(1234567, 5 * 1024 ** 3)], "n long, b long")
+    row = nz.with_thousands(df, ["n"]).select("n", human_size("b").alias("h")).first()
+    assert row.n == "1,234,567" and row.h == "5.0 GB"
