@@ -202,6 +202,25 @@ def q_a13(spark, base):
     return _vp(spark, base)
 
 
+@register("A13_profile_lineitem_part", """
+    SELECT date_trunc('day', l_shipdate) AS "timestamp", p_brand AS symbol,
+           CAST(floor(CAST(l_extendedprice AS DECIMAL(20,8)) / 1000) * 1000 AS DECIMAL(20,8)) AS price_level,
+           CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS INTEGER) ELSE 0 END) AS BIGINT) AS buy_volume,
+           CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INTEGER) ELSE 0 END) AS BIGINT) AS sell_volume,
+           CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS total_volume,
+           count(*) FILTER (WHERE l_returnflag = 'A') AS buy_trades,
+           count(*) FILTER (WHERE l_returnflag = 'R') AS sell_trades,
+           CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS INTEGER) ELSE 0 END)
+              - sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INTEGER) ELSE 0 END) AS BIGINT) AS delta,
+           date_trunc('day', l_shipdate) AS period_start,
+           date_trunc('day', l_shipdate) + INTERVAL 1 DAY AS period_end
+    FROM lineitem JOIN part ON l_partkey = p_partkey
+    GROUP BY 1, 2, 3""")
+def q_a13_heavy(spark, base):
+    """Join-heavy variant: lineitem joined with part, profiled by brand, day and 1000-wide price band."""
+    return flow.build_volume_profile(fx.heavy_ticks(spark, base), "1 day", 1000)
+
+
 @register("A9_volume_profile_summary", f"""
     SELECT symbol, price_level, CAST(sum(buy_volume) AS BIGINT) AS total_buy_volume,
            CAST(sum(sell_volume) AS BIGINT) AS total_sell_volume,
@@ -587,6 +606,7 @@ MONEY_COLUMNS = {
     'O3_console_ticks': ('price', 'bid_price', 'ask_price'),
     'A7_live_tick_stats': ('max_price', 'last_price'),
     'A13_volume_profile': ('price_level',),
+    'A13_profile_lineitem_part': ('price_level',),
     'A9_volume_profile_summary': ('price_level',),
     'A10_volume_profile_export': ('price_level',),
     'A14_bars_1m': ('open_price', 'high_price', 'low_price', 'close_price'),
