@@ -95,7 +95,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                .agg(F.count_distinct("i").alias("n"))
                .where(F.col("n") >= F.greatest(F.lit(1), min_coverage * F.col("total"))))
     aligned = stored(aligned.withColumnRenamed("words", "item_words"), "benchmark-aligned")
-    texts = docs.join(aligned, docs["doc_id"].eqNullSafe(aligned["doc_id"]) & (docs["k"] == aligned["k"])).select(
+    # merged by shuffle at every size: how many documents hold items is not bounded by anything
+    texts = docs.join(aligned.hint("merge"), docs["doc_id"].eqNullSafe(aligned["doc_id"]) & (docs["k"] == aligned["k"])).select(
         docs["doc_id"], docs["k"], "item_id", "offset", "item_words", (F.col("n") / F.col("total")).alias("coverage"),
         words(docs["text"]).alias("words"))
     size = F.size("item_words")
@@ -123,7 +124,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_k", text_key())
     held = contaminated(keyed.select("doc_id", F.col("_k").alias("k"), "text"), benchmark)
     held = stored(held.select(F.col("doc_id").alias("_id"), F.col("k").alias("_hk")).distinct(), "benchmark-held")
-    return keyed.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_hk")),
+    return keyed.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_hk")),
                       "left_anti").select(*docs.columns)
 
 
