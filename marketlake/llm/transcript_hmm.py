@@ -115,9 +115,12 @@ class Model:
             out = s if out is None else (out[:, :, None] + s[None, :, :]).max(1)
         return out
 
-    def decode(self, codes: list[int], entry: np.ndarray | None, last: int | None) -> list[int]:
-        """Best roles of a run; ``entry`` are scores of the role before it (None: a beginning), ``last`` fixes its end."""
-        back, v = [], entry
+    def decode(self, codes: list[int], entry: int | None, last: int | None) -> list[int]:
+        """Best roles of a run; ``entry`` is the role before it (None: a beginning), ``last`` fixes its end."""
+        back, v = [], None
+        if entry is not None:
+            v = np.full(len(ROLES), -(1 << 60))
+            v[entry] = 0
         for i, code in enumerate(codes):
             if v is None:
                 v = self.first + self.emission(code)
@@ -257,16 +260,17 @@ def _borders(blocks: DataFrame, model: Model) -> DataFrame:
                     v = np.array(r["start"]) if v is None else (v[:, None] + m).max(0)
                     v = v - v.max()
                 state = int(v.argmax())
-                for r, entry in zip(reversed(chain), reversed(entries)):
-                    for k, x in zip(out, (r["part"], r["block"], conv, None if entry is None else entry.tolist(), state)):
+                for r, before in zip(reversed(chain), reversed(entries)):
+                    last, state = state, None
+                    if before is not None:
+                        state = int((before + np.array(r["matrix"]).reshape(n, n)[:, last]).argmax())
+                    for k, x in zip(out, (r["part"], r["block"], conv, state, last)):
                         out[k].append(x)
-                    if entry is not None:
-                        state = int((entry + np.array(r["matrix"]).reshape(n, n)[:, state]).argmax())
             return out
         return run
 
     return map_columns(spans, ["conv_id", "runs"],
-                       "part int, block long, conv_id long, entry array<long>, last int", combine)
+                       "part int, block long, conv_id long, entry int, last int", combine)
 
 
 def canonical(role: int, text: str) -> str:
@@ -280,9 +284,8 @@ def _rendered(blocks: list[tuple], model: Model) -> dict:
         fixed = {b["conv_id"]: b for b in borders or ()}
         for conv, of in _runs(rows):
             border = fixed.get(conv)
-            entry = np.array(border["entry"]) if border and border["entry"] is not None else None
             codes = [c for r in of for c in r["codes"]]
-            states = iter(model.decode(codes, entry, border["last"] if border else None))
+            states = iter(model.decode(codes, border and border["entry"], border and border["last"]))
             for r in of:
                 turns: list[list] = []
                 for code, line in zip(r["codes"], observe(r["role"], r["text"])[1]):
