@@ -151,14 +151,14 @@ def near_duplicate_classes(docs: DataFrame, *keys: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate class: least id, then least text hash; repeated rows collapse."""
-    rows = near_duplicate_classes(docs.withColumn("_k", text_key()), "doc_id", "_k")
+    rows = near_duplicate_classes(docs.withColumn("_llm_k", text_key()), "doc_id", "_llm_k")
     # a class without any id is told apart by its fingerprint alone
     best = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k")).alias("best"))
-    best = stored(best.select(F.col("best.doc_id").alias("_id"), F.col("best._k").alias("_kk")), "simhash-kept")
-    kept = docs.withColumn("_k", text_key()).join(
-        best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_kk")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_k"]).select(*docs.columns)
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_llm_k")).alias("best"))
+    best = stored(best.select(F.col("best.doc_id").alias("_llm_id"), F.col("best._llm_k").alias("_llm_kk")), "simhash-kept")
+    kept = docs.withColumn("_llm_k", text_key()).join(
+        best, F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_k") == F.col("_llm_kk")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_llm_k"]).select(*docs.columns)
 
 
 def op2_simhash_pivots(spark, sf_dir: str) -> DataFrame:

@@ -121,10 +121,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
-    keyed = docs.withColumn("_k", text_key())
-    held = contaminated(keyed.select("doc_id", F.col("_k").alias("k"), "text"), benchmark)
-    held = stored(held.select(F.col("doc_id").alias("_id"), F.col("k").alias("_hk")).distinct(), "benchmark-held")
-    return keyed.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_hk")),
+    keyed = docs.withColumn("_llm_k", text_key())
+    held = contaminated(keyed.select("doc_id", F.col("_llm_k").alias("k"), "text"), benchmark)
+    held = stored(held.select(F.col("doc_id").alias("_llm_id"), F.col("k").alias("_llm_hk")).distinct(), "benchmark-held")
+    return keyed.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_k") == F.col("_llm_hk")),
                       "left_anti").select(*docs.columns)
 
 
