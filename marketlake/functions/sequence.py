@@ -2,18 +2,15 @@
 
 A window over ``partitionBy(symbol)`` sends every row of a symbol to one task;
 if one symbol holds a third of the data, that task holds a third of the job.
-These helpers split each key's sequence into time buckets and partition by
-(key, bucket), so a hot key is spread over as many tasks as it has buckets.
-What crosses a bucket border (the previous row, a running total, the last
-non-null value) is computed on a per-(key, bucket) summary table - one row per
-key and bucket, tiny next to the data - and joined back. The summary is
-aggregated from the input with map-side partial aggregation, so its shuffle
-carries one row per (task, key, bucket) over the pruned columns only; the
-window side is already hash-partitioned on (key, bucket), so the join back
-does not move the big side again (AQE broadcasts the summary when it is small).
-
-``bucket`` is a ``date_trunc`` unit ('hour', 'day', 'week', ...); pick it so
-one bucket of the hottest key fits comfortably in a task.
+These helpers range-partition the rows by (keys, order) - a hot key, or a hot
+key's day, is spread over as many partitions as its rows need - and window
+inside (partition, key). What crosses a partition border (the previous row, a
+running total, the last non-null value) comes from a summary of one row per
+(partition, key): every key but those that span partitions has a single row
+there, so its size is the number of keys plus the number of partitions.
+
+The ranged rows are checkpointed once (``spark.checkpoint.dir``): the input is
+scanned once, and rows and summary come from the same partitions.
 """
 
 from __future__ import annotations
@@ -22,86 +19,80 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET = "_seq_bucket"
+from ..session import checkpoint_dir
+
+PART = "_seq_part"
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
-def with_bucket(df: DataFrame, ts_col: str, bucket: str) -> DataFrame:
-    return df.withColumn(BUCKET, F.date_trunc(bucket, F.col(ts_col)))
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` range-partitioned by keys and order, stored once, with its partition number."""
+    checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()).checkpoint()
 
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 carry: Sequence[str], bucket: str = "day", prefix: str = "prev_") -> DataFrame:
+                 carry: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` in the preceding row of the same key.
 
-    Equivalent to ``lag(c).over(partitionBy(keys).orderBy(order))``. ``order[0]``
-    must be the timestamp that defines the buckets.
+    Equivalent to ``lag(c).over(partitionBy(keys).orderBy(order))``.
     """
     keys, order, carry = list(keys), list(order), list(carry)
-    b = with_bucket(df, order[0], bucket)
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*_cols(order))
-    b = b.withColumn("_seq_rn", F.row_number().over(w))
+    rows = ranged(df, keys, order)
+    w = Window.partitionBy(PART, *keys).orderBy(*_cols(order))
+    b = rows.withColumn("_seq_rn", F.row_number().over(w))
     for c in carry:
         b = b.withColumn(f"_seq_lag_{c}", F.lag(c).over(w))
-    # Last row of each (key, bucket), then the previous non-empty bucket's last row.
-    last = with_bucket(df, order[0], bucket).groupBy(*keys, BUCKET).agg(
-        F.max_by(F.struct(*carry), F.struct(*order)).alias("_seq_last"))
-    wb = Window.partitionBy(*keys).orderBy(BUCKET)
-    edge = last.select(*keys, BUCKET, F.lag("_seq_last").over(wb).alias("_seq_edge"))
-    out = b.join(edge, [*keys, BUCKET], "left")
+    # Last row of each (partition, key), then that of the key's previous partition.
+    last = rows.groupBy(PART, *keys).agg(F.max_by(F.struct(*carry), F.struct(*order)).alias("_seq_last"))
+    edge = last.select(PART, *keys, F.lag("_seq_last").over(Window.partitionBy(*keys).orderBy(PART)).alias("_seq_edge"))
+    out = b.join(edge, [PART, *keys], "left")
     for c in carry:
         out = out.withColumn(f"{prefix}{c}", F.when(F.col("_seq_rn") == 1, F.col(f"_seq_edge.{c}"))
                              .otherwise(F.col(f"_seq_lag_{c}")))
-    return out.drop("_seq_rn", "_seq_edge", BUCKET, *[f"_seq_lag_{c}" for c in carry])
+    return out.drop("_seq_rn", "_seq_edge", PART, *[f"_seq_lag_{c}" for c in carry])
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                out: str, bucket: str = "day") -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Add ``out`` = cumulative sum of ``value`` per key in ``order`` (inclusive).
 
-    Two-level prefix sum: totals per (key, bucket), a prefix over those small
-    totals gives each bucket's offset, and a running sum inside the bucket.
+    Two-level prefix sum: totals per (partition, key), a prefix over those
+    small totals gives each partition's offset, and a running sum inside.
     """
     keys, order = list(keys), list(order)
-    b = with_bucket(df, order[0], bucket)
-    w = (Window.partitionBy(*keys, BUCKET).orderBy(*_cols(order))
+    rows = ranged(df, keys, order)
+    w = (Window.partitionBy(PART, *keys).orderBy(*_cols(order))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    b = b.withColumn("_seq_in", F.sum(value).over(w))
-    totals = with_bucket(df, order[0], bucket).groupBy(*keys, BUCKET).agg(F.sum(value).alias("_seq_tot"))
-    wb = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, BUCKET,
-                            F.coalesce(F.sum("_seq_tot").over(wb), F.lit(0)).alias("_seq_off"))
-    res = b.join(offsets, [*keys, BUCKET], "left")
+    totals = rows.groupBy(PART, *keys).agg(F.sum(value).alias("_seq_tot"))
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(PART, *keys, F.coalesce(F.sum("_seq_tot").over(before), F.lit(0)).alias("_seq_off"))
+    res = rows.withColumn("_seq_in", F.sum(value).over(w)).join(offsets, [PART, *keys], "left")
     return (res.withColumn(out, F.col("_seq_in") + F.coalesce(F.col("_seq_off"), F.lit(0)))
-            .drop("_seq_in", "_seq_off", BUCKET))
+            .drop("_seq_in", "_seq_off", PART))
 
 
 def last_non_null(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                  out: str, bucket: str = "day", descending: bool = False) -> DataFrame:
+                  out: str, descending: bool = False) -> DataFrame:
     """Add ``out`` = last non-null ``value`` at or before each row, per key (forward fill).
 
-    The fill that crosses bucket borders comes from the newest non-null value
-    of the nearest earlier bucket that has one. With ``descending=True`` the
-    sequence runs backwards: each row gets the first non-null value at or
-    after it (a backward fill).
+    The fill that crosses partition borders comes from the newest non-null
+    value of the nearest earlier partition that has one. With
+    ``descending=True`` the sequence runs backwards: each row gets the first
+    non-null value at or after it (a backward fill).
     """
     keys, order = list(keys), list(order)
-    b = with_bucket(df, order[0], bucket)
+    rows = ranged(df, keys, order)
     cols = [c.desc() for c in _cols(order)] if descending else _cols(order)
-    w = (Window.partitionBy(*keys, BUCKET).orderBy(*cols)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    b = b.withColumn("_seq_fill", F.last(value, ignorenulls=True).over(w))
+    w = Window.partitionBy(PART, *keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ordering = F.when(F.col(value).isNotNull(), F.struct(*order))
     pick = F.min_by if descending else F.max_by
-    last = with_bucket(df, order[0], bucket).groupBy(*keys, BUCKET).agg(
-        pick(F.col(value), ordering).alias("_seq_blast"))
-    wb = (Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET))
-          .rowsBetween(Window.unboundedPreceding, -1))
-    edge = last.select(*keys, BUCKET,
-                       F.last("_seq_blast", ignorenulls=True).over(wb).alias("_seq_edge"))
-    res = b.join(edge, [*keys, BUCKET], "left")
+    last = rows.groupBy(PART, *keys).agg(pick(F.col(value), ordering).alias("_seq_blast"))
+    before = (Window.partitionBy(*keys).orderBy(F.col(PART).desc() if descending else F.col(PART))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    edge = last.select(PART, *keys, F.last("_seq_blast", ignorenulls=True).over(before).alias("_seq_edge"))
+    res = rows.withColumn("_seq_fill", F.last(value, ignorenulls=True).over(w)).join(edge, [PART, *keys], "left")
     return (res.withColumn(out, F.coalesce(F.col("_seq_fill"), F.col("_seq_edge")))
-            .drop("_seq_fill", "_seq_edge", BUCKET))
+            .drop("_seq_fill", "_seq_edge", PART))

@@ -4,7 +4,7 @@ profile summaries, A19 order life cycle, W6 running delta, J7 as-of quotes.
 Bars and profiles are ``groupBy(symbol, window)`` aggregates; ``min_by`` /
 ``max_by`` / sums all combine map-side, so the shuffle carries one partial row
 per (task, symbol, bar) whatever the skew. W6 and J7 are order-dependent and
-use the bucketed helpers of ``functions.sequence``.
+use the range-partitioned helpers of ``functions.sequence``.
 """
 
 from __future__ import annotations
@@ -170,23 +170,23 @@ def order_state(updates: DataFrame) -> DataFrame:
         F.max("timestamp").alias("last_update"))
 
 
-def running_delta(ticks: DataFrame, bucket: str = "day") -> DataFrame:
+def running_delta(ticks: DataFrame) -> DataFrame:
     """Cumulative buy - sell volume per symbol in (timestamp, id) order.
     Two-level prefix sum (see ``functions.sequence``): no task holds a whole symbol."""
-    signed = with_signed_volume(ticks).withColumn(
-        "signed_volume", (F.col("buy_volume") - F.col("sell_volume")).cast("bigint"))
-    out = running_sum(signed, ["symbol"], ["timestamp", "id"], "signed_volume", "running_delta", bucket)
+    signed = with_signed_volume(ticks).select(
+        "id", "timestamp", "symbol", (F.col("buy_volume") - F.col("sell_volume")).cast("bigint").alias("signed_volume"))
+    out = running_sum(signed, ["symbol"], ["timestamp", "id"], "signed_volume", "running_delta")
     return out.select("id", "timestamp", "symbol", "signed_volume", "running_delta")
 
 
-def asof_quotes(trades: DataFrame, quotes: DataFrame, tolerance: str | None = None,
-                bucket: str = "day") -> DataFrame:
+def asof_quotes(trades: DataFrame, quotes: DataFrame, tolerance: str | None = None) -> DataFrame:
     """Each trade with the newest quote of its symbol at or before it.
 
     Trades and quotes are unioned and a forward fill carries the last quote
-    (a quote sorts before a trade at the same time). The fill runs per
-    (symbol, bucket) with the carry between buckets from a per-bucket summary,
-    so a hot symbol spreads over many tasks. ``tolerance`` drops matches older
+    (a quote sorts before a trade at the same time). The fill runs over rows
+    range-partitioned by symbol and time, with the carry between partitions from
+    a summary, so a hot symbol spreads over many tasks and both inputs are
+    scanned once. ``tolerance`` drops matches older
     than the given interval (NULL quote columns, as a left as-of join).
     """
     qcols = ["bid_price", "ask_price", "bid_size", "ask_size"]
@@ -197,7 +197,7 @@ def asof_quotes(trades: DataFrame, quotes: DataFrame, tolerance: str | None = No
                       F.lit(None).cast(q.schema["_q"].dataType).alias("_q"),
                       F.struct(*tcols).alias("_t"))
     u = t.unionByName(q, allowMissingColumns=True)
-    filled = last_non_null(u, ["symbol"], ["timestamp", "_kind", "id"], "_q", "_match", bucket)
+    filled = last_non_null(u, ["symbol"], ["timestamp", "_kind", "id"], "_q", "_match")
     out = filled.filter(F.col("_kind") == 1).select(
         "id", "timestamp", "symbol", *[F.col(f"_t.{c}").alias(c) for c in tcols],
         *[F.col(f"_match.{c}").alias(c) for c in ["quote_timestamp", *qcols]])

@@ -2,8 +2,8 @@
 J8 subscription filter.
 
 Ticks are always aggregated *before* they meet the symbol dimension, so the
-joins are between per-symbol summaries and a dimension. The dimension side is
-broadcast only after its row count is proven small (``bounded_broadcast``).
+joins are between per-symbol summaries and a dimension. No side is hinted:
+Spark broadcasts what it measures to be under its byte threshold.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbering import consecutive_ids
-from ..functions.sizing import bounded_broadcast
 from ..functions.timefn import resolve_as_of, ts_literal
 from .stats import depth_activity, tick_activity
 
@@ -92,9 +91,8 @@ def insert_missing(current: DataFrame, incoming: DataFrame, keys: Sequence[str])
 
 
 def subscribed_only(stream: DataFrame, subscriptions: DataFrame,
-                    keys: Sequence[str] = ("symbol", "exchange"),
-                    max_subscriptions: int = 1_000_000) -> DataFrame:
+                    keys: Sequence[str] = ("symbol", "exchange")) -> DataFrame:
     """Keep rows of subscribed (symbol, exchange); a repeated request is
-    a no-op (distinct). Semi join, subscriptions broadcast when proven small."""
+    a no-op (distinct). Semi join, broadcast only if Spark measures it small."""
     subs = subscriptions.select(*keys).dropDuplicates(list(keys))
-    return stream.join(bounded_broadcast(subs, max_subscriptions), list(keys), "left_semi")
+    return stream.join(subs, list(keys), "left_semi")

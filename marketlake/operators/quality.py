@@ -12,16 +12,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.sequence import last_non_null, previous_row, running_sum
+from ..functions.sequence import last_non_null, previous_row
 from ..functions.timefn import interval_micros, micros_between
 from ..session import checkpoint_dir
 
 
-def data_gaps(ticks: DataFrame, threshold: str = "300 seconds", bucket: str = "day",
+def data_gaps(ticks: DataFrame, threshold: str = "300 seconds",
               keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Consecutive ticks of a symbol further apart than ``threshold``."""
     prev = previous_row(ticks.select(*keys, "timestamp", "id"), list(keys), ["timestamp", "id"],
-                        ["timestamp"], bucket)
+                        ["timestamp"])
     gap = micros_between("prev_timestamp", "timestamp")
     return (prev.withColumn("gap_us", gap)
                 .filter(F.col("gap_us") > F.lit(interval_micros(threshold)))
@@ -89,81 +89,47 @@ def evaluate_rules(metrics: DataFrame, rules=DEFAULT_RULES,
              .select(*keys, "alert_type", "severity", "metric", "value"))
 
 
-# Chains up to this many alerts are folded as one sorted array; longer chains
-# take the distributed path walk (exact at any length).
-FOLD_LIMIT = 4096
-
-
 def suppress(alerts: DataFrame, cooldown: str = "300 seconds", ts_col: str = "ts",
-             keys: tuple[str, ...] = ("entity", "alert_type"), bucket: str = "day",
-             fold_limit: int = FOLD_LIMIT) -> DataFrame:
+             keys: tuple[str, ...] = ("entity", "alert_type")) -> DataFrame:
     """M2: greedy cool-down - an alert fires only if no *fired* alert of the
     same (entity, type) is less than ``cooldown`` older (elapsed time in total
     seconds, never wrapped per day).
 
     An alert that follows the previous one by at least the cool-down always
-    fires, so the sequence splits into independent chains at such gaps
-    (bucketed lag + bucketed prefix sum, skew-safe). A chain of at most
-    ``fold_limit`` alerts is folded in time order with ``aggregate`` over its
-    sorted times. Longer chains never become one array: from each chain
-    start the fired alerts are the path start -> next(start) -> ..., where
-    next(a) is the first alert at or after a + cooldown; that path is found
-    by pointer doubling (``_fired_paths``), a logarithmic number of joins.
+    fires, so the sequence splits into independent chains at such gaps. From
+    each chain start the fired alerts are the path start -> next(start) -> ...,
+    where next(a) is the first alert at or after a + cooldown; the paths are
+    found by pointer doubling (``_fired_paths``), a logarithmic number of
+    joins at any chain length.
     """
-    c_us = interval_micros(cooldown)
-    base = alerts.select(*keys, F.col(ts_col).alias("_ts")).dropDuplicates([*keys, "_ts"])
-    prev = previous_row(base, list(keys), ["_ts"], ["_ts"], bucket)
-    start = (F.col("prev__ts").isNull() |
-             (micros_between("prev__ts", "_ts") >= F.lit(c_us))).cast("bigint")
-    chains = running_sum(prev.withColumn("_start", start), list(keys), ["_ts"], "_start",
-                         "_chain", bucket).select(*keys, "_ts", "_chain")
-    # Materialised once in the shared checkpoint folder: both the fold and the
-    # long-chain branch read it (alert-sized, not tick-sized).
-    checkpoint_dir(alerts.sparkSession)
-    chains = chains.checkpoint()
-    sizes = chains.groupBy(*keys, "_chain").agg(F.count(F.lit(1)).alias("_n"))
-    short = sizes.filter(F.col("_n") <= fold_limit).drop("_n")
-    long_ = sizes.filter(F.col("_n") > fold_limit).drop("_n")
-
-    grouped = (chains.join(short, [*keys, "_chain"], "left_semi")
-               .groupBy(*keys, "_chain").agg(F.sort_array(F.collect_list("_ts")).alias("_times")))
-    ts_type = base.schema["_ts"].dataType
-    zero = F.struct(F.array().cast(f"array<{ts_type.simpleString()}>").alias("fired"),
-                    F.lit(None).cast(ts_type).alias("last"))
-
-    def step(acc, t):
-        fire = acc["last"].isNull() | (F.timestamp_diff("MICROSECOND", acc["last"], t) >= F.lit(c_us))
-        return F.when(fire, F.struct(F.array_append(acc["fired"], t).alias("fired"), t.alias("last"))) \
-                .otherwise(acc)
-
-    fired = grouped.select(*keys, F.explode(F.aggregate("_times", zero, step)["fired"]).alias("_ts"))
-    if not long_.isEmpty():
-        nodes = chains.join(long_, [*keys, "_chain"], "left_semi").select(*keys, "_ts")
-        fired = fired.unionByName(_fired_paths(nodes, list(keys), c_us, bucket))
+    fired = _fired_paths(alerts.select(*keys, F.col(ts_col).alias("_ts")).dropDuplicates([*keys, "_ts"]),
+                         list(keys), interval_micros(cooldown))
     return alerts.join(fired.withColumnRenamed("_ts", ts_col), [*keys, ts_col], "left_semi")
 
 
-def _fired_paths(nodes: DataFrame, keys: list[str], c_us: int, bucket: str) -> DataFrame:
+def _fired_paths(nodes: DataFrame, keys: list[str], c_us: int) -> DataFrame:
     """Alerts on the next-pointer paths that start at each chain start.
 
     next(a) = first alert of the key at or after a + c (a backward fill over
-    alerts and probe rows, bucketed like the other sequence helpers). Pointer
+    alerts and probe rows, range-partitioned like the other sequence helpers). Pointer
     doubling: ``reached`` holds path positions [0, 2^k) and ``jump`` the
     2^k-th successor; each round adds ``jump(reached)`` and squares ``jump``.
     Every round's frames are checkpointed to the shared checkpoint folder,
     which cuts the lineage and survives lost executors.
     """
+    checkpoint_dir(nodes.sparkSession)
+    nodes = nodes.checkpoint()
     probes = nodes.select(*keys, F.col("_ts").alias("_src"),
                           F.timestamp_add("MICROSECOND", F.lit(c_us), F.col("_ts")).alias("_t"),
                           F.lit(0).alias("_kind"), F.lit(None).cast(nodes.schema["_ts"].dataType).alias("_v"))
     targets = nodes.select(*keys, F.lit(None).cast(nodes.schema["_ts"].dataType).alias("_src"),
                            F.col("_ts").alias("_t"), F.lit(1).alias("_kind"), F.col("_ts").alias("_v"))
     filled = last_non_null(probes.unionByName(targets), keys, ["_t", "_kind"], "_v", "_nxt",
-                           bucket, descending=True)
+                           descending=True)
     jump = (filled.filter(F.col("_kind") == 0)
             .select(*keys, F.col("_src").alias("_ts"), F.col("_nxt").alias("_j"))
             .checkpoint())
-    prev_ts = previous_row(nodes, keys, ["_ts"], ["_ts"], bucket)
+    prev_ts = previous_row(nodes, keys, ["_ts"], ["_ts"])
     reached = (prev_ts.filter(F.col("prev__ts").isNull() |
                               (micros_between("prev__ts", "_ts") >= F.lit(c_us)))
                .select(*keys, "_ts").checkpoint())

@@ -416,8 +416,10 @@ def q_j2(spark, base):
     WITH req AS (
         SELECT symbol, exchange FROM requests
         UNION ALL
-        SELECT DISTINCT lower(substr(symbol, 1, 2)) || 'z4', {exchange_sql("upper(substr(symbol, 1, 2)) || 'Z4'")}
-        FROM ticks),
+        SELECT lower(r.root) || 'z' || c_custkey, r.exchange
+        FROM customer JOIN (VALUES (0, 'GC', 'COMEX'), (1, 'CL', 'NYMEX'), (2, 'MGC', 'COMEX'), (3, 'RTY', 'CME'),
+                                   (4, 'GLD', 'COMEX'), (5, 'YM', 'CBOT'), (6, 'QQ', 'CME')) r(n, root, exchange)
+          ON c_custkey % 7 = r.n),
     inc AS (SELECT upper(trim(symbol)) AS symbol, min(exchange) AS in_exchange FROM req GROUP BY 1),
     merged AS (
         SELECT s.id, coalesce(s.symbol, i.symbol) AS symbol,
@@ -432,9 +434,11 @@ def q_j2(spark, base):
     FROM merged""")
 def q_j4(spark, base):
     """Requests for every traded symbol (existing rows: re-activated, touched)
-    plus a new contract per root (inserted with the next ids)."""
-    new = fx.ticks(spark, base).select(
-        F.concat(F.lower(F.substring("symbol", 1, 2)), F.lit("z4")).alias("symbol")).distinct()
+    plus one new contract per customer key (inserted with the next ids)."""
+    roots = F.array(*[F.lit(r) for r in ("gc", "cl", "mgc", "rty", "gld", "ym", "qq")])
+    key = F.col("c_custkey")
+    new = fx.read_table(spark, base, "customer").select(
+        F.concat(F.element_at(roots, (key % 7 + 1).cast("int")), F.lit("z"), key.cast("string")).alias("symbol"))
     new = new.withColumn("exchange", exchange_for(F.upper("symbol")))
     incoming = fx.requests(spark, base).unionByName(new)
     return joins.upsert_symbols(fx.symbols(spark), incoming, _as_of(spark, base))
@@ -583,19 +587,6 @@ def q_m3(spark, base):
     return quality.low_activity(fx.ticks(spark, base), 4, "1 hour")
 
 
-@register("A3_stored_size")
-def q_a3_size(spark, base):
-    """Bytes on storage per table from file metadata (no SQL twin: DuckDB
-    cannot see the files behind its views), with the console's readable form."""
-    from ..functions.timefn import human_size
-    from ..sources.tables import stored_size
-    out = None
-    for name in ("events", "lineitem"):
-        part = stored_size(spark, base, name).select(F.lit(name).alias("table_name"), "size_bytes")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("size_text", human_size("size_bytes"))
-
-
 # Money columns of each query's result. Both sides return them as DOUBLE (an
 # exact conversion of the same DECIMAL value), so results compare equal however
 # a checker turns them into Python values (DuckDB's pandas path yields floats,
@@ -627,6 +618,8 @@ MONEY_COLUMNS = {
     'E1_export_ticks_csv': ('price',),
     'E2_export_depth_csv': ('price',),
     'E3_export_profile_csv': ('price_level',),
+    'E5_archive': ('price',),
+    'E5_archive_table': ('price',),
     'E6_restore_twice': ('price',),
     'E7_purge': ('price',),
     'E7_purge_table': ('price',),

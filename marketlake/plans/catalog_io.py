@@ -199,9 +199,9 @@ def q_e3(spark, base):
 
 
 @register("E4_incremental_snapshot", f"""
-    SELECT 'ticks' AS table_name, count(*) AS record_count FROM ticks WHERE "timestamp" > {AS_OF} - INTERVAL 3 DAY
-    UNION ALL SELECT 'depth', count(*) FROM depth WHERE "timestamp" > {AS_OF} - INTERVAL 3 DAY
-    UNION ALL SELECT 'symbols', count(*) FROM symbols WHERE updated_at > {AS_OF} - INTERVAL 3 DAY""")
+    SELECT 'ticks' AS table_name, id, symbol, "timestamp" AS at FROM ticks WHERE "timestamp" > {AS_OF} - INTERVAL 3 DAY
+    UNION ALL SELECT 'depth', id, symbol, "timestamp" FROM depth WHERE "timestamp" > {AS_OF} - INTERVAL 3 DAY
+    UNION ALL SELECT 'symbols', id, symbol, updated_at FROM symbols WHERE updated_at > {AS_OF} - INTERVAL 3 DAY""")
 def q_e4(spark, base):
     a = _as_of(spark, base)
     tables = {"ticks": fx.ticks(spark, base), "depth": fx.depth(spark, base), "symbols": fx.symbols(spark)}
@@ -211,8 +211,9 @@ def q_e4(spark, base):
     back = read_archive(spark, path, {k: v.schema for k, v in tables.items()})
     out = None
     for name in tables:
-        part = back[name].agg(F.count(F.lit(1)).alias("record_count")).select(
-            F.lit(name).alias("table_name"), "record_count")
+        at = "updated_at" if name == "symbols" else "timestamp"
+        part = back[name].select(F.lit(name).alias("table_name"), F.col("id").cast("bigint").alias("id"), "symbol",
+                                 F.col(at).alias("at"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -229,19 +230,12 @@ def _archive_ticks(spark, base):
 
 
 @register("E5_archive", f"""
-    SELECT 'ticks' AS table_name,
-           count(*) FILTER (WHERE "timestamp" < {AS_OF} - INTERVAL 15 DAY) AS archived_rows,
-           count(*) FILTER (WHERE "timestamp" >= {AS_OF} - INTERVAL 15 DAY) AS kept_rows
-    FROM ticks""")
+    SELECT CASE WHEN "timestamp" < {AS_OF} - INTERVAL 15 DAY THEN 'archived' ELSE 'kept' END AS part, * FROM ticks""")
 def q_e5(spark, base):
-    _, kept, arch, _ = _archive_ticks(spark, base)
-    man = read_json_table(spark, os.path.join(arch, "_manifest"), lc.MANIFEST)
-    archived = man.select("table_name", F.col("record_count").alias("archived_rows"),
-                          F.lit(0).cast("bigint").alias("kept_rows"))
-    n_kept = kept.select(F.lit("ticks").alias("table_name"), F.lit(0).cast("bigint").alias("archived_rows"),
-                         F.lit(1).cast("bigint").alias("kept_rows"))
-    return archived.unionByName(n_kept).groupBy("table_name").agg(
-        F.sum("archived_rows").alias("archived_rows"), F.sum("kept_rows").alias("kept_rows"))
+    t, kept, arch, _ = _archive_ticks(spark, base)
+    archived = read_archive(spark, arch, {"ticks": t.schema})["ticks"]
+    return (archived.select(F.lit("archived").alias("part"), *t.columns)
+            .unionByName(kept.select(F.lit("kept").alias("part"), *t.columns)))
 
 
 @register("E6_restore_twice", "SELECT * FROM ticks")
@@ -274,8 +268,7 @@ def q_e7_table(spark, base):
 
 
 @register("E5_archive_table", f"""
-    SELECT 'archived' AS part, count(*) AS row_count FROM ticks WHERE "timestamp" < {AS_OF} - INTERVAL 15 DAY
-    UNION ALL SELECT 'kept', count(*) FROM ticks WHERE "timestamp" >= {AS_OF} - INTERVAL 15 DAY""")
+    SELECT CASE WHEN "timestamp" < {AS_OF} - INTERVAL 15 DAY THEN 'archived' ELSE 'kept' END AS part, * FROM ticks""")
 def q_e5_table(spark, base):
     """Archive on a day-partitioned table, then read both sides back."""
     a = _as_of(spark, base)
@@ -284,10 +277,9 @@ def q_e5_table(spark, base):
     lc.save_partitioned(t, name)
     arch = scratch_path(spark, "archive-table")
     lc.archive_table(spark, name, a - lc.dt.timedelta(days=15), arch, a)
-    archived = read_json_table(spark, os.path.join(arch, name), t.schema)
-    return (archived.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit("archived").alias("part"), "row_count")
-            .unionByName(spark.table(name).agg(F.count(F.lit(1)).alias("row_count"))
-                         .select(F.lit("kept").alias("part"), "row_count")))
+    archived = read_archive(spark, arch, {name: t.schema})[name]
+    return (archived.select(F.lit("archived").alias("part"), *t.columns)
+            .unionByName(spark.table(name).select(F.lit("kept").alias("part"), *t.columns)))
 
 
 @register("E8_metrics_history", "SELECT * FROM metrics")

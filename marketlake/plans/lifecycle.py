@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F, types as T
@@ -23,7 +24,7 @@ from ..operators.filters import older_than, select_range, since
 from ..operators.flow import volume_profile_export
 from ..operators.joins import insert_missing
 from ..operators.topk import ordered_for_export
-from ..sources.archive import MANIFEST, read_archive
+from ..sources.archive import MANIFEST, read_archive, read_json_table, run_path
 
 
 def _write_counted(df: DataFrame, writer) -> int:
@@ -89,24 +90,38 @@ def manifest(tables: Mapping[str, DataFrame], cutoff: dt.datetime | None,
                       ts_literal(created_at).alias("created_at"))
 
 
-def _manifest_rows(spark: SparkSession, counts: Mapping[str, int], cutoff, created_at) -> DataFrame:
-    rows = [(name, int(n), cutoff, created_at) for name, n in counts.items()]
-    return spark.createDataFrame(rows, MANIFEST)
+def _run_id(cutoff: dt.datetime) -> str:
+    return f"{cutoff:%Y%m%dT%H%M%S}-{uuid.uuid4().hex}"
+
+
+def _write_run(df: DataFrame, path: str, table: str, run: str) -> int:
+    """Write one table of a run to its own new folder, read it back and compare; returns its rows."""
+    target = run_path(path, table, run)
+    n = _write_counted(df, lambda d: _json(d, target, "error"))
+    back = read_json_table(df.sparkSession, target, df.schema).count() if n else 0
+    if back != n:
+        raise OSError(f"{target} holds {back} of {n} rows")
+    return n
+
+
+def _commit(spark: SparkSession, path: str, counts: Mapping[str, int], cutoff, created_at, run: str) -> DataFrame:
+    """Append the manifest rows of a run: from now on readers see it."""
+    rows = [(name, int(n), cutoff, created_at, run) for name, n in counts.items()]
+    man = spark.createDataFrame(rows, MANIFEST)
+    _json(man.coalesce(1), os.path.join(path, "_manifest"), "append")
+    return man
 
 
 def incremental_snapshot(spark: SparkSession, tables: Mapping[str, DataFrame], start: dt.datetime,
                          path: str, created_at: dt.datetime,
                          ts_cols: Mapping[str, str] | None = None) -> DataFrame:
     """Rows newer than ``start`` of each table -> gzip JSON per table, plus
-    a manifest. Returns the manifest."""
-    counts = {}
-    for name, df in tables.items():
-        col = (ts_cols or {}).get(name, "timestamp")
-        sel = since(df, start, col)
-        counts[name] = _write_counted(sel, lambda d, n=name: _json(d, os.path.join(path, n)))
-    man = _manifest_rows(spark, counts, start, created_at)
-    _json(man, os.path.join(path, "_manifest"))
-    return man
+    a manifest. Every run has its own folders and counts once its manifest rows
+    are written. Returns the manifest of this run."""
+    run = _run_id(start)
+    counts = {name: _write_run(since(df, start, (ts_cols or {}).get(name, "timestamp")), path, name, run)
+              for name, df in tables.items()}
+    return _commit(spark, path, counts, start, created_at, run)
 
 
 def archive(spark: SparkSession, tables: Mapping[str, DataFrame], cutoff: dt.datetime,
@@ -114,20 +129,19 @@ def archive(spark: SparkSession, tables: Mapping[str, DataFrame], cutoff: dt.dat
     """E5: rows older than ``cutoff`` go to the archive (gzip JSON), the rest is
     written to ``kept_path/<table>`` (Parquet, partitioned by date) for the
     caller to swap in. Tables with nothing to archive are left as they are
-    (no-op). Returns the manifest of archived rows."""
-    counts = {}
+    (no-op). The manifest is committed last, so an interrupted run leaves the
+    tables and the archive as they were. Returns the manifest of this run."""
+    run, counts = _run_id(cutoff), {}
     for name, df in tables.items():
         old = older_than(df, cutoff)
         if old.isEmpty():
             counts[name] = 0
             continue
-        counts[name] = _write_counted(old, lambda d, n=name: _json(d, os.path.join(archive_path, n)))
+        counts[name] = _write_run(old, archive_path, name, run)
         keep = df.filter(F.col("timestamp") >= ts_literal(cutoff))
         (keep.withColumn("date", F.to_date("timestamp")).write.mode("overwrite")
              .partitionBy("date").parquet(os.path.join(kept_path, name)))
-    man = _manifest_rows(spark, counts, cutoff, created_at)
-    _json(man, os.path.join(archive_path, "_manifest"))
-    return man
+    return _commit(spark, archive_path, counts, cutoff, created_at, run)
 
 
 def restore(spark: SparkSession, archive_path: str, current: Mapping[str, DataFrame],
@@ -190,11 +204,10 @@ def apply_retention(df: DataFrame, plan: DataFrame, keys: tuple[str, ...] = ("sy
 #
 # On a table partitioned by day a retention delete touches at most one day of
 # data: whole days before the cut-off day are dropped as partitions (files and
-# metadata of a managed table), the cut-off day is rewritten without its old
-# rows (INSERT OVERWRITE with a static partition spec: one partition, whatever
-# the session's overwrite mode), and every later day is left alone. The rewrite
-# is staged in the shared checkpoint folder first, so the job never overwrites
-# files it is reading.
+# metadata of a managed table), the cut-off day is written without its old rows
+# to a new folder of the table and the partition pointed there (one metadata
+# step: a job that dies before it leaves the day as it was), and every later day
+# is left alone.
 
 def save_partitioned(df: DataFrame, table: str, ts_col: str = "timestamp") -> None:
     """Store an event frame as a managed table partitioned by ``date``."""
@@ -209,7 +222,6 @@ def _partition_days(spark: SparkSession, table: str) -> list[dt.date]:
 
 def purge_table(spark: SparkSession, table: str, cutoff: dt.datetime, ts_col: str = "timestamp") -> int:
     """E7 on a day-partitioned table; returns the number of rows deleted."""
-    from ..session import scratch_path
     tbl = spark.table(table)
     deleted = tbl.filter(F.col("date") <= F.lit(cutoff.date())).filter(
         F.col(ts_col) < ts_literal(cutoff)).count()
@@ -221,16 +233,12 @@ def purge_table(spark: SparkSession, table: str, cutoff: dt.datetime, ts_col: st
         if keep.isEmpty():
             spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (date='{cut_day.isoformat()}')")
         elif not day.filter(F.col(ts_col) < ts_literal(cutoff)).isEmpty():
-            staged = scratch_path(spark, "purge-stage")
-            keep.drop("date").write.parquet(staged)
-            view = f"_purge_{table}"
-            spark.read.parquet(staged).createOrReplaceTempView(view)
-            cols = ", ".join(f"`{c}`" for c in tbl.columns if c != "date")
-            # A static partition spec overwrites exactly this day, whatever the
-            # session's partition-overwrite mode.
-            spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (date='{cut_day.isoformat()}') "
-                      f"SELECT {cols} FROM {view}")
-            spark.catalog.dropTempView(view)
+            home = next(r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()
+                        if r["col_name"] == "Location")
+            kept = f"{home}/kept-{cut_day.isoformat()}-{uuid.uuid4().hex}"
+            keep.drop("date").write.parquet(kept)
+            spark.sql(f"ALTER TABLE {table} PARTITION (date='{cut_day.isoformat()}') SET LOCATION '{kept}'")
+            spark.sql(f"REFRESH TABLE {table}")
     for d in days:
         if d < cut_day:
             spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (date='{d.isoformat()}')")
@@ -240,14 +248,17 @@ def purge_table(spark: SparkSession, table: str, cutoff: dt.datetime, ts_col: st
 def archive_table(spark: SparkSession, table: str, cutoff: dt.datetime, archive_path: str,
                   created_at: dt.datetime, ts_col: str = "timestamp") -> DataFrame:
     """E5 on a day-partitioned table: rows before ``cutoff`` are written to the
-    archive (gzip JSON, partition-pruned scan), then removed with
-    ``purge_table``. No-op when nothing is old enough. Returns the manifest."""
+    archive (gzip JSON, partition-pruned scan, a new folder for every run), the
+    manifest is committed, and only then are they removed with ``purge_table``.
+    A run that is interrupted may be run again: before the commit nothing was
+    removed, after it every removed row is in a committed run (rows not yet
+    removed are archived once more; ``restore`` inserts each key once). No-op
+    when nothing is old enough. Returns the manifest of this run."""
     old = spark.table(table).filter(F.col("date") <= F.lit(cutoff.date())).filter(
         F.col(ts_col) < ts_literal(cutoff)).drop("date")
-    n = 0
-    if not old.isEmpty():
-        n = _write_counted(old, lambda d: _json(d, os.path.join(archive_path, table)))
+    run = _run_id(cutoff)
+    n = 0 if old.isEmpty() else _write_run(old, archive_path, table, run)
+    man = _commit(spark, archive_path, {table: n}, cutoff, created_at, run)
+    if n:
         purge_table(spark, table, cutoff, ts_col)
-    man = _manifest_rows(spark, {table: n}, cutoff, created_at)
-    _json(man, os.path.join(archive_path, "_manifest"))
     return man

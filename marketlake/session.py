@@ -33,7 +33,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     # Local runs keep managed tables out of the working directory.
-    conf.setdefault("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="marketlake-warehouse-"))
+    if master.split("[")[0] == "local":
+        conf.setdefault("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="marketlake-warehouse-"))
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -46,14 +47,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) a temporary folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``; only on a local master a
+    temporary folder is created and registered when it is unset.
     """
     configured = spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="marketlake-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
@@ -65,20 +68,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
-                 target_partition_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
+                 target_partition_bytes: int = 256 * 1024 ** 2,
+                 shuffled_bytes: int | None = None) -> dict[str, str]:
     """Settings for a large cluster, sized from the bytes a job reads.
 
     - Scan splits of ``target_partition_bytes`` (256 MB): a 100 TB scan becomes
       about 400 000 tasks, each small enough to stream without spilling.
     - Initial shuffle partitions: enough for ``target_partition_bytes`` per
-      partition if a shuffle carried the whole input (the worst case - partial
-      aggregation usually shrinks it), at least 2 waves of the cluster's cores;
-      AQE then coalesces small partitions to the advisory size at runtime.
+      partition of the bytes a shuffle carries (``shuffled_bytes``, a tenth of
+      the input unless given), between 2 and 10 waves of the cluster's cores;
+      AQE then coalesces or splits them to the advisory size at runtime.
     - Skew join handling splits any shuffle partition over 5x the median and
       1 GB; broadcast joins only under 64 MB of measured size.
     """
     cores = executors * cores_per_executor
-    shuffle = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    shuffled = input_bytes // 10 if shuffled_bytes is None else shuffled_bytes
+    shuffle = min(max(2 * cores, -(-shuffled // target_partition_bytes)), 10 * cores)
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(int(shuffle)),

@@ -154,8 +154,8 @@ def test_purge_table_touches_one_day(spark):
 def test_cluster_conf_sizes_partitions():
     from marketlake.session import cluster_conf
     conf = cluster_conf(100 * 1024 ** 4)
-    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
     assert int(cluster_conf(10 * 1024 ** 3)["spark.sql.shuffle.partitions"]) == 8000   # 2 waves of 4000 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 40_000         # 10 waves at most
 
 
 def test_latest_time_reads_newest_partition(spark):
@@ -173,3 +173,38 @@ def test_thousands_and_human_size(spark):
     df = spark.createDataFrame([(1234567, 5 * 1024 ** 3)], "n long, b long")
     row = nz.with_thousands(df, ["n"]).select("n", human_size("b").alias("h")).first()
     assert row.n == "1,234,567" and row.h == "5.0 GB"
+
+
+def test_interrupted_archive_loses_nothing(spark, tmp_path, monkeypatch):
+    """A purge that dies after some partitions, then the job once more: every row is archived or kept."""
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from marketlake.plans import lifecycle as lc
+    from marketlake.sources.archive import read_archive
+    base = dt.datetime(2024, 1, 1)
+    df = spark.range(1000).select("id", F.timestamp_add("MINUTE", F.col("id") * 20, F.lit(base)).alias("timestamp"))
+    cutoff = base + dt.timedelta(days=9, hours=5)
+    lc.save_partitioned(df, "interrupted_archive")
+    purge = lc.purge_table
+
+    def dies(spark_, table, *rest):
+        for day in lc._partition_days(spark_, table)[:5]:
+            spark_.sql(f"ALTER TABLE {table} DROP PARTITION (date='{day.isoformat()}')")
+        raise RuntimeError("lost")
+
+    path = str(tmp_path / "archive")
+    try:
+        monkeypatch.setattr(lc, "purge_table", dies)
+        try:
+            lc.archive_table(spark, "interrupted_archive", cutoff, path, base)
+        except RuntimeError:
+            pass
+        monkeypatch.setattr(lc, "purge_table", purge)
+        lc.archive_table(spark, "interrupted_archive", cutoff, path, base)
+        archived = {r["id"] for r in read_archive(spark, path, {"interrupted_archive": df.schema})
+                    ["interrupted_archive"].collect()}
+        kept = {r["id"] for r in spark.table("interrupted_archive").collect()}
+        assert archived | kept == set(range(1000)) and not archived & kept
+        assert archived == {i for i in range(1000) if base + dt.timedelta(minutes=20 * i) < cutoff}
+    finally:
+        spark.sql("DROP TABLE IF EXISTS interrupted_archive")

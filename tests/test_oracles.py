@@ -8,10 +8,10 @@ import pytest
 from conftest import SMALL
 from tools.check_oracles import TABLES, canon
 
-import __spark_entry__ as entry
+from marketlake.plans import catalog
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -24,18 +24,16 @@ def con():
     return c
 
 
-# Queries whose result depends on storage, not on table contents.
-NO_SQL_TWIN = {"A3_stored_size"}
-
-
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) - NO_SQL_TWIN == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_stored_size(spark):
-    rows = QUERIES["A3_stored_size"](spark, SMALL).collect()
-    assert {r.table_name for r in rows} == {"events", "lineitem"}
-    assert all(r.size_bytes == os.path.getsize(f"{SMALL}/{r.table_name}.parquet") and r.size_text for r in rows)
+    from marketlake.functions.timefn import human_size
+    from marketlake.sources.tables import stored_size
+    for name in ("events", "lineitem"):
+        r = stored_size(spark, SMALL, name).withColumn("size_text", human_size("size_bytes")).first()
+        assert r.size_bytes == os.path.getsize(f"{SMALL}/{name}.parquet") and r.size_text
 
 
 def test_entry_runs(spark):

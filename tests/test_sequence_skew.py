@@ -1,4 +1,4 @@
-"""The bucketed (skew-safe) helpers equal plain whole-key windows and brute force."""
+"""The range-partitioned (skew-safe) helpers equal plain whole-key windows and brute force."""
 
 import datetime as dt
 import random
@@ -31,9 +31,9 @@ def test_helpers_match_plain_windows(spark, seed):
     want = df.select("id", F.lag("timestamp").over(w).alias("p"),
                      F.sum(F.coalesce("v", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
                      F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("f"))
-    got = previous_row(df, ["symbol"], ["timestamp", "id"], ["timestamp"], "hour")
-    got = running_sum(got.withColumn("v0", F.coalesce("v", F.lit(0))), ["symbol"], ["timestamp", "id"], "v0", "s", "hour")
-    got = last_non_null(got, ["symbol"], ["timestamp", "id"], "v", "f", "day")
+    got = previous_row(df, ["symbol"], ["timestamp", "id"], ["timestamp"])
+    got = running_sum(got.withColumn("v0", F.coalesce("v", F.lit(0))), ["symbol"], ["timestamp", "id"], "v0", "s")
+    got = last_non_null(got, ["symbol"], ["timestamp", "id"], "v", "f")
     got = got.select("id", F.col("prev_timestamp").alias("p"), "s", "f")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -77,9 +77,42 @@ def test_suppress_equals_greedy(spark, offsets):
 @settings(max_examples=3, deadline=None)
 @given(st.lists(st.integers(min_value=0, max_value=4_000), min_size=1, max_size=40))
 def test_suppress_path_walk_equals_greedy(spark, offsets):
-    """Long-chain path (pointer doubling) forced for every chain."""
+    """Dense alerts: long chains."""
     base = dt.datetime(2024, 1, 1, 23, 0)
     times = [base + dt.timedelta(seconds=o) for o in offsets]
     df = spark.createDataFrame([("e", "t", t) for t in times], "entity string, alert_type string, ts timestamp_ntz")
-    got = sorted(set(r.ts for r in quality.suppress(df, "300 seconds", fold_limit=0).collect()))
+    got = sorted(set(r.ts for r in quality.suppress(df, "300 seconds").collect()))
     assert got == _greedy(times, 300)
+
+
+def test_hot_symbol_and_day_are_split(spark):
+    """90% of the rows in one symbol and one day: no range partition holds much more than its share."""
+    base = dt.datetime(2024, 1, 1)
+    df = spark.range(40_000).select(
+        F.col("id"), F.when(F.col("id") % 10 < 9, "HOT").otherwise(F.concat(F.lit("S"), F.col("id") % 7)).alias("symbol"),
+        F.timestamp_add("SECOND", F.when(F.col("id") % 10 < 9, F.col("id") % 80_000).otherwise(F.col("id") * 60),
+                        F.lit(base)).alias("timestamp"))
+    from marketlake.functions.sequence import PART, ranged
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r["count"] for r in ranged(df, ["symbol"], ["timestamp", "id"]).groupBy(PART).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) > 2 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_upsert_numbers_many_new_symbols(spark):
+    """Ids are consecutive and no symbol is lost, with partitions coalesced or not."""
+    from marketlake.operators import joins
+    now = dt.datetime(2024, 5, 1)
+    current = spark.createDataFrame([(i, f"OLD{i}", "CME", None, True, now, now) for i in range(1, 7)],
+                                    "id bigint, symbol string, exchange string, description string, active boolean, "
+                                    "created_at timestamp_ntz, updated_at timestamp_ntz")
+    new = spark.range(100_000).select(F.concat(F.lit("n"), F.hex(F.xxhash64("id"))).alias("symbol"),
+                                      F.lit("CME").alias("exchange"))
+    for coalesce in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        got = joins.upsert_symbols(current, new, now).agg(
+            F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max("id").alias("top")).first()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert (got["n"], got["ids"], got["top"]) == (100_006, 100_006, 100_006)
