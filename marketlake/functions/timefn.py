@@ -45,6 +45,14 @@ def ts_literal(value: dt.datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def event_time(text: Column) -> Column:
+    """ISO text -> TIMESTAMP_NTZ in UTC: an offset is applied, text without one is UTC, anything else is NULL."""
+    zoned = text.rlike(r":\d{2}(\.\d+)?\s*([zZ]|[+-]\d{2}(:?\d{2})?)$")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    utc = F.timestamp_add("MICROSECOND", F.unix_micros(text.try_cast("timestamp")), epoch)
+    return F.when(zoned, utc).otherwise(text.try_cast("timestamp_ntz"))
+
+
 def resolve_as_of(df: DataFrame, as_of: dt.datetime | None = None,
                   ts_col: str = "timestamp") -> dt.datetime | None:
     """The time anchor: the caller's value, else max(ts_col) of ``df``."""

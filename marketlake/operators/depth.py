@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.timefn import interval_micros
+from ..functions.timefn import event_time, interval_micros
 
 MAX_LEVELS = 10  # fixed value of the reference: levels kept per side
 
@@ -31,7 +31,7 @@ def to_wide_depth(raw: DataFrame, arrival: Column | str | None = None,
         return F.transform(_levels(F.col(name), max_levels), lambda x, i: F.struct(
             (i + 1).cast("int").alias("level"),
             F.coalesce(x["price"].cast("double"), F.lit(0.0)).alias("price"),
-            F.coalesce(x["size"].cast("int"), F.lit(0)).alias("size"),
+            F.coalesce(x["size"].try_cast("int"), F.lit(0)).alias("size"),
             F.coalesce(x["num_orders"].cast("int"), F.lit(0)).alias("num_orders")))
     ts = (F.localtimestamp() if arrival is None else
           (F.col(arrival) if isinstance(arrival, str) else arrival))
@@ -54,15 +54,15 @@ def to_long_depth(raw: DataFrame, max_levels: int | None = MAX_LEVELS,
     def tagged(name: str, side: str) -> Column:
         arr = _levels(F.col(name), max_levels)
         def one(x, i):
-            oc = (F.coalesce(x["order_count"].cast("int"), F.lit(order_count_default))
+            oc = (F.coalesce(x["order_count"].try_cast("int"), F.lit(order_count_default))
                   if order_count_default is not None else F.lit(None).cast("int"))
             return F.struct(F.lit(side).alias("side"), (i + 1).cast("int").alias("level"),
                             F.coalesce(x["price"].cast("double"), F.lit(0.0))
-                             .cast("decimal(20,8)").alias("price"),
-                            F.coalesce(x["size"].cast("int"), F.lit(0)).alias("size"),
+                             .try_cast("decimal(20,8)").alias("price"),
+                            F.coalesce(x["size"].try_cast("int"), F.lit(0)).alias("size"),
                             oc.alias("order_count"))
         return F.transform(arr, one)
-    ts = raw["timestamp"].try_cast("timestamp_ntz") if "timestamp" in raw.columns else F.lit(None)
+    ts = event_time(raw["timestamp"]) if "timestamp" in raw.columns else F.lit(None)
     arr_ts = F.localtimestamp() if arrival is None else (F.col(arrival) if isinstance(arrival, str) else arrival)
     exch = F.col("exchange") if "exchange" in raw.columns else F.lit(None).cast("string")
     base = raw.select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exchange import with_exchange
-from ..functions.timefn import iso
+from ..functions.timefn import event_time, iso
 
 
 def _c(df: DataFrame, name: str, dtype: str = "string") -> Column:
@@ -32,7 +32,7 @@ def normalize_ticks_v1(raw: DataFrame, arrival: Column | str | None = None) -> D
         _arrival(arrival).cast("timestamp_ntz").alias("timestamp"),
         F.coalesce(_c(raw, "symbol"), F.lit("")).alias("symbol"),
         F.coalesce(_c(raw, "last_trade_price").try_cast("double"), F.lit(0.0)).alias("price"),
-        F.coalesce(_c(raw, "last_trade_size").try_cast("double").cast("int"), F.lit(0)).alias("volume"),
+        F.coalesce(_c(raw, "last_trade_size").try_cast("double").try_cast("int"), F.lit(0)).alias("volume"),
         F.when(_c(raw, "aggressor_side", "int") == 1, "buy").otherwise("sell").alias("direction"),
         F.coalesce(_c(raw, "trade_type"), F.lit("")).alias("trade_type"),
         F.coalesce(_c(raw, "exchange"), F.lit("")).alias("exchange"),
@@ -43,19 +43,20 @@ def normalize_ticks(msg: DataFrame, arrival: Column | str | None = None,
                     default_exchange: str = "CME") -> DataFrame:
     """JSON tick message -> v2 tick row.
 
-    Event time from the ISO text, else arrival time; exchange defaults to CME;
+    Event time from the ISO text (an offset is converted to UTC), else arrival
+    time; exchange defaults to CME; a number out of range is NULL;
     price through its decimal text; a zero or missing bid/ask is NULL.
     """
-    ts = _c(msg, "timestamp").try_cast("timestamp_ntz")
+    ts = event_time(_c(msg, "timestamp"))
     return msg.select(
         *([F.col("id")] if "id" in msg.columns else []),
         F.coalesce(ts, _arrival(arrival).cast("timestamp_ntz")).alias("timestamp"),
         _c(msg, "symbol").alias("symbol"),
         F.coalesce(_c(msg, "exchange"), F.lit(default_exchange)).alias("exchange"),
-        F.coalesce(_c(msg, "price", "double"), F.lit(0.0)).cast("decimal(20,8)").alias("price"),
+        F.coalesce(_c(msg, "price", "double"), F.lit(0.0)).try_cast("decimal(20,8)").alias("price"),
         F.coalesce(_c(msg, "size", "int"), F.lit(0)).alias("size"),
-        F.nullif(_c(msg, "bid_price", "double"), F.lit(0.0)).cast("decimal(20,8)").alias("bid_price"),
-        F.nullif(_c(msg, "ask_price", "double"), F.lit(0.0)).cast("decimal(20,8)").alias("ask_price"),
+        F.nullif(_c(msg, "bid_price", "double"), F.lit(0.0)).try_cast("decimal(20,8)").alias("bid_price"),
+        F.nullif(_c(msg, "ask_price", "double"), F.lit(0.0)).try_cast("decimal(20,8)").alias("ask_price"),
         _c(msg, "bid_size", "int").alias("bid_size"),
         _c(msg, "ask_size", "int").alias("ask_size"),
         *([_c(msg, "aggressor_side").alias("aggressor_side")] if "aggressor_side" in msg.columns else []),
@@ -67,8 +68,10 @@ def normalize_ticks_strict(decoded: DataFrame, arrival: Column | str | None = No
                            prefix_map=None) -> DataFrame:
     """Binary-path tick. Rows without symbol or price are dropped;
     the exchange comes from the symbol's root (J6); aggressor 1 -> BUY,
-    any other value -> SELL, absent -> NULL."""
-    kept = with_exchange(decoded.filter(F.col("symbol").isNotNull() & F.col("price").isNotNull()),
+    any other value -> SELL, absent -> NULL. A price that is no number of the
+    table's range (NaN, infinite, too large) is dropped like a missing one."""
+    price = F.col("price").try_cast("double").try_cast("decimal(20,8)")
+    kept = with_exchange(decoded.filter(F.col("symbol").isNotNull() & price.isNotNull()),
                          "symbol", "_exchange", prefix_map)
     aggr = _c(kept, "aggressor", "int")
     return kept.select(
@@ -77,10 +80,10 @@ def normalize_ticks_strict(decoded: DataFrame, arrival: Column | str | None = No
                    _arrival(arrival).cast("timestamp_ntz")).alias("timestamp"),
         F.col("symbol"),
         F.col("_exchange").alias("exchange"),
-        F.col("price").cast("double").cast("decimal(20,8)").alias("price"),
-        F.coalesce(_c(kept, "size", "int").cast("int"), F.lit(0)).alias("size"),
-        F.nullif(_c(kept, "bid_price", "double"), F.lit(0.0)).cast("decimal(20,8)").alias("bid_price"),
-        F.nullif(_c(kept, "ask_price", "double"), F.lit(0.0)).cast("decimal(20,8)").alias("ask_price"),
+        F.col("price").cast("double").try_cast("decimal(20,8)").alias("price"),
+        F.coalesce(_c(kept, "size", "int").try_cast("int"), F.lit(0)).alias("size"),
+        F.nullif(_c(kept, "bid_price", "double"), F.lit(0.0)).try_cast("decimal(20,8)").alias("bid_price"),
+        F.nullif(_c(kept, "ask_price", "double"), F.lit(0.0)).try_cast("decimal(20,8)").alias("ask_price"),
         _c(kept, "bid_size", "int").alias("bid_size"),
         _c(kept, "ask_size", "int").alias("ask_size"),
         F.when(aggr.isNull(), F.lit(None).cast("string"))
@@ -92,14 +95,14 @@ def normalize_ticks_strict(decoded: DataFrame, arrival: Column | str | None = No
 def normalize_quotes(msg: DataFrame, arrival: Column | str | None = None,
                      default_exchange: str = "CME") -> DataFrame:
     """Quote message -> own ``quotes`` row (never a price-0 tick)."""
-    ts = _c(msg, "timestamp").try_cast("timestamp_ntz")
+    ts = event_time(_c(msg, "timestamp"))
     return msg.select(
         *([F.col("id")] if "id" in msg.columns else []),
         F.coalesce(ts, _arrival(arrival).cast("timestamp_ntz")).alias("timestamp"),
         _c(msg, "symbol").alias("symbol"),
         F.coalesce(_c(msg, "exchange"), F.lit(default_exchange)).alias("exchange"),
-        F.nullif(_c(msg, "bid_price", "double"), F.lit(0.0)).cast("decimal(20,8)").alias("bid_price"),
-        F.nullif(_c(msg, "ask_price", "double"), F.lit(0.0)).cast("decimal(20,8)").alias("ask_price"),
+        F.nullif(_c(msg, "bid_price", "double"), F.lit(0.0)).try_cast("decimal(20,8)").alias("bid_price"),
+        F.nullif(_c(msg, "ask_price", "double"), F.lit(0.0)).try_cast("decimal(20,8)").alias("ask_price"),
         _c(msg, "bid_size", "int").alias("bid_size"),
         _c(msg, "ask_size", "int").alias("ask_size"),
     )

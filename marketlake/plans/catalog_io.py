@@ -165,6 +165,44 @@ def q_s5_quotes(spark, base):
         F.col("ask_size").cast("int").alias("ask_size"))
 
 
+# ---------------------------------------------------------------- rejects
+
+@register("S3_rejects", """
+    SELECT CASE id % 4 WHEN 0 THEN '{"type":"TICK","trade_id":"' || id || '","price":"' || id || 'x"}'
+                       WHEN 1 THEN '{"type":"TICK","trade_id":"' || id || '","size":' || (id + 5000000000) || '}'
+                       WHEN 2 THEN '{"type":"TICK","trade_id":"' || id || '"'
+                       ELSE '{"type":"DEPTH","trade_id":"' || id || '","bids":"none"}' END AS line,
+           CASE id % 4 WHEN 0 THEN 'bad field: price' WHEN 1 THEN 'bad field: size' WHEN 2 THEN 'invalid JSON'
+                       ELSE 'bad field' END AS reject_reason
+    FROM ticks""")
+def q_s3_rejects(spark, base):
+    """A malformed line per tick, of four kinds: all are rejects with their reason."""
+    t = fx.ticks(spark, base).withColumn("i", F.col("id").cast("string"))
+    c, head = F.col("id") % 4, F.concat(F.lit('{"type":"TICK","trade_id":"'), "i", F.lit('"'))
+    value = (F.when(c == 0, F.concat(head, F.lit(',"price":"'), "i", F.lit('x"}')))
+             .when(c == 1, F.concat(head, F.lit(',"size":'), (F.col("id") + 5_000_000_000).cast("string"), F.lit("}")))
+             .when(c == 2, head)
+             .otherwise(F.concat(F.lit('{"type":"DEPTH","trade_id":"'), "i", F.lit('","bids":"none"}'))))
+    return jf.parse_lines(t.select(value.alias("value")))[1]
+
+
+@register("S5_rejects", """
+    SELECT id, CASE id % 6 WHEN 0 THEN 'truncated frame' WHEN 1 THEN 'truncated frame' WHEN 2 THEN 'symbol is no UTF-8'
+                           WHEN 3 THEN 'time out of range' WHEN 4 THEN 'price out of range'
+                           ELSE 'size out of range' END AS reject_reason
+    FROM ticks""")
+def q_s5_rejects(spark, base):
+    """A malformed trade frame per tick, of six kinds: all are rejects with their reason."""
+    c = F.col("id") % 6
+    def part(odd: int, bad: str, good: str):
+        return F.when(c == odd, bad).otherwise(good)
+    frame = F.concat(part(0, "FFFFFFFF", "0000001E"), F.lit("0066"), part(1, "000003E8", "00000004"),
+                     part(2, "FFFEFDFC", "4553" + "5A35"), part(4, "7FF8000000000000", "3FF0000000000000"),
+                     part(5, "80000000", "00000001"), part(3, "1000000000000000", "0000000000000001"))
+    return fr.decode_frames(fx.ticks(spark, base).select("id", F.unhex(frame).alias("frame")))[1].select(
+        "id", "reject_reason")
+
+
 # ---------------------------------------------------------------- life cycle (E*, W3, A18)
 
 @register("E1_export_ticks_csv", f"""

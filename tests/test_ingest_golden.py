@@ -146,3 +146,37 @@ def test_double_bytes_native_round_trip(spark):
     for r in rows:
         assert bytes(r.b) == struct.pack(">d", r.x)
         assert r.y == r.x and math.copysign(1, r.y) == math.copysign(1, r.x)
+
+
+def test_bad_frames_are_rejects_with_a_reason(spark):
+    good = _trade("ESZ5", 1.0, 1, 1)
+    rows = [(0, good), (1, b"\xff\xff\xff\xff" + good[4:]),
+            (2, _frame(102, b"\xff\xff\xff\xff" + good[10:])), (3, _frame(102, struct.pack(">I", 1000) + good[10:])),
+            (4, _frame(102, struct.pack(">I", 4) + b"\xff\xfe\xfd\xfc" + good[14:])),
+            (5, _trade("ESZ5", 1.0, 1, 2 ** 63)), (6, _trade("ESZ5", 1.0, 1, 2 ** 60)), (7, _trade("ESZ5", 1.0, 2 ** 31, 1)),
+            (8, _trade("ESZ5", 1e300, 1, 1)), (9, _trade("ESZ5", float("nan"), 1, 1)),
+            (10, _quote("NQU5", 1.0, 2, float("inf"), 4)), (11, b""), (12, None), (13, b"\x00\x00\x00\x01\x00\x66")]
+    dec, rej = fr.decode_frames(spark.createDataFrame(rows, "id long, frame binary"))
+    assert [r.id for r in nz.normalize_ticks_strict(dec).collect()] == [0]
+    short, size = "truncated frame", "size out of range"
+    assert {r.id: r.reject_reason for r in rej.collect()} == {
+        1: short, 2: short, 3: short, 4: "symbol is no UTF-8", 5: "time out of range", 6: "time out of range", 7: size,
+        8: "price out of range", 9: "price out of range", 10: "price out of range", 11: short, 12: short, 13: short}
+
+
+def test_feed_numbers_offsets_and_rejects(spark):
+    feed = lines(spark, [
+        '{"type": "TICK", "symbol": "A", "price": "4500.25", "size": 3.0, "timestamp": "2024-01-02T03:04:05+05:00"}',
+        '{"type": "TICK", "symbol": "B", "price": 1e300}', '{"type": "TICK", "symbol": "C", "price": 1, "bid_size": 5000000000}',
+        '{"type": "TICK", "symbol": "D", "price": "NaN"}', '{"type": "TICK", "symbol": "E", "price": {"a": 1}}',
+        '{"type": "DEPTH", "symbol": "F", "bids": "none"}', '[1, 2]', '{"type":',
+        '{"type": "TICK", "symbol": "G", "price": 2, "timestamp": "2024-01-02T03:04:05Z"}',
+        '{"type": "TICK", "symbol": "H", "price": 2, "timestamp": "2024-01-02"}'])
+    good, bad = jf.parse_lines(feed)
+    ticks = {r.symbol: r for r in nz.normalize_ticks(good).collect()}
+    assert set(ticks) == {"A", "G", "H"} and ticks["A"].price == Decimal("4500.25") and ticks["A"].size == 3
+    assert ticks["A"].timestamp == dt.datetime(2024, 1, 1, 22, 4, 5)
+    assert ticks["G"].timestamp == dt.datetime(2024, 1, 2, 3, 4, 5) and ticks["H"].timestamp == dt.datetime(2024, 1, 2)
+    reasons = sorted(r.reject_reason for r in bad.collect())
+    assert reasons == ["bad field", "bad field: bid_size", "bad field: price", "bad field: price", "bad field: price",
+                       "invalid JSON", "invalid JSON"]
