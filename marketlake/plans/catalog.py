@@ -631,6 +631,7 @@ MONEY_COLUMNS = {
     'T5_book_stream': ('price',),
     'T6_bars_stream': ('open_price', 'high_price', 'low_price', 'close_price'),
     'T9_dedup_stream': ('price',),
+    'T6_profile_stream': ('price_level',),
 }
 
 

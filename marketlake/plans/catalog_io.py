@@ -364,14 +364,36 @@ def _run(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame
         return spark.createDataFrame([], schema)
 
 
-def _events_stream(spark, base):
-    return jobs.stream_table(spark, base, "events")
+ARRIVALS = 6
+
+
+def _arriving(spark, df: DataFrame, name: str, heartbeat: bool = False, replay: bool = False) -> DataFrame:
+    """``df`` as a stream of ``ARRIVALS`` files, one per micro-batch, whose times
+    overlap by up to five minutes (rows arrive late). ``heartbeat`` adds a last
+    file with one row far ahead that carries nothing but a time, which closes
+    every window; with ``replay`` each file also repeats the one before it."""
+    path = scratch_path(spark, f"{name}-src")
+    low, high = df.agg(F.min("timestamp"), F.max("timestamp")).first()
+    at = F.timestamp_add("SECOND", F.pmod(F.xxhash64("id"), F.lit(300)), F.col("timestamp"))
+    span = max(1.0, (high - low).total_seconds() + 300) / ARRIVALS
+    arrived = df.withColumn("_n", F.floor(F.timestamp_diff("SECOND", F.lit(low.isoformat(" ")).cast("timestamp_ntz"), at)
+                                          / span)).persist()
+    for n in range(ARRIVALS + replay):
+        keep = F.col("_n").between(n - 1, n) if replay else F.col("_n") == n
+        arrived.where(keep).drop("_n").coalesce(1).write.mode("append").parquet(path)
+    if heartbeat:
+        far = F.timestamp_add("DAY", F.lit(10), F.lit(high.isoformat(" ")).cast("timestamp_ntz"))
+        beat = spark.range(1).select(*[(far if f.name == "timestamp" else F.lit(None)).cast(f.dataType).alias(f.name)
+                                       for f in df.schema.fields])
+        beat.write.mode("append").parquet(path)
+    arrived.unpersist()
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @register("T1_ingest", "SELECT * FROM ticks")
 def q_t1(spark, base):
     out, ckpt = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ckpt")
-    jobs.run_to_completion(jobs.ingest(fx.ticks_from(_events_stream(spark, base)), out, ckpt))
+    jobs.run_to_completion(jobs.ingest(_arriving(spark, fx.ticks(spark, base), "ingest"), out, ckpt))
     t = fx.ticks(spark, base)
     return spark.read.parquet(out).select(*t.columns)
 
@@ -415,18 +437,19 @@ def q_t1_feed_ticks(spark, base):
     SELECT t.* FROM ticks t
     WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.active AND s.symbol = t.symbol AND s.exchange = t.exchange)""")
 def q_t3(spark, base):
-    s = jobs.subscribed_stream(fx.ticks_from(_events_stream(spark, base)), fx.symbols(spark).filter("active"))
-    return _run(spark, s, "subscribed").drop("batch_id")
+    out, ckpt = scratch_path(spark, "subscribed-out"), scratch_path(spark, "subscribed-ckpt")
+    jobs.run_to_completion(jobs.subscribed_ingest(_arriving(spark, fx.ticks(spark, base), "subscribed"),
+                                                  lambda: fx.symbols(spark).filter("active"), out, ckpt))
+    return spark.read.parquet(out).drop("batch_id")
 
 
 @register("T4_live_stats_stream", f"""
     SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS window_start,
            time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR AS window_end, symbol,
            count(*) AS tick_count, max(price) AS max_price, max("timestamp") AS last_update
-    FROM ticks GROUP BY 1, 2, symbol
-    HAVING time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR <= {AS_OF} - INTERVAL 1 MINUTE""")
+    FROM ticks GROUP BY 1, 2, symbol""")
 def q_t4(spark, base):
-    s = jobs.live_stats_stream(fx.ticks_from(_events_stream(spark, base)), "1 hour", None, "1 minute")
+    s = jobs.live_stats_stream(_arriving(spark, fx.ticks(spark, base), "live", heartbeat=True), "1 hour", None, "10 minutes")
     return _run(spark, s, "live-stats").drop("batch_id")
 
 
@@ -437,12 +460,11 @@ def q_t4(spark, base):
         FROM ticks, range(30) AS r(k))
     SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, symbol, count(*) AS tick_count,
            max(price) AS max_price, max("timestamp") AS last_update
-    FROM w GROUP BY 1, 2, symbol
-    HAVING window_start + INTERVAL 1 MINUTE <= {AS_OF} - INTERVAL 1 MINUTE""")
+    FROM w GROUP BY 1, 2, symbol""")
 def q_t4_sliding(spark, base):
     """The live view as the console shows it: 1-minute activity refreshed every 2 seconds."""
-    s = jobs.live_stats_stream(fx.ticks_from(_events_stream(spark, base)), "1 minute", jobs.LIVE_REFRESH,
-                               "1 minute")
+    s = jobs.live_stats_stream(_arriving(spark, fx.ticks(spark, base), "sliding", heartbeat=True), "1 minute",
+                               jobs.LIVE_REFRESH, "10 minutes")
     return _run(spark, s, "live-sliding").drop("batch_id")
 
 
@@ -453,7 +475,7 @@ def q_t4_sliding(spark, base):
     JOIN (SELECT symbol, max("timestamp") AS m FROM depth GROUP BY symbol) x USING (symbol)
     WHERE b."timestamp" >= x.m - INTERVAL 1 DAY""")
 def q_t5(spark, base):
-    s = jobs.book_stream(fx.depth_from(_events_stream(spark, base)), "1 day")
+    s = jobs.book_stream(_arriving(spark, fx.depth(spark, base), "book"), "1 day")
     out = _run(spark, s, "book", "update")
     newest = out.groupBy("symbol").agg(F.max("batch_id").alias("batch_id"))
     return out.join(newest, ["symbol", "batch_id"], "left_semi").drop("batch_id")
@@ -469,31 +491,43 @@ def q_t5(spark, base):
            CAST(sum(CASE WHEN aggressor_side = 'SELL' THEN size ELSE 0 END) AS BIGINT) AS sell_volume,
            CAST(sum(CASE WHEN aggressor_side = 'BUY' THEN size ELSE 0 END)
               - sum(CASE WHEN aggressor_side = 'SELL' THEN size ELSE 0 END) AS BIGINT) AS delta
-    FROM ticks GROUP BY 1, 2, symbol
-    HAVING time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR <= {AS_OF} - INTERVAL 10 MINUTE""")
+    FROM ticks GROUP BY 1, 2, symbol""")
 def q_t6(spark, base):
-    s = jobs.bars_stream(fx.ticks_from(_events_stream(spark, base)), "1 hour", "10 minutes")
+    s = jobs.bars_stream(_arriving(spark, fx.ticks(spark, base), "bars", heartbeat=True), "1 hour", "10 minutes")
     return _run(spark, s, "bars").drop("batch_id")
 
 
+@register("T6_profile_stream", """
+    SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS period_start,
+           time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR AS period_end, symbol, CAST(floor(price) AS DECIMAL(20,8)) AS price_level,
+           CAST(sum(CASE WHEN aggressor_side = 'BUY' THEN size ELSE 0 END) AS BIGINT) AS buy_volume,
+           CAST(sum(CASE WHEN aggressor_side = 'SELL' THEN size ELSE 0 END) AS BIGINT) AS sell_volume,
+           CAST(sum(size) AS BIGINT) AS total_volume,
+           count(*) FILTER (WHERE aggressor_side = 'BUY') AS buy_trades,
+           count(*) FILTER (WHERE aggressor_side = 'SELL') AS sell_trades
+    FROM ticks GROUP BY 1, 2, 3, 4""")
+def q_t6_profile(spark, base):
+    s = jobs.profile_stream(_arriving(spark, fx.ticks(spark, base), "profile", heartbeat=True), "1 hour", "10 minutes")
+    return _run(spark, s, "profile").drop("batch_id")
+
+
 @register("T7_gap_stream", """
     SELECT symbol, gap_start, gap_end, round(date_diff('microsecond', gap_start, gap_end) / 1e6, 6) AS gap_seconds
     FROM (SELECT symbol, lag("timestamp") OVER (PARTITION BY symbol ORDER BY "timestamp", id) AS gap_start,
                  "timestamp" AS gap_end FROM ticks) x
     WHERE date_diff('microsecond', gap_start, gap_end) > 3600000000""")
 def q_t7(spark, base):
-    s = jobs.gap_stream(fx.ticks_from(_events_stream(spark, base)), "1 hour", "10 minutes")
+    s = jobs.gap_stream(_arriving(spark, fx.ticks(spark, base), "gaps", heartbeat=True), "1 hour", "10 minutes")
     out = _run(spark, s, "gaps")
     return out.filter(F.col("kind") == "gap").select("symbol", "gap_start", "gap_end", "gap_seconds")
 
 
-@register("T7_stall_stream", f"""
-    SELECT symbol, max("timestamp") AS gap_start FROM ticks GROUP BY symbol
-    HAVING max("timestamp") + INTERVAL 10 MINUTE < {AS_OF} - INTERVAL 10 MINUTE""")
+@register("T7_stall_stream", """
+    SELECT symbol, max("timestamp") AS gap_start FROM ticks GROUP BY symbol""")
 def q_t7_stall(spark, base):
-    """Stalls: symbols whose last tick is more than the threshold behind the
-    watermark when the stream has drained (event-time timeout)."""
-    s = jobs.gap_stream(fx.ticks_from(_events_stream(spark, base)), "10 minutes", "10 minutes")
+    """Stalls: every symbol is silent for the threshold when the last heartbeat,
+    ten days ahead, has moved the watermark (event-time timeout)."""
+    s = jobs.gap_stream(_arriving(spark, fx.ticks(spark, base), "stalls", heartbeat=True), "5 days", "10 minutes")
     out = _run(spark, s, "stalls")
     return out.filter(F.col("kind") == "stall").select("symbol", "gap_start")
 
@@ -510,18 +544,17 @@ def q_t7_stall(spark, base):
                CASE WHEN date_diff('microsecond', r.last_fired, a.ts) >= 10800000000 THEN a.ts ELSE r.last_fired END,
                date_diff('microsecond', r.last_fired, a.ts) >= 10800000000
         FROM r JOIN a ON a.entity = r.entity AND a.alert_type = r.alert_type AND a.rn = r.rn + 1)
-    SELECT entity, alert_type, ts FROM r WHERE fired""")
+    SELECT r.entity, r.alert_type, 'warning' AS severity, 'recent_ticks' AS metric, CAST(m.value AS DOUBLE) AS value, r.ts
+    FROM r JOIN (SELECT entity, ts, max(value) AS value FROM metrics GROUP BY 1, 2) m USING (entity, ts) WHERE fired""")
 def q_t8(spark, base):
     alerts = quality.evaluate_rules(fx.metrics(spark, base), _M1_RULES)
-    src = scratch_path(spark, "alerts-src")
-    alerts.write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    alerts = alerts.withColumn("timestamp", F.col("ts")).withColumn("id", F.xxhash64("entity"))
+    stream = _arriving(spark, alerts, "alerts")
     return _run(spark, jobs.alert_stream(stream, "3 hours"), "alerts").drop("batch_id")
 
 
 @register("T9_dedup_stream", "SELECT * FROM ticks")
 def q_t9(spark, base):
-    first = fx.ticks_from(_events_stream(spark, base))
-    replay = fx.ticks_from(_events_stream(spark, base))
-    s = jobs.dedup_stream(first.unionByName(replay), ["id"], "1 hour")
+    """Every file repeats the one before it, so replays cross micro-batches."""
+    s = jobs.dedup_stream(_arriving(spark, fx.ticks(spark, base), "dedup", replay=True), ["id"], "10 days")
     return _run(spark, s, "dedup").drop("batch_id")

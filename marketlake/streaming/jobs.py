@@ -11,12 +11,14 @@ the result does not depend on how rows arrive within a batch.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.timefn import interval_micros
+from ..operators.flow import price_level
 
 # Fixed values of the reference: collector batching and polling knobs.
 BATCH_ROWS, BATCH_SECONDS, QUEUE_CAP = 100, 5, 10_000
@@ -57,6 +59,12 @@ def run_to_completion(query) -> None:
         raise query.exception()
 
 
+def write_batch_once(batch: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
+    """Write a micro-batch to its own ``batch_id`` folder of a table; a batch that
+    is run again replaces its folder, so a restart adds no rows twice."""
+    batch.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch_id={batch_id}")
+
+
 # ------------------------------------------------------------------ T1 / T3
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, partition_col: str | None = "timestamp",
@@ -77,12 +85,22 @@ def ingest(stream: DataFrame, out: str, checkpoint: str, partition_col: str | No
 
 def subscribed_stream(stream: DataFrame, subscriptions: DataFrame,
                       keys: Sequence[str] = ("symbol", "exchange")) -> DataFrame:
-    """Stream-static semi join. The static side is re-planned every
-    micro-batch, so requests added to its table join the running stream."""
+    """J8 on a stream with subscriptions fixed at its start (a file table's
+    listing is frozen then); see ``subscribed_ingest`` for a running set."""
     subs = subscriptions.select(*keys).dropDuplicates(list(keys))
     return stream.join(subs, list(keys), "left_semi")
 
 
+def subscribed_ingest(stream: DataFrame, subscriptions: Callable[[], DataFrame], out: str, checkpoint: str,
+                      keys: Sequence[str] = ("symbol", "exchange"), available_now: bool = True):
+    """Rows of subscribed (symbol, exchange) only. ``subscriptions`` is read
+    anew for every micro-batch, so a request joins the running stream."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        write_batch_once(subscribed_stream(batch, subscriptions(), keys), out, batch_id)
+    return (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+            .trigger(**trigger_options(available_now)).start())
+
+
 # ------------------------------------------------------------------ T4 / T6 / T9
 
 def live_stats_stream(ticks: DataFrame, window: str = "1 minute", slide: str | None = None,
@@ -118,6 +136,22 @@ def bars_stream(ticks: DataFrame, period: str = "1 minute", watermark: str = "10
     return to_table_time(out, ["timestamp", "period_end"])
 
 
+def profile_stream(ticks: DataFrame, period: str = "1 hour", watermark: str = "10 minutes",
+                   tick_size: float | int = 1) -> DataFrame:
+    """Streaming volume profile - volume and trades per symbol, period and
+    price level; final (append) once the watermark passes the period's end."""
+    t = to_event_time(ticks).withWatermark("timestamp", watermark)
+    size, side = F.col("size").cast("bigint"), F.col("aggressor_side")
+    out = t.groupBy("symbol", F.window("timestamp", period).alias("w"), price_level("price", tick_size).alias("price_level")).agg(
+        F.sum(F.when(side == "BUY", size).otherwise(0)).alias("buy_volume"),
+        F.sum(F.when(side == "SELL", size).otherwise(0)).alias("sell_volume"),
+        F.sum(size).alias("total_volume"), F.count_if(side == "BUY").alias("buy_trades"),
+        F.count_if(side == "SELL").alias("sell_trades"))
+    out = out.select(F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), "symbol", "price_level",
+                     "buy_volume", "sell_volume", "total_volume", "buy_trades", "sell_trades")
+    return to_table_time(out, ["period_start", "period_end"])
+
+
 def dedup_stream(stream: DataFrame, keys: Sequence[str], watermark: str = "1 hour") -> DataFrame:
     """Replay protection - a row whose keys were already seen within the
     watermark delay is dropped."""
@@ -129,7 +163,7 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str], watermark: str = "1 hou
 
 _BOOK_OUT = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("side", T.StringType()),
-    T.StructField("level", T.IntegerType()), T.StructField("price", T.DoubleType()),
+    T.StructField("level", T.IntegerType()), T.StructField("price", T.StringType()),
     T.StructField("size", T.IntegerType()), T.StructField("order_count", T.IntegerType()),
     T.StructField("timestamp", T.TimestampType()), T.StructField("id", T.LongType()),
 ])
@@ -143,7 +177,7 @@ def book_stream(depth: DataFrame, ttl: str = "1 minute") -> DataFrame:
     symbol's whole current book whenever it changes (update mode)."""
     ttl_us = interval_micros(ttl)
     src = to_event_time(depth).select(
-        "symbol", "side", "level", F.col("price").cast("double").alias("price"), "size",
+        "symbol", "side", "level", F.col("price").cast("string").alias("price"), "size",
         "order_count", "timestamp", "id")
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -159,7 +193,7 @@ def book_stream(depth: DataFrame, ttl: str = "1 minute") -> DataFrame:
                 k = f"{r.side}|{int(r.level)}"
                 cur = book.get(k)
                 if cur is None or (int(r.t_us), int(r.id)) > (cur[3], cur[4]):
-                    book[k] = [float(r.price), int(r.size),
+                    book[k] = [r.price, int(r.size),
                                None if pd.isna(r.order_count) else int(r.order_count),
                                int(r.t_us), int(r.id)]
         newest = max(v[3] for v in book.values())
@@ -177,88 +211,108 @@ def book_stream(depth: DataFrame, ttl: str = "1 minute") -> DataFrame:
 
 # ------------------------------------------------------------------ T7: gaps and stalls
 
-_GAP_OUT = T.StructType([
-    T.StructField("symbol", T.StringType()), T.StructField("kind", T.StringType()),
-    T.StructField("gap_start", T.TimestampType()), T.StructField("gap_end", T.TimestampType()),
-    T.StructField("gap_seconds", T.DoubleType()),
-])
 _LAST_STATE = T.StructType([T.StructField("last_us", T.LongType())])
+_GAP_STATE = T.StructType([T.StructField("last_us", T.LongType()),
+                           T.StructField("open_us", T.ArrayType(T.LongType()))])
 
 
 def gap_stream(ticks: DataFrame, threshold: str = "300 seconds", watermark: str = "10 minutes") -> DataFrame:
-    """Per symbol, consecutive ticks further apart than ``threshold``
-    (kind 'gap', found from the sorted rows and the last time kept in state),
-    and symbols silent for ``threshold`` past their last tick as seen by the
-    watermark (kind 'stall', from an event-time timeout)."""
+    """Per symbol, consecutive ticks further apart than ``threshold`` (kind
+    'gap') and symbols silent for ``threshold`` past their last tick as seen by
+    the watermark (kind 'stall', from an event-time timeout).
+
+    Ticks may be late by up to ``watermark``: a tick is settled once the
+    watermark has passed it, and only gaps between settled ticks are reported,
+    so a late row never leaves a gap that is none. State is the last settled
+    time and the times not yet settled, those of one watermark delay. Times are
+    epoch microseconds throughout, independent of the session's zone. Rows
+    without a symbol only advance the watermark (heartbeats)."""
     th_us = interval_micros(threshold)
-    src = to_event_time(ticks).withWatermark("timestamp", watermark).select("symbol", "timestamp", "id")
+    src = to_event_time(ticks).withWatermark("timestamp", watermark).select(
+        "symbol", "timestamp", F.unix_micros("timestamp").alias("us"))
+    columns = ["symbol", "kind", "start_us", "end_us"]
 
     def step(key, batches, state):
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame([{"symbol": key[0], "kind": "stall",
-                                 "gap_start": pd.Timestamp(last * 1000), "gap_end": pd.NaT,
-                                 "gap_seconds": float("nan")}], columns=[f.name for f in _GAP_OUT.fields])
+        seen = state.exists
+        last, pending = (state.get[0], list(state.get[1])) if seen else (None, [])
+        mark = state.getCurrentWatermarkMs() * 1000
+        times = [np.array(pending, dtype=np.int64)]
+        if not state.hasTimedOut:
+            times += [np.unique(chunk["us"].to_numpy()) for chunk in batches]
+        if key[0] is None:
+            if seen:
+                state.remove()
+            yield pd.DataFrame([], columns=columns)
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp", "id"])
-        us = rows["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
-        prev = [state.get[0]] if state.exists else []
-        seq = list(prev) + list(us)
-        out = []
-        for a, b in zip(seq[:-1], seq[1:]):
-            if b - a > th_us:
-                out.append({"symbol": key[0], "kind": "gap", "gap_start": pd.Timestamp(int(a) * 1000),
-                            "gap_end": pd.Timestamp(int(b) * 1000), "gap_seconds": round((b - a) / 1e6, 6)})
-        last = int(seq[-1])
-        state.update((last,))
-        state.setTimeoutTimestamp(last // 1000 + th_us // 1000)
-        yield pd.DataFrame(out, columns=[f.name for f in _GAP_OUT.fields])
-
-    out = src.groupBy("symbol").applyInPandasWithState(step, _GAP_OUT, _LAST_STATE, "append",
-                                                        "EventTimeTimeout")
-    return to_table_time(out, ["gap_start", "gap_end"])
+        times = np.unique(np.concatenate(times))
+        settled, pending = times[times <= mark], times[times > mark]
+        if last is not None:
+            settled = settled[settled > last]
+        line = settled if last is None else np.concatenate(([last], settled))
+        at = np.flatnonzero(np.diff(line) > th_us)
+        out = [(key[0], "gap", int(line[i]), int(line[i + 1])) for i in at]
+        last = int(line[-1]) if len(line) else None
+        if not len(pending) and last is not None and last + th_us <= mark:
+            out.append((key[0], "stall", last, None))
+            if seen:
+                state.remove()
+        else:
+            state.update((last, pending.tolist()))
+            # wake up when the next tick can be settled, or the silence has lasted
+            due = int(pending[0]) if len(pending) else last + th_us
+            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=columns)
+
+    out = src.groupBy("symbol").applyInPandasWithState(
+        step, "symbol string, kind string, start_us long, end_us long", _GAP_STATE, "append", "EventTimeTimeout")
+    return out.select("symbol", "kind", F.timestamp_micros("start_us").cast("timestamp_ntz").alias("gap_start"),
+                      F.timestamp_micros("end_us").cast("timestamp_ntz").alias("gap_end"),
+                      F.round((F.col("end_us") - F.col("start_us")) / 1e6, 6).alias("gap_seconds"))
 
 
 # ------------------------------------------------------------------ T8: alert cool-down
 
-_ALERT_OUT = T.StructType([
-    T.StructField("entity", T.StringType()), T.StructField("alert_type", T.StringType()),
-    T.StructField("ts", T.TimestampType()),
-])
-
-
 def alert_stream(alerts: DataFrame, cooldown: str = "300 seconds", ts_col: str = "ts") -> DataFrame:
     """Greedy cool-down as keyed state (last fired time per entity and
-    alert type); the streaming twin of M2."""
+    alert type); the streaming twin of M2. Severity, metric and value of the
+    alert that fires stay with it."""
     c_us = interval_micros(cooldown)
-    src = alerts.select("entity", "alert_type", F.col(ts_col).cast("timestamp").alias("ts"))
+    carried = [c for c in ("severity", "metric", "value") if c in alerts.columns]
+    types = dict(alerts.dtypes)
+    schema = ", ".join(["entity string", "alert_type string", *(f"{c} {types[c]}" for c in carried), "us long"])
+    columns = ["entity", "alert_type", *carried, "us"]
+    src = alerts.select("entity", "alert_type", *carried, F.unix_micros(F.col(ts_col).cast("timestamp")).alias("us"))
 
     def step(key, batches, state):
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("ts").drop_duplicates("ts")
-        last = state.get[0] if state.exists else None
-        fired = []
-        for t in rows["ts"].astype("datetime64[us]").astype("int64"):
-            if last is None or t - last >= c_us:
-                fired.append(int(t))
-                last = int(t)
+        # one row per time: what the cool-down can choose from
+        rows = None
+        for chunk in batches:
+            rows = chunk if rows is None else pd.concat([rows, chunk])
+            rows = rows.sort_values(["us", *carried]).drop_duplicates("us")
+        times = rows["us"].to_numpy()
+        last, fired, i = (state.get[0] if state.exists else None), [], 0
+        while True:
+            i = max(i, int(np.searchsorted(times, last + c_us)) if last is not None else 0)
+            if i >= len(times):
+                break
+            fired.append(i)
+            last = int(times[i])
+            i += 1
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame({"entity": [key[0]] * len(fired), "alert_type": [key[1]] * len(fired),
-                            "ts": [pd.Timestamp(t * 1000) for t in fired]},
-                           columns=["entity", "alert_type", "ts"])
+        yield rows.iloc[fired][columns]
 
-    out = src.groupBy("entity", "alert_type").applyInPandasWithState(
-        step, _ALERT_OUT, _LAST_STATE, "append", "NoTimeout")
-    return to_table_time(out, ["ts"])
+    out = src.groupBy("entity", "alert_type").applyInPandasWithState(step, schema, _LAST_STATE, "append", "NoTimeout")
+    return out.select("entity", "alert_type", *carried, F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
 
 
 def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
                   available_now: bool = True):
-    """Run a stream into a Parquet folder; each micro-batch is tagged with its
-    id so update-mode outputs can be resolved to the newest version per key."""
+    """Run a stream into a Parquet table partitioned by micro-batch, so a batch
+    run again replaces itself and update-mode outputs can be resolved to the
+    newest version per key."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        write_batch_once(batch, out, batch_id)
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
             .foreachBatch(sink).trigger(**trigger_options(available_now)).start())
 
@@ -273,9 +327,11 @@ def ingest_feed(spark: SparkSession, source: str, out_base: str, checkpoint: str
     Each micro-batch is parsed once (invalid lines go to ``rejects``), routed
     by message type and written to ``ticks``, ``quotes``, ``depth``, ``log``
     and ``unknown`` under ``out_base`` (ticks/quotes/depth partitioned by
-    date). The parsed batch is persisted for the duration of the multi-sink
-    write and released afterwards (a lost block is recomputed from the
-    batch's source files); the checkpoint makes the whole write restartable.
+    date). A message without a time gets the time its batch arrived. The parsed
+    batch is persisted for the duration of the multi-sink write and released
+    afterwards (a lost block is recomputed from the batch's source files). Every
+    table keeps a folder per micro-batch: a batch that is run again after a
+    restart replaces its own folders.
     """
     from ..operators.depth import to_long_depth
     from ..operators.normalize import normalize_quotes, normalize_ticks
@@ -288,19 +344,19 @@ def ingest_feed(spark: SparkSession, source: str, out_base: str, checkpoint: str
         try:
             good, bad = jf.split_tagged(parsed)
             routes = jf.route(good)
-            arrival = F.lit(None).cast("timestamp_ntz")
+            arrival = F.timestamp_add("MICROSECOND", F.unix_micros(F.current_timestamp()),
+                                      F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
             tables = {
                 "ticks": normalize_ticks(routes["tick"], arrival=arrival),
                 "quotes": normalize_quotes(routes["quote"], arrival=arrival),
                 "depth": to_long_depth(routes["depth"], arrival=arrival),
             }
             for name, df in tables.items():
-                (df.withColumn("date", F.to_date("timestamp")).withColumn("batch_id", F.lit(batch_id))
-                   .write.mode("append").partitionBy("date").parquet(f"{out_base}/{name}"))
+                write_batch_once(df.withColumn("date", F.to_date("timestamp")), f"{out_base}/{name}", batch_id, ["date"])
             for name in ("log", "unknown"):
-                routes[name].select(F.to_json(F.struct("*")).alias("message"), F.lit(batch_id).alias("batch_id")) \
-                    .write.mode("append").parquet(f"{out_base}/{name}")
-            bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{out_base}/rejects")
+                write_batch_once(routes[name].select(F.to_json(F.struct("*")).alias("message")), f"{out_base}/{name}",
+                                 batch_id)
+            write_batch_once(bad, f"{out_base}/rejects", batch_id)
         finally:
             parsed.unpersist()
 
