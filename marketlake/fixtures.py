@@ -37,8 +37,8 @@ def ticks_from(ev: DataFrame) -> DataFrame:
 
 
 def trades(spark: SparkSession, base: str) -> DataFrame:
-    """Even ids of the feed are trades; with ``quotes`` they cover every row."""
-    return ticks(spark, base).filter(F.col("id") % 2 == 0)
+    """Every row of the feed is a trade."""
+    return ticks(spark, base)
 
 
 def quotes(spark: SparkSession, base: str) -> DataFrame:
@@ -46,11 +46,12 @@ def quotes(spark: SparkSession, base: str) -> DataFrame:
 
 
 def quotes_from(t: DataFrame) -> DataFrame:
-    """Odd ids of the feed are quotes: a 0.50-wide market around the price."""
-    t = t.filter(F.col("id") % 2 == 1)
+    """Every row of the feed is also a quote, up to five minutes later: a
+    0.50-wide market around the price."""
     half = F.lit(0.25).cast("decimal(20,8)")
+    later = F.timestamp_add("SECOND", F.col("id") % 300, F.col("timestamp"))
     return t.select(
-        "id", "timestamp", "symbol", "exchange",
+        "id", later.alias("timestamp"), "symbol", "exchange",
         (F.col("price") - half).cast("decimal(20,8)").alias("bid_price"),
         (F.col("price") + half).cast("decimal(20,8)").alias("ask_price"),
         F.col("size").alias("bid_size"),

@@ -36,14 +36,6 @@ def exchange_for(symbol: Column | str, prefix_map=None, default: str = DEFAULT_E
     return F.lit(default) if expr is None else expr.otherwise(default)
 
 
-def exchange_sql(symbol_sql: str, prefix_map=None, default: str = DEFAULT_EXCHANGE) -> str:
-    """The same rule as ANSI SQL text (used by the DuckDB oracle)."""
-    root = f"regexp_replace({symbol_sql}, '[0-9]+$', '')"
-    arms = " ".join(f"WHEN starts_with({root}, '{p}') THEN '{e}'"
-                    for p, e in (prefix_map or PREFIX_EXCHANGE))
-    return f"CASE {arms} ELSE '{default}' END"
-
-
 def with_exchange(df: DataFrame, symbol_col: str = "symbol", out: str = "exchange",
                   prefix_map=None, default: str = DEFAULT_EXCHANGE) -> DataFrame:
     """J6 on a frame: the symbol root is computed once per row in its own

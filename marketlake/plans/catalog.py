@@ -14,10 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixtures as fx
-from ..functions.exchange import exchange_for, exchange_sql, with_exchange
+from ..functions.exchange import exchange_for, with_exchange
 from ..functions.timefn import resolve_as_of
 from ..operators import depth as dp, filters as fl, flow, joins, normalize as nz, quality, stats, topk
-from .oracle_views import AS_OF, with_views
+from .oracle_views import AS_OF, with_views, exchange_case
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -451,14 +451,19 @@ def q_j5(spark, base):
     return joins.insert_missing(current, t, ["id"])
 
 
+_ROOTS = ("GC MGC GLD CL NG RB HO ES NQ YM RTY 6A 6B 6C 6E 6J 6S ZC ZS ZW ZL ZM SI HG PA PL "
+          "QQ MG Z 6 ESX SIL").split()
+
+
 @register("J6_exchange_by_prefix", f"""
-    SELECT id, sym AS symbol, {exchange_sql('sym')} AS exchange
-    FROM (SELECT event_id AS id, upper(substr(event_type, 1, 2)) || 'Z' || CAST(year(ts) % 10 AS VARCHAR) AS sym
+    SELECT id, sym AS symbol, {exchange_case('sym')} AS exchange
+    FROM (SELECT event_id AS id, ({_ROOTS!r})[event_id % {len(_ROOTS)} + 1] || 'Z' || CAST(year(ts) % 10 AS VARCHAR) AS sym
           FROM events) e""")
 def q_j6(spark, base):
+    """Every event mapped onto a contract symbol: all roots of the table and some that are in none."""
     ev = fx.read_table(spark, base, "events")
-    sym = F.concat(F.upper(F.substring("event_type", 1, 2)), F.lit("Z"),
-                   (F.year("ts") % 10).cast("string"))
+    root = F.element_at(F.array(*map(F.lit, _ROOTS)), (F.col("event_id") % len(_ROOTS) + 1).cast("int"))
+    sym = F.concat(root, F.lit("Z"), (F.year("ts") % 10).cast("string"))
     return with_exchange(ev.select(F.col("event_id").alias("id"), sym.alias("symbol")))
 
 

@@ -14,7 +14,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixtures as fx
-from ..functions.exchange import exchange_sql
 from ..functions.timefn import iso
 from ..operators import depth as dp, filters as fl, normalize as nz, quality
 from ..session import scratch_path
@@ -23,7 +22,7 @@ from ..sources.archive import read_archive, read_json_table
 from ..streaming import jobs
 from . import lifecycle as lc
 from .catalog import _M1_RULES, _as_of, _vp, register
-from .oracle_views import AS_OF
+from .oracle_views import AS_OF, exchange_case
 
 # ---------------------------------------------------------------- feed lines
 
@@ -147,7 +146,7 @@ def q_s5_types(spark, base):
 
 @register("S5_N3_binary_ticks", f"""
     SELECT id, date_trunc('millisecond', "timestamp") AS "timestamp", symbol,
-           {exchange_sql('symbol')} AS exchange, price, size
+           {exchange_case('symbol')} AS exchange, price, size
     FROM trades""")
 def q_s5_ticks(spark, base):
     dec, _ = fr.decode_frames(frame_table(spark, base))

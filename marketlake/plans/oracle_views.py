@@ -9,6 +9,14 @@ _EXCH = ("CASE event_type WHEN 'view' THEN 'NYMEX' WHEN 'purchase' THEN 'COMEX'
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
 
+def exchange_case(symbol: str) -> str:
+    """The exchange of a contract root, spelled out (the root is the symbol without trailing digits)."""
+    root = f"regexp_replace({symbol}, '[0-9]+$', '')"
+    return (f"CASE WHEN regexp_matches({root}, '^(GC|MGC|GLD|SI|HG)') THEN 'COMEX' "
+            f"WHEN regexp_matches({root}, '^(CL|NG|RB|HO|PA|PL)') THEN 'NYMEX' "
+            f"WHEN regexp_matches({root}, '^(YM|ZC|ZS|ZW|ZL|ZM)') THEN 'CBOT' ELSE 'CME' END")
+
+
 def _symbols_sql() -> str:
     rows = ", ".join(f"({i}::BIGINT, '{s}', '{e}', '{d}', {str(a).lower()})"
                      for i, s, e, d, a in SYMBOL_ROWS)
@@ -24,13 +32,13 @@ VIEWS = [
                CASE user_id % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' END AS aggressor_side,
                CAST(event_id AS VARCHAR) AS trade_id
         FROM events"""),
-    ("trades", "SELECT * FROM ticks WHERE id % 2 = 0"),
+    ("trades", "SELECT * FROM ticks"),
     ("quotes", """
-        SELECT id, "timestamp", symbol, exchange,
+        SELECT id, "timestamp" + (id % 300) * INTERVAL 1 SECOND AS "timestamp", symbol, exchange,
                CAST(price - 0.25 AS DECIMAL(20,8)) AS bid_price,
                CAST(price + 0.25 AS DECIMAL(20,8)) AS ask_price,
                size AS bid_size, size + 1 AS ask_size
-        FROM ticks WHERE id % 2 = 1"""),
+        FROM ticks"""),
     ("depth", f"""
         SELECT event_id AS id, date_trunc('day', ts) AS "timestamp", upper(event_type) AS symbol,
                {_EXCH} AS exchange,

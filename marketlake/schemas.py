@@ -38,6 +38,7 @@ TICKS = T.StructType([
     T.StructField("condition_codes", T.StringType()),
     T.StructField("buy_volume", T.IntegerType()),
     T.StructField("sell_volume", T.IntegerType()),
+    T.StructField("created_at", T.TimestampNTZType()),
 ])
 
 QUOTES = T.StructType([
@@ -63,6 +64,7 @@ DEPTH = T.StructType([
     T.StructField("order_count", T.IntegerType()),
     T.StructField("implied_size", T.IntegerType()),
     T.StructField("update_type", T.StringType()),
+    T.StructField("created_at", T.TimestampNTZType()),
 ])
 
 ORDER_UPDATES = T.StructType([
@@ -77,9 +79,11 @@ ORDER_UPDATES = T.StructType([
     T.StructField("action", T.StringType()),
     T.StructField("fill_size", T.IntegerType()),
     T.StructField("remaining_size", T.IntegerType()),
+    T.StructField("created_at", T.TimestampNTZType()),
 ])
 
 VOLUME_PROFILE = T.StructType([
+    T.StructField("id", T.LongType()),
     T.StructField("timestamp", T.TimestampNTZType(), False),
     T.StructField("symbol", T.StringType(), False),
     T.StructField("price_level", MONEY, False),
@@ -93,6 +97,35 @@ VOLUME_PROFILE = T.StructType([
     T.StructField("period_end", T.TimestampNTZType()),
 ])
 
+MARKET_STATS = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("timestamp", T.TimestampNTZType(), False),
+    T.StructField("symbol", T.StringType(), False),
+    T.StructField("open_price", MONEY),
+    T.StructField("high_price", MONEY),
+    T.StructField("low_price", MONEY),
+    T.StructField("close_price", MONEY),
+    T.StructField("volume", T.LongType()),
+    T.StructField("avg_bid_ask_spread", MONEY),
+    T.StructField("buy_volume", T.LongType()),
+    T.StructField("sell_volume", T.LongType()),
+    T.StructField("delta", T.LongType()),
+    T.StructField("total_bid_depth", T.LongType()),
+    T.StructField("total_ask_depth", T.LongType()),
+    T.StructField("period_minutes", T.IntegerType()),
+])
+
+TICKS_V1 = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("timestamp", T.TimestampNTZType(), False),
+    T.StructField("symbol", T.StringType(), False),
+    T.StructField("price", T.DoubleType(), False),
+    T.StructField("volume", T.IntegerType(), False),
+    T.StructField("direction", T.StringType()),
+    T.StructField("trade_type", T.StringType()),
+    T.StructField("exchange", T.StringType()),
+])
+
 LEVEL = T.StructType([
     T.StructField("level", T.IntegerType()),
     T.StructField("price", T.DoubleType()),
@@ -114,6 +147,8 @@ DEFAULTS = {
     "symbols": {"exchange": "CME", "active": True},
     "ticks": {"is_implied": False, "buy_volume": 0, "sell_volume": 0},
     "depth": {"implied_size": 0},
+    "volume_profile": {"buy_volume": 0, "sell_volume": 0, "total_volume": 0, "buy_trades": 0, "sell_trades": 0},
+    "market_stats": {"period_minutes": 1},
 }
 
 # Fixed values of the reference's DDL: NOT NULL columns and CHECK rules.
@@ -123,6 +158,8 @@ REQUIRED = {
     "depth": ["timestamp", "symbol", "level", "price", "size"],
     "order_updates": ["timestamp", "symbol"],
     "volume_profile": ["timestamp", "symbol", "price_level"],
+    "market_stats": ["timestamp", "symbol"],
+    "ticks_v1": ["timestamp", "symbol", "price", "volume"],
 }
 CHECKS = {
     "depth": {"side": ["B", "S"]},
@@ -131,7 +168,8 @@ CHECKS = {
 
 SCHEMAS = {
     "symbols": SYMBOLS, "ticks": TICKS, "quotes": QUOTES, "depth": DEPTH,
-    "order_updates": ORDER_UPDATES, "volume_profile": VOLUME_PROFILE,
+    "order_updates": ORDER_UPDATES, "volume_profile": VOLUME_PROFILE, "market_stats": MARKET_STATS,
+    "ticks_v1": TICKS_V1,
 }
 
 
@@ -156,9 +194,9 @@ def enforce(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
         if name in df.columns:
             df = df.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
     reasons = []
-    for name in REQUIRED.get(table, []):
-        if name in df.columns:
-            reasons.append(F.when(F.col(name).isNull(), F.lit(f"{name} is null")))
+    for name in REQUIRED.get(table, []):  # a column that is absent is NULL in every row
+        missing = F.col(name).isNull() if name in df.columns else F.lit(True)
+        reasons.append(F.when(missing, F.lit(f"{name} is null")))
     for name, allowed in CHECKS.get(table, {}).items():
         if name in df.columns:
             reasons.append(F.when(F.col(name).isNotNull() & ~F.col(name).isin(allowed),

@@ -135,6 +135,14 @@ def test_enforce_rejects(spark):
     assert sorted((r.id, r.reject_reason) for r in rej.collect()) == [(2, "side not in B,S"), (3, "level is null")]
 
 
+def test_enforce_defaults_and_absent_columns(spark):
+    df = spark.createDataFrame([(1, None)], "id long, buy_volume long").withColumn("symbol", F.lit("ES"))
+    ok, rej = enforce(df.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp_ntz")), "volume_profile")
+    assert ok.count() == 0 and rej.first().reject_reason == "price_level is null" and rej.first().buy_volume == 0
+    stats = df.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("period_minutes", F.lit(None).cast("int"))
+    assert enforce(stats, "market_stats")[0].first().period_minutes == 1
+
+
 def test_double_bytes_native_round_trip(spark):
     import math
     import random
