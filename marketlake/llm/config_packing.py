@@ -4,8 +4,9 @@ Documents become pieces of at most ``capacity`` tokens; only their histogram (at
 Spark. The configuration LP covers every length with patterns, multisets of lengths of at most ``capacity`` tokens,
 using as few as possible. Multiplicative weights solve it: each length has a price that starts in proportion to the
 length and falls exponentially with the share of its pieces already covered; knapsack dynamic programming prices the
-best pattern, which then takes a fraction of the uncovered rest. The fractional solution is rounded down to whole
-patterns and what is left of the histogram (at most a few pieces a pattern) is packed best-fit decreasing.
+best pattern, which then takes what it can of the uncovered rest, until the best pattern wastes over a hundredth of the
+capacity. The fractional solution is rounded down to whole patterns, and what that leaves of the histogram (about a
+tenth of the tokens of the check tables) is packed best-fit decreasing.
 
 The plan, patterns with multiplicities, is bounded by the capacity, not by the corpus, and reaches the tasks in their
 closure. Pieces are ranked within their length in blocks of about ``BLOCK`` (a length held by a third of all rows is
@@ -112,20 +113,23 @@ def _best_pattern(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> lis
     return out
 
 
-def fractional_plan(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = 16.0, share: float = 0.5,
-                    rounds: int = 1000) -> list[tuple[dict[int, int], float]]:
-    """Patterns (length: copies) with fractional multiplicities that cover the histogram, by multiplicative weights."""
+def fractional_plan(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = 16.0, share: float = 1.0,
+                    waste: float = 0.01) -> list[tuple[dict[int, int], float]]:
+    """Patterns (length: copies) with fractional multiplicities, by multiplicative weights.
+
+    Each takes ``share`` of what its scarcest length has left; the first pattern that leaves over ``waste`` of the
+    capacity empty ends the solution, as the lengths still uncovered no longer fit each other.
+    """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], dtype=float)
     rest = demand.copy()
     out = []
-    for _ in range(rounds):
-        alive = np.flatnonzero(rest > 1e-9)
-        if not len(alive):
-            break
+    while len(alive := np.flatnonzero(rest > 1e-9)):
         covered = 1 - rest[alive] / demand[alive]
         prices = lengths[alive] / capacity * np.exp(-rate * covered / 64)
         pattern = [int(alive[i]) for i in _best_pattern(prices, lengths[alive], capacity)]
+        if sum(int(lengths[i]) for i in pattern) < (1 - waste) * capacity:
+            break
         kinds, copies = np.unique(pattern, return_counts=True)
         most = float((rest[kinds] / copies).min())
         amount = most if most < 1 else most * share if most > 16 else most
