@@ -219,10 +219,10 @@ def brute_cuts(rows: list[tuple]) -> dict:
                 pairs[e_d, e_t].append((rank, e_rank, len(words_of(line)), single, holders[line, occ]))
         gone = set()
         for matches in pairs.values():
-            strong = [m for m in matches if m[3] and m[2] >= 5]
-            if not strong:
+            if all(m[2] < 5 for m in matches):
                 continue
-            rare = min(m[4] for m in strong)
+            strong = [m for m in matches if m[3] and m[2] >= 5]
+            rare = min((m[4] for m in strong), default=0)
             anchors = longest([(m[0], m[1]) for m in strong if m[4] <= 4 * rare])
             aligned = []
             for low, high in zip([(-1, -1), *anchors], [*anchors, (10**9, 10**9)]):
@@ -263,6 +263,16 @@ def test_lines_brute_force(spark, docs):
                              "\n".join(x for i, x in enumerate(r["before"].split("\n")) if i not in gone))
 
 
+def test_lines_repeated_within_a_document(spark):
+    shared = "a license line of six words"
+    rows = [(1, shared + "\nthe first text of all"), (2, f"{shared}\nanother text between the two\n{shared}"),
+            (3, f"{shared}\na third text between the two\n{shared}"), (4, "yes\nno\nyes\nno\nyes\nno"), (5, "yes\nno\nyes\nno\nyes\nno")]
+    got = {r["doc_id"]: r["text"] for r in line_alignment.deduplicate_lines(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "another text between the two\n" + shared, 3: "a third text between the two",
+                   4: rows[3][1], 5: rows[4][1]}
+
+
 def test_lines_odd_input(docs):
     extra = docs.withColumn("h", F.lit(1)).withColumn("line", F.lit(2)).withColumn("k", F.lit(3)).withColumn("kept", F.lit(4))
     cut = line_alignment.cut_common_lines(extra)
