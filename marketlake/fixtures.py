@@ -6,8 +6,11 @@ table. The same definitions exist as DuckDB SQL in ``plans.oracle_views``.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .functions.timefn import ts_literal
 from .sources.tables import read_table
 
 
@@ -59,8 +62,11 @@ def quotes_from(t: DataFrame) -> DataFrame:
     )
 
 
-def depth(spark: SparkSession, base: str) -> DataFrame:
-    return depth_from(read_table(spark, base, "events"))
+def depth(spark: SparkSession, base: str, since: dt.datetime | None = None) -> DataFrame:
+    """``since`` bounds the raw event time, which the scan can push down; a
+    depth time is the start of its event's day, so no later depth row is lost."""
+    ev = read_table(spark, base, "events")
+    return depth_from(ev if since is None else ev.filter(F.col("ts") >= ts_literal(since)))
 
 
 def depth_from(ev: DataFrame) -> DataFrame:

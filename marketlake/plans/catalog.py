@@ -149,7 +149,8 @@ def q_a5(spark, base):
     SELECT symbol, count(*) AS level2_count, max("timestamp") AS last_update
     FROM depth WHERE "timestamp" > {AS_OF} - INTERVAL 24 HOUR GROUP BY symbol""")
 def q_a6(spark, base):
-    return stats.depth_activity(fx.depth(spark, base), _as_of(spark, base))
+    a = _as_of(spark, base)
+    return stats.depth_activity(fx.depth(spark, base, a - dt.timedelta(hours=24)), a)
 
 
 @register("A7_live_tick_stats", f"""
@@ -165,7 +166,8 @@ def q_a7(spark, base):
     FROM depth WHERE "timestamp" > (SELECT max("timestamp") FROM depth) - INTERVAL 2 DAY
     GROUP BY symbol""")
 def q_a8(spark, base):
-    return stats.live_depth_levels(fx.depth(spark, base), None, "2 days")
+    a = resolve_as_of(fx.depth(spark, base))
+    return stats.live_depth_levels(fx.depth(spark, base, a and a - dt.timedelta(days=2)), a, "2 days")
 
 
 @register("A11_status_counts", """
@@ -409,7 +411,8 @@ def q_j1(spark, base):
            coalesce(da.level2_count, 0) AS level2_count, da.last_level2_update
     FROM ta FULL OUTER JOIN da ON ta.symbol = da.symbol""")
 def q_j2(spark, base):
-    return joins.symbol_directory(fx.ticks(spark, base), fx.depth(spark, base))
+    a = _as_of(spark, base)
+    return joins.symbol_directory(fx.ticks(spark, base), fx.depth(spark, base, a - dt.timedelta(hours=24)), a)
 
 
 @register("J4_upsert_symbols", f"""

@@ -11,6 +11,7 @@ the result does not depend on how rows arrive within a batch.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -106,12 +107,18 @@ def subscribed_ingest(stream: DataFrame, subscriptions: Callable[[], DataFrame],
 def live_stats_stream(ticks: DataFrame, window: str = "1 minute", slide: str | None = None,
                       watermark: str = "1 minute") -> DataFrame:
     """T4: activity per symbol and (sliding) window; append mode emits a window
-    once the watermark passes its end, so state stays bounded."""
+    once the watermark passes its end, so state stays bounded. Sliding windows
+    are put together from panes (the longest step that divides window and
+    slide): a row is aggregated once, and only panes meet all their windows."""
     t = to_event_time(ticks).withWatermark("timestamp", watermark)
-    w = F.window("timestamp", window, slide) if slide else F.window("timestamp", window)
-    out = t.groupBy(w.alias("w"), "symbol").agg(
+    pane = f"{math.gcd(interval_micros(window), interval_micros(slide))} microseconds" if slide else window
+    out = t.groupBy(F.window("timestamp", pane).alias("w"), "symbol").agg(
         F.count(F.lit(1)).alias("tick_count"), F.max("price").alias("max_price"),
         F.max("timestamp").alias("last_update"))
+    if slide:
+        out = out.groupBy(F.window(F.window_time("w"), window, slide).alias("w"), "symbol").agg(
+            F.sum("tick_count").alias("tick_count"), F.max("max_price").alias("max_price"),
+            F.max("last_update").alias("last_update"))
     out = out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                      "symbol", "tick_count", "max_price", "last_update")
     return to_table_time(out, ["window_start", "window_end", "last_update"])

@@ -208,3 +208,20 @@ def test_interrupted_archive_loses_nothing(spark, tmp_path, monkeypatch):
         assert archived == {i for i in range(1000) if base + dt.timedelta(minutes=20 * i) < cutoff}
     finally:
         spark.sql("DROP TABLE IF EXISTS interrupted_archive")
+
+
+def test_depth_time_filters_reach_the_scan(spark, capsys):
+    from marketlake.plans import catalog
+    for name in ("A6_depth_activity", "A8_live_depth_levels", "J2_symbol_directory"):
+        catalog.queries()[name](spark, SMALL).explain("formatted")
+        pushed = [line for line in capsys.readouterr().out.split("\n") if "PushedFilters" in line]
+        assert pushed and all("GreaterThan" in line and "(ts," in line for line in pushed), (name, pushed)
+
+
+def test_sliding_windows_take_panes(spark, capsys):
+    from marketlake.streaming import jobs
+    ticks = spark.createDataFrame([(1, T0, "ES", Decimal(1))], "id long, timestamp timestamp_ntz, symbol string, price decimal(20,8)")
+    jobs.live_stats_stream(ticks, "1 minute", "2 seconds").explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    # the expansion into windows stands above the first aggregate
+    assert plan.count("Aggregate") == 2 and plan.rindex("Aggregate") > plan.index("Expand")
