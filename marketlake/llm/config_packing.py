@@ -3,10 +3,12 @@
 Documents become pieces of at most ``capacity`` tokens; only their histogram (at most ``capacity`` lengths) leaves
 Spark. The configuration LP covers every length with patterns, multisets of lengths of at most ``capacity`` tokens,
 using as few as possible. Multiplicative weights solve it: each length has a price that starts in proportion to the
-length and falls exponentially with the share of its pieces already covered; knapsack dynamic programming prices the
-best pattern, which then takes what it can of the uncovered rest, until the best pattern wastes over a hundredth of the
-capacity. The fractional solution is rounded down to whole patterns, and what that leaves of the histogram (about a
-tenth of the tokens of the check tables) is packed best-fit decreasing.
+length and falls exponentially with the share of its demand that patterns have covered, so badly covered lengths grow
+dear. Knapsack dynamic programming prices the patterns; a round takes many that are best or nearly so, each in an amount
+that covers at most ``STEP`` of a length's demand, and patterns are averaged over windows of rounds. The prices give a
+lower bound (their value of the demand, over that of the best pattern). After each window the average is rounded to
+whole patterns, what that leaves of the histogram is packed best-fit decreasing, and the sequences are compared with the
+bound: the work ends when they are within ``GAP`` of it (or equal it, rounded up), at the latest after ``ROUNDS``.
 
 The plan, patterns with multiplicities, is bounded by the capacity, not by the corpus, and reaches the tasks in their
 closure. Pieces are ranked within their length in blocks of about ``BLOCK`` (a length held by a third of all rows is
@@ -33,6 +35,9 @@ from marketlake.llm.common import map_columns, stored
 
 CAPACITY = 2048
 BLOCK = 2048
+STEP = 0.25
+GAP = 0.0001
+ROUNDS = 400
 END_ID = 0
 
 #: Characters on which both libraries agree what a letter, a digit and white space are.
@@ -91,52 +96,77 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, json_file: str = "byte_bpe
                        "doc_id long, piece int, start long, length long, ids_crc32 long", start)
 
 
-def _best_pattern(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
-    """Indices (into ``lengths``) of the multiset of greatest price that fits; unbounded knapsack."""
+def _priced(prices: np.ndarray, mass: np.ndarray, lengths: np.ndarray, capacity: int, slack: float,
+            rng: np.random.Generator, ways: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest price within every room, and ``ways`` indices (into ``lengths``) of a last piece that reach it.
+
+    Unbounded knapsack. Pieces that lose at most ``slack`` of their price count as reaching it and are drawn in
+    proportion to ``mass``; -1 where a smaller room does as well.
+    """
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
+    picks = np.full((capacity + 1, ways), -1)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    drawn = rng.random((capacity + 1, ways))
     for c in range(int(lengths[0]), capacity + 1):
-        n = int(np.searchsorted(lengths, c, side="right"))
-        value = best[c - lengths[:n]] + prices[:n]
-        k = int(value.argmax())
-        if value[k] > best[c - 1]:
-            best[c], pick[c] = value[k], k
-        else:
-            best[c] = best[c - 1]
-    out, c = [], capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out.append(int(pick[c]))
-            c -= int(lengths[pick[c]])
-    return out
+        price = prices[:fits[c]]
+        value = best[c - lengths[:fits[c]]] + price
+        best[c] = max(best[c - 1], value.max())
+        near = np.flatnonzero(value >= best[c] - slack * price)
+        if len(near):
+            total = mass[near].cumsum()
+            picks[c] = near[np.searchsorted(total, drawn[c] * total[-1], side="right").clip(max=len(near) - 1)]
+    return best, picks
 
 
-def fractional_plan(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = 16.0, share: float = 1.0,
-                    waste: float = 0.01) -> list[tuple[dict[int, int], float]]:
-    """Patterns (length: copies) with fractional multiplicities, by multiplicative weights.
+def fractional_plans(histogram: dict[int, int], capacity: int = CAPACITY, slack: float = 0.0005):
+    """Per window of rounds: patterns (length, copies) with averaged multiplicities, and the lower bound so far.
 
-    Each takes ``share`` of what its scarcest length has left; the first pattern that leaves over ``waste`` of the
-    capacity empty ends the solution, as the lengths still uncovered no longer fit each other.
+    The first window moves the prices little, which is enough where sequences can be filled to the brim; the later ones
+    move them fast at first and ever slower, each starting its average anew.
     """
+    rng = np.random.default_rng(0)
     lengths = np.array(sorted(histogram), dtype=np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], dtype=float)
-    rest = demand.copy()
-    out = []
-    while len(alive := np.flatnonzero(rest > 1e-9)):
-        covered = 1 - rest[alive] / demand[alive]
-        prices = lengths[alive] / capacity * np.exp(-rate * covered / 64)
-        pattern = [int(alive[i]) for i in _best_pattern(prices, lengths[alive], capacity)]
-        if sum(int(lengths[i]) for i in pattern) < (1 - waste) * capacity:
-            break
-        kinds, copies = np.unique(pattern, return_counts=True)
-        most = float((rest[kinds] / copies).min())
-        amount = most if most < 1 else most * share if most > 16 else most
-        rest[kinds] -= copies * amount
-        rest[rest < 1e-9] = 0
-        out.append(({int(lengths[k]): int(c) for k, c in zip(kinds, copies)}, amount))
-    return out
+    sizes = lengths.tolist()
+    log_price, rate, window, bound, done = np.zeros(len(lengths)), slack / STEP, 64, 0.0, 0
+    later = 1.0
+    while done < ROUNDS:
+        covered, mean_price = np.zeros(len(lengths)), np.zeros(len(lengths))
+        amounts: dict[tuple, float] = {}
+        for _ in range(window):
+            prices = lengths / capacity * np.exp(log_price - log_price.max())
+            lag = np.exp(-8 * (covered - covered.min()))
+            best, picks = _priced(prices, demand * lengths * lag + 1e-300, lengths, capacity, slack, rng)
+            bound = max(bound, float(demand @ prices) / best[-1])
+            mean_price += prices / best[-1]
+            filled = np.maximum.accumulate(np.where(picks[:, 0] >= 0, np.arange(capacity + 1), 0)).tolist()
+            good = np.flatnonzero(prices + best[capacity - lengths] >= (1 - 2 * slack) * best[-1])
+            good = good[np.argsort(covered[good], kind="stable")].tolist()
+            room, last = (STEP * demand).tolist(), picks.tolist()
+            for way in range(2):
+                for k in good:
+                    if room[k] <= 1e-9:
+                        continue
+                    pattern, c = {k: 1}, filled[capacity - sizes[k]]
+                    while c > 0:
+                        piece = last[c][(way + len(pattern)) % len(last[c])]
+                        pattern[piece] = pattern.get(piece, 0) + 1
+                        c = filled[c - sizes[piece]]
+                    amount = min(room[i] / n for i, n in pattern.items())
+                    if amount > 1e-9:
+                        for i, n in pattern.items():
+                            room[i] -= n * amount
+                        key = tuple(sorted((sizes[i], n) for i, n in pattern.items()))
+                        amounts[key] = amounts.get(key, 0.0) + amount
+            took = STEP - np.array(room) / demand
+            covered += took
+            log_price -= rate * took
+        bound = max(bound, float(demand @ mean_price) / _priced(mean_price, demand, lengths, capacity, 0.0, rng)[0][-1])
+        done += window
+        mass = demand * lengths
+        for share in {float(covered.min()), float(covered @ mass / mass.sum())} - {0.0}:
+            yield [(key, n / share) for key, n in amounts.items()], bound
+        rate, later, window = later, later / 2, min(int(window * 1.5), max(1, ROUNDS - done))
 
 
 def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple, int]:
@@ -174,19 +204,42 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
-    """Whole patterns with counts that hold every piece of the histogram exactly once."""
+def rounded(patterns: list[tuple[tuple, float]], histogram: dict[int, int], capacity: int = CAPACITY,
+            carried: bool = True) -> dict[tuple, int]:
+    """Whole patterns (sorted tuple of lengths) with counts that hold every piece of the histogram exactly once.
+
+    Fractions are ``carried`` over the patterns, or left to the best-fit decreasing end, which then has more to choose
+    from.
+    """
     rest = dict(histogram)
     whole: dict[tuple, int] = {}
-    for pattern, amount in fractional_plan(histogram, capacity):
-        n = min([int(amount + 1e-9), *(rest[k] // c for k, c in pattern.items())])
+    carry = 0.0
+    for pattern, amount in sorted(patterns, key=lambda x: (-x[1], x[0])):
+        carry += amount
+        n = min([int(carry + 1e-9), *(rest[length] // copies for length, copies in pattern)])
+        carry = min(carry - n, 1.0) if carried else 0.0
         if n > 0:
-            key = tuple(sorted((k for k, c in pattern.items() for _ in range(c)), reverse=True))
+            key = tuple(length for length, copies in reversed(pattern) for _ in range(copies))
             whole[key] = whole.get(key, 0) + n
-            for k, c in pattern.items():
-                rest[k] -= n * c
+            for length, copies in pattern:
+                rest[length] -= n * copies
     for key, n in best_fit_decreasing({k: v for k, v in rest.items() if v}, capacity).items():
         whole[key] = whole.get(key, 0) + n
+    return whole
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
+    """Whole patterns with counts that hold every piece of the histogram exactly once."""
+    if not histogram:
+        return []
+    least, whole = None, {}
+    for patterns, bound in fractional_plans(histogram, capacity):
+        for carried in (True, False):
+            found = rounded(patterns, histogram, capacity, carried)
+            if least is None or sum(found.values()) < least:
+                least, whole = sum(found.values()), found
+        if least <= max((1 + GAP) * bound, np.ceil(bound - 1e-6)):
+            break
     return sorted(whole.items())
 
 

@@ -573,3 +573,15 @@ def test_plan_covers_histograms():
         sequence, offset = slots.place(lengths, ranks)
         assert len(set(zip(sequence.tolist(), offset.tolist()))) == len(lengths)
         assert len(set(sequence.tolist())) == sum(n for _, n in plan)
+
+
+def test_plan_is_near_the_linear_program_on_few_lengths():
+    # (histogram, optimum of the configuration LP rounded up): 1030 + 680 + 300 fit, pieces over half stand alone
+    for histogram, bound in (({1030: 3000, 680: 3000, 300: 3000}, 3000), ({1030: 90, 680: 90, 300: 90}, 90),
+                             ({700: 1000, 600: 1000, 500: 1000, 248: 1000}, 1000)):
+        assert sum(n for _, n in config_packing.plan(histogram)) <= 1.005 * bound
+    # no pattern fills a sequence to the brim: judged by the dual bound
+    histogram = {700: 100, 500: 300, 350: 100, 400: 77, 1100: 200}
+    *_, (_, bound) = config_packing.fractional_plans(histogram)
+    volume = sum(k * n for k, n in histogram.items()) / 2048
+    assert volume < bound <= sum(n for _, n in config_packing.plan(histogram)) <= 1.01 * bound
