@@ -9,7 +9,8 @@ for equal values in the document and different ones for different values. So a q
 replaced throughout is caught, and prose of the same shape with unrelated values is not.
 
 Items shorter than a window are matched as one window of their own length. Windows of the benchmark with less than half
-literal words are too general and are skipped. The windows of the benchmark are broadcast if there are at most
+literal words are too general and are skipped; an item that has no other windows (sums, tables, lists of names) is
+matched by the raw words of its windows, so its exact copies are found and texts of the same shape are not. The windows of the benchmark are broadcast if there are at most
 ``BROADCAST_ROWS`` of them (16 bytes each), else joined by shuffle.
 
 Defined results: null and empty texts hold nothing and are held by nothing; rows with a null ``doc_id`` take part, with
@@ -51,34 +52,54 @@ def canonical(raw: Column) -> Column:
     return F.split(text, " ", -1)
 
 
-def _windows(tokens: Column, sizes: list[int]) -> Column:
-    """Structs (i, h) of all windows of the given sizes."""
-    def of(size: int) -> Column:
-        at = F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(
+def _literals(part: Column) -> Column:
+    return F.size(F.filter(part, lambda w: ~w.isin("<name>", "<num>", "<unit>")))
+
+
+def _raw_hash(part: Column) -> Column:
+    """Hash of raw words, whether marked as names or not; apart from the hashes of canonical words."""
+    return F.xxhash64(F.translate(F.array_join(part, " "), "\u0001", ""), F.lit("raw"))
+
+
+def _windows(tokens: Column, sizes: list[int], raw: Column | None = None, raw_sizes: list[int] = ()) -> Column:
+    """Structs (i, h) of all windows of the given sizes, by canonical words and, where general, by raw words."""
+    def at(size: int) -> Column:
+        return F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(
             F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i + 1, size)))
-    return F.flatten(F.array(*(F.transform(of(s), lambda h, i: F.struct(i.alias("i"), h.alias("h"))) for s in sizes)))
+    def of(size: int) -> Column:
+        return F.transform(at(size), lambda i: F.xxhash64(F.slice(tokens, i + 1, size)))
+    def of_raw(size: int) -> Column:
+        # the first word of an item may be literal there and a slot here, after other words
+        general = F.filter(at(size), lambda i: 2 * _literals(F.slice(tokens, i + 1, size)) < size + 2)
+        return F.transform(general, lambda i: F.struct(i.alias("i"), _raw_hash(F.slice(raw, i + 1, size)).alias("h")))
+    return F.flatten(F.array(*(F.transform(of(s), lambda h, i: F.struct(i.alias("i"), h.alias("h"))) for s in sizes),
+                             *(of_raw(s) for s in raw_sizes)))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, words, canon, total, i, h) of the windows of every benchmark item."""
+    """(item_id, words, canon, size, i, h, raw, total) of the windows of every benchmark item."""
     items = (benchmark.where(F.col("text").isNotNull()).select("item_id", words("text").alias("words"))
              .where(F.element_at("words", 1) != "").withColumn("canon", canonical(F.col("words"))).distinct()
              .withColumn("size", F.least(F.lit(window), F.size("canon"))))
     each = items.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("canon") - F.col("size"))))
     part = F.slice("canon", F.col("i") + 1, F.col("size"))
-    literal = F.size(F.filter(part, lambda w: ~w.isin("<name>", "<num>", "<unit>")))
-    each = each.withColumn("h", F.xxhash64(part)).where(2 * literal >= F.col("size"))
-    total = each.groupBy("item_id", "words").agg(F.count("*").alias("total"))
-    return each.join(total, ["item_id", "words"])
+    each = each.withColumn("general", 2 * _literals(part) < F.col("size"))
+    total = each.groupBy("item_id", "words").agg(
+        F.every("general").alias("raw"), F.count("*").alias("n"), F.count_if(~F.col("general")).alias("n_literal"))
+    return (each.join(total, ["item_id", "words"]).where(F.col("raw") | ~F.col("general"))
+            .withColumn("h", F.when(F.col("raw"), _raw_hash(F.slice("words", F.col("i") + 1, F.col("size"))))
+                        .otherwise(F.xxhash64(part)))
+            .withColumn("total", F.when(F.col("raw"), F.col("n")).otherwise(F.col("n_literal")))
+            .drop("general", "n", "n_literal"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                  min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, k, item_id, coverage, n_slots) of the items that documents hold; ``docs`` has doc_id, k and text."""
     items = stored(item_windows(benchmark, window), "benchmark-windows")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` sizes
-    if not sizes:
+    kinds_of = items.select("raw", "size").distinct().collect()  # at most twice ``window``
+    sizes, raw_sizes = (sorted(r["size"] for r in kinds_of if r["raw"] == raw) for raw in (False, True))
+    if not kinds_of:
         return (docs.limit(0).select("doc_id", "k", F.lit(0).cast("long").alias("item_id"),
                                      F.lit(0.0).alias("coverage"), F.lit(0).alias("n_slots")))
     wanted = items.select("h").distinct()
@@ -86,8 +107,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         wanted = F.broadcast(wanted)
     # the canonical words are computed once, below a generator, and exploded windows carry nothing but keys
     prepared = docs.select("doc_id", "k", F.explode(F.array(words("text"))).alias("words"))
-    prepared = prepared.select("doc_id", "k", F.explode(F.array(canonical(F.col("words")))).alias("canon"))
-    found = (prepared.select("doc_id", "k", F.explode(_windows(F.col("canon"), sizes)).alias("w"))
+    prepared = prepared.select("doc_id", "k", *(["words"] if raw_sizes else []),
+                               F.explode(F.array(canonical(F.col("words")))).alias("canon"))
+    found = (prepared.select("doc_id", "k", F.explode(_windows(F.col("canon"), sizes, F.col("words"), raw_sizes)).alias("w"))
              .select("doc_id", "k", F.col("w.i").alias("at"), F.col("w.h").alias("h")).join(wanted, "h", "left_semi"))
     found = stored(found, "benchmark-hits")
     aligned = (found.join(items.select("item_id", "words", "i", "h", "total"), "h")

@@ -110,6 +110,16 @@ def test_decontamination_brute_force(spark):
     assert {(5000, items[0][0]), (5001, items[1][0]), (5002, -1), (5004, -2), (None, -1)} <= got and (5003, -1) not in got
 
 
+def test_decontamination_finds_copies_of_general_items(spark):
+    sums, names = "12 + 7 = 19, 30 + 5 = 35, 8 + 8 = 16, 40 + 2 = 42", "the team was Anna, Bertram, Clara, David, Emil, Frida, Gustav"
+    bench = spark.createDataFrame([(1, sums), (2, names.split("was ")[1]), (3, "12 km 7 kg")], "item_id long, text string")
+    rows = [(1, f"now solve {sums} and go on"), (2, sums.replace("12", "13").replace("30", "31").replace("8", "9")),
+            (3, names + " and so on"), (4, names.replace("a,", "o,")), (5, "run 12 km 7 kg"), (6, "run 13 km 8 kg"), (7, sums)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", text_key())
+    got = {(r["doc_id"], r["item_id"]) for r in template_decontamination.contaminated(docs, bench).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (7, 1)}
+
+
 def test_decontamination_odd_input(spark, docs):
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
     extra = docs.withColumn("k", F.lit("x")).withColumn("words", F.lit(1)).withColumn("item_id", F.lit(2))
