@@ -137,24 +137,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, *keys: str) -> DataFrame:
-    """``keys`` (``doc_id`` among them), fingerprint ``fp`` and ``component_id`` of every row."""
+    """``keys`` (``doc_id`` among them), fingerprint ``fp``, ``root`` of the class and ``component_id`` of every row."""
     table = stored(fingerprints(docs, *keys), "simhash-fingerprints")
     nodes = stored(table.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     roots = components(links(nodes))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
-    linked = rooted.join(least, "root").select("fp", "least")
-    classes = stored(nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first_id").alias("component_id")),
-                     "simhash-classes")
+    linked = rooted.join(least, "root").select("fp", "root", "least")
+    classes = stored(nodes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first_id").alias("component_id")), "simhash-classes")
     return table.join(classes, "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate class: least id, then least text hash; repeated rows collapse."""
     rows = near_duplicate_classes(docs.withColumn("_llm_k", text_key()), "doc_id", "_llm_k")
-    # a class without any id is told apart by its fingerprint alone
-    best = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_llm_k")).alias("best"))
+    # by root, not by component_id: classes may share their least id, or have none
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_llm_k")).alias("best"))
     best = stored(best.select(F.col("best.doc_id").alias("_llm_id"), F.col("best._llm_k").alias("_llm_kk")), "simhash-kept")
     kept = docs.withColumn("_llm_k", text_key()).join(
         best, F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_k") == F.col("_llm_kk")), "left_semi")

@@ -188,6 +188,13 @@ def test_simhash_keeps_one(docs):
     assert simhash_pivots.keep_one(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_each_class_of_a_repeated_id(spark):
+    one, two = (" ".join(f"{a}{i}" for i in range(40)) for a in "xy")
+    rows = [(5, one), (5, two), (6, one), (7, two), (5, one), (None, "some words without id here"), (None, "others " * 9)]
+    kept = rows_of(simhash_pivots.keep_one(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(kept, key=str) == sorted([(5, one), (5, two), rows[5], rows[6]], key=str)
+
+
 # ------------------------------------------------------------------ 3, lines
 
 def brute_cuts(rows: list[tuple]) -> dict:
