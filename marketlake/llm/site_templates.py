@@ -1,13 +1,16 @@
 """Main text of web pages by site template removal.
 
 Every page is read into elements; each element's subtree (tag, class, id, role, text and what it holds, in order) is
-hashed. Spark counts the pages of a host on which a subtree occurs; a subtree found on at least ``MIN_PAGES`` pages of
-its host belongs to the site's template and is deleted, as are elements whose tag, role, class or id says that they are
+hashed. Spark counts the pages of a host on which a subtree occurs, pages of equal main text as one (so copies of an
+article do not make it a template); a subtree found on at least ``MIN_PAGES`` of them and on ``MIN_SHARE`` of all
+distinct pages of its host belongs to the site's template and is deleted, as are elements whose tag, role, class or id says that they are
 no content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments). What is left
 of the article (else of ``main``, else of a content container, else of the body) is the text.
 
 Repetition alone does not delete content: an article, a paragraph, heading, list item or cell inside one, and an element
-that holds at least half of the page's remaining text all stay, however many pages of the host repeat them.
+that holds at least half of the page's remaining text all stay, however many pages of the host repeat them. Template
+subtrees are deleted by falling number of pages, those of one number together, as long as the deletions sum to less than
+half of that text.
 
 Character references are decoded, white space is turned into single spaces, blocks are joined by one space in page
 order. Pages of one host may be a third of the table: counts are partial aggregates, and what a page must delete is
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import xxhash
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from marketlake.llm.common import map_columns, stored, text_key
 
 MIN_PAGES = 5
+MIN_SHARE = 0.001
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
                      r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -228,8 +232,8 @@ def template_candidates(page: Page) -> list[int]:
     return sorted(out)
 
 
-def main_text(page: Page, template: set[int]) -> str:
-    """Text of the page without what is marked as no content and without the subtrees in ``template``."""
+def main_text(page: Page, template: dict[int, int]) -> str:
+    """Text of the page without what is marked as no content and without the subtrees in ``template`` (hash: pages)."""
     gone = _marked(page)
     content = _content(page, gone)
     n = len(page.pieces)
@@ -239,9 +243,17 @@ def main_text(page: Page, template: set[int]) -> str:
         size = [0]
         for piece, ok in zip(page.pieces, live):
             size.append(size[-1] + (len(piece.strip()) if ok else 0))
-        ranges = [(e.start, e.end) for e in page.elements
-                  if e.digest in template and e.tag not in ("html", "body", "article", "main")
-                  and not (content and e.tag in _PROSE) and 2 * (size[e.end] - size[e.start]) < size[-1]]
+        tiers = defaultdict(list)
+        for e in page.elements:
+            if (e.digest in template and e.tag not in ("html", "body", "article", "main")
+                    and not (content and e.tag in _PROSE) and 2 * (size[e.end] - size[e.start]) < size[-1]):
+                tiers[template[e.digest]].append((e.start, e.end))
+        ranges: list[tuple[int, int]] = []
+        for _, tier in sorted(tiers.items(), reverse=True):
+            cut = _covered(ranges + tier, n)
+            if 2 * sum(size[i + 1] - size[i] for i in range(n) if cut[i]) >= size[-1] > 0:
+                break
+            ranges += tier
         live = [ok and not c for ok, c in zip(live, _covered(ranges, n))]
     return " ".join("".join(p if ok else " " for p, ok in zip(page.pieces, live)).split())
 
@@ -250,33 +262,39 @@ def host(url: str = "url") -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
     keyed = pages.select("page_id", "url", "html", host().alias("host"), text_key("html").alias("k"))
 
     def candidates():
         def run(hosts, ids, urls, keys, htmls):
-            out = {c: [] for c in ("host", "page_id", "url", "k", "h")}
+            out = {c: [] for c in ("host", "page_id", "url", "k", "main", "h")}
             for row in zip(hosts, ids, urls, keys, htmls):
-                for h in template_candidates(read_page(row[4] or "")):
-                    for c, v in zip(out, (*row[:4], h)):
+                page = read_page(row[4] or "")
+                main = xxhash.xxh3_64_intdigest(main_text(page, {}).encode("utf-8", "replace"))
+                main -= (main >> 63) << 64
+                for h in (None, *template_candidates(page)):  # None: the page itself
+                    for c, v in zip(out, (*row[:4], main, h)):
                         out[c].append(v)
             return out
         return run
 
     found = stored(map_columns(keyed, ["host", "page_id", "url", "k", "html"],
-                               "host string, page_id long, url string, k long, h long", candidates).dropDuplicates(),
-                   "page-subtrees")
-    often = stored(found.groupBy("host", "h").count().where(F.col("count") >= min_pages).select("host", "h"),
-                   "site-templates")
-    delete = (found.join(often, ["host", "h"]).groupBy("page_id", "url", "k").agg(F.collect_set("h").alias("template"))
+                               "host string, page_id long, url string, k long, main long, h long", candidates)
+                   .dropDuplicates(), "page-subtrees")
+    distinct = found.where(F.col("h").isNull()).groupBy("host").agg(F.count_distinct("main").alias("n_host"))
+    often = found.where(F.col("h").isNotNull()).groupBy("host", "h").agg(F.count_distinct("main").alias("n"))
+    often = stored(often.where(F.col("n") >= min_pages).join(distinct, "host")
+                   .where(F.col("n") >= min_share * F.col("n_host")).select("host", "h", "n"), "site-templates")
+    delete = (found.join(often, ["host", "h"]).groupBy("page_id", "url", "k")
+              .agg(F.collect_list(F.struct("h", "n")).alias("template"))
               .select(F.col("page_id").alias("t_id"), F.col("url").alias("t_url"), F.col("k").alias("t_k"), "template"))
     joined = keyed.join(delete.hint("merge"), F.col("page_id").eqNullSafe(F.col("t_id"))
                         & F.col("url").eqNullSafe(F.col("t_url")) & (F.col("k") == F.col("t_k")), "left")
 
     def texts():
         def run(ids, urls, htmls, templates):
-            got = [main_text(read_page(h or ""), set(t or ())) for h, t in zip(htmls, templates)]
+            got = [main_text(read_page(h or ""), {x["h"]: x["n"] for x in t or ()}) for h, t in zip(htmls, templates)]
             return {"page_id": ids, "url": urls, "text": got, "n_chars": [len(t) for t in got]}
         return run
 

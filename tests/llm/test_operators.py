@@ -497,6 +497,31 @@ def test_given_pages(spark):
         assert text[r["page_id"]] == " ".join(unescape(body).split())
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    block = "<div>{} block of the article with its own words</div>"
+    body = "".join(block.format(x) for x in ("first", "second", "third"))
+    shell = "<html><body><div>Site motto here</div>{}</body></html>"
+    rows = [(i, f"https://m.example/{i}?print", shell.format(f"<article>{body}</article>")) for i in range(6)]  # marked
+    rows += [(10 + i, f"https://n.example/{i}", shell.format(body.replace("div", "p"))) for i in range(6)]  # not marked
+    rows += [(20 + i, f"https://o.example/{i}", shell.format(f"<article>{body}<p>copy {i}</p></article>")) for i in range(6)]
+    rows += [(30 + i, f"https://p.example/{i}", shell.format(f"<div>text number {i} that is not short at all</div>"))
+             for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in site_templates.extract(pages).collect()}
+    want = " ".join(f"{x} block of the article with its own words" for x in ("first", "second", "third"))
+    for i in range(6):
+        assert text[i] == want and text[20 + i] == f"{want} copy {i}"
+        assert text[10 + i] == f"Site motto here {want}"
+    assert all(text[30 + i] == f"text number {i} that is not short at all" for i in range(12))
+    # a block on 12 of 240 distinct pages: template by the number of pages alone, not by half of them
+    many = [(i, f"https://q.example/{i}", shell.format(f"<div>a long enough text number {i} of the host</div>"
+             + ("<div>on twelve</div>" if i < 12 else ""))) for i in range(240)]
+    pages = spark.createDataFrame(many, "page_id long, url string, html string")
+    for share, kept in ((0.5, True), (0.001, False)):
+        text = {r["page_id"]: r["text"] for r in site_templates.extract(pages, min_share=share).collect()}
+        assert ("on twelve" in text[3]) == kept and "motto" not in text[3]
+
+
 # ------------------------------------------------------------------ 9, transcripts
 
 def test_transcripts_equal_one_viterbi_pass(spark, monkeypatch):
