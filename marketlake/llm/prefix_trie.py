@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from marketlake.functions.sequence import running_sum
 from marketlake.llm.common import stored
+from marketlake.llm.oracle_sql import CRC_TABLE, crc32_sql
 
 BASE = 8
 CELL = 1024
@@ -189,3 +190,44 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame, base: int = BASE) -> DataF
 
 def op11_prefix_trie(spark, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuild(numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+ORACLE = f"""
+WITH tab AS ({CRC_TABLE}),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT conv_id, max(pos) AS n FROM turns GROUP BY conv_id),
+plan AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS first,
+         {crc32_sql('conv_id::VARCHAR')} % 9 AS h
+  FROM sizes, tab),
+plans AS (SELECT p.*, least(h, coalesce(s.n, 0)) AS k FROM plan p LEFT JOIN sizes s ON s.conv_id = p.first),
+built AS (
+  SELECT p.conv_id, t.pos - p.h + p.k AS depth, t.role, t.text FROM plans p JOIN turns t USING (conv_id) WHERE t.pos > p.h
+  UNION ALL
+  SELECT p.conv_id, t.pos, t.role, t.text FROM plans p JOIN turns t ON t.conv_id = p.first WHERE t.pos <= p.h),
+steps AS (SELECT *, sha256(strlen(role)::VARCHAR || ':' || role || text) AS d, strlen(text) AS bytes FROM built),
+prefixes AS (
+  SELECT conv_id, 0 AS depth, 'root' AS name, 0 AS bytes FROM sizes
+  UNION ALL
+  SELECT conv_id, depth, sha256(string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY depth)), bytes FROM steps),
+lengths AS (SELECT conv_id, max(depth) AS n FROM prefixes GROUP BY conv_id),
+nodes AS (SELECT name, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, max(bytes) AS bytes FROM prefixes GROUP BY name),
+up AS (
+  SELECT n.name, n.conv_id, n.depth, n.n_convs, n.bytes, p.name AS parent
+  FROM nodes n LEFT JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+kids AS (SELECT parent AS name, count(*) AS n_children FROM up WHERE parent IS NOT NULL GROUP BY parent),
+sums AS (
+  SELECT p.name, sum((u.n_convs - 1) * u.bytes) AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM up u JOIN prefixes p ON p.conv_id = u.conv_id AND p.depth <= u.depth LEFT JOIN kids k ON k.name = u.name
+  GROUP BY p.name),
+ends AS (
+  SELECT name, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM prefixes JOIN lengths USING (conv_id) WHERE depth = n GROUP BY name)
+SELECT u.conv_id, u.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, u.n_convs, coalesce(k.n_children, 0) AS n_children,
+       s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM up u LEFT JOIN nodes above ON above.name = u.parent LEFT JOIN kids k ON k.name = u.name
+JOIN sums s ON s.name = u.name LEFT JOIN ends e ON e.name = u.name
+"""
