@@ -19,7 +19,7 @@ from ..operators import depth as dp, filters as fl, normalize as nz, quality
 from ..session import scratch_path
 from ..sources import frames as fr, json_feed as jf
 from ..sources.archive import read_archive, read_json_table
-from ..streaming import jobs
+from ..streaming import book, jobs
 from . import lifecycle as lc
 from .catalog import _M1_RULES, _as_of, _vp, register
 from .oracle_views import AS_OF, exchange_case
@@ -364,29 +364,35 @@ def _run(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame
 
 
 ARRIVALS = 6
+ARRIVAL_FILES = 4
 
 
 def _arriving(spark, df: DataFrame, name: str, heartbeat: bool = False, replay: bool = False) -> DataFrame:
-    """``df`` as a stream of ``ARRIVALS`` files, one per micro-batch, whose times
+    """``df`` as a stream of ``ARRIVALS`` sets of files, one set per micro-batch, whose times
     overlap by up to five minutes (rows arrive late). ``heartbeat`` adds a last
     file with one row far ahead that carries nothing but a time, which closes
-    every window; with ``replay`` each file also repeats the one before it."""
+    every window; with ``replay`` each set also repeats the one before it.
+
+    Every set has the same number of files, written by as many tasks, and ``maxFilesPerTrigger`` is that number."""
     path = scratch_path(spark, f"{name}-src")
     low, high = df.agg(F.min("timestamp"), F.max("timestamp")).first()
     at = F.timestamp_add("SECOND", F.pmod(F.xxhash64("id"), F.lit(300)), F.col("timestamp"))
     span = max(1.0, (high - low).total_seconds() + 300) / ARRIVALS
     arrived = df.withColumn("_n", F.floor(F.timestamp_diff("SECOND", F.lit(low.isoformat(" ")).cast("timestamp_ntz"), at)
                                           / span)).persist()
+    least = min(r["count"] for r in arrived.groupBy("_n").count().collect())
+    # dealt round by round, every file gets a row where a set has several rows for each task that deals
+    files = max(1, min(ARRIVAL_FILES, least // (2 * ARRIVAL_FILES * arrived.rdd.getNumPartitions())))
     for n in range(ARRIVALS + replay):
         keep = F.col("_n").between(n - 1, n) if replay else F.col("_n") == n
-        arrived.where(keep).drop("_n").coalesce(1).write.mode("append").parquet(path)
+        arrived.where(keep).drop("_n").repartition(files).write.mode("append").parquet(path)
     if heartbeat:
         far = F.timestamp_add("DAY", F.lit(10), F.lit(high.isoformat(" ")).cast("timestamp_ntz"))
         beat = spark.range(1).select(*[(far if f.name == "timestamp" else F.lit(None)).cast(f.dataType).alias(f.name)
                                        for f in df.schema.fields])
         beat.write.mode("append").parquet(path)
     arrived.unpersist()
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @register("T1_ingest", "SELECT * FROM ticks")
@@ -472,12 +478,23 @@ def q_t4_sliding(spark, base):
         SELECT DISTINCT ON (symbol, side, level) symbol, side, level, price, size, order_count, "timestamp", id
         FROM depth ORDER BY symbol, side, level, "timestamp" DESC, id DESC) b
     JOIN (SELECT symbol, max("timestamp") AS m FROM depth GROUP BY symbol) x USING (symbol)
-    WHERE b."timestamp" >= x.m - INTERVAL 1 DAY""")
+    WHERE b."timestamp" >= x.m - INTERVAL 1 DAY
+      AND b."timestamp" >= (SELECT max("timestamp") FROM depth) - INTERVAL 10 MINUTE - INTERVAL 1 DAY""")
 def q_t5(spark, base):
-    s = jobs.book_stream(_arriving(spark, fx.depth(spark, base), "book"), "1 day")
-    out = _run(spark, s, "book", "update")
-    newest = out.groupBy("symbol").agg(F.max("batch_id").alias("batch_id"))
-    return out.join(newest, ["symbol", "batch_id"], "left_semi").drop("batch_id")
+    """The book after all updates: levels go a day after their symbol's newest update, or after the watermark's."""
+    s = book.book_changes(_arriving(spark, fx.depth(spark, base), "book"), "1 day", "10 minutes")
+    return book.current_book(_run(spark, s, "book", "update"))
+
+
+@register("T5_book_expiry", """
+    SELECT symbol, side, level, max("timestamp") AS last_update FROM depth GROUP BY symbol, side, level""")
+def q_t5_expiry(spark, base):
+    """A heartbeat ten days ahead outlives every level: timers remove what no update has, each in its last version."""
+    s = book.book_changes(_arriving(spark, fx.depth(spark, base), "book-expiry", heartbeat=True), "1 day", "10 minutes")
+    log = _run(spark, s, "book-expiry", "update")
+    gone = log.where("removed").groupBy("symbol", "side", "level").agg(F.max("timestamp").alias("last_update"))
+    kept = book.current_book(log).select("symbol", "side", "level", F.lit(True).alias("kept"))
+    return gone.join(kept, ["symbol", "side", "level"], "left_anti")
 
 
 @register("T6_bars_stream", f"""

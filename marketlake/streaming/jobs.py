@@ -2,15 +2,14 @@
 
 Streams carry event time as TIMESTAMP (watermarks reject TIMESTAMP_NTZ);
 ``to_event_time`` / ``to_table_time`` convert at the edges. Stateful
-operators keep bounded state per key: the book of one symbol (levels x sides),
-the last tick time of a symbol, the last fired time of an alert type. Inside a
+operators keep bounded state per key: the last tick time of a symbol, the last
+fired time of an alert type (the book, T5, is in ``book.py``). Inside a
 micro-batch a key's rows are sorted by time before they touch the state, so
 the result does not depend on how rows arrive within a batch.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -166,56 +165,6 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str], watermark: str = "1 hou
     return to_table_time(t.dropDuplicatesWithinWatermark(list(keys)), ["timestamp"])
 
 
-# ------------------------------------------------------------------ T5: book state
-
-_BOOK_OUT = T.StructType([
-    T.StructField("symbol", T.StringType()), T.StructField("side", T.StringType()),
-    T.StructField("level", T.IntegerType()), T.StructField("price", T.StringType()),
-    T.StructField("size", T.IntegerType()), T.StructField("order_count", T.IntegerType()),
-    T.StructField("timestamp", T.TimestampType()), T.StructField("id", T.LongType()),
-])
-_JSON_STATE = T.StructType([T.StructField("payload", T.StringType())])
-
-
-def book_stream(depth: DataFrame, ttl: str = "1 minute") -> DataFrame:
-    """T5: current book per symbol as keyed state. Each update replaces its
-    (side, level); after each batch, levels older than the symbol's newest
-    update minus ``ttl`` are deleted (the time-to-live rule). Emits the
-    symbol's whole current book whenever it changes (update mode)."""
-    ttl_us = interval_micros(ttl)
-    src = to_event_time(depth).select(
-        "symbol", "side", "level", F.col("price").cast("string").alias("price"), "size",
-        "order_count", "timestamp", "id")
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        book = json.loads(state.get[0]) if state.exists else {}
-        # Chunks are folded one at a time (memory: one chunk plus the book);
-        # within a chunk only the newest row per level matters, and across
-        # chunks the newer (timestamp, id) wins, so arrival order is irrelevant.
-        for chunk in batches:
-            us = chunk["timestamp"].astype("datetime64[us]").astype("int64")
-            chunk = chunk.assign(t_us=us).sort_values(["t_us", "id"])
-            newest_rows = chunk.drop_duplicates(["side", "level"], keep="last")
-            for r in newest_rows.itertuples(index=False):
-                k = f"{r.side}|{int(r.level)}"
-                cur = book.get(k)
-                if cur is None or (int(r.t_us), int(r.id)) > (cur[3], cur[4]):
-                    book[k] = [r.price, int(r.size),
-                               None if pd.isna(r.order_count) else int(r.order_count),
-                               int(r.t_us), int(r.id)]
-        newest = max(v[3] for v in book.values())
-        book = {k: v for k, v in book.items() if v[3] >= newest - ttl_us}
-        state.update((json.dumps(book),))
-        out = [{"symbol": key[0], "side": k.split("|")[0], "level": int(k.split("|")[1]),
-                "price": v[0], "size": v[1], "order_count": v[2],
-                "timestamp": pd.Timestamp(v[3] * 1000), "id": v[4]} for k, v in book.items()]
-        yield pd.DataFrame(out, columns=[f.name for f in _BOOK_OUT.fields])
-
-    out = src.groupBy("symbol").applyInPandasWithState(step, _BOOK_OUT, _JSON_STATE, "update",
-                                                        "NoTimeout")
-    return to_table_time(out.withColumn("price", F.col("price").cast("decimal(20,8)")), ["timestamp"])
-
-
 # ------------------------------------------------------------------ T7: gaps and stalls
 
 _LAST_STATE = T.StructType([T.StructField("last_us", T.LongType())])

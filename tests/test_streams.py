@@ -2,10 +2,12 @@
 
 import datetime as dt
 import os
+import random
+from decimal import Decimal
 
 import pytest
 
-from marketlake.streaming import jobs
+from marketlake.streaming import book, jobs
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -86,3 +88,58 @@ def test_alert_cool_down_crosses_batches_and_keeps_its_payload(spark, tmp_path):
     jobs.run_to_completion(jobs.write_batches(jobs.alert_stream(stream, "250 seconds"), out, str(tmp_path / "c")))
     got = sorted((r.value, r.ts, r.severity) for r in spark.read.parquet(out).collect())
     assert got == [(float(j), at(100 * j), "warning") for j in range(0, 20, 3)]
+
+
+# ------------------------------------------------------------------ T5: the book as map state
+
+DEPTH = ("id long, symbol string, side string, level int, price decimal(20,8), size int, order_count int, "
+         "timestamp timestamp_ntz")
+
+
+def book_rows(*rows):
+    return [(i, symbol, side, level, Decimal(price), 1, None, at(second)) for i, symbol, side, level, price, second in rows]
+
+
+def run_book(spark, tmp_path, out="out"):
+    stream = spark.readStream.schema(DEPTH).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    q = jobs.write_batches(book.book_changes(stream, "60 seconds", "10 seconds"), str(tmp_path / out), str(tmp_path / "c"), "update")
+    jobs.run_to_completion(q)
+    return q
+
+
+def test_book_writes_changed_levels_and_expires_by_timer_across_a_restart(spark, tmp_path):
+    src = str(tmp_path / "src")
+    put(spark, src, book_rows(*((i, s, side, n, i, i % 5) for i, (s, side, n) in enumerate(
+        (s, side, n) for s in "AB" for side in "BS" for n in range(1, 11)))), DEPTH)
+    put(spark, src, book_rows((100, "A", "B", 3, 7, 30), (101, "A", "B", 3, 8, 31), (102, "A", "B", 3, 6, 29)), DEPTH)
+    q = run_book(spark, tmp_path)
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+    assert written[0] >= 40 and written[1] <= 3     # one level and the symbol's span, not the book
+    log = spark.read.parquet(str(tmp_path / "out"))
+    assert log.where("batch_id = 1").count() == 1 and book.current_book(log).count() == 40
+    assert book.current_book(log).where("symbol = 'A' and side = 'B' and level = 3").first().price == 8
+    # the job starts anew from its checkpoint: A moves on, B falls silent and goes by timer alone
+    put(spark, src, book_rows((103, "A", "S", 1, 9, 64)), DEPTH)
+    put(spark, src, book_rows((104, "A", "S", 2, 9, 140), (105, "A", "S", 9, 1, 20)), DEPTH)
+    run_book(spark, tmp_path)
+    log = spark.read.parquet(str(tmp_path / "out"))
+    now = {(r.symbol, r.side, r.level, r.timestamp) for r in book.current_book(log).collect()}
+    assert now == {("A", "S", 2, at(140))}
+    gone = log.where("removed and symbol = 'B'")
+    assert gone.count() == 20 and gone.select("batch_id").distinct().count() >= 1
+    assert log.where("symbol = 'B' and not removed").agg({"batch_id": "max"}).first()[0] == 0
+
+
+def test_book_equals_the_batch_rule_for_rows_of_one_batch_in_any_order(spark, tmp_path):
+    rng = random.Random(5)
+    rows = book_rows(*((i, rng.choice("AB"), rng.choice("BS"), rng.randint(1, 4), i, rng.randint(0, 100)) for i in range(400)))
+    newest, last = {}, {}
+    for r in sorted(rows, key=lambda r: (r[7], r[0])):
+        last[r[1:4]] = r
+        newest[r[1]] = r[7]
+    want = {(k, r[0]) for k, r in last.items() if r[7] >= newest[k[0]] - dt.timedelta(seconds=60)}
+    rng.shuffle(rows)
+    put(spark, str(tmp_path / "src"), rows, DEPTH)
+    run_book(spark, tmp_path)
+    got = {((r.symbol, r.side, r.level), r.id) for r in book.current_book(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    assert got == want
