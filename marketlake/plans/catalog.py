@@ -623,6 +623,7 @@ MONEY_COLUMNS = {
     'N4_feed_quotes': ('bid_price', 'ask_price'),
     'N6_feed_long_depth': ('price',),
     'S5_N3_binary_ticks': ('price',),
+    'S5_capture_ticks': ('price',),
     'E1_export_ticks_csv': ('price',),
     'E2_export_depth_csv': ('price',),
     'E3_export_profile_csv': ('price_level',),

@@ -17,7 +17,7 @@ from .. import fixtures as fx
 from ..functions.timefn import iso
 from ..operators import depth as dp, filters as fl, normalize as nz, quality
 from ..session import scratch_path
-from ..sources import frames as fr, json_feed as jf
+from ..sources import capture as cap, frames as fr, json_feed as jf
 from ..sources.archive import read_archive, read_json_table
 from ..streaming import book, jobs
 from . import lifecycle as lc
@@ -164,6 +164,45 @@ def q_s5_quotes(spark, base):
         F.col("ask_size").cast("int").alias("ask_size"))
 
 
+# ---------------------------------------------------------------- capture files
+
+CAPTURE_SPLIT = 1 << 17
+
+
+def captured(spark, base) -> DataFrame:
+    """Two capture files of all frames, read back in byte ranges small enough for several tasks a file."""
+    path = scratch_path(spark, "capture")
+    cap.write_capture(frame_table(spark, base).repartitionByRange(2, "id").sortWithinPartitions("id"), path)
+    return cap.capture_frames(spark, path, CAPTURE_SPLIT)
+
+
+@register("S5_capture_types", f"""
+    SELECT 'LAST_TRADE' AS type_name, count(*) AS frames FROM trades
+    UNION ALL SELECT 'BID_OFFER', count(*) FROM quotes
+    UNION ALL SELECT 'MARKET_DEPTH_UPDATE', {_SNAPS} UNION ALL SELECT 'UNKNOWN', {_SNAPS}""")
+def q_s5_capture_types(spark, base):
+    dec, _ = fr.decode_frames(captured(spark, base))
+    return dec.groupBy("type_name").agg(F.count(F.lit(1)).alias("frames"))
+
+
+@register("S5_capture_ticks", f"""
+    SELECT date_trunc('millisecond', "timestamp") AS "timestamp", symbol, {exchange_case('symbol')} AS exchange, price, size
+    FROM trades""")
+def q_s5_capture_ticks(spark, base):
+    dec, _ = fr.decode_frames(captured(spark, base))
+    ticks = nz.normalize_ticks_strict(dec.filter(F.col("type_name") == "LAST_TRADE"))
+    return ticks.select("timestamp", "symbol", "exchange", "price", "size")
+
+
+@register("S5_capture_quotes", """
+    SELECT symbol, CAST(bid_price AS DOUBLE) AS bid_price, bid_size, CAST(ask_price AS DOUBLE) AS ask_price, ask_size FROM quotes""")
+def q_s5_capture_quotes(spark, base):
+    dec, _ = fr.decode_frames(captured(spark, base))
+    return dec.filter(F.col("type_name") == "BID_OFFER").select(
+        "symbol", "bid_price", F.col("bid_size").cast("int").alias("bid_size"), "ask_price",
+        F.col("ask_size").cast("int").alias("ask_size"))
+
+
 # ---------------------------------------------------------------- rejects
 
 @register("S3_rejects", """
