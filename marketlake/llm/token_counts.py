@@ -7,12 +7,18 @@ offset, up to the last such boundary of the overlap. Where no boundary is proven
 taken up the whole chunk, the chunk is lengthened. So a count never differs from that of the text encoded at once, and
 memory is bounded by the chunk, or by the longest stretch without white space.
 
+Where the vocabulary's rules prove that no token or rule reaches across ASCII white space (``words_add_up``), the tokens
+of a shorter text are the sum of those of its words, and a bounded dictionary per task keeps the counts of words met
+before. Texts that hold the string of a special token in any case, and other vocabularies, are encoded whole.
+
 Defined results: null and empty text has 0 bytes and 0 tokens; ids may be null or repeat; an empty table gives an empty
-result.
+result; repeated rows are counted each by itself; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -23,6 +29,10 @@ CHUNK = 32_768
 OVERLAP = 512
 LIMIT = 2048
 BATCH_CHARS = 200_000
+KNOWN_WORDS = 1_000_000
+#: Words of lower-case Latin letters are one piece of the pre-tokenizer, and unchanged by normalisation.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+MARKS = b".,;:!?"
 
 
 @lru_cache(maxsize=2)
@@ -106,13 +116,117 @@ def count_tokens(tokenizer, texts: list[str | None], chunk: int = CHUNK) -> list
     return out
 
 
+def words_add_up(tokenizer) -> bool:
+    """Whether the tokens of a text are those of its words, split on ASCII white space: every normaliser works within
+    words, the pre-tokenizer keeps matches of a pattern without look-around or anchors and drops white space, and no
+    added token takes up white space."""
+    rules = json.loads(tokenizer.to_str())
+    normalizer = rules["normalizer"] or {"type": "Sequence", "normalizers": []}
+    steps = normalizer.get("normalizers", [normalizer])
+    inside = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"}
+                 and n["content"] == " " for n in steps)
+    pieces = rules["pre_tokenizer"] or {}
+    pieces = pieces.get("pretokenizers", [pieces])
+    if not inside or len(pieces) != 2 or pieces[0].get("type") != "Split" or pieces[1].get("type") != "ByteLevel":
+        return False
+    pattern = pieces[0]["pattern"].get("Regex", "(?")
+    loose = "(?" in pattern or re.search(r"\\[bBAzZG]|\$|(?<!\[)\^", pattern)
+    split = pieces[0]["behavior"] == "Removed" and pieces[0]["invert"] and not pieces[1]["use_regex"] and not pieces[1]["add_prefix_space"]
+    model = rules["model"]
+    added = [t["content"] for t in rules["added_tokens"]]
+    plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in rules["added_tokens"])
+    return bool(not loose and split and plain and model["type"] == "BPE" and not model["dropout"] and rules["post_processor"] is None
+                and rules["truncation"] is None and rules["padding"] is None
+                and not any(c in ASCII_SPACE or t.lower().endswith(chr(m)) for t in added for c in t for m in MARKS)
+                and all(not tokenizer.encode(c, add_special_tokens=False).ids for c in ASCII_SPACE)
+                and all(len(tokenizer.encode(f"a{c}b", add_special_tokens=False).ids) == 2 for c in ASCII_SPACE))
+
+
+class WordCounts:
+    """Token counts of texts as sums over their words, with a bounded dictionary from lower-case word to count."""
+
+    def __init__(self, tokenizer, known: int = KNOWN_WORDS):
+        self.tokenizer, self.known, self.counts = tokenizer, known, {}
+        rules = json.loads(tokenizer.to_str())
+        self.special = [t["content"].lower().encode() for t in rules["added_tokens"]]
+        self.lower = any(n["type"] == "Lowercase" for n in (rules["normalizer"] or {}).get("normalizers", []))
+
+    def words(self, raw: bytes) -> list[bytes] | None:
+        """Words of a text, or None if it may hold a special token."""
+        low = raw.lower()
+        if any(s in low for s in self.special):
+            return None
+        return (low if self.lower else raw).split()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Count the tokens of new words; a mark after a Latin letter or digit is a piece of its own."""
+        if len(self.counts) + len(words) > self.known:
+            self.counts = {}
+        tails = {w for w in words if len(w) > 1 and w[-1] in MARKS and w[-2:-1].isalnum()}
+        bases = {w[:-1] for w in tails} | {w[-1:] for w in tails} | (words - tails)
+        new = [w.decode() for w in bases if w not in self.counts]
+        plain = [w for w in new if PLAIN.fullmatch(w)] if self.lower else []
+        for at in range(0, len(plain), 2000):
+            some = plain[at:at + 2000]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False).word_ids
+            sizes: dict[int, int] = {}
+            for piece in got:
+                sizes[piece] = sizes.get(piece, 0) + 1
+            if len(sizes) == len(some):
+                self.counts.update(zip([w.encode() for w in some], sizes.values()))
+        rest = [w for w in new if w.encode() not in self.counts]
+        for w, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.counts[w.encode()] = len(got)
+        for w in tails:
+            self.counts[w] = self.counts[w[:-1]] + self.counts[w[-1:]]
+
+    def __call__(self, raws: list[bytes]) -> list[int | None]:
+        """Tokens of each text; None where it must be encoded whole."""
+        split = [self.words(raw) for raw in raws]
+        words = {w for held in split if held for w in held}
+        new = words - self.counts.keys()
+        if new:
+            if len(self.counts) + len(new) > self.known:
+                self.counts, new = {}, words
+            self.learn(new)
+        return [None if held is None else sum(map(self.counts.__getitem__, held)) for held in split]
+
+
+def count_texts(tokenizer, texts: list[str | None], words: WordCounts | None, chunk: int = CHUNK) -> list[int]:
+    """Tokens of each text: huge ones spliced, others by their words, or encoded whole."""
+    out: list[int] = [0] * len(texts)
+    whole, short, size = list(range(len(texts))), [], 0
+
+    def add_up() -> None:
+        for i, n in zip(short, words([texts[i].encode() for i in short])):
+            if n is None:
+                whole.append(i)
+            else:
+                out[i] = n
+
+    if words is not None:
+        whole = [i for i, t in enumerate(texts) if t and len(t) > chunk]
+        for i, text in enumerate(texts):
+            if text and len(text) <= chunk:
+                short.append(i)
+                size += len(text)
+                if size > BATCH_CHARS:
+                    add_up()
+                    short, size = [], 0
+        add_up()
+    for i, n in zip(whole, count_tokens(tokenizer, [texts[i] for i in whole], chunk)):
+        out[i] = n
+    return out
+
+
 def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document row."""
     def start():
         tokenizer = _tokenizer(vocabulary)
+        words = WordCounts(tokenizer) if words_add_up(tokenizer) else None
 
         def run(ids, texts):
-            counts = count_tokens(tokenizer, texts)
+            counts = count_texts(tokenizer, texts, words)
             return {"doc_id": ids, "n_bytes": [len(t.encode("utf-8")) if t else 0 for t in texts], "n_tokens": counts,
                     "over_limit": [n > limit for n in counts]}
         return run
