@@ -2,8 +2,9 @@
 
 The lexicon is learned from labelled rows: words, and open stems (trie nodes that stand for every longer word), that many
 toxic and few clean documents hold. A word of a text is looked up by walking the trie and the Levenshtein automaton of
-the word together, bit masks holding the automaton's states, so only prefixes within the allowed distance are visited:
-one edit for words of 5 letters or more (of 4 if the word holds a character that is no letter), two from 9 on. Words
+the word together, bit masks holding the automaton's states, so only prefixes within the allowed distance are visited.
+An exact filter keeps the walk to the paths of terms that can be near: words within r edits share a string that is left
+when up to r letters are deleted from each. Allowed is one edit for words of 5 letters or more (of 4 if the word holds a character that is no letter), two from 9 on. Words
 that clean documents hold are no misspellings, whatever they resemble.
 
 Every hit is weighed by its window: between quotation marks, or near a word that reports or names speech, it counts as
@@ -37,6 +38,7 @@ TERMS = 3000
 KNOWN = 50_000
 CACHE = 300_000
 WINDOW = 6
+LONGEST = 40
 CUT = 0.7
 #: Lexicon: least toxic documents of a word and of a stem, least log ratio, lengths of stems.
 MIN_DOCS, MIN_STEM_DOCS, MIN_RATIO = 3, 5, 2.5
@@ -69,6 +71,15 @@ def allowed(word: str) -> int:
     return 1 if len(word) < 9 else 2
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """``word`` and what is left of it when up to ``most`` letters are deleted."""
+    found = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        found = found | last
+    return found
+
+
 class Lexicon:
     """Terms and open stems in one trie, with the clean words that are no misspellings."""
 
@@ -85,9 +96,36 @@ class Lexicon:
                     self.children.append({})
                     self.weight.append(None)
             self.weight[node] = terms[term]
-
-    def nearest(self, word: str, most: int) -> tuple[int, float] | None:
-        """(distance, weight) of the nearest term within ``most`` edits; the heaviest of equals.
+        #: By allowed edits: what is left of the terms that a word with so many edits may be near to, and the nodes of
+        #: their paths.
+        self.left: dict[int, dict[str, set[int]]] = {1: {}, 2: {}}
+        for term in terms:
+            path, node = [], 0
+            for ch in term:
+                node = self.children[node][ch]
+                path.append(node)
+            for most, fits in ((1, len(term) <= 9), (2, len(term) >= 7)):
+                for w in shortened(term, most) if fits else ():
+                    self.left[most].setdefault(w, set()).update(path)
+
+    def paths(self, word: str, most: int) -> set[int]:
+        """Nodes of the paths of terms that can be within ``most`` edits; empty where none is."""
+        left, found = self.left[most], set()
+        once = [word[:i] + word[i + 1:] for i in range(len(word))]
+        for w in (word, *once):
+            if w in left:
+                found |= left[w]
+        if most == 2:
+            for k, w in enumerate(once):
+                for i in range(k, len(w)):
+                    twice = w[:i] + w[i + 1:]
+                    if twice in left:
+                        found |= left[twice]
+        return found
+
+    def nearest(self, word: str, most: int, paths: set[int] | None = None) -> tuple[int, float] | None:
+        """(distance, weight) of the nearest term within ``most`` edits; the heaviest of equals. ``paths`` may name the
+        nodes worth visiting.
 
         State ``r`` of a node is a mask: bit i is set if the first i letters of the word are within r edits of the path."""
         masks: dict[str, int] = {}
@@ -99,6 +137,8 @@ class Lexicon:
         while todo:
             node, state = todo.pop()
             for ch, child in self.children[node].items():
+                if paths is not None and child not in paths:
+                    continue
                 hit = masks.get(ch, 0)
                 now = [state[0] << 1 & hit]
                 for r in range(1, most + 1):
@@ -126,9 +166,10 @@ class Lexicon:
         if found is not None:
             return True, found
         most = allowed(word)
-        if not most or word in self.known or len(word) > 64:
+        if not most or word in self.known or len(word) > LONGEST + 2:
             return None
-        near = self.nearest(word, most)
+        paths = self.paths(word, most)
+        near = self.nearest(word, most, paths) if paths else None
         return (False, near[1] / (1 + near[0])) if near else None
 
 
@@ -193,7 +234,7 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS, known: int = KNOWN) -> Le
             words, toxic = [], []
             for text, mark in zip(texts, marks):
                 found = {core(t) for t in (text or "").lower().split()}
-                found = {w for w in found if 2 < len(w) <= 40}
+                found = {w for w in found if 2 < len(w) <= LONGEST}
                 entries = found | {w[:n] + "*" for w in found for n in STEMS if len(w) > n and w[:n].isalpha()}
                 words += entries
                 toxic += [mark] * len(entries)
@@ -215,11 +256,12 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS, known: int = KNOWN) -> Le
     draft = Lexicon(words, stems, frozenset())
 
     def near():
-        def run(found):
-            return {"word": [w for w in found if w not in draft.terms and (got := draft.look_up(w)) and not got[0]]}
+        def run(found, good):
+            held = [(w, n) for w, n in zip(found, good) if w not in draft.terms and (got := draft.look_up(w)) and not got[0]]
+            return {"word": [w for w, _ in held], "good": [n for _, n in held]}
         return run
-    clean = (counts.where(~stem & (F.col("good") > 0) & (ratio < MIN_RATIO)).orderBy(F.desc("good"), "word"))
-    clean = map_columns(clean.select("word"), ["word"], "word string", near).limit(known)
+    clean = counts.where(~stem & (F.col("good") > 0) & (ratio < MIN_RATIO))
+    clean = map_columns(clean, ["word", "good"], "word string, good long", near).orderBy(F.desc("good"), "word").limit(known)
     return Lexicon(words, stems, frozenset(r.word for r in clean.collect()))
 
 

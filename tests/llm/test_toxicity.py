@@ -35,6 +35,21 @@ def test_automata_equal_edit_distances():
         assert got == (None if want[0] > most else (want[0], -want[1]))
 
 
+def test_the_filter_before_the_walk_drops_no_match():
+    rng = random.Random(3)
+    terms = {"".join(rng.choice("abc") for _ in range(rng.randint(4, 13))): 1.0 for _ in range(40)}
+    lexicon = tox.Lexicon(terms, {}, frozenset())
+    passed = 0
+    for _ in range(4000):
+        word = "".join(rng.choice("abc*") for _ in range(rng.randint(4, 13)))
+        most = tox.allowed(word)
+        if most:
+            near = lexicon.nearest(word, most)
+            assert near == lexicon.nearest(word, most, lexicon.paths(word, most))
+            passed += near is not None
+    assert passed > 100
+
+
 def test_misspelled_words_and_clean_neighbours():
     lexicon = tox.Lexicon({"idiot": 4.0, "worthless": 3.0, "scum": 5.0}, {"moroni": 2.0}, frozenset({"idiom"}))
     assert lexicon.look_up("idiot!!") == (True, 4.0) and lexicon.look_up("id1ot,") == (False, 2.0)
