@@ -222,7 +222,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     few = F.lit(False)
     for t, bound in bounds.items():
         few = few | ((F.col("toxic") == t) & (hash_class("doc_id") < bound))
-    rows = (docs.select("doc_id", "text").join(marks.where(few), "doc_id")
+    # the marks of the sample are about two samples of (id, label), whatever the corpus holds
+    wanted = F.broadcast(marks.where(few))
+    rows = (docs.select("doc_id", "text").where(hash_class("doc_id") < max(bounds.values(), default=0)).join(wanted, "doc_id")
             .select("text", F.col("toxic").cast("int").alias("toxic"), (hash_class("doc_id") % 3).alias("part")))
     return stored(rows, "toxic-sample"), {t: 1_000_000 / bound for t, bound in bounds.items()}
 
