@@ -633,10 +633,18 @@ MONEY_COLUMNS = {
     'E7_purge': ('price',),
     'E7_purge_table': ('price',),
     'T1_ingest': ('price',),
+    'T2_bounded_ingest': ('price',),
     'T1_feed_ingest_ticks': ('price',),
     'T3_subscribed_stream': ('price',),
     'T4_live_stats_stream': ('max_price',),
     'T4_live_stats_sliding': ('max_price',),
+    'T4_live_view': ('max_price',),
+    'O1_newest_from_days': ('price',),
+    'T9_replay_weeks_later': ('price',),
+    'A14_bars_refreshed': ('open_price', 'high_price', 'low_price', 'close_price'),
+    'A13_profile_refreshed': ('price_level',),
+    'T6_bars_corrected': ('open_price', 'high_price', 'low_price', 'close_price'),
+    'T6_profile_corrected': ('price_level',),
     'T5_book_stream': ('price',),
     'T6_bars_stream': ('open_price', 'high_price', 'low_price', 'close_price'),
     'T9_dedup_stream': ('price',),
@@ -659,7 +667,7 @@ def _oracle_money_as_double(name: str, sql: str) -> str:
 
 
 def queries() -> dict[str, QueryFn]:
-    from . import catalog_io  # noqa: F401  (registers ingest, life-cycle and stream queries)
+    from . import catalog_io, catalog_stored  # noqa: F401  (register ingest, life-cycle, stream and layout queries)
 
     def wrap(fn: QueryFn) -> QueryFn:
         return lambda spark, base: _money_as_double(fn(spark, base))
@@ -667,5 +675,5 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracles() -> dict[str, str]:
-    from . import catalog_io  # noqa: F401
+    from . import catalog_io, catalog_stored  # noqa: F401
     return {k: _oracle_money_as_double(k, v[1]) for k, v in REGISTRY.items() if v[1] is not None}

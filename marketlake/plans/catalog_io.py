@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixtures as fx
 from ..functions.timefn import iso
-from ..operators import depth as dp, filters as fl, normalize as nz, quality
+from ..operators import depth as dp, filters as fl, normalize as nz, quality, rollup
 from ..session import scratch_path
-from ..sources import capture as cap, frames as fr, json_feed as jf
+from ..sources import bounded, capture as cap, frames as fr, json_feed as jf
 from ..sources.archive import read_archive, read_json_table
-from ..streaming import book, jobs
+from ..streaming import book, jobs, live
 from . import lifecycle as lc
 from .catalog import _M1_RULES, _as_of, _vp, register
 from .oracle_views import AS_OF, exchange_case
@@ -442,6 +442,33 @@ def q_t1(spark, base):
     return spark.read.parquet(out).select(*t.columns)
 
 
+T2_MAX_ROWS = 2_000
+
+
+def _bounded_ingest(spark, base, name: str) -> DataFrame:
+    """T1 through the row-bounded source: nothing waits for more rows, no batch is above the bound."""
+    src, out = scratch_path(spark, f"{name}-src"), scratch_path(spark, f"{name}-out")
+    t = fx.ticks(spark, base)
+    t.repartition(3).write.parquet(src)
+    stream = bounded.bounded_stream(spark, src, scratch_path(spark, f"{name}-log"), t.schema, batch_seconds=0, max_rows=T2_MAX_ROWS)
+    q = jobs.write_batches(stream, out, scratch_path(spark, f"{name}-ckpt"), available_now=False, interval="0 seconds")
+    jobs.drain(q)
+    return spark.read.parquet(out)
+
+
+@register("T2_bounded_ingest", "SELECT * FROM ticks")
+def q_t2(spark, base):
+    return _bounded_ingest(spark, base, "bounded").drop("batch_id")
+
+
+@register("T2_bounded_batches", f"""
+    SELECT CAST(b AS BIGINT) AS batch, CAST(least({T2_MAX_ROWS}, n - b * {T2_MAX_ROWS}) AS BIGINT) AS row_count
+    FROM (SELECT count(*) AS n FROM ticks), range(1000000) AS r(b) WHERE b * {T2_MAX_ROWS} < n""")
+def q_t2_batches(spark, base):
+    return _bounded_ingest(spark, base, "bounded-batches").groupBy(F.col("batch_id").cast("bigint").alias("batch")).agg(
+        F.count(F.lit(1)).alias("row_count"))
+
+
 def _feed_ingest(spark, base) -> str:
     src = scratch_path(spark, "feed-src")
     feed_lines(spark, base).write.text(src)
@@ -493,23 +520,124 @@ def q_t3(spark, base):
            count(*) AS tick_count, max(price) AS max_price, max("timestamp") AS last_update
     FROM ticks GROUP BY 1, 2, symbol""")
 def q_t4(spark, base):
-    s = jobs.live_stats_stream(_arriving(spark, fx.ticks(spark, base), "live", heartbeat=True), "1 hour", None, "10 minutes")
+    s = jobs.live_stats_stream(_arriving(spark, fx.ticks(spark, base), "live", heartbeat=True), "1 hour", "10 minutes")
     return _run(spark, s, "live-stats").drop("batch_id")
 
 
-@register("T4_live_stats_sliding", f"""
+_SLIDING = """
     WITH w AS (
         SELECT symbol, price, "timestamp",
                time_bucket(INTERVAL 2 SECOND, "timestamp") - k * INTERVAL 2 SECOND AS window_start
         FROM ticks, range(30) AS r(k))
     SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, symbol, count(*) AS tick_count,
            max(price) AS max_price, max("timestamp") AS last_update
-    FROM w GROUP BY 1, 2, symbol""")
+    FROM w GROUP BY 1, 2, symbol"""
+
+
+@register("T4_live_stats_sliding", _SLIDING)
 def q_t4_sliding(spark, base):
-    """The live view as the console shows it: 1-minute activity refreshed every 2 seconds."""
-    s = jobs.live_stats_stream(_arriving(spark, fx.ticks(spark, base), "sliding", heartbeat=True), "1 minute",
-                               jobs.LIVE_REFRESH, "10 minutes")
-    return _run(spark, s, "live-sliding").drop("batch_id")
+    """The live view as the console shows it, 1-minute activity refreshed every 2 seconds: closed panes from the
+    stream, put together into windows when they are read."""
+    pane = rollup.activity(live.pane_length("1 minute", jobs.LIVE_REFRESH))
+    s = jobs.live_stats_stream(_arriving(spark, fx.ticks(spark, base), "sliding", heartbeat=True), pane.period, "10 minutes")
+    panes = _run(spark, s, "live-sliding").drop("batch_id").withColumnsRenamed(
+        {"window_start": "period_start", "window_end": "period_end"})
+    return pane.shown(rollup.sliding(pane, panes, "1 minute", jobs.LIVE_REFRESH))
+
+
+def _live(spark, stream: DataFrame, pane: rollup.Rollup, name: str) -> str:
+    out = scratch_path(spark, f"{name}-out")
+    jobs.run_to_completion(live.live_panes(stream, pane, out, scratch_path(spark, f"{name}-ckpt")))
+    return out
+
+
+@register("T4_live_view", _SLIDING)
+def q_t4_live_view(spark, base):
+    """Update mode: the view holds every window, open ones too; no heartbeat has to close them."""
+    pane = rollup.activity(live.pane_length("1 minute", jobs.LIVE_REFRESH))
+    out = _live(spark, _arriving(spark, fx.ticks(spark, base), "live-view"), pane, "live-view")
+    return pane.shown(live.live_view(spark, out, pane, "1 minute", jobs.LIVE_REFRESH))
+
+
+@register("A8_live_levels_stream", """
+    WITH w AS (
+        SELECT symbol, level, time_bucket(INTERVAL 2 SECOND, "timestamp") - k * INTERVAL 2 SECOND AS period_start
+        FROM depth, range(5) AS r(k))
+    SELECT symbol, period_start, period_start + INTERVAL 10 SECOND AS period_end, count(*) AS updates,
+           count(DISTINCT level) AS distinct_levels
+    FROM w GROUP BY symbol, period_start""")
+def q_a8_stream(spark, base):
+    """Distinct levels of the last 10 seconds, refreshed every 2: sketches per pane, merged over sliding windows."""
+    pane = rollup.levels(live.pane_length("10 seconds", "2 seconds"))
+    out = _live(spark, _arriving(spark, fx.depth(spark, base), "live-levels"), pane, "live-levels")
+    return pane.shown(live.live_view(spark, out, pane, "10 seconds", "2 seconds"))
+
+
+def _out_of_order(spark, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a stream in six sets by id: most rows come later than any bound on lateness."""
+    path = scratch_path(spark, f"{name}-src")
+    for n in range(ARRIVALS):
+        df.where(F.col("id") % ARRIVALS == n).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _corrected(spark, base, what: rollup.Rollup, name: str) -> str:
+    out = scratch_path(spark, f"{name}-out")
+    jobs.run_to_completion(live.rollup_with_corrections(_out_of_order(spark, fx.ticks(spark, base), name), what, out,
+                                                        scratch_path(spark, f"{name}-ckpt")))
+    return out
+
+
+_HOUR_BARS = """
+    SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS "timestamp", symbol,
+           arg_min(price, ("timestamp", id)) AS open_price, max(price) AS high_price, min(price) AS low_price,
+           arg_max(price, ("timestamp", id)) AS close_price, CAST(sum(size) AS BIGINT) AS volume, count(*) AS trade_count,
+           CAST(sum(CASE WHEN aggressor_side = 'BUY' THEN size ELSE 0 END) AS BIGINT) AS buy_volume,
+           CAST(sum(CASE WHEN aggressor_side = 'SELL' THEN size ELSE 0 END) AS BIGINT) AS sell_volume,
+           CAST(sum(CASE WHEN aggressor_side = 'BUY' THEN size ELSE 0 END)
+              - sum(CASE WHEN aggressor_side = 'SELL' THEN size ELSE 0 END) AS BIGINT) AS delta, 60 AS period_minutes
+    FROM ticks GROUP BY 1, symbol"""
+
+
+@register("T6_bars_corrected", f"""
+    SELECT * FROM ({_HOUR_BARS}) b
+    WHERE b."timestamp" + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM ticks) - INTERVAL 10 MINUTE""")
+def q_t6_corrected(spark, base):
+    """Closed bars, corrected by rows that came behind the watermark."""
+    bars = rollup.bars("1 hour")
+    return live.closed_results(spark, _corrected(spark, base, bars, "bars-late"), bars)
+
+
+_HOUR_PROFILE = """
+    SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS "timestamp", symbol, CAST(floor(price) AS DECIMAL(20,8)) AS price_level,
+           CAST(sum(CASE WHEN aggressor_side = 'BUY' THEN size ELSE 0 END) AS BIGINT) AS buy_volume,
+           CAST(sum(CASE WHEN aggressor_side = 'SELL' THEN size ELSE 0 END) AS BIGINT) AS sell_volume,
+           CAST(sum(size) AS BIGINT) AS total_volume,
+           count(*) FILTER (WHERE aggressor_side = 'BUY') AS buy_trades,
+           count(*) FILTER (WHERE aggressor_side = 'SELL') AS sell_trades,
+           CAST(sum(CASE WHEN aggressor_side = 'BUY' THEN size ELSE 0 END)
+              - sum(CASE WHEN aggressor_side = 'SELL' THEN size ELSE 0 END) AS BIGINT) AS delta,
+           time_bucket(INTERVAL 1 HOUR, "timestamp") AS period_start,
+           time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR AS period_end
+    FROM ticks GROUP BY 1, 2, 3"""
+
+
+@register("T6_profile_corrected", f"""
+    SELECT * FROM ({_HOUR_PROFILE}) p
+    WHERE p.period_end <= (SELECT max("timestamp") FROM ticks) - INTERVAL 10 MINUTE""")
+def q_t6_profile_corrected(spark, base):
+    profile = rollup.profile("1 hour")
+    return live.closed_results(spark, _corrected(spark, base, profile, "profile-late"), profile)
+
+
+@register("T6_late_rows", f"""
+    WITH m AS (SELECT n, max("timestamp") - INTERVAL 10 MINUTE AS mark
+               FROM range({ARRIVALS}) AS r(n) JOIN ticks ON id % {ARRIVALS} < n GROUP BY n)
+    SELECT t.id, t.symbol, t."timestamp" FROM ticks t JOIN m ON m.n = t.id % {ARRIVALS}
+    WHERE time_bucket(INTERVAL 1 HOUR, t."timestamp") + INTERVAL 1 HOUR <= m.mark""")
+def q_t6_late(spark, base):
+    """The late table: rows whose bar had closed when they came."""
+    return live.late_rows(spark, _corrected(spark, base, rollup.bars("1 hour"), "late")).select("id", "symbol", "timestamp")
 
 
 @register("T5_book_stream", """

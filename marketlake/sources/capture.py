@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
+from .stores import store_of
 
 SPLIT_BYTES = 128 << 20
 CHAIN = 8
@@ -45,9 +46,7 @@ _RANGES = "file string, size long, n long, start long, end long, entry long, exi
 
 def open_at(uri: str) -> Callable[[int, int], bytes]:
     """A function that reads ``length`` bytes at an offset of a file (local, or any store pyarrow knows)."""
-    from pyarrow import fs
-    where = "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-    store, path = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
+    store, path = store_of(uri)
     handle = store.open_input_file(path)
 
     def read(offset: int, length: int) -> bytes:
@@ -189,12 +188,9 @@ def write_capture(frames: DataFrame, path: str, col: str = "frame") -> int:
     """Write the frames of each partition, in their order, as one capture file; returns the number of bytes.
 
     A task writes under a name of its own and renames at its end, so a task that runs again replaces its file."""
-    where = path if "://" in path else path.removeprefix("file:")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
-        store, folder = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
+        store, folder = store_of(path)
         store.create_dir(folder, recursive=True)
         part, written = TaskContext.get().partitionId(), 0
         draft = f"{folder}/.{part}-{uuid.uuid4().hex}"

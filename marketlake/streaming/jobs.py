@@ -10,7 +10,6 @@ the result does not depend on how rows arrive within a batch.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,8 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.timefn import interval_micros
 from ..operators.flow import price_level
 
-# Fixed values of the reference: collector batching and polling knobs.
-BATCH_ROWS, BATCH_SECONDS, QUEUE_CAP = 100, 5, 10_000
+# Fixed value of the reference: polling knob of the console (the collector's batching is in ``sources.bounded``).
 LIVE_REFRESH = "2 seconds"
 
 
@@ -42,23 +40,29 @@ def to_table_time(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def trigger_options(available_now: bool = True, interval: str = f"{BATCH_SECONDS} seconds") -> dict:
+def trigger_options(available_now: bool = True, interval: str = "5 seconds") -> dict:
     """Run to completion (backfill / tests) or every ``interval``."""
     return {"availableNow": True} if available_now else {"processingTime": interval}
 
 
-def source_rate_options(kind: str = "files", max_files: int = 1) -> dict:
-    """Bound each micro-batch - the declared queue cap for offset-based
-    sources (Kafka-style), a file count for file sources."""
-    return {"maxOffsetsPerTrigger": QUEUE_CAP} if kind == "offsets" else {"maxFilesPerTrigger": max_files}
-
-
 def run_to_completion(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
 
 
+def drain(query) -> None:
+    """Run a started query until its source has nothing more to admit, then stop it (for sources that bound a batch
+    themselves, of which ``availableNow`` would run a single batch). A restarted source first offers what it admitted
+    last, which may be nothing new: only the second time is nothing new the end."""
+    try:
+        query.processAllAvailable()
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    run_to_completion(query)
+
+
 def write_batch_once(batch: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
     """Write a micro-batch to its own ``batch_id`` folder of a table; a batch that
     is run again replaces its folder, so a restart adds no rows twice."""
@@ -103,21 +107,16 @@ def subscribed_ingest(stream: DataFrame, subscriptions: Callable[[], DataFrame],
 
 # ------------------------------------------------------------------ T4 / T6 / T9
 
-def live_stats_stream(ticks: DataFrame, window: str = "1 minute", slide: str | None = None,
-                      watermark: str = "1 minute") -> DataFrame:
-    """T4: activity per symbol and (sliding) window; append mode emits a window
-    once the watermark passes its end, so state stays bounded. Sliding windows
-    are put together from panes (the longest step that divides window and
-    slide): a row is aggregated once, and only panes meet all their windows."""
+def live_stats_stream(ticks: DataFrame, window: str = "1 minute", watermark: str = "1 minute") -> DataFrame:
+    """T4: activity per symbol and window; append mode emits a window once the
+    watermark passes its end, so state stays bounded. For sliding windows, run
+    it over panes and put the windows together from them
+    (``operators.rollup.sliding``): a row is aggregated once. ``live.py`` has
+    the view that shows open windows."""
     t = to_event_time(ticks).withWatermark("timestamp", watermark)
-    pane = f"{math.gcd(interval_micros(window), interval_micros(slide))} microseconds" if slide else window
-    out = t.groupBy(F.window("timestamp", pane).alias("w"), "symbol").agg(
+    out = t.groupBy(F.window("timestamp", window).alias("w"), "symbol").agg(
         F.count(F.lit(1)).alias("tick_count"), F.max("price").alias("max_price"),
         F.max("timestamp").alias("last_update"))
-    if slide:
-        out = out.groupBy(F.window(F.window_time("w"), window, slide).alias("w"), "symbol").agg(
-            F.sum("tick_count").alias("tick_count"), F.max("max_price").alias("max_price"),
-            F.max("last_update").alias("last_update"))
     out = out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                      "symbol", "tick_count", "max_price", "last_update")
     return to_table_time(out, ["window_start", "window_end", "last_update"])
@@ -263,14 +262,14 @@ def alert_stream(alerts: DataFrame, cooldown: str = "300 seconds", ts_col: str =
 
 
 def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
-                  available_now: bool = True):
+                  available_now: bool = True, interval: str = "5 seconds"):
     """Run a stream into a Parquet table partitioned by micro-batch, so a batch
     run again replaces itself and update-mode outputs can be resolved to the
     newest version per key."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         write_batch_once(batch, out, batch_id)
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .foreachBatch(sink).trigger(**trigger_options(available_now)).start())
+            .foreachBatch(sink).trigger(**trigger_options(available_now, interval)).start())
 
 
 # ------------------------------------------------------------------ T1 for the JSON feed
