@@ -6,17 +6,19 @@ column on the first line of a row, or a marker such as ``User:`` at the start of
 transition matrix; other lines keep their speaker. Transition and feature probabilities are counted over all rows whose
 role is known; a marker is believed with probability ``TRUST``, so contradictory, unknown and missing markers are
 settled by the features and by the order of turns. Viterbi gives the best roles of the whole conversation; runs of one
-speaker become turns ``<|im_start|>role``, text, ``<|im_end|>``.
+speaker within a row become turns ``<|im_start|>role``, text, ``<|im_end|>``. Rows are never merged: neighbouring rows of
+one speaker stay turns of their own.
 
 A conversation may be of any length: rows are range-partitioned by conversation and turn, stored, and cut into blocks of
-``BLOCK`` rows. A block's Viterbi step is a max-plus matrix; the matrices of a conversation that spans blocks are
-combined in order (one row a block), which fixes the states at the block borders, and the blocks are then decoded
+``BLOCK`` rows or ``BLOCK_CHARS`` characters, whichever is less. A block's Viterbi step is a max-plus matrix; the
+matrices of a conversation that spans blocks are combined in order, first those of each range partition and then one a
+partition, which fixes the states at the borders of partitions and, handed down, of blocks; the blocks are then decoded
 independently. Scores are whole numbers, so the result scores exactly what one Viterbi pass over the conversation
 would; of equally good role sequences, which can only differ by such ties, one is taken.
 
 Defined results: null roles and roles of no known name count as no marker; null and empty text is one empty line; rows
 with a null ``conv_id`` form one conversation; null turns come first; rows that repeat a turn are ordered by role and
-text; an empty table gives an empty result.
+text; one row of any length is one block at least; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ from marketlake.llm.common import map_columns, stored
 
 ROLES = ("system", "user", "assistant")
 BLOCK = 1024
+BLOCK_CHARS = 4_000_000
 TRUST = 0.97
 STAY = 0.999
 FEATURES = 8
+OPENING, BORDER = -2, -3
 #: Names of speakers, by role.
 NAMES = {"system": "system developer instruction instructions context",
          "user": "user human question prompt customer q me",
@@ -152,63 +156,63 @@ def viterbi(model: Model, codes: list[int]) -> list[int]:
 
 
 def _observed(df: DataFrame) -> DataFrame:
-    """Rows in conversation order with block, row number, codes, and the role of the row before (of one conversation)."""
+    """Rows in conversation order with block, row number, codes, known role (or -1) and that of the row before: ``OPENING``
+    where the conversation begins, ``BORDER`` at the first row of a partition."""
     ordered = (df.select("conv_id", "turn", "role", "text").withColumn("_tie", F.monotonically_increasing_id())
                .repartitionByRange("conv_id", "turn", "role", F.xxhash64("text"), "_tie")
                .sortWithinPartitions("conv_id", "turn", "role", F.xxhash64("text"), "_tie")
                .withColumn("_part", F.spark_partition_id()))
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()),
-                        ("part", pa.int32()), ("row", pa.int64()), ("codes", pa.list_(pa.int32())),
-                        ("before", pa.int32())])
+                        ("part", pa.int32()), ("row", pa.int64()), ("block", pa.int64()), ("codes", pa.list_(pa.int32())),
+                        ("known", pa.int32()), ("before", pa.int32())])
+    made = ("row", "block", "codes", "known", "before")
 
     def run(batches):
-        row, conversation, before = 0, object(), -1
+        row, block, held, chars, conversation, last = 0, 0, 0, 0, None, BORDER
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            out = {"row": [], "codes": [], "before": []}
+            out = {k: [] for k in made}
             for conv, role, text in zip(columns[0], columns[2], columns[3]):
-                out["before"].append(before if conv == conversation else -1)
-                out["row"].append(row)
-                out["codes"].append(observe(role, text)[0])
-                conversation, before, row = conv, role_of(role), row + 1
+                if held and (held >= BLOCK or chars + len(text or "") > BLOCK_CHARS):
+                    block, held, chars = block + 1, 0, 0
+                held, chars = held + 1, chars + len(text or "")
+                known = role_of(role)
+                before = last if last == BORDER or conv == conversation else OPENING
+                for k, v in zip(made, (row, block, observe(role, text)[0], known, before)):
+                    out[k].append(v)
+                conversation, last, row = conv, known, row + 1
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, type=schema.field(n).type) for c, n in zip(columns, ("conv_id", "turn", "role", "text", "part"))),
-                 *(pa.array(out[n], type=schema.field(n).type) for n in ("row", "codes", "before"))], schema=schema)
+                 *(pa.array(out[n], type=schema.field(n).type) for n in made)], schema=schema)
 
     got = ordered.select("conv_id", "turn", "role", "text", "_part").mapInArrow(
-        run, "conv_id long, turn long, role string, text string, part int, row long, codes array<int>, before int")
-    return stored(got.withColumn("block", (F.col("row") / BLOCK).cast("long")), "transcript-rows")
-
-
-def _role_index(column: str):
-    out = F.lit(-1)
-    for name, i in _ROLE_OF.items():
-        out = F.when(F.lower(F.trim(column)) == name, F.lit(i)).otherwise(out)
-    return out
+        run, "conv_id long, turn long, role string, text string, part int, row long, block long, codes array<int>, "
+             "known int, before int")
+    return stored(got, "transcript-rows")
 
 
 def learn(rows: DataFrame) -> Model:
     """Probabilities from all rows of known role; every count is an aggregate of a few rows."""
     n = len(ROLES)
-    known = rows.withColumn("r", _role_index("role")).where("r >= 0")
+    known = rows.where("known >= 0")
     feature = np.ones((n, FEATURES))
-    for r in (known.select("r", F.explode("codes").alias("c")).groupBy("r", (F.col("c") % FEATURES).alias("f")).count()
+    for r in (known.select("known", F.explode("codes").alias("c")).groupBy("known", (F.col("c") % FEATURES).alias("f")).count()
               .collect()):
-        feature[r["r"], r["f"]] += r["count"]
-    change = np.ones((n, n))
-    for r in known.where("before >= 0").groupBy("before", "r").count().collect():
-        change[r["before"], r["r"]] += r["count"]
-    # pairs across the borders of partitions: last row of one, first row of the next that has rows
+        feature[r["known"], r["f"]] += r["count"]
+    # the first row of a partition follows the last row of the one before that has rows
     edge = rows.groupBy("part").agg(
-        F.min_by(F.struct("conv_id", "role"), "row").alias("a"), F.max_by(F.struct("conv_id", "role"), "row").alias("z"))
+        F.min_by(F.struct("conv_id", "known"), "row").alias("a"), F.max_by(F.struct("conv_id", "known"), "row").alias("z"))
     prior = F.lag("z").over(Window.orderBy("part"))  # one row a partition
-    pairs = (edge.withColumn("p", prior).where(F.col("p").isNotNull() & F.col("p.conv_id").eqNullSafe(F.col("a.conv_id")))
-             .withColumn("b", _role_index("p.role")).withColumn("r", _role_index("a.role")).where("b >= 0 and r >= 0"))
-    for r in pairs.groupBy("b", "r").count().collect():
-        change[r["b"], r["r"]] += r["count"]
-    first = np.ones(n)
-    for r in known.where("before < 0").groupBy("r").count().collect():
-        first[r["r"]] += r["count"]
+    same = F.col("p").isNotNull() & F.col("p.conv_id").eqNullSafe(F.col("a.conv_id"))
+    edges = edge.withColumn("p", prior).select(F.when(same, F.col("p.known")).otherwise(OPENING).alias("before"),
+                                               F.col("a.known").alias("known"))
+    change, first = np.ones((n, n)), np.ones(n)
+    pairs = known.where(F.col("before") != BORDER).select("before", "known").unionByName(edges.where("known >= 0"))
+    for r in pairs.groupBy("before", "known").count().collect():
+        if r["before"] == OPENING:
+            first[r["known"]] += r["count"]
+        elif r["before"] >= 0:
+            change[r["before"], r["known"]] += r["count"]
     return Model(scores(first / first.sum()), scores(change / change.sum(1, keepdims=True)),
                  scores(feature / feature.sum(1, keepdims=True)))
 
@@ -243,34 +247,73 @@ def _borders(blocks: DataFrame, model: Model) -> DataFrame:
             return out
         return run
 
-    ends = map_columns(blocks, ["part", "block", "rows"],
-                       "part int, block long, conv_id long, matrix array<long>, start array<long>", edges)
-    spans = (ends.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "block", "matrix", "start")))
-                                         .alias("runs")).where(F.size("runs") > 1))
+    ends = stored(map_columns(blocks, ["part", "block", "rows"],
+                              "part int, block long, conv_id long, matrix array<long>, start array<long>", edges), "transcript-ends")
+    n = len(ROLES)
+
+    def chain_up():
+        """The matrices of one conversation's blocks in one partition as one."""
+        def run(convs, parts, runs):
+            out = {k: [] for k in ("conv_id", "part", "size", "matrix", "start")}
+            for conv, part, held in zip(convs, parts, runs):
+                matrix, start = np.array(held[0]["matrix"]).reshape(n, n), np.array(held[0]["start"])
+                for r in held[1:]:
+                    m = np.array(r["matrix"]).reshape(n, n)
+                    matrix, start = (matrix[:, :, None] + m[None, :, :]).max(1), (start[:, None] + m).max(0)
+                for k, v in zip(out, (conv, part, len(held), matrix.ravel().tolist(), start.tolist())):
+                    out[k].append(v)
+            return out
+        return run
+
+    def settle(held: list, entry: int | None, last: int | None) -> list[tuple]:
+        """(entry, last) of each link of a chain, given what is known of its ends."""
+        before, v = [], None
+        if entry is not None:
+            v = np.full(n, -(1 << 60))
+            v[entry] = 0
+        for r in held:
+            before.append(v)
+            m = np.array(r["matrix"]).reshape(n, n)
+            v = np.array(r["start"]) if v is None else (v[:, None] + m).max(0)
+            v = v - v.max()
+        state, out = int(v.argmax()) if last is None else last, []
+        for r, b in zip(reversed(held), reversed(before)):
+            end, state = state, None
+            if b is not None:
+                state = int((b + np.array(r["matrix"]).reshape(n, n)[:, end]).argmax())
+            out.append((state, end))
+        return out[::-1]
 
-    def combine():
+    def across():
         def run(convs, chains):
+            out = {k: [] for k in ("conv_id", "part", "entry", "last")}
+            for conv, held in zip(convs, chains):
+                for r, ends_ in zip(held, settle(held, None, None)):
+                    for k, v in zip(out, (conv, r["part"], *ends_)):
+                        out[k].append(v)
+            return out
+        return run
+
+    def within():
+        def run(convs, parts, entries, lasts, runs):
             out = {k: [] for k in ("part", "block", "conv_id", "entry", "last")}
-            n = len(ROLES)
-            for conv, chain in zip(convs, chains):
-                entries, v = [], None
-                for r in chain:
-                    entries.append(v)
-                    m = np.array(r["matrix"]).reshape(n, n)
-                    v = np.array(r["start"]) if v is None else (v[:, None] + m).max(0)
-                    v = v - v.max()
-                state = int(v.argmax())
-                for r, before in zip(reversed(chain), reversed(entries)):
-                    last, state = state, None
-                    if before is not None:
-                        state = int((before + np.array(r["matrix"]).reshape(n, n)[:, last]).argmax())
-                    for k, x in zip(out, (r["part"], r["block"], conv, state, last)):
-                        out[k].append(x)
+            for conv, part, entry, last, held in zip(convs, parts, entries, lasts, runs):
+                for r, ends_ in zip(held, settle(held, entry, last)):
+                    for k, v in zip(out, (part, r["block"], conv, *ends_)):
+                        out[k].append(v)
             return out
         return run
 
-    return map_columns(spans, ["conv_id", "runs"],
-                       "part int, block long, conv_id long, entry int, last int", combine)
+    chains = ends.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("block", "matrix", "start"))).alias("runs"))
+    whole = map_columns(chains, ["conv_id", "part", "runs"],
+                        "conv_id long, part int, size int, matrix array<long>, start array<long>", chain_up)
+    spans = (whole.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "matrix", "start"))).alias("parts"),
+                                          F.sum("size").alias("size")).where("size > 1"))
+    settled = map_columns(spans, ["conv_id", "parts"], "conv_id long, part int, entry int, last int", across)
+    settled = settled.withColumnsRenamed({"conv_id": "s_conv", "part": "s_part"})
+    inner = chains.join(settled, chains["conv_id"].eqNullSafe(settled["s_conv"]) & (chains["part"] == settled["s_part"]))
+    return map_columns(inner, ["conv_id", "part", "entry", "last", "runs"],
+                       "part int, block long, conv_id long, entry int, last int", within)
 
 
 def canonical(role: int, text: str) -> str:
