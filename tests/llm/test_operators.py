@@ -228,16 +228,20 @@ def brute_cuts(rows: list[tuple]) -> dict:
     holders = Counter(x[1:] for d, t in rows if d is not None and t is not None for x in lines_of(t)[0])
     for d, _, t in unique:
         lines, seen = lines_of(t)
+        shared = [(rank, line, occ, first[line, occ][:2]) for rank, (_, line, occ) in enumerate(lines) if first[line, occ][:2] != (d, t)]
+        rarest = min((holders[line, occ] for _, line, occ, _ in shared if len(words_of(line)) >= 5), default=0)
+        rare_partner = [e if len(words_of(line)) >= 5 and holders[line, occ] <= 4 * rarest else None for _, line, occ, e in shared]
         pairs = defaultdict(list)
-        for rank, (_, line, occ) in enumerate(lines):
-            e_d, e_t, e_rank = first[line, occ]
-            if (e_d, e_t) != (d, t):
-                single = seen[line] == 1 and lines_of(e_t)[1][line] == 1
-                pairs[e_d, e_t].append((rank, e_rank, len(words_of(line)), single, holders[line, occ]))
+        for i, (rank, line, occ, own) in enumerate(shared):
+            before = next((e for e in reversed(rare_partner[:i]) if e), None)
+            after = next((e for e in rare_partner[i + 1:] if e), None)
+            for e_d, e_t in {own, before, after} - {None}:
+                there = {(x, o): r for r, (_, x, o) in enumerate(lines_of(e_t)[0])}
+                if (line, occ) in there:
+                    single = seen[line] == 1 and lines_of(e_t)[1][line] == 1
+                    pairs[e_d, e_t].append((rank, there[line, occ], len(words_of(line)), single, holders[line, occ]))
         gone = set()
         for matches in pairs.values():
-            if all(m[2] < 5 for m in matches):
-                continue
             strong = [m for m in matches if m[3] and m[2] >= 5]
             rare = min((m[4] for m in strong), default=0)
             anchors = longest([(m[0], m[1]) for m in strong if m[4] <= 4 * rare])
@@ -287,7 +291,18 @@ def test_lines_repeated_within_a_document(spark):
     got = {r["doc_id"]: r["text"] for r in line_alignment.deduplicate_lines(
         spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "another text between the two\n" + shared, 3: "a third text between the two",
-                   4: rows[3][1], 5: rows[4][1]}
+                   4: rows[3][1], 5: ""}
+
+
+def test_copies_of_short_and_of_frequent_lines_go(spark):
+    verse = "\n".join(f"four words of line{i}" for i in range(100))
+    body = [f"the body of number eleven has line {i} of its own" for i in range(4)]
+    copied = "\n".join([*body[:2], "References", *body[2:], "Yes."])
+    rows = [(1, verse), (2, verse), (9, "Yes.\nanother text of quite other words here"),
+            (10, "something of other words entirely here\nReferences\nand a line that is its own"), (11, copied), (12, copied)]
+    got = {r["doc_id"]: r["text"] for r in line_alignment.deduplicate_lines(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(rows), 2: "", 12: ""}
 
 
 def test_lines_odd_input(docs):
@@ -542,8 +557,75 @@ def test_transcripts_equal_one_viterbi_pass(spark, monkeypatch):
             parts = sorted(got[conv, turn], key=lambda r: r["part"])
             assert "\n".join(p["text"] for p in parts) == text
             states += [transcript_hmm.ROLES.index(p["role"]) for p in parts for _ in p["text"].split("\n")]
-        best = transcript_hmm.path_score(model, codes, transcript_hmm.viterbi(model, codes))
-        assert transcript_hmm.path_score(model, codes, states) == best
+        scored, best = own_viterbi(counted_by_hand(rows), codes, states)
+        assert scored == best == transcript_hmm.path_score(model, codes, transcript_hmm.viterbi(model, codes))
+
+
+def counted_by_hand(rows: list[tuple]):
+    """Log probabilities in 2**-20 from counts plus one: openings, changes, features; ``rows`` are in order."""
+    names = {"system": 0, "user": 1, "assistant": 2}
+    first, change, feature = Counter(), Counter(), Counter()
+    before, conversation = None, "none yet"
+    for conv, _, role, text in rows:
+        known = names.get((role or "").strip().lower())
+        if known is not None:
+            if conv != conversation:
+                first[known] += 1
+            elif before is not None:
+                change[before, known] += 1
+            for i, line in enumerate((text or "").split("\n")):
+                feature[known, (4 if i == 0 else 0) + (2 if "?" in line[-3:] else 0) + (len(line) > 200)] += 1
+        before, conversation = known, conv
+
+    def log(part, whole):
+        return int(np.round(np.log(part / whole) * (1 << 20)))
+    return ([log(first[r] + 1, sum(first.values()) + 3) for r in range(3)],
+            [[log(change[a, b] + 1, sum(change[a, x] for x in range(3)) + 3) for b in range(3)] for a in range(3)],
+            [[log(feature[r, f] + 1, sum(feature[r, x] for x in range(8)) + 8) for f in range(8)] for r in range(3)])
+
+
+def own_viterbi(counts, codes: list[int], states: list[int]) -> tuple[int, int]:
+    """(score of ``states``, best score) by a plain dynamic program over dictionaries."""
+    first, change, feature = counts
+
+    def log(p):
+        return int(np.round(np.log(p) * (1 << 20)))
+
+    def seen(state, code):
+        marker = code % 64 // 8 - 1
+        return feature[state][code % 8] + (0 if marker < 0 else log(0.97) if marker == state else log((1 - 0.97) / 2))
+
+    def move(a, b, code):
+        return change[a][b] if code >= 64 else log(0.999) if a == b else log((1 - 0.999) / 2)
+    best = {s: first[s] + seen(s, codes[0]) for s in range(3)}
+    total = best[states[0]]
+    for i, code in enumerate(codes[1:], 1):
+        best = {b: max(best[a] + move(a, b, code) for a in range(3)) + seen(b, code) for b in range(3)}
+        total += move(states[i - 1], states[i], code) + seen(states[i], code)
+    return total, max(best.values())
+
+
+def test_openings_are_first_rows_alone(spark):
+    """A row without a role opens every conversation: no known role does."""
+    rows = [(c, t, (None, "assistant", "user\n")[t], f"text {t}") for c in range(50) for t in range(3)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    model = transcript_hmm.learn(transcript_hmm._observed(given))
+    first, change, feature = counted_by_hand(rows)
+    assert len(set(first)) == 1 and model.first.tolist() == first
+    assert model.change.tolist() == change and model.feature.tolist() == feature
+
+
+def test_a_long_conversation_is_many_blocks_of_bounded_text(spark, monkeypatch):
+    monkeypatch.setattr(transcript_hmm, "BLOCK_CHARS", 500)
+    rows = [(1, t, ("user", "assistant", None)[t % 3], ("why? " if t % 2 else "so ") * 30) for t in range(60)] + [(2, 0, "user", "y" * 2000)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    seen = transcript_hmm._observed(given)
+    sizes = seen.groupBy("part", "block").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows")).collect()
+    assert len(sizes) > 12 and all(r["n"] <= 500 or r["rows"] == 1 for r in sizes)
+    got = {r["turn"]: r["role"] for r in transcript_hmm.parse_transcripts(given).where("conv_id = 1").collect()}
+    codes = [c for _, _, role, text in rows[:-1] for c in transcript_hmm.observe(role, text)[0]]
+    scored, best = own_viterbi(counted_by_hand(rows), codes, [transcript_hmm.ROLES.index(got[t]) for t in range(60)])
+    assert scored == best
 
 
 def test_transcript_markers_and_odd_input(spark):
