@@ -19,7 +19,7 @@ from ..operators import depth as dp, filters as fl, normalize as nz, quality, ro
 from ..session import scratch_path
 from ..sources import bounded, capture as cap, frames as fr, json_feed as jf
 from ..sources.archive import read_archive, read_json_table
-from ..streaming import book, jobs, live
+from ..streaming import book, gaps, jobs, live
 from . import lifecycle as lc
 from .catalog import _M1_RULES, _as_of, _vp, register
 from .oracle_views import AS_OF, exchange_case
@@ -700,7 +700,7 @@ def q_t6_profile(spark, base):
                  "timestamp" AS gap_end FROM ticks) x
     WHERE date_diff('microsecond', gap_start, gap_end) > 3600000000""")
 def q_t7(spark, base):
-    s = jobs.gap_stream(_arriving(spark, fx.ticks(spark, base), "gaps", heartbeat=True), "1 hour", "10 minutes")
+    s = gaps.gap_stream(_arriving(spark, fx.ticks(spark, base), "gaps", heartbeat=True), "1 hour", "10 minutes")
     out = _run(spark, s, "gaps")
     return out.filter(F.col("kind") == "gap").select("symbol", "gap_start", "gap_end", "gap_seconds")
 
@@ -710,7 +710,7 @@ def q_t7(spark, base):
 def q_t7_stall(spark, base):
     """Stalls: every symbol is silent for the threshold when the last heartbeat,
     ten days ahead, has moved the watermark (event-time timeout)."""
-    s = jobs.gap_stream(_arriving(spark, fx.ticks(spark, base), "stalls", heartbeat=True), "5 days", "10 minutes")
+    s = gaps.gap_stream(_arriving(spark, fx.ticks(spark, base), "stalls", heartbeat=True), "5 days", "10 minutes")
     out = _run(spark, s, "stalls")
     return out.filter(F.col("kind") == "stall").select("symbol", "gap_start")
 

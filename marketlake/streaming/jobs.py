@@ -2,8 +2,8 @@
 
 Streams carry event time as TIMESTAMP (watermarks reject TIMESTAMP_NTZ);
 ``to_event_time`` / ``to_table_time`` convert at the edges. Stateful
-operators keep bounded state per key: the last tick time of a symbol, the last
-fired time of an alert type (the book, T5, is in ``book.py``). Inside a
+operators keep bounded state per key: the last fired time of an alert type
+(the book, T5, is in ``book.py``, gaps, T7, in ``gaps.py``). Inside a
 micro-batch a key's rows are sorted by time before they touch the state, so
 the result does not depend on how rows arrive within a batch.
 """
@@ -164,69 +164,11 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str], watermark: str = "1 hou
     return to_table_time(t.dropDuplicatesWithinWatermark(list(keys)), ["timestamp"])
 
 
-# ------------------------------------------------------------------ T7: gaps and stalls
+# ------------------------------------------------------------------ T8: alert cool-down
 
 _LAST_STATE = T.StructType([T.StructField("last_us", T.LongType())])
-_GAP_STATE = T.StructType([T.StructField("last_us", T.LongType()),
-                           T.StructField("open_us", T.ArrayType(T.LongType()))])
-
-
-def gap_stream(ticks: DataFrame, threshold: str = "300 seconds", watermark: str = "10 minutes") -> DataFrame:
-    """Per symbol, consecutive ticks further apart than ``threshold`` (kind
-    'gap') and symbols silent for ``threshold`` past their last tick as seen by
-    the watermark (kind 'stall', from an event-time timeout).
-
-    Ticks may be late by up to ``watermark``: a tick is settled once the
-    watermark has passed it, and only gaps between settled ticks are reported,
-    so a late row never leaves a gap that is none. State is the last settled
-    time and the times not yet settled, those of one watermark delay. Times are
-    epoch microseconds throughout, independent of the session's zone. Rows
-    without a symbol only advance the watermark (heartbeats)."""
-    th_us = interval_micros(threshold)
-    src = to_event_time(ticks).withWatermark("timestamp", watermark).select(
-        "symbol", "timestamp", F.unix_micros("timestamp").alias("us"))
-    columns = ["symbol", "kind", "start_us", "end_us"]
-
-    def step(key, batches, state):
-        seen = state.exists
-        last, pending = (state.get[0], list(state.get[1])) if seen else (None, [])
-        mark = state.getCurrentWatermarkMs() * 1000
-        times = [np.array(pending, dtype=np.int64)]
-        if not state.hasTimedOut:
-            times += [np.unique(chunk["us"].to_numpy()) for chunk in batches]
-        if key[0] is None:
-            if seen:
-                state.remove()
-            yield pd.DataFrame([], columns=columns)
-            return
-        times = np.unique(np.concatenate(times))
-        settled, pending = times[times <= mark], times[times > mark]
-        if last is not None:
-            settled = settled[settled > last]
-        line = settled if last is None else np.concatenate(([last], settled))
-        at = np.flatnonzero(np.diff(line) > th_us)
-        out = [(key[0], "gap", int(line[i]), int(line[i + 1])) for i in at]
-        last = int(line[-1]) if len(line) else None
-        if not len(pending) and last is not None and last + th_us <= mark:
-            out.append((key[0], "stall", last, None))
-            if seen:
-                state.remove()
-        else:
-            state.update((last, pending.tolist()))
-            # wake up when the next tick can be settled, or the silence has lasted
-            due = int(pending[0]) if len(pending) else last + th_us
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
-
-    out = src.groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, kind string, start_us long, end_us long", _GAP_STATE, "append", "EventTimeTimeout")
-    return out.select("symbol", "kind", F.timestamp_micros("start_us").cast("timestamp_ntz").alias("gap_start"),
-                      F.timestamp_micros("end_us").cast("timestamp_ntz").alias("gap_end"),
-                      F.round((F.col("end_us") - F.col("start_us")) / 1e6, 6).alias("gap_seconds"))
 
 
-# ------------------------------------------------------------------ T8: alert cool-down
-
 def alert_stream(alerts: DataFrame, cooldown: str = "300 seconds", ts_col: str = "ts") -> DataFrame:
     """Greedy cool-down as keyed state (last fired time per entity and
     alert type); the streaming twin of M2. Severity, metric and value of the
@@ -238,6 +180,12 @@ def alert_stream(alerts: DataFrame, cooldown: str = "300 seconds", ts_col: str =
     columns = ["entity", "alert_type", *carried, "us"]
     src = alerts.select("entity", "alert_type", *carried, F.unix_micros(F.col(ts_col).cast("timestamp")).alias("us"))
 
+    def one_per_time(batches):
+        """Alerts of one time count once: what a partition repeats does not reach the state."""
+        for chunk in batches:
+            yield chunk.sort_values(["us", *carried]).drop_duplicates(["entity", "alert_type", "us"])
+    src = src.mapInPandas(one_per_time, src.schema)
+
     def step(key, batches, state):
         # one row per time: what the cool-down can choose from
         rows = None

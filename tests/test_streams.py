@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import pytest
 
-from marketlake.streaming import book, jobs
+from marketlake.streaming import book, gaps, jobs
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -34,7 +34,7 @@ def test_late_rows_leave_no_false_gap(spark, tmp_path, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        q = jobs.write_batches(jobs.gap_stream(ticks(spark, src), "200 seconds", "10 minutes"), out, str(tmp_path / "c"))
+        q = jobs.write_batches(gaps.gap_stream(ticks(spark, src), "200 seconds", "10 minutes"), out, str(tmp_path / "c"))
         jobs.run_to_completion(q)
         got = sorted((r.kind, r.gap_start, r.gap_end, r.gap_seconds) for r in spark.read.parquet(out).collect())
     finally:
