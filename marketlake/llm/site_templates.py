@@ -7,10 +7,11 @@ distinct pages of its host belongs to the site's template and is deleted, as are
 no content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments). What is left
 of the article (else of ``main``, else of a content container, else of the body) is the text.
 
-Repetition alone does not delete content: an article, a paragraph, heading, list item or cell inside one, and an element
-that holds at least half of the page's remaining text all stay, however many pages of the host repeat them. Template
-subtrees are deleted by falling number of pages, those of one number together, as long as the deletions sum to less than
-half of that text.
+A paragraph, heading, list item or cell inside marked content is prose, which revised articles of a host share too: it
+belongs to the template only on ``PROSE_PAGES`` and on ``PROSE_SHARE`` of the host's distinct pages. An article, and an
+element that holds at least half of the page's remaining text, stay however many pages repeat them. Template subtrees
+are deleted by falling number of pages, prose last, those of one number together, as long as the deletions sum to less
+than half of that text.
 
 Character references are decoded, white space is turned into single spaces, blocks are joined by one space in page
 order. Pages of one host may be a third of the table: counts are partial aggregates, and what a page must delete is
@@ -18,7 +19,8 @@ joined by page.
 
 Defined results: null or empty html and pages without text give an empty text; broken markup is read as far as it goes
 (an element ends where an enclosing one does); rows without a host (null or unreadable url) share the empty host;
-repeated rows count as one page; an empty table gives an empty result.
+repeated rows count as one page; a page of any length is read whole, in one task; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import map_columns, stored, text_key
+from marketlake.llm.common import map_columns, stored
 
 MIN_PAGES = 5
 MIN_SHARE = 0.001
+PROSE_PAGES = 10
+PROSE_SHARE = 0.5
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
                      r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -210,8 +214,8 @@ def _marked(page: Page) -> list[bool]:
     return _covered([(e.start, e.end) for e in dropped], len(page.pieces))
 
 
-def template_candidates(page: Page) -> list[int]:
-    """Hashes of the subtrees that the template may delete, each once."""
+def template_candidates(page: Page) -> list[tuple[int, bool]]:
+    """(hash, whether it is prose) of the subtrees that the template may delete, each once."""
     gone = _marked(page)
     content = _content(page, gone)
     inside = _covered(content or [], len(page.pieces))
@@ -226,9 +230,7 @@ def template_candidates(page: Page) -> list[int]:
             continue
         if content is not None and not inside[e.start]:
             continue  # outside the content: not part of the text in any case
-        if content is not None and e.tag in _PROSE:
-            continue
-        out.add(e.digest)
+        out.add((e.digest, content is not None and e.tag in _PROSE))
     return sorted(out)
 
 
@@ -245,9 +247,8 @@ def main_text(page: Page, template: dict[int, int]) -> str:
             size.append(size[-1] + (len(piece.strip()) if ok else 0))
         tiers = defaultdict(list)
         for e in page.elements:
-            if (e.digest in template and e.tag not in ("html", "body", "article", "main")
-                    and not (content and e.tag in _PROSE) and 2 * (size[e.end] - size[e.start]) < size[-1]):
-                tiers[template[e.digest]].append((e.start, e.end))
+            if (e.digest in template and e.tag not in ("html", "body", "article", "main") and e.tag not in _INLINE and 2 * (size[e.end] - size[e.start]) < size[-1]):
+                tiers[not (content and e.tag in _PROSE), template[e.digest]].append((e.start, e.end))
         ranges: list[tuple[int, int]] = []
         for _, tier in sorted(tiers.items(), reverse=True):
             cut = _covered(ranges + tier, n)
@@ -262,35 +263,36 @@ def host(url: str = "url") -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+            prose_pages: int = PROSE_PAGES, prose_share: float = PROSE_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
-    keyed = pages.select("page_id", "url", "html", host().alias("host"), text_key("html").alias("k"))
+    # pages and hosts travel as hashes; that of a page covers its id, address and text
+    keyed = pages.select("page_id", "url", "html", F.xxhash64(host()).alias("host"),
+                         F.xxhash64("page_id", "url", "html").alias("k"))
 
     def candidates():
-        def run(hosts, ids, urls, keys, htmls):
-            out = {c: [] for c in ("host", "page_id", "url", "k", "main", "h")}
-            for row in zip(hosts, ids, urls, keys, htmls):
-                page = read_page(row[4] or "")
+        def run(hosts, keys, htmls):
+            out = {c: [] for c in ("host", "k", "main", "h", "prose")}
+            for host_, key, html in zip(hosts, keys, htmls):
+                page = read_page(html or "")
                 main = xxhash.xxh3_64_intdigest(main_text(page, {}).encode("utf-8", "replace"))
                 main -= (main >> 63) << 64
-                for h in (None, *template_candidates(page)):  # None: the page itself
-                    for c, v in zip(out, (*row[:4], main, h)):
+                for h, prose in ((None, False), *template_candidates(page)):  # None: the page itself
+                    for c, v in zip(out, (host_, key, main, h, prose)):
                         out[c].append(v)
             return out
         return run
 
-    found = stored(map_columns(keyed, ["host", "page_id", "url", "k", "html"],
-                               "host string, page_id long, url string, k long, main long, h long", candidates)
-                   .dropDuplicates(), "page-subtrees")
+    found = stored(map_columns(keyed, ["host", "k", "html"], "host long, k long, main long, h long, prose boolean", candidates),
+                   "page-subtrees")
     distinct = found.where(F.col("h").isNull()).groupBy("host").agg(F.count_distinct("main").alias("n_host"))
-    often = found.where(F.col("h").isNotNull()).groupBy("host", "h").agg(F.count_distinct("main").alias("n"))
-    often = stored(often.where(F.col("n") >= min_pages).join(distinct, "host")
-                   .where(F.col("n") >= min_share * F.col("n_host")).select("host", "h", "n"), "site-templates")
-    delete = (found.join(often, ["host", "h"]).groupBy("page_id", "url", "k")
-              .agg(F.collect_list(F.struct("h", "n")).alias("template"))
-              .select(F.col("page_id").alias("t_id"), F.col("url").alias("t_url"), F.col("k").alias("t_k"), "template"))
-    joined = keyed.join(delete.hint("merge"), F.col("page_id").eqNullSafe(F.col("t_id"))
-                        & F.col("url").eqNullSafe(F.col("t_url")) & (F.col("k") == F.col("t_k")), "left")
+    often = found.where(F.col("h").isNotNull()).groupBy("host", "h", "prose").agg(F.count_distinct("main").alias("n"))
+    least, share = (F.when(F.col("prose"), a).otherwise(b) for a, b in ((prose_pages, min_pages), (prose_share, min_share)))
+    often = stored(often.where(F.col("n") >= least).join(distinct, "host")
+                   .where(F.col("n") >= share * F.col("n_host")).select("host", "h", "prose", "n"), "site-templates")
+    delete = (found.join(often, ["host", "h", "prose"]).groupBy("k").agg(F.collect_set(F.struct("h", "n")).alias("template"))
+              .withColumnRenamed("k", "t_k"))
+    joined = keyed.join(delete.hint("merge"), F.col("k") == F.col("t_k"), "left")
 
     def texts():
         def run(ids, urls, htmls, templates):

@@ -537,6 +537,55 @@ def test_copies_of_a_page_are_no_template(spark):
         assert ("on twelve" in text[3]) == kept and "motto" not in text[3]
 
 
+def brute_texts(rows: list[tuple]) -> dict:
+    """Texts by (page_id, url, html) from plain counts of subtrees over the distinct main texts of each host."""
+    def host_of(url):
+        found = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", url or "")
+        return found[1].lower() if found else ""
+    holders, mains = defaultdict(set), defaultdict(set)
+    for _, url, markup in rows:
+        page = site_templates.read_page(markup or "")
+        main = site_templates.main_text(page, {})
+        mains[host_of(url)].add(main)
+        for h, prose in site_templates.template_candidates(page):
+            holders[host_of(url), h, prose].add(main)
+    template = defaultdict(dict)
+    for (site, h, prose), texts in holders.items():
+        if len(texts) >= (max(10, 0.5 * len(mains[site])) if prose else max(5, 0.001 * len(mains[site]))):
+            template[site][h, prose] = len(texts)
+    out = {}
+    for row in rows:
+        page = site_templates.read_page(row[2] or "")
+        own = {c[0]: template[host_of(row[1])][c] for c in site_templates.template_candidates(page) if c in template[host_of(row[1])]}
+        out[row] = site_templates.main_text(page, own)
+    return out
+
+
+def test_template_counts_brute_force(spark):
+    shell = "<html><body><nav>menu of the site</nav>{}<footer>foot</footer></body></html>"
+    notice = "<p>Subscribe now for our weekly letter</p>"
+    own = "<p>paragraph {0} of an article that has words of its own, number {0}</p><p>and a second one, {0} again</p>"
+    rows = [(i, f"https://a.example/{i}", shell.format(f"<article>{own.format(i)}{notice}</article>")) for i in range(20)]
+    # copies of one article under many addresses, and revisions of one article among other pages, stay whole
+    rows += [(100 + i, f"https://b.example/{i}", shell.format(f"<article>{own.format('same')}</article>")) for i in range(9)]
+    rows += [(200 + i, f"https://c.example/{i}", shell.format(f"<article>{own.format(i if i > 8 else 'old')}<p>edition {i}</p></article>"))
+             for i in range(30)]
+    # a block without class on some pages of a host, inside and outside of marked content
+    rows += [(300 + i, f"https://d.example/{i}", shell.format(f"<div>{own.format(i)}</div>" + ("<div>read also our blog</div>" if i % 3 else "")))
+             for i in range(24)]
+    rows += [(400 + i, None if i % 2 else "no address", shell.format(f"<main>{own.format(i)}<div>shared box</div></main>")) for i in range(12)]
+    rows += [rows[0], (0, rows[1][1], rows[2][2]), (500, "https://a.example/x", None), (501, "https://a.example/y", "")]
+    got = site_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("k", F.lit("x")))
+    want = brute_texts(rows)
+    assert Counter((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in got.collect()) == Counter(
+        (r[0], r[1], want[r], len(want[r])) for r in rows)
+    text = {r[0]: want[r] for r in rows}
+    assert all("Subscribe" not in want[r] and "second one" in want[r] for r in rows[:20])
+    assert all("second one, same" in text[100 + i] for i in range(9))
+    assert all(f"edition {i}" in text[200 + i] and "second one, old" in text[200 + i] for i in range(9))
+    assert "our blog" not in text[301] and "shared box" not in text[401]
+
+
 # ------------------------------------------------------------------ 9, transcripts
 
 def test_transcripts_equal_one_viterbi_pass(spark, monkeypatch):
