@@ -61,33 +61,74 @@ def words_of(text: str | None) -> list[str]:
 
 # ------------------------------------------------------------------ 1, benchmark decontamination
 
-def brute_contaminated(docs, items) -> set:
-    def canon(text):
-        named = regex.sub(r"([\p{Ll},;][ \n])(\p{Lu}\p{Ll}+)", "\\1\x01\\2", text or "")
-        plain = re.sub(r"[^\w\x20\x09-\x0D\x01]+|_", "", named).lower()
-        raw = [w for w in re.split(r"[\x20\x09-\x0D]+", plain) if w]
-        out = ["<name>" if w[0] == "\x01" else "<num>" if w[0].isdigit() else w for w in raw]
-        return raw, ["<unit>" if w in template_decontamination.UNITS and i and out[i - 1] == "<num>" else w
-                     for i, w in enumerate(out)]
+def template_words(text) -> list[str]:
+    """Lower-case words; a leading \x01 marks a name, \x02 a capitalised word that opens a sentence."""
+    text = regex.sub(r"([\p{Ll},;][ \n])(\p{Lu}\p{Ll}+)", "\\1\x01\\2", text or "")
+    text = regex.sub(r"(^|[.!?:][ \n])(\p{Lu}\p{Ll}+)", "\\1\x02\\2", text)
+    for _ in range(3):
+        text = regex.sub(r"([\x01\x02][^ \n]*\p{Ll}) (\p{Lu}\p{Ll}+)", "\\1\x01\\2", text)
+    text = re.sub(r"[\x20\x09-\x0D]+", " ", re.sub(r"[^\w\x20\x09-\x0D\x01\x02]+|_", "", text).lower())
+    for _ in range(2):
+        text = regex.sub(r"(\p{Nd}) (\p{Nd}{3})\b", "\\1\\2", text)
+    return text.strip(" ").split(" ") if text.strip(" ") else []
+
+
+def bare(word: str) -> str:
+    return word.replace("\x01", "").replace("\x02", "")
+
 
+def slot_kinds(ws: list[str], names) -> list:
+    """Kind of each word or None; ``names`` says whether an opener is a name."""
+    return ["<name>" if w[0] == "\x01" or w[0] == "\x02" and names(w) else "<num>" if w[0].isdigit() else
+            "<unit>" if w in template_decontamination.UNITS and i and ws[i - 1][0].isdigit() else None for i, w in enumerate(ws)]
+
+
+def brute_contaminated(docs, items) -> set:
     found = set()
+    cut = [(doc, template_words(body)) for doc, body in docs]
     for item, text in items:
-        iw, ic = canon(text)
-        size = min(8, len(ic))
-        wins = [(i, ic[i:i + size]) for i in range(len(ic) - size + 1)] if size else []
-        wins = [(i, w) for i, w in wins if 2 * sum(not x.startswith("<") for x in w) >= size]
-        for doc, body in docs:
-            raw, dc = canon(body)
+        iw = template_words(text)
+        size = min(8, len(iw))
+        if not iw:
+            continue
+        certain = slot_kinds(iw, lambda w: "\x01" + w[1:] in iw)
+        loose, strict = slot_kinds(iw, lambda w: True), slot_kinds(iw, lambda w: False)
+        places = range(len(iw) - size + 1)
+        general = {i for i in places if 2 * sum(k is None for k in loose[i:i + size]) < size}
+        raw = len(general) == len(places)
+        wins = [i for i in places if raw or i not in general]
+        for doc, dw in cut:
+            here = slot_kinds(dw, lambda w: w[1:] not in dw)
+            any_here = slot_kinds(dw, lambda w: True)
             at = defaultdict(set)
-            for p in range(len(dc) - size + 1):
-                for i, w in wins:
-                    if dc[p:p + size] == w:
+            for p in range(len(dw) - size + 1):
+                for i in wins:
+                    if raw:
+                        fits = (2 * sum(k is None for k in any_here[p:p + size]) < size + 2
+                                and [bare(w) for w in iw[i:i + size]] == [bare(w) for w in dw[p:p + size]])
+                    else:
+                        opened, fits = [], True
+                        for x in range(size):
+                            a, b = strict[i + x] or bare(iw[i + x]), here[p + x] or bare(dw[p + x])
+                            if iw[i + x][0] == "\x02":     # may be a name or what it is
+                                fits = fits and b in ("<name>", a)
+                                opened.append(b == "<name>")
+                            else:
+                                fits = fits and a == b
+                        fits = fits and (len(opened) <= 2 or len(set(opened)) == 1)
+                    if fits:
                         at[p - i].add(i)
-            for off, got in at.items():
-                if len(got) < max(1, 0.5 * len(wins)):
+            groups, chain = [[o] for o in at], []
+            for o in sorted(at):
+                if chain and o - chain[-1] > 3:
+                    groups.append(chain)
+                    chain = []
+                chain = chain + [o]
+            for group in [*groups, chain]:
+                if len({i for o in group for i in at[o]}) < max(1, 0.5 * len(wins)):
                     continue
-                pairs = {(ic[j], iw[j], raw[off + j]) for j in range(len(ic))
-                         if 0 <= off + j < len(raw) and ic[j].startswith("<") and dc[off + j] == ic[j]}
+                spots = {(i + x, i + x + o) for o in group for i in at[o] for x in range(size)}
+                pairs = {(certain[j], bare(iw[j]), bare(dw[p])) for j, p in spots if certain[j] and certain[j] == any_here[p]}
                 if len(pairs) == len({p[:2] for p in pairs}) == len({(p[0], p[2]) for p in pairs}):
                     found.add((doc, item))
     return found
@@ -120,6 +161,56 @@ def test_decontamination_finds_copies_of_general_items(spark):
     assert got == {(1, 1), (3, 2), (5, 3), (7, 1)}
 
 
+def test_decontamination_finds_reworded_slots(spark):
+    """Names that open sentences, slots of several words, an inserted word; unrelated values in the same frame do not count."""
+    apples = "Tom has 5 red apples in his basket. Tom gives 2 of them to Anna. Tom eats 1 of the rest, so how many apples does Tom have left?"
+    trip = "the plane that left for Paris this morning carried 1200 people and landed in Paris before noon while it rained there"
+    long = " ".join(f"word{i}" for i in range(29))
+    bench = spark.createDataFrame([(1, apples), (2, trip), (3, long)], "item_id long, text string")
+    rows = [(1, apples.replace("Tom", "Mia").replace("5", "9")), (2, "Intro here. " + apples.replace("Tom", "Mia") + " Some more text follows."),
+            (3, trip.replace("Paris", "New York").replace("1200", "1 200")), (4, long.replace("word15", "word15 extra")),
+            (5, trip.replace("Paris", "Rome", 1)), (6, apples.replace("Tom gives", "Eva gives").replace("does Tom", "does Kim")), (7, long[:60]),
+            (8, apples.upper()), (9, "New York City Hall is old. " + trip)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", text_key())
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    got = {(r["doc_id"], r["item_id"]) for r in template_decontamination.contaminated(docs, bench).collect()}
+    assert got == brute_contaminated(rows, items)
+    assert {(1, 1), (2, 1), (3, 2), (4, 3), (8, 1), (9, 2)} <= got and not {(5, 2), (7, 3)} & got
+
+
+def test_decontamination_of_a_phrase_that_many_share(spark):
+    """A window that every item and every document holds makes no candidates by itself."""
+    phrase = "read the following question carefully and choose the best answer"
+    bench = spark.createDataFrame([(i, f"{phrase} " + " ".join(f"q{i}w{j}" for j in range(20))) for i in range(30)], "item_id long, text string")
+    rows = [(i, f"{phrase} " + " ".join(f"d{i}w{j}" for j in range(30))) for i in range(40)]
+    rows.append((100, "so " + bench.where("item_id = 7").first()["text"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", text_key())
+    items = template_decontamination.item_windows(bench).cache()
+    found = template_decontamination._hits(docs, items)
+    aligned = template_decontamination.alignments(found, items)
+    assert [(r["doc_id"], r["item_id"]) for r in aligned.select("doc_id", "item_id").distinct().collect()] == [(100, 7)]
+    assert found.count() > 80
+
+
+def test_decontamination_oracle_equals_brute_force(spark):
+    import duckdb
+    sums = "12 + 7 = 19, 30 + 5 = 35, 8 + 8 = 16, 40 + 2 = 42"
+    given = rows_of(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text"))[:40]
+    items = rows_of(spark.read.parquet(f"{DIR}/benchmark.parquet").select("item_id", "text"))[:8] + [(-1, sums), (-2, "what is it"), (-3, None), (-4, "")]
+    given += [(9000 + i, f"Note. {t} Then more.") for i, (_, t) in enumerate(items) if t] + [(9100, f"so {sums}"), (9101, sums.replace("12", "13")), (9102, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", given)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = con.execute(template_decontamination.ORACLE).fetchall()
+    assert {(r[0], r[1]) for r in got} == brute_contaminated(given, items) and (9100, -1) in {(r[0], r[1]) for r in got}
+    docs = spark.createDataFrame(given, "doc_id long, text string").withColumn("k", text_key())
+    mine = template_decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    best = mine.groupBy("doc_id", "item_id").agg(F.max("coverage"), F.max("n_slots"))
+    assert set(rows_of(best)) == set(got)
+
+
 def test_decontamination_odd_input(spark, docs):
     bench = spark.read.parquet(f"{DIR}/benchmark.parquet")
     extra = docs.withColumn("k", F.lit("x")).withColumn("words", F.lit(1)).withColumn("item_id", F.lit(2))

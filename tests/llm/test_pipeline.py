@@ -65,4 +65,4 @@ def test_stages_keep_the_columns_and_stand_empty_tables(spark):
 
 def test_registered():
     names = [q for q in __spark_entry__.queries() if q.startswith("op") or q == "pipeline"]
-    assert len(names) == 11
+    assert len(names) == 14
