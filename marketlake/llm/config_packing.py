@@ -18,7 +18,9 @@ Token ids are those of ``tokenizers``; texts in an alphabet where the equal voca
 ids go through that, being four times as fast, all other texts through ``tokenizers`` itself.
 
 Defined results: null and empty text is one piece, the end id alone; a null ``doc_id`` is packed like any other; repeated
-rows are packed once each; an empty table gives an empty result.
+rows are packed once each; a text of any length is encoded whole and cut into pieces; ties of pieces of one length are
+in the order of id, piece, ids and start; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from marketlake.llm.common import map_columns, stored
 
 CAPACITY = 2048
 BLOCK = 2048
+SPAN = 4096
 STEP = 0.25
 GAP = 0.0001
 ROUNDS = 400
@@ -284,8 +287,14 @@ def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = ["doc_id", "piece", "ids_crc32", "start"]
     table = table.withColumn("block", F.pmod(F.xxhash64(*order), number).cast("int"))
     counts = table.groupBy("length", "block").count()
-    bases = stored(counts.select("length", "block", (F.sum("count").over(
-        Window.partitionBy("length").orderBy("block")) - F.col("count")).alias("base")), "packing-blocks")
+    # prefix sums within ranges of blocks, then over the ranges: no task holds all blocks of a length
+    counts = stored(counts.withColumn("span", F.floor(F.col("block") / SPAN)), "packing-counts")
+    inner = Window.partitionBy("length", "span").orderBy("block")
+    outer = Window.partitionBy("length").orderBy("span")
+    spans = counts.groupBy("length", "span").agg(F.sum("count").alias("n"))
+    spans = spans.select("length", "span", (F.sum("n").over(outer) - F.col("n")).alias("above"))
+    bases = stored(counts.withColumn("base", F.sum("count").over(inner) - F.col("count")).join(spans, ["length", "span"])
+                   .select("length", "block", (F.col("base") + F.col("above")).alias("base")), "packing-blocks")
     ranked = table.withColumn("r", F.row_number().over(Window.partitionBy("length", "block").orderBy(*order)) - 1)
     ranked = ranked.join(bases, ["length", "block"]).withColumn("rank", F.col("r") + F.col("base"))
 

@@ -10,7 +10,8 @@ As the model is linear, a prediction needs one table of logits per bucket. Rows
 are never learned from, nor are rows without id or language; id, language and source are no inputs of a prediction.
 
 Defined results: null text and text without a letter give ``und`` with score 0, accepted; without labelled rows every
-text does; repeated rows are predicted alike; an empty table gives an empty result.
+text does; repeated rows are predicted alike; of equal scores the language first in the alphabet is taken; a text of any
+length is counted whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

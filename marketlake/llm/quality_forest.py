@@ -7,7 +7,8 @@ the rows labelled good, the one that rejects most rows labelled bad without losi
 
 Defined results: null or empty text has no words and fails the base rule; several labels of one id count as bad if any
 is; labels of unknown ids and null labels are ignored; without both kinds of label nothing but the base rules rejects;
-repeated rows are judged alike; other columns pass through ``transform`` untouched.
+repeated rows are judged alike; a score equal to the cut-off is rejected; texts of any length are read whole; an empty
+table gives an empty result; other columns pass through ``transform`` untouched, whatever their names.
 """
 
 from __future__ import annotations

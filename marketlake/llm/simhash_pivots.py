@@ -12,7 +12,9 @@ members within two bits always share one, so links to the least member of each c
 Copies are grouped by fingerprint before any join. Components come from least-label propagation with pointer jumping.
 
 Defined results: null and empty text have fingerprint zero, linked like any other; ids may repeat or be null (a null id
-takes part, and never is the smallest); repeated rows fall in one component; an empty table gives an empty result.
+takes part, and never is the smallest); repeated rows fall in one component; a bit set in exactly half of the shingles is
+zero; a text of any length is hashed whole, in bounded steps; an empty table gives an empty result; other columns pass
+through or are ignored, whatever their names.
 """
 
 from __future__ import annotations

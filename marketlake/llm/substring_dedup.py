@@ -11,8 +11,9 @@ passages held by many documents are ever paired. Windows found in an earlier doc
 their words removed.
 
 Defined results: null text has no words; texts of fewer than ``SPAN`` words lose none; rows of the same id never remove
-words from each other; a row with a null id neither loses words nor removes any; repeated rows are cut alike; an empty
-table gives an empty result.
+words from each other; a row with a null id neither loses words nor removes any; repeated rows are cut alike; texts of
+any length are cut into words whole; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

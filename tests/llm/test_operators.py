@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -475,6 +476,56 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in sure) / len(sure) > 0.98
 
 
+def test_language_subwords_by_hand():
+    for text in ("Añb 12c", "  Étude--für DICH!! ", "x", "ab  cd", "ǅ ß İ 漢字", "a1b2"):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        spaced = re.sub(" +", " ", f" {letters} ")
+        want: Counter = Counter()
+        for order in (1, 2, 3, 4):
+            for i in range(len(spaced) - order + 1):
+                h = 0
+                for c in spaced[i:i + order]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                want[((h + order) * 0x9E3779B97F4A7C15 % 2**64) >> 50] += 1
+        got = language_id.subword_counts(text)
+        assert {i: int(n) for i, n in enumerate(got) if n} == want
+    assert language_id.subword_counts("12 ?!") is None and language_id.subword_counts(None) is None
+
+
+def test_language_training_by_hand():
+    """Two epochs over three rows, written out value by value, and the forward pass of a prediction."""
+    width = language_id.WIDTH
+    rows = [(np.array([1, 5]), np.array([0.25, 0.75]), "en"), (np.array([5, 9]), np.array([0.5, 0.5]), "de"), (np.array([2]), np.array([1.0]), "en")]
+    model = language_id.train(rows, epochs=2, rate=0.5, seed=11)
+    rng = np.random.default_rng(11)
+    order = rng.permutation(3)
+    table = {b: v for b, v in enumerate(rng.normal(0, 0.1, (language_id.BUCKETS, width)).tolist()) if b in (1, 2, 5, 9)}
+    weights, bias = rng.normal(0, 0.1, (width, 2)).tolist(), [0.0, 0.0]
+    for epoch in range(2):
+        step = 0.5 / (1 + epoch)
+        for i in rng.permutation(order):
+            buckets, share, language = rows[i]
+            mean = [sum(s * table[b][w] for b, s in zip(buckets.tolist(), share.tolist())) for w in range(width)]
+            z = [sum(mean[w] * weights[w][k] for w in range(width)) + bias[k] for k in range(2)]
+            e = [math.exp(x) for x in z]
+            error = [x / sum(e) - (k == ("de", "en").index(language)) for k, x in enumerate(e)]
+            back = [sum(weights[w][k] * error[k] for k in range(2)) for w in range(width)]
+            for w in range(width):
+                for k in range(2):
+                    weights[w][k] -= step * mean[w] * error[k]
+            bias = [b - 0.1 * step * x for b, x in zip(bias, error)]
+            for b, s in zip(buckets.tolist(), share.tolist()):
+                table[b] = [v - step * s * x for v, x in zip(table[b], back)]
+    assert model.languages == ["de", "en"] and np.allclose(model.bias, bias)
+    for b, v in table.items():
+        assert np.allclose(model.logits[b], [sum(v[w] * weights[w][k] for w in range(width)) for k in range(2)])
+    counts = np.zeros(language_id.BUCKETS)
+    counts[[1, 9]] = 3, 1
+    z = [(0.75 * model.logits[1][k] + 0.25 * model.logits[9][k] + bias[k]) / model.temperature for k in range(2)]
+    name, score = model.predict(counts)
+    assert name == ("de", "en")[int(z[1] > z[0])] and abs(score - 1 / (1 + math.exp(-abs(z[0] - z[1])))) < 1e-12
+
+
 def test_language_learns_from_the_rest_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
     wrong = docs.withColumn("lang", F.when(language_id.held_out(), F.lit("zz")).otherwise(F.col("lang")))
@@ -819,6 +870,24 @@ def test_packing(spark, docs, monkeypatch):
     assert config_packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_ranks_over_many_spans_of_blocks(spark, monkeypatch):
+    """One length held by all rows, in many blocks of many spans: every place is taken once."""
+    monkeypatch.setattr(config_packing, "BLOCK", 4)
+    monkeypatch.setattr(config_packing, "SPAN", 3)
+    rows = [(i, 0, 0, 700 if i % 5 else 300, i) for i in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = config_packing.pack(table).collect()
+    taken = defaultdict(list)
+    for r in got:
+        taken[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(got) == 500 and all(sum(n for _, n in t) <= 2048 for t in taken.values())
+    for places in taken.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+
+
 def test_plan_covers_histograms():
     rng = random.Random(1)
     for _ in range(20):
