@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared
 checkpoint folder and hands the reread table to the next stage.
+
+Defined results of all stages: rows with null or empty text fail the base rules and go; a null ``doc_id`` is kept by the
+quality rules, loses no lines, takes part in near-duplicate classes and decontamination, and is packed; repeated rows are
+judged alike until the SimHash stage leaves one of them; texts of any length pass whole; ties are those of the operators;
+empty tables pass through all stages; columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
