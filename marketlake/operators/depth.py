@@ -73,9 +73,12 @@ def to_long_depth(raw: DataFrame, max_levels: int | None = MAX_LEVELS,
     return base.select("timestamp", "symbol", "exchange", F.inline("_levels"))
 
 
-def long_to_wide(depth: DataFrame, keys: tuple[str, ...] = ("symbol", "timestamp")) -> DataFrame:
+def long_to_wide(depth: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """One row per snapshot with level-sorted bid and ask arrays.
-    The group is one snapshot (bounded by the levels of one book)."""
+
+    A snapshot is one message: (symbol, timestamp), and ``msg_id`` where the table has it, so the group is bounded by
+    the levels of one book."""
+    keys = keys or ("symbol", "timestamp", *(c for c in ("msg_id",) if c in depth.columns))
     extra = [c for c in ("id",) if c in depth.columns]
     lvl = F.struct(F.col("level"), F.col("price").cast("double").alias("price"), F.col("size"),
                    F.col("order_count").alias("num_orders"), *[F.col(c) for c in extra])

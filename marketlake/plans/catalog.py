@@ -639,6 +639,9 @@ MONEY_COLUMNS = {
     'T4_live_stats_stream': ('max_price',),
     'T4_live_stats_sliding': ('max_price',),
     'T4_live_view': ('max_price',),
+    'T1_feed_ingest_quotes': ('bid_price', 'ask_price'),
+    'T1_feed_ingest_depth': ('price',),
+    'S2_table_by_ddl': ('price',),
     'O1_newest_from_days': ('price',),
     'T9_replay_weeks_later': ('price',),
     'A14_bars_refreshed': ('open_price', 'high_price', 'low_price', 'close_price'),

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixtures as fx
-from ..functions.timefn import iso
+from ..functions.timefn import event_time, iso
 from ..operators import depth as dp, filters as fl, normalize as nz, quality, rollup
 from ..session import scratch_path
 from ..sources import bounded, capture as cap, frames as fr, json_feed as jf
@@ -442,6 +442,35 @@ def q_t1(spark, base):
     return spark.read.parquet(out).select(*t.columns)
 
 
+@register("T1_feed_ingest_quotes", """
+    SELECT "timestamp", symbol, exchange, NULLIF(bid_price, 0) AS bid_price, NULLIF(ask_price, 0) AS ask_price, bid_size, ask_size
+    FROM quotes""")
+def q_t1_feed_quotes(spark, base):
+    return spark.read.parquet(f"{_feed_ingest(spark, base)}/quotes").select(
+        "timestamp", "symbol", "exchange", "bid_price", "ask_price", "bid_size", "ask_size")
+
+
+@register("T1_feed_ingest_depth", f"""
+    SELECT "timestamp", symbol, exchange, side, CAST(pos AS INTEGER) AS level, price, size FROM {_RANKED} r WHERE pos <= 10""")
+def q_t1_feed_depth(spark, base):
+    return spark.read.parquet(f"{_feed_ingest(spark, base)}/depth").select(
+        "timestamp", "symbol", "exchange", "side", "level", "price", "size")
+
+
+@register("S3_feed_rows", """
+    SELECT 'tick' AS route, symbol, "timestamp", trade_id, CAST(price AS DOUBLE) AS price, size FROM trades
+    UNION ALL SELECT 'quote', symbol, "timestamp", NULL, CAST(bid_price AS DOUBLE), bid_size FROM quotes""")
+def q_s3_rows(spark, base):
+    """Messages of the feed row by row, as their routes hand them on."""
+    routes, _, _ = _routed(spark, base)
+    when = event_time(F.col("timestamp")).alias("timestamp")
+    ticks = routes["tick"].select(F.lit("tick").alias("route"), "symbol", when, "trade_id",
+                                  F.col("price").cast("double").alias("price"), F.col("size").cast("int").alias("size"))
+    quotes = routes["quote"].select(F.lit("quote").alias("route"), "symbol", when, F.lit(None).cast("string").alias("trade_id"),
+                                    F.col("bid_price").cast("double").alias("price"), F.col("bid_size").cast("int").alias("size"))
+    return ticks.unionByName(quotes)
+
+
 T2_MAX_ROWS = 2_000
 
 

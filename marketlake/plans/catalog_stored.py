@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
-from .. import fixtures as fx
-from ..operators import rollup
+from .. import fixtures as fx, schemas
+from ..operators import filters, rollup, stats
 from ..session import scratch_path
 from ..sources import daytables as days
 from ..streaming import jobs
@@ -104,3 +106,43 @@ def q_a14_refreshed(spark, base):
 @register("A13_profile_refreshed", _HOUR_PROFILE)
 def q_a13_refreshed(spark, base):
     return _kept_up(spark, base, rollup.profile("1 hour"), "profile-kept")
+
+
+@register("S2_table_by_ddl", "SELECT * FROM ticks")
+def q_s2(spark, base):
+    """A table created by its definition, written and read through the catalog; its columns and types are the schema's."""
+    ddl = schemas.create_table_ddl("ticks", scratch_path(spark, "ddl-ticks"))
+    name = f"ticks_{uuid.uuid4().hex}"
+    spark.sql(ddl.replace("EXISTS ticks ", f"EXISTS {name} ", 1))
+    rows = schemas.conform(fx.ticks(spark, base), schemas.SCHEMAS["ticks"])
+    before = spark.conf.get("hive.exec.dynamic.partition.mode", None)
+    spark.conf.set("hive.exec.dynamic.partition.mode", "nonstrict")
+    try:
+        rows.withColumn("date", F.to_date("timestamp")).write.insertInto(name)
+    finally:
+        if before is None:
+            spark.conf.unset("hive.exec.dynamic.partition.mode")
+        else:
+            spark.conf.set("hive.exec.dynamic.partition.mode", before)
+    return spark.table(name).select(*fx.ticks(spark, base).columns)
+
+
+@register("A11_all_actions", """
+    SELECT count(*) AS total, count(*) FILTER (WHERE id % 4 = 0) AS add_count, count(*) FILTER (WHERE id % 4 = 1) AS modify_count,
+           count(*) FILTER (WHERE id % 4 = 2) AS delete_count, count(*) FILTER (WHERE id % 4 = 3) AS fill_count
+    FROM order_updates""")
+def q_a11_all(spark, base):
+    """All four actions occur (the actions of the view are only two)."""
+    actions = ["ADD", "MODIFY", "DELETE", "FILL"]
+    rows = fx.order_updates(spark, base).withColumn("action", F.get(F.array(*map(F.lit, actions)), (F.col("id") % 4).cast("int")))
+    return stats.status_counts(rows, "action", actions)
+
+
+@register("F6_side_rows", """
+    SELECT 'bid' AS part, id, symbol, level, CAST(price AS DOUBLE) AS price, size FROM depth WHERE side = 'B'
+    UNION ALL SELECT 'ask', id, symbol, level, CAST(price AS DOUBLE), size FROM depth WHERE side = 'S'""")
+def q_f6_rows(spark, base):
+    bids, asks = filters.split_sides(fx.depth(spark, base))
+    some = lambda df, part: df.select(F.lit(part).alias("part"), "id", "symbol", "level",
+                                      F.col("price").cast("double").alias("price"), "size")
+    return some(bids, "bid").unionByName(some(asks, "ask"))

@@ -248,17 +248,68 @@ def purge_table(spark: SparkSession, table: str, cutoff: dt.datetime, ts_col: st
 def archive_table(spark: SparkSession, table: str, cutoff: dt.datetime, archive_path: str,
                   created_at: dt.datetime, ts_col: str = "timestamp") -> DataFrame:
     """E5 on a day-partitioned table: rows before ``cutoff`` are written to the
-    archive (gzip JSON, partition-pruned scan, a new folder for every run), the
-    manifest is committed, and only then are they removed with ``purge_table``.
-    A run that is interrupted may be run again: before the commit nothing was
+    archive (gzip JSON, a new folder for every run), the manifest is committed,
+    and only then are they removed.
+
+    The run reads a fixed list of files, those of the days up to the cut-off when
+    it starts, and removes exactly those: a row that is written to an old day
+    while the run works is in another file, stays, and goes with the next run. A
+    run that is interrupted may be run again: before the commit nothing was
     removed, after it every removed row is in a committed run (rows not yet
     removed are archived once more; ``restore`` inserts each key once). No-op
     when nothing is old enough. Returns the manifest of this run."""
-    old = spark.table(table).filter(F.col("date") <= F.lit(cutoff.date())).filter(
-        F.col(ts_col) < ts_literal(cutoff)).drop("date")
+    spark.sql(f"REFRESH TABLE {table}")
+    days = spark.table(table).filter(F.col("date") <= F.lit(cutoff.date()))
+    files = days.inputFiles()       # names; one entry per file of the days up to the cut-off
+    schema = T.StructType([f for f in spark.table(table).schema.fields if f.name != "date"])
+    rows = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    old = rows.filter(F.col(ts_col) < ts_literal(cutoff))
     run = _run_id(cutoff)
     n = 0 if old.isEmpty() else _write_run(old, archive_path, table, run)
     man = _commit(spark, archive_path, {table: n}, cutoff, created_at, run)
     if n:
-        purge_table(spark, table, cutoff, ts_col)
+        _remove_files(spark, table, set(files), cutoff, schema, ts_col)
     return man
+
+
+def _files_of(spark: SparkSession, table: str, day: dt.date) -> set[str]:
+    spark.sql(f"REFRESH TABLE {table}")
+    return set(spark.table(table).filter(F.col("date") == F.lit(day)).inputFiles())
+
+
+def _remove_files(spark: SparkSession, table: str, files: set[str], cutoff: dt.datetime, schema: T.StructType, ts_col: str) -> None:
+    """Remove the rows before ``cutoff`` of ``files`` from the table; files that came since stay.
+
+    Whole days go as partitions where no other file has come, else file by file. The cut-off's day moves to a new folder
+    with the rows to keep and all rows of files that came since, also of those that come until the partition points there."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def delete(names: set[str]) -> None:
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, False)
+    for day in _partition_days(spark, table):
+        now = _files_of(spark, table, day) if day <= cutoff.date() else set()
+        done = now & files
+        if not done:
+            continue
+        spec = f"PARTITION (date='{day.isoformat()}')"
+        if day < cutoff.date():
+            if now == done:
+                spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {spec}")
+            else:
+                delete(done)
+            continue
+        home = next(r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r["col_name"] == "Location")
+        kept = f"{home}/kept-{day.isoformat()}-{uuid.uuid4().hex}"
+        reader = spark.read.schema(schema)
+        reader.parquet(*done).filter(F.col(ts_col) >= ts_literal(cutoff)).write.parquet(kept)
+        moved = now - done
+        if moved:
+            reader.parquet(*moved).write.mode("append").parquet(kept)
+        spark.sql(f"ALTER TABLE {table} {spec} SET LOCATION '{kept}'")
+        folders = {f.rsplit("/", 1)[0] for f in now}
+        came = {f for folder in folders for f in spark.read.schema(schema).parquet(folder).inputFiles()} - now
+        if came:
+            reader.parquet(*came).write.mode("append").parquet(kept)
+    spark.sql(f"REFRESH TABLE {table}")

@@ -219,9 +219,12 @@ def test_depth_time_filters_reach_the_scan(spark, capsys):
 
 
 def test_sliding_windows_take_panes(spark, capsys):
-    from marketlake.streaming import jobs
+    from marketlake.operators import rollup
+    from marketlake.streaming import jobs, live
     ticks = spark.createDataFrame([(1, T0, "ES", Decimal(1))], "id long, timestamp timestamp_ntz, symbol string, price decimal(20,8)")
-    jobs.live_stats_stream(ticks, "1 minute", "2 seconds").explain("extended")
+    pane = rollup.activity(live.pane_length("1 minute", "2 seconds"))
+    panes = jobs.live_stats_stream(ticks, pane.period).withColumnsRenamed({"window_start": "period_start", "window_end": "period_end"})
+    rollup.sliding(pane, panes, "1 minute", "2 seconds").explain("extended")
     plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     # the expansion into windows stands above the first aggregate
     assert plan.count("Aggregate") == 2 and plan.rindex("Aggregate") > plan.index("Expand")
