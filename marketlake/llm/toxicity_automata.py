@@ -61,7 +61,7 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 def core(token: str) -> str:
     """A lower-case token without the marks around it."""
-    return _EDGES.sub("", token)
+    return token if token.isalnum() else _EDGES.sub("", token)
 
 
 def allowed(word: str) -> int:
@@ -267,17 +267,23 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS, known: int = KNOWN) -> Le
     return Lexicon(words, stems, frozenset(r.word for r in clean.collect()))
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Logistic regression by Newton steps, pulled to ``PRIOR``."""
-    w = PRIOR.copy()
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Logistic regression, pulled to ``PRIOR``: Newton steps, each halved until the loss falls."""
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + PULL @ (w - PRIOR) ** 2 / 2)
+    w, now = PRIOR.copy(), loss(PRIOR)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         grad = x.T @ (weight * (p - y)) + PULL * (w - PRIOR)
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(PULL)
-        move = np.linalg.solve(hess, grad)
-        w -= move
-        if np.abs(move).max() < 1e-9:
+        move, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-9 and loss(w - size * move) > now:
+            size /= 2
+        after = loss(w - size * move)
+        if not after < now - 1e-10 * abs(now):
             break
+        w, now = w - size * move, after
     return w
 
 

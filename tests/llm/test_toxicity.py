@@ -70,6 +70,20 @@ def test_windows_tell_quotation_from_abuse():
     assert score("") == score("nothing of the kind") < 0.1
 
 
+def test_regression_reaches_the_least_loss():
+    """Separable and unbalanced samples too; the gradient is zero and no step in any direction helps."""
+    rng = np.random.default_rng(1)
+    for share, weight, noise in ((0.1, 2.0, 0.0), (0.5, 1.0, 0.1), (0.02, 50.0, 0.0)):
+        y = (rng.random(4000) < share).astype(float)
+        x = np.concatenate((np.ones((4000, 1)), np.log1p(rng.gamma(2.0, 4.0, (4000, 6)) * np.abs(y - (rng.random(4000) < noise))[:, None])), axis=1)
+        each = np.where(y > 0, 1.0, weight)
+        w = tox.fit(x, y, each)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        assert np.abs(x.T @ (each * (p - y)) + tox.PULL * (w - tox.PRIOR)).max() < 1e-3 * each.sum()
+        if not noise:
+            assert p[y > 0].min() > 0.7 > 0.3 > p[y == 0].max()
+
+
 def test_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
     rows = tox.op12_toxicity_automata(spark, DIR)
