@@ -25,8 +25,10 @@ from ..functions.timefn import parse_interval, ts_literal
 from ..operators.topk import newest
 
 #: Keys and days of a batch that are looked up by literal; a larger batch is joined.
-LOOKUP_KEYS, LOOKUP_DAYS = 10_000, 400
+LOOKUP_KEYS, LOOKUP_DAYS = 2_000, 400
 TS_US = "ts_us"
+#: Longest list that the Parquet reader checks value by value (Spark's default).
+PUSHED_IN = 10
 
 
 # ------------------------------------------------------------------ layout
@@ -177,10 +179,18 @@ def stored_rows_of(spark: SparkSession, path: str, batch: DataFrame, key: str, t
     else:
         table = table.where(F.col("date").isin(days))
     keys = [r[0] for r in batch.select(key).where(F.col(key).isNotNull()).distinct().limit(lookup_keys + 1).collect()]
-    if len(keys) <= lookup_keys:
-        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(lookup_keys))
-        table = table.where(F.col(key).isin(keys))
-    return table
+    if keys and len(keys) <= lookup_keys:
+        table = table.where(_one_of(F.col(key), keys))
+    return table if keys else table.limit(0)
+
+
+def _one_of(column: Column, values: list) -> Column:
+    """``column`` in ``values``, as a balanced tree of short lists: those reach the file reader (which turns a long list
+    into a range), and the tree stays shallow."""
+    tests = [column.isin(values[i:i + PUSHED_IN]) for i in range(0, len(values), PUSHED_IN)]
+    while len(tests) > 1:
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return tests[0]
 
 
 def insert_new(spark: SparkSession, path: str, batch: DataFrame, batch_id: int, key: str = "id", ts_col: str = "timestamp") -> None:

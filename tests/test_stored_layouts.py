@@ -119,6 +119,8 @@ def test_a_batch_replayed_weeks_later_adds_no_row_and_reads_few_row_groups(spark
     assert scan_metrics(days.stored_rows_of(spark, path, strange, "id").select("id"))["numOutputRows"] == 0
     some_keys = given.where("id in (8, 12)")
     assert 2 <= scan_metrics(days.stored_rows_of(spark, path, some_keys, "id").select("id"))["numOutputRows"] < 400
+    many = given.where("id < 1900").withColumn("id", F.col("id") + 1_000_000)
+    assert scan_metrics(days.stored_rows_of(spark, path, many, "id").select("id"))["numOutputRows"] < 2000
     # a batch above the bounds is joined instead, with the same result
     found = days.stored_rows_of(spark, path, given, "id", lookup_keys=10, lookup_days=3)
     assert found.join(given.select("id"), "id", "left_semi").count() == 4000
