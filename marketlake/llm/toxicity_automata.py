@@ -40,8 +40,9 @@ CACHE = 300_000
 WINDOW = 6
 LONGEST = 40
 CUT = 0.7
-#: Lexicon: least toxic documents of a word and of a stem, least log ratio, lengths of stems.
-MIN_DOCS, MIN_STEM_DOCS, MIN_RATIO = 3, 5, 2.5
+#: Lexicon: least toxic documents of a word and of a stem, also as a share of the sample's, least log ratio, lengths of
+#: stems.
+MIN_DOCS, MIN_STEM_DOCS, MIN_SHARE, MIN_RATIO = 3, 5, 0.01, 2.5
 STEMS = (6, 7, 8)
 
 # Words that report or name speech, and second persons (English, German, French, Spanish).
@@ -107,10 +108,19 @@ class Lexicon:
             for most, fits in ((1, len(term) <= 9), (2, len(term) >= 7)):
                 for w in shortened(term, most) if fits else ():
                     self.left[most].setdefault(w, set()).update(path)
+        #: By allowed edits: (three letters, place) of terms, the place moved by as many letters either way. Of r + 1 parts of
+        #: a word one is as in the term.
+        self.grams = {r: {(t[q:q + 3], q + d) for t in terms for q in range(len(t) - 2) for d in range(-r, r + 1)} for r in (1, 2)}
 
     def paths(self, word: str, most: int) -> set[int]:
         """Nodes of the paths of terms that can be within ``most`` edits; empty where none is."""
-        left, found = self.left[most], set()
+        left, grams, n, found = self.left[most], self.grams[most], len(word), set()
+        if most == 2:
+            k = n // 3
+            if (word[:3], 0) not in grams and (word[k:k + 3], k) not in grams and (word[2 * k:2 * k + 3], 2 * k) not in grams:
+                return found
+        elif n >= 6 and (word[:3], 0) not in grams and (word[-3:], n - 3) not in grams:
+            return found
         once = [word[:i] + word[i + 1:] for i in range(len(word))]
         for w in (word, *once):
             if w in left:
@@ -155,14 +165,16 @@ class Lexicon:
                 todo.append((child, tuple(now)))
         return best
 
-    def look_up(self, token: str) -> tuple[bool, float] | None:
-        """(exact, weight) of a lower-case token, or None."""
-        word = core(token)
+    def look_up(self, word: str) -> tuple[bool, float] | None:
+        """(exact, weight) of a lower-case word, or None."""
         if not word:
             return None
         if word in self.terms:
             return True, self.terms[word]
-        found = max((self.stems[word[:n]] for n in self.lengths if len(word) > n and word[:n] in self.stems), default=None)
+        found = None
+        for n in self.lengths:
+            if len(word) > n and word[:n] in self.stems:
+                found = max(self.stems[word[:n]], found or 0.0)
         if found is not None:
             return True, found
         most = allowed(word)
@@ -192,7 +204,11 @@ def features(lexicon: Lexicon, text: str | None, cache: dict) -> list[float]:
         if got == 0:
             if len(cache) >= CACHE:
                 cache.clear()
-            got = cache[token] = lexicon.look_up(token)
+            word = core(token)
+            got = cache.get(word, 0)
+            if got == 0:
+                got = cache[word] = lexicon.look_up(word)
+            cache[token] = got
         if got is None:
             continue
         hits += 1
@@ -230,7 +246,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
 
 
 def learn_lexicon(rows: DataFrame, terms: int = TERMS, known: int = KNOWN) -> Lexicon:
-    """Words and stems of toxic rows of parts 0 and 1, against the clean rows there."""
+    """Words and stems of toxic rows of parts 0 and 1, against the clean rows there; equal texts count once."""
     def start():
         def run(texts, marks):
             words, toxic = [], []
@@ -242,7 +258,7 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS, known: int = KNOWN) -> Le
                 toxic += [mark] * len(entries)
             return {"word": words, "toxic": toxic}
         return run
-    rows = rows.where("part < 2")
+    rows = rows.where("part < 2").withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "toxic"]).drop("same")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Lexicon({}, {}, frozenset())
@@ -251,7 +267,7 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS, known: int = KNOWN) -> Le
     stem = F.col("word").endswith("*")
     ratio = F.log((F.col("bad") + 0.5) / (sizes[1] + 1)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1))
     best = (counts.withColumn("ratio", ratio).where(ratio >= MIN_RATIO)
-            .where(F.col("bad") >= F.when(stem, MIN_STEM_DOCS).otherwise(MIN_DOCS))
+            .where(F.col("bad") >= F.greatest(F.when(stem, MIN_STEM_DOCS).otherwise(MIN_DOCS), F.lit(MIN_SHARE * sizes[1])))
             .orderBy(F.desc(F.col("bad") * F.col("ratio")), "word").limit(terms).collect())
     words = {r.word: float(r.ratio) for r in best if not r.word.endswith("*")}
     stems = {r.word[:-1]: float(r.ratio) for r in best if r.word.endswith("*")}
