@@ -13,7 +13,7 @@ import os
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from .. import fixtures as fx
+from .. import fixtures as fx, frame_fixtures as ff
 from ..functions.timefn import event_time, iso
 from ..operators import depth as dp, filters as fl, normalize as nz, quality, rollup
 from ..session import scratch_path
@@ -128,8 +128,8 @@ def frame_table(spark, base) -> DataFrame:
     unknown-type frame per book message."""
     t, q, d = fx.trades(spark, base), fx.quotes(spark, base), fx.depth(spark, base)
     snaps = d.groupBy("symbol", "timestamp", "msg_id").agg(F.min("id").alias("id"))
-    frames = (fr.encode_trade_frames(t).unionByName(fr.encode_quote_frames(q))
-              .unionByName(fr.encode_bare_frames(snaps, 109)).unionByName(fr.encode_bare_frames(snaps, 999)))
+    frames = (ff.encode_trade_frames(t).unionByName(ff.encode_quote_frames(q))
+              .unionByName(ff.encode_bare_frames(snaps, 109)).unionByName(ff.encode_bare_frames(snaps, 999)))
     path = scratch_path(spark, "frames")
     frames.write.parquet(path)
     return spark.read.parquet(path)

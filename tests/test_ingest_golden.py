@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from marketlake import frame_fixtures as ff
 from marketlake.functions.exchange import exchange_for
 from marketlake.operators import depth as dp, normalize as nz
 from marketlake.schemas import enforce
@@ -150,7 +151,7 @@ def test_double_bytes_native_round_trip(spark):
     vals = [0.0, -0.0, 1.0, -1.5, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308,
             float("inf"), float("-inf"), 0.1, 6.55] + [rnd.uniform(-1e9, 1e9) for _ in range(300)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    rows = df.select("x", fr.f64_bytes(F.col("x")).alias("b"), fr.f64(fr.f64_bytes(F.col("x")), 1).alias("y")).collect()
+    rows = df.select("x", ff.f64_bytes(F.col("x")).alias("b"), ff.f64(ff.f64_bytes(F.col("x")), 1).alias("y")).collect()
     for r in rows:
         assert bytes(r.b) == struct.pack(">d", r.x)
         assert r.y == r.x and math.copysign(1, r.y) == math.copysign(1, r.x)
