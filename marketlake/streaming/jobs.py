@@ -210,12 +210,16 @@ def alert_stream(alerts: DataFrame, cooldown: str = "300 seconds", ts_col: str =
 
 
 def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
-                  available_now: bool = True, interval: str = "5 seconds"):
+                  available_now: bool = True, interval: str = "5 seconds", batch_column: str | None = None):
     """Run a stream into a Parquet table partitioned by micro-batch, so a batch
     run again replaces itself and update-mode outputs can be resolved to the
-    newest version per key."""
+    newest version per key. With ``batch_column`` a micro-batch holds several
+    batches of its source: each goes to its own folder, written by one task."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        write_batch_once(batch, out, batch_id)
+        if batch_column:
+            write_batch_once(batch.repartition(batch_column), out, batch_id, [batch_column])
+        else:
+            write_batch_once(batch, out, batch_id)
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
             .foreachBatch(sink).trigger(**trigger_options(available_now, interval)).start())
 

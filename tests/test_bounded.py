@@ -90,3 +90,50 @@ def test_files_in_the_making_are_not_read(spark, tmp_path, reader):
     (tmp_path / "src" / "_temporary" / "0" / "x.parquet").write_bytes(b"half")
     (tmp_path / "src" / ".y.parquet").write_bytes(b"half")
     assert reader(batchseconds="0").latestOffset() == {"rows": 120}
+
+
+def test_a_backlog_runs_many_batches_side_by_side(spark, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string
+    schema = _parse_datatype_string(SCHEMA)
+
+    def run_several():
+        stream = bounded.bounded_stream(spark, str(tmp_path / "src"), str(tmp_path / "log"), schema, batch_rows=10, batch_seconds=0,
+                                        max_rows=30, batches_per_trigger=4, batch_column="batch")
+        jobs.drain(jobs.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), available_now=False,
+                                      interval="0 seconds", batch_column="batch"))
+        found = spark.read.parquet(str(tmp_path / "out")).groupBy("batch_id", "batch").count().collect()
+        return {(r.batch_id, r.batch): r["count"] for r in found}
+    write(spark, str(tmp_path / "src"), 0, 200, 3)
+    want = {(0, n): 30 for n in range(4)} | {(1, 4): 30, (1, 5): 30, (1, 6): 20}
+    assert run_several() == want and ids(spark, tmp_path) == list(range(200))
+    assert len(list((tmp_path / "out").glob("*/*/*.parquet"))) == 7     # a batch is written by one task
+    last = ids(spark, tmp_path, "batch = 5")
+    forget(tmp_path / "ckpt", 1)
+    write(spark, str(tmp_path / "src"), 200, 245)
+    assert run_several() == want | {(2, 7): 30, (2, 8): 15} and ids(spark, tmp_path) == list(range(245))
+    assert ids(spark, tmp_path, "batch = 5") == last
+    with pytest.raises(ValueError):
+        bounded.bounded_stream(spark, str(tmp_path / "src"), str(tmp_path / "log"), schema, batches_per_trigger=2)
+
+
+def test_a_batch_that_is_not_full_waits_behind_full_ones(spark, tmp_path, reader):
+    write(spark, str(tmp_path / "src"), 0, 65)
+    r = reader(batchrows="20", batchseconds="60", maxrows="30", batchespertrigger="5", batchcolumn="batch")
+    assert r.latestOffset() == {"rows": 60} and r.latestOffset() == {"rows": 60}
+
+
+def test_one_slice_of_a_large_row_group_does_not_decode_the_rest(spark, tmp_path, reader, monkeypatch):
+    write(spark, str(tmp_path / "src"), 0, 1000)
+    monkeypatch.setattr(bounded, "DECODE_ROWS", 100)
+    decoded = []
+    whole = bounded.pq.ParquetFile.iter_batches
+
+    def counted(*args):
+        for rows in whole(*args):
+            decoded.append(rows.num_rows)
+            yield rows
+    monkeypatch.setattr(bounded.pq.ParquetFile, "iter_batches", counted)
+    r = reader(batchrows="1", batchseconds="0", maxrows="150")
+    assert r.latestOffset() == {"rows": 150}
+    parts = r.partitions({"rows": 0}, {"rows": 150})
+    assert sum(b.num_rows for p in parts for b in r.read(p)) == 150 and sum(decoded) == 200
