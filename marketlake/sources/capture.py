@@ -26,6 +26,7 @@ import struct
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,6 +39,8 @@ HEADER = 6
 READ_BYTES = 4 << 20
 MAX_FRAME = 64 << 20
 BATCH_BYTES = 8 << 20
+#: What one task reads at least, where ranges are shorter.
+TASK_BYTES = 8 << 20
 #: What a guessed header may say; frames outside are found all the same, by the hand-over.
 PLAUSIBLE_LENGTH, PLAUSIBLE_TYPE = 1 << 16, 1 << 10
 
@@ -61,6 +64,11 @@ class Walk:
     def __init__(self, read: Callable[[int, int], bytes], size: int, block: int = READ_BYTES):
         self.read, self.size, self.block, self.base, self.held = read, size, block, 0, b""
 
+    @classmethod
+    def over(cls, r: dict) -> Walk:
+        """A walk over a range; of a short one no more is read than it holds and a few headers beyond it."""
+        return cls(open_at(r["file"]), r["size"], min(READ_BYTES, r["end"] - r["start"] + READ_BYTES // 64))
+
     def bytes_at(self, pos: int, length: int) -> bytes:
         if not self.base <= pos or pos + length > self.base + len(self.held):
             self.base, self.held = pos, self.read(pos, max(self.block, length))
@@ -111,17 +119,23 @@ def byte_ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
 
 
 def _spread(ranges: DataFrame, tasks: int) -> DataFrame:
-    """One range per task: the rows are small, what they stand for is not."""
+    """The rows are small, what they stand for is not: neighbouring ranges go to a task of their own."""
     return ranges.repartitionByRange(max(1, min(tasks, 100_000)), "file", "n")
 
 
+def _tasks(ranges: DataFrame) -> int:
+    """One task per range, or fewer where ranges are short: two per core, or one per ``TASK_BYTES``, are enough."""
+    n, size = ranges.agg(F.count(F.lit(1)), F.sum(F.col("end") - F.col("start"))).first()
+    return min(n, max(2 * ranges.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES)))
+
+
 def _walked(ranges: DataFrame, tasks: int) -> DataFrame:
     """``ranges`` with entry (guessed where it is null) and exit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
-                walk = Walk(open_at(r["file"]), r["size"])
+                walk = Walk.over(r)
                 if r["entry"] is None:
                     r["entry"] = walk.guess(r["start"], r["end"])
                 r["exit"] = None if r["entry"] is None else walk.leave(r["entry"], r["end"])
@@ -138,31 +152,31 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def proven_ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Ranges whose entry is where the walk of the range before arrives."""
     ranges = _written(byte_ranges(spark, path, split_bytes), "capture-ranges")
-    tasks = ranges.count()
     null = F.lit(None).cast("long")
-    known = _written(_walked(ranges.select("*", null.alias("entry"), null.alias("exit")), tasks), "capture-walked")
+    known = _written(_walked(ranges.select("*", null.alias("entry"), null.alias("exit")), _tasks(ranges)),
+                     "capture-walked")
     while True:
         handed = known.select("file", (F.col("n") + 1).alias("n"), F.col("exit").alias("handed"))
         # an exit that is not known yet says nothing; the first range without one is settled by the one before it
         wrong = (known.join(handed, ["file", "n"], "left").where("handed is not null and not (handed <=> entry)")
                  .select("file", "size", "n", "start", "end", F.col("handed").alias("entry"), "exit"))
         wrong = _written(wrong, "capture-wrong")
-        count = wrong.count()
-        if not count:
+        tasks = _tasks(wrong)
+        if not tasks:
             return known
         known = _written(known.join(wrong.select("file", "n"), ["file", "n"], "left_anti").select(*known.columns)
-                         .unionByName(_walked(wrong, count)), "capture-walked")
+                         .unionByName(_walked(wrong, tasks)), "capture-walked")
 
 
 def capture_frames(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(file, offset, frame) of every frame of the capture files under ``path``; input of ``decode_frames``."""
     ranges = proven_ranges(spark, path, split_bytes)
-    tasks = ranges.count()
+    tasks = _tasks(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                walk = Walk(open_at(r["file"]), r["size"])
+                walk = Walk.over(r)
                 pos, offsets, frames, held = r["entry"], [], [], 0
                 while pos < r["end"]:
                     after = walk.after(pos) or r["size"]
@@ -196,8 +210,12 @@ def write_capture(frames: DataFrame, path: str, col: str = "frame") -> int:
         draft = f"{folder}/.{part}-{uuid.uuid4().hex}"
         with store.open_output_stream(draft) as out:
             for batch in batches:
-                for frame in batch.column(0).to_pylist():
-                    written += out.write(frame)
+                column = batch.column(0).cast(pa.large_binary())
+                if column.null_count:
+                    raise ValueError("a frame is null")
+                ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+                if len(column) and ends[-1] > ends[0]:      # the frames of a batch lie one behind the other
+                    written += out.write(column.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])))
         if written:
             store.move(draft, f"{folder}/capture-{part:06d}.bin")
         else:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.types import _parse_datatype_string
 
@@ -33,6 +34,24 @@ _FIELDS = ("msg_type int, type_name string, symbol string, price double, size bi
            "bid_price double, bid_size bigint, ask_price double, ask_size bigint, reject_reason string")
 
 
+def _texts(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """UTF-8 texts of ``length`` bytes at ``at``, and which of them are none (they become empty)."""
+    ends = np.concatenate(([0], np.cumsum(length)))
+    bytes_ = data[np.repeat(at - ends[:-1], length) + np.arange(ends[-1])]
+    raw = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(bytes_)])
+    garbled = np.zeros(len(at), bool)
+    try:
+        return raw.cast(pa.large_string()).cast(pa.string()), garbled
+    except pa.ArrowInvalid:
+        texts = [""] * len(at)
+        for i, text in enumerate(raw.to_pylist()):
+            try:
+                texts[i] = text.decode("utf-8")
+            except UnicodeDecodeError:
+                garbled[i] = True
+        return pa.array(texts, pa.string()), garbled
+
+
 def _decode_batch(frames: pa.Array) -> dict[str, pa.Array]:
     """Fields of a batch of frames: every word is gathered for all rows at once."""
     frames = frames.fill_null(b"")
@@ -64,39 +83,32 @@ def _decode_batch(frames: pa.Array) -> dict[str, pa.Array]:
     second = word(at + 12, quote, 8).view(np.float64)
     size_1, size_2 = word(at + 8, either).astype(np.int64), word(at + 20, quote).astype(np.int64)
     millis = word(at + 12, trade, 8)
-    buffer = data.tobytes()
-    symbols: list[str | None] = [None] * n
-    garbled = np.zeros(n, bool)
-    for i in np.flatnonzero(either):
-        try:
-            symbols[i] = buffer[body[i] + 4:body[i] + 4 + length[i]].decode("utf-8")
-        except UnicodeDecodeError:
-            garbled[i] = True
+    symbols, garbled = _texts(data, body + 4, np.where(either, length, 0))
     with np.errstate(invalid="ignore"):
         odd = (either & ~(np.abs(first) < MAX_PRICE)) | (quote & ~(np.abs(second) < MAX_PRICE))
     checks = (("truncated frame", short), ("symbol is no UTF-8", garbled),
               ("time out of range", trade & (millis > np.uint64(MAX_MILLIS))), ("price out of range", odd),
               ("size out of range", (size_1 >= 2 ** 31) | (size_2 >= 2 ** 31)))
-    reasons = np.full(n, None, dtype=object)
-    for reason, hit in reversed(checks):
-        reasons[hit] = reason
-    good = reasons == None  # noqa: E711  element by element
+    reason_of = np.full(n, len(checks), np.int8)
+    for i, (_, hit) in reversed([*enumerate(checks)]):
+        reason_of[hit] = i
+    good = reason_of == len(checks)
     trade, quote = trade & good, quote & good
-    typed = np.where(has_type, kind, 0)
-    names = {t: MESSAGE_TYPES.get(int(t), "UNKNOWN") for t in np.unique(typed)}
+    types, typed = np.unique(np.where(has_type, kind, 0), return_inverse=True)
+    names = pa.array([MESSAGE_TYPES.get(int(t), "UNKNOWN") for t in types], pa.string())
 
     def where(values: np.ndarray, ok: np.ndarray, kind_: pa.DataType) -> pa.Array:
         return pa.array(values, type=kind_, mask=~ok)
     micros = np.where(trade, millis, np.uint64(0)).astype(np.int64) * 1000
     return {
         "msg_type": where(kind, has_type, pa.int32()),
-        "type_name": pa.array([names[t] for t in typed], pa.string()),
-        "symbol": pa.array([s if ok else None for s, ok in zip(symbols, trade | quote)], pa.string()),
+        "type_name": names.take(pa.array(typed)),
+        "symbol": pc.if_else(pa.array(trade | quote), symbols, None),
         "price": where(first, trade, pa.float64()), "size": where(size_1, trade, pa.int64()),
         "timestamp": where(micros, trade, pa.int64()).cast(pa.timestamp("us")),
         "bid_price": where(first, quote, pa.float64()), "bid_size": where(size_1, quote, pa.int64()),
         "ask_price": where(second, quote, pa.float64()), "ask_size": where(size_2, quote, pa.int64()),
-        "reject_reason": pa.array(reasons.tolist(), pa.string()),
+        "reject_reason": pa.array([*(reason for reason, _ in checks), None], pa.string()).take(pa.array(reason_of)),
     }
 
 

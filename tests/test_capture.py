@@ -4,8 +4,10 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
+from marketlake import frame_fixtures as ff
 from marketlake.plans import catalog_io
 from marketlake.sources import capture as cap, frames as fr
 
@@ -85,3 +87,36 @@ def test_written_captures_hold_every_frame(spark):
     got = catalog_io.captured(spark, SMALL)
     assert got.count() == table.count() and got.select("file").distinct().count() == 2
     assert got.select("frame").exceptAll(table.select("frame")).count() == 0
+
+
+def test_short_ranges_read_no_more_than_they_hold_and_share_tasks(spark, tmp_path, monkeypatch):
+    frames = spark.range(40_000).select("id", F.concat(F.unhex(F.lit("0000001A006D")), F.unhex(F.lit("00" * 24))).alias("frame"))
+    path = str(tmp_path / "one")
+    assert cap.write_capture(frames.coalesce(1), path) == 40_000 * 30
+    ranges = cap.byte_ranges(spark, path, 1 << 12)
+    assert ranges.count() > 290 and cap._tasks(ranges) == 2 * spark.sparkContext.defaultParallelism
+    r = ranges.where("n = 3").first().asDict()
+    reads = []
+    monkeypatch.setattr(cap, "open_at", lambda uri: lambda offset, length: reads.append(length) or bytes(length))
+    cap.Walk.over(r).bytes_at(r["start"], 6)
+    assert reads == [(1 << 12) + cap.READ_BYTES // 64]
+    monkeypatch.undo()
+    assert cap.capture_frames(spark, path, 1 << 12).count() == 40_000
+    with pytest.raises(Exception):
+        cap.write_capture(spark.sql("select cast(null as binary) as frame"), str(tmp_path / "null"))
+
+
+def test_doubles_of_frames_equal_their_bit_patterns(spark):
+    values = [0.0, -0.0, 1.5, -2.75, 1e-310, -5e-324, 1.7e308, float("inf"), float("-inf"), float("nan"), 0.1, 123456.789, None]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(
+        "x", ff.f64_bytes("x").alias("b"), F.unhex(F.lpad(F.hex(ff.f64_bits(F.col("x"))), 16, "0")).alias("want")).collect()
+    assert len(got) == len(values) and all(r.b == r.want for r in got)
+
+
+def test_garbled_symbols_of_a_batch_leave_the_others(spark):
+    good = "0000001E0066" + "00000004" + "45535A35" + "3FF0000000000000" + "00000001" + "0000000000000001"
+    bad = good.replace("45535A35", "FFFEFDFC")
+    dec, rejects = fr.decode_frames(spark.createDataFrame([(1, good), (2, bad), (3, good)], "id long, h string").select(
+        "id", F.unhex("h").alias("frame")).coalesce(1))
+    assert sorted((r.id, r.symbol, r.price) for r in dec.collect()) == [(1, "ESZ5", 1.0), (3, "ESZ5", 1.0)]
+    assert [(r.id, r.reject_reason) for r in rejects.collect()] == [(2, "symbol is no UTF-8")]
