@@ -227,14 +227,16 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
 # ------------------------------------------------------------------ T1 for the JSON feed
 
 def ingest_feed(spark: SparkSession, source: str, out_base: str, checkpoint: str,
-                available_now: bool = True, max_files: int = 1):
+                available_now: bool = True, max_files: int = 1, max_bytes: int | None = None):
     """T1 + S3/S4 + N2/N4/N6: newline-delimited JSON files -> one table per
     route, in one streaming query.
 
     Each micro-batch is parsed once (invalid lines go to ``rejects``), routed
     by message type and written to ``ticks``, ``quotes``, ``depth``, ``log``
     and ``unknown`` under ``out_base`` (ticks/quotes/depth partitioned by
-    date). A message without a time gets the time its batch arrived. The parsed
+    date). A micro-batch takes ``max_files`` files or, with ``max_bytes``, as many
+    as hold that many bytes (one at least): a table per route is a fixed price per
+    micro-batch, so a backlog of many files is better bounded by its bytes. A message without a time gets the time its batch arrived. The parsed
     batch is persisted for the duration of the multi-sink write and released
     afterwards (a lost block is recomputed from the batch's source files). Every
     table keeps a folder per micro-batch: a batch that is run again after a
@@ -244,9 +246,12 @@ def ingest_feed(spark: SparkSession, source: str, out_base: str, checkpoint: str
     from ..operators.normalize import normalize_quotes, normalize_ticks
     from ..sources import json_feed as jf
 
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(source)
+    bound = ("maxFilesPerTrigger", max_files) if max_bytes is None else ("maxBytesPerTrigger", max_bytes)
+    lines = spark.readStream.option(*bound).text(source)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        if max_bytes is not None:   # files differ in how long their lines take
+            batch = batch.repartition(spark.sparkContext.defaultParallelism)
         parsed = jf.parse_tagged(batch).persist()   # each line parsed once for all sinks
         try:
             good, bad = jf.split_tagged(parsed)

@@ -145,6 +145,20 @@ def test_book_equals_the_batch_rule_for_rows_of_one_batch_in_any_order(spark, tm
     assert got == want
 
 
+def test_a_backlog_of_feed_files_is_bounded_by_bytes(spark, tmp_path):
+    src, out, ckpt = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    os.makedirs(src)
+    for i in range(6):
+        with open(f"{src}/{i}.json", "w") as f:
+            f.write('{"type": "QUOTE", "symbol": "A", "timestamp": "2024-01-01T00:00:00", "bid_price": 1, "bid_size": %d}\n' % i)
+    size = os.path.getsize(f"{src}/0.json")
+    q = jobs.ingest_feed(spark, src, out, ckpt, max_bytes=3 * size)
+    jobs.run_to_completion(q)
+    got = spark.read.parquet(f"{out}/quotes")
+    assert sorted(r.bid_size for r in got.collect()) == list(range(6))
+    assert got.select("batch_id").distinct().count() == 2
+
+
 def test_alerts_of_a_feed_without_any_are_an_empty_stream(spark, tmp_path):
     from marketlake.plans import catalog
     events = [(i, at(i), i, "click", 1.0, '{"k": 1}') for i in range(10)]     # ten ticks in the hour: no alert
