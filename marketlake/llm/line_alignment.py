@@ -8,9 +8,14 @@ line has three partners at most, so pairs grow with the lines, however many docu
 pair are aligned as patience diff does: lines that occur once in both documents and are rare among those the pair
 shares anchor a longest increasing sequence, and the gaps between anchors are aligned with what else matches (the whole
 pair, where nothing anchors). Maximal runs of aligned neighbours with at least ``min_words`` words together are common
-blocks, deleted from the later document. A line's first holder never loses it, so one copy of everything stays. A line
-that stands in another order than in its partners does not align and stays, also where yet another holder has the same
-order.
+blocks, deleted from the later document. A line's first holder never loses it, so one copy of everything stays.
+
+A line that stands in another order than in its partners, whose neighbours another document holds, or that its document
+repeats more often than its partners, does not align. ``rest`` finds these exactly, among all earlier documents: of
+every document's lines that alignment left, the shortest windows of ``min_words`` words that start or end at a line are
+looked up among the first holders of all such windows, and go where an earlier document holds the same consecutive
+lines. Every common block of ``min_words`` words is a union of such windows, so no block that any earlier document holds
+stays, in whatever order and however often, and rows grow with the lines.
 
 Rarity is relative to the pair (at most ``RARE`` times the lowest frequency among its anchors), hence no line is
 ignored for being frequent. Documents are ordered by (doc_id, hash of the text).
@@ -23,6 +28,7 @@ table gives an empty result; extra columns pass through.
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
@@ -37,9 +43,32 @@ MIN_WORDS = 5
 END = 2**31 - 1
 
 
+def windows(words: list[int], min_words: int = MIN_WORDS) -> tuple[list[int], list[int]]:
+    """Shortest windows of ``min_words`` words: the end of the one that starts at each line, the start of the one that
+    ends there; -1 where there is none."""
+    ends, starts, total, i = [-1] * len(words), [], 0, 0
+    for j, n in enumerate(words):
+        total += n
+        while total - words[i] >= min_words:
+            ends[i] = j if ends[i] < 0 else ends[i]
+            total -= words[i]
+            i += 1
+        if total >= min_words and ends[i] < 0:
+            ends[i] = j
+        starts.append(i if total >= min_words else -1)
+    return ends, starts
+
+
+def window_hash(hashes: list[int]) -> int:
+    """Hash of the hashes of consecutive lines."""
+    h = xxhash.xxh3_64_intdigest(struct.pack(f"<{len(hashes)}q", *hashes))
+    return h - (h >> 63 << 64)
+
+
 def line_rows(ids: list, keys: list, texts: list) -> dict:
-    """One row per non-blank line: line number, rank among the non-blank lines, hash, words, occurrence, repeats."""
-    out = {k: [] for k in ("doc_id", "k", "line", "rank", "h", "words", "occ", "reps")}
+    """One row per non-blank line: line number, rank among the non-blank lines, hash, words, occurrence, repeats, and the
+    hashes of the windows that start and end there (the latter null if it is one that starts at its first line)."""
+    out = {k: [] for k in ("doc_id", "k", "line", "rank", "h", "words", "occ", "reps", "from_here", "to_here")}
     for doc_id, key, text in zip(ids, keys, texts):
         if text is None or doc_id is None:
             continue
@@ -56,6 +85,10 @@ def line_rows(ids: list, keys: list, texts: list) -> dict:
             out["doc_id"].append(doc_id), out["k"].append(key), out["line"].append(number)
             out["rank"].append(len(out["h"]) - first), out["h"].append(h), out["words"].append(len(line.split()))
         out["reps"].extend(seen[h] for h in out["h"][first:])
+        held = out["h"][first:]
+        ends, starts = windows(out["words"][first:])
+        out["from_here"].extend(window_hash(held[i:j + 1]) if j >= 0 else None for i, j in enumerate(ends))
+        out["to_here"].extend(window_hash(held[i:j + 1]) if i >= 0 and ends[i] != j else None for j, i in enumerate(starts))
     return out
 
 
@@ -108,28 +141,63 @@ def common_blocks(matches: list[tuple], min_words: int = MIN_WORDS) -> list[list
     return [b for b in blocks if sum(words[x] for x in b) >= min_words]
 
 
-def _removed_ranges(ids: list, keys: list, found: list) -> dict:
-    """Kept line ranges of each document, from its matches with earlier documents."""
-    kept, removed = [], []
+def _left_windows(left: set, matches: dict) -> list[dict]:
+    """Windows of consecutive shared lines that hold one of ``left``; ``matches``: a match by its rank, ascending."""
+    out, run = [], []
+    for x in [*matches, END]:
+        if run and x != run[-1] + 1:
+            ends, starts = windows([matches[r]["words"] for r in run])
+            for i, j in {*enumerate(ends), *((i, j) for j, i in enumerate(starts))}:
+                if i >= 0 and j >= 0 and not left.isdisjoint(run[i:j + 1]):
+                    held = [matches[r] for r in run[i:j + 1]]
+                    out.append({"w": window_hash([m["h"] for m in held]), "lines": [m["line"] for m in held]})
+            run = []
+        run.append(x)
+    return out
+
+
+def _aligned(ids: list, keys: list, found: list) -> dict:
+    """Lines of each document that go by its matches with its partners, and the windows around shared lines that stay."""
+    out, rest = [], []
     for matches in found:
-        line, by_pair = {}, defaultdict(list)
-        for m in matches:
-            line[m["rank"]] = m["line"]
-            by_pair[m["e_id"], m["e_k"]].append((m["rank"], m["e_rank"], m["words"], m["single"], m["df"]))
-        gone = {line[x] for pair in by_pair.values() for block in common_blocks(pair) for x in block}
+        shared, by_pair = {}, defaultdict(list)
+        for m in sorted(matches, key=lambda m: m["rank"]):
+            shared[m["rank"]] = m
+            if m["e_id"] is not None:
+                by_pair[m["e_id"], m["e_k"]].append((m["rank"], m["e_rank"], m["words"], m["single"], m["df"]))
+        gone = {x for pair in by_pair.values() for block in common_blocks(pair) for x in block}
+        out.append([shared[x]["line"] for x in gone]), rest.append(_left_windows(shared.keys() - gone, shared))
+    return {"doc_id": ids, "k": keys, "gone": out, "rest": rest}
+
+
+def _kept_ranges(ids: list, keys: list, gone: list) -> dict:
+    """Kept line ranges of each document, from the lines that go."""
+    kept = []
+    for lines in gone:
         ranges, at = [], 0
-        for n in [*sorted(gone), END]:
+        for n in [*sorted(lines), END]:
             if n > at:
                 ranges.append({"start": at + 1, "size": n - at})
             at = n + 1
-        kept.append(ranges), removed.append(len(gone))
-    return {"doc_id": ids, "k": keys, "kept": kept, "n_removed": removed}
+        kept.append(ranges)
+    return {"doc_id": ids, "k": keys, "kept": kept, "n_removed": [len(x) for x in gone]}
+
 
+def unaligned(aligned: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, k, more) of documents with windows of ``rest`` that an earlier document holds, ``more`` their lines."""
+    rest = aligned.select("doc_id", "k", F.explode("rest").alias("r")).select("doc_id", "k", "r.w", "r.lines")
+    document = F.struct("doc_id", "k")
+    first = (lines.select("doc_id", "k", F.explode(F.array_compact(F.array("from_here", "to_here"))).alias("w"))
+             .groupBy("w").agg(F.min(document).alias("e"), F.max(document).alias("last"))
+             .where((F.col("e.doc_id") != F.col("last.doc_id")) | (F.col("e.k") != F.col("last.k"))))
+    return (rest.join(first, "w").where(F.col("e") < document)
+            .groupBy("doc_id", "k").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("more")))
 
-def removals(docs: DataFrame) -> DataFrame:
+
+def removals(docs: DataFrame, rest: bool = False) -> DataFrame:
     """(doc_id, k, kept, n_removed) of every document that loses lines; ``docs`` has doc_id, k and text."""
     lines = stored(map_columns(docs, ["doc_id", "k", "text"], "doc_id long, k long, line int, rank int, h long, "
-                               "words int, occ int, reps int", lambda: line_rows), "lines")
+                               "words int, occ int, reps int, from_here long, to_here long", lambda: line_rows), "lines")
     first = (lines.groupBy("h", "occ")
              .agg(F.min(F.struct("doc_id", "k", "rank", "reps")).alias("e"), F.max(F.struct("doc_id", "k")).alias("last"),
                   F.count("*").cast("long").alias("df"))
@@ -137,7 +205,7 @@ def removals(docs: DataFrame) -> DataFrame:
              .select("h", "occ", F.col("e.doc_id").alias("e_id"), F.col("e.k").alias("e_k"),
                      F.col("e.rank").alias("e_rank"), F.col("e.reps").alias("e_reps"), "df"))
     first = stored(first, "line-firsts")
-    own = (lines.join(first, ["h", "occ"])
+    own = (lines.drop("from_here", "to_here").join(first, ["h", "occ"])
            .where((F.col("doc_id") != F.col("e_id")) | (F.col("k") != F.col("e_k")))
            .dropDuplicates(["doc_id", "k", "rank"]))
     own = stored(own, "line-own")
@@ -157,18 +225,31 @@ def removals(docs: DataFrame) -> DataFrame:
                            F.col("reps").alias("e_reps")).dropDuplicates(["e_id", "e_k", "h", "occ"]))
     near = near.join(theirs, ["e_id", "e_k", "h", "occ"])
     matched = own.unionByName(near.select(*own.columns))
-    match = F.struct("line", "rank", "words", "e_id", "e_k", "e_rank", "df",
+    if rest:  # lines that an earlier document holds less often: no partner, but part of windows
+        often = (lines.where("occ > 0").drop("from_here", "to_here").join(first.where("occ = 0").drop("occ"), "h")
+                 .where((F.col("doc_id") != F.col("e_id")) | (F.col("k") != F.col("e_k")))
+                 .withColumn("e_id", F.lit(None).cast("long")).dropDuplicates(["doc_id", "k", "rank"]))
+        matched = matched.unionByName(often.select(*own.columns))
+    match = F.struct("line", "rank", "h", "words", "e_id", "e_k", "e_rank", "df",
                      ((F.col("reps") == 1) & (F.col("e_reps") == 1)).alias("single"))
     grouped = matched.groupBy("doc_id", "k").agg(F.collect_list(match).alias("found"))
-    return map_columns(grouped, ["doc_id", "k", "found"],
-                       "doc_id long, k long, kept array<struct<start:int,size:int>>, n_removed int",
-                       lambda: _removed_ranges).where("n_removed > 0")
+    gone = map_columns(grouped, ["doc_id", "k", "found"], "doc_id long, k long, gone array<int>, "
+                       "rest array<struct<w:long,lines:array<int>>>", lambda: _aligned)
+    if rest:
+        gone = stored(gone, "line-aligned")
+        gone = (gone.join(unaligned(gone, lines), ["doc_id", "k"], "left")
+                .withColumn("gone", F.array_union("gone", F.coalesce("more", F.array()))))
+    return map_columns(gone, ["doc_id", "k", "gone"], "doc_id long, k long, kept array<struct<start:int,size:int>>, "
+                       "n_removed int", lambda: _kept_ranges).where("n_removed > 0")
+
 
+def deduplicate_lines(docs: DataFrame, rest: bool = False) -> DataFrame:
+    """``docs`` with the common blocks cut from ``text``, and the columns ``_llm_n_lines`` and ``_llm_n_removed``.
 
-def deduplicate_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the common blocks cut from ``text``, and the columns ``_llm_n_lines`` and ``_llm_n_removed``."""
+    Without ``rest`` only the blocks that align with a partner go, with it those of all earlier documents.
+    """
     keyed = docs.withColumn("_llm_k", text_key())
-    cuts = stored(removals(keyed.select("doc_id", F.col("_llm_k").alias("k"), "text")), "line-cuts")
+    cuts = stored(removals(keyed.select("doc_id", F.col("_llm_k").alias("k"), "text"), rest), "line-cuts")
     cuts = cuts.select(F.col("doc_id").alias("_llm_id"), F.col("k").alias("_llm_ck"), F.col("kept").alias("_llm_kept"),
                        F.col("n_removed").alias("_llm_n_removed"))
     lines = F.split("text", "\n", -1)
@@ -185,7 +266,7 @@ def cut_common_lines(docs: DataFrame, length: str = "n_chars") -> DataFrame:
 
     A column ``length``, where there is one, holds the characters of what is left of each cut text.
     """
-    cut = deduplicate_lines(docs)
+    cut = deduplicate_lines(docs, rest=True)
     if length in docs.columns:
         cut = cut.withColumn(length, F.when(F.col("_llm_n_removed") > 0, F.length("text").cast("long"))
                              .otherwise(F.col(length)))
@@ -195,6 +276,6 @@ def cut_common_lines(docs: DataFrame, length: str = "n_chars") -> DataFrame:
 
 def op3_line_alignment(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicate_lines(docs).select(
+    return deduplicate_lines(docs, rest=True).select(
         "doc_id", F.col("_llm_n_lines").cast("long").alias("n_lines"), F.col("_llm_n_removed").cast("long").alias("n_removed"),
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

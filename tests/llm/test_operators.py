@@ -397,6 +397,52 @@ def test_copies_of_short_and_of_frequent_lines_go(spark):
     assert got == {**dict(rows), 2: "", 12: ""}
 
 
+def brute_runs(rows: list[tuple]) -> dict:
+    """Line numbers by (doc_id, text) in a run of five words or more that any earlier document holds, by all pairs."""
+    def lines_of(text):
+        lines = [(n, line.strip("\t\n\x0b\x0c\r ")) for n, line in enumerate(text.split("\n"))]
+        return [(n, line) for n, line in lines if line]
+
+    unique = sorted({(d, xxhash.xxh64_intdigest(t.encode(), 42), t) for d, t in rows if d is not None and t is not None},
+                    key=lambda r: (r[0], r[1] - (r[1] >> 63 << 64)))
+    out = {}
+    for i, (d, _, t) in enumerate(unique):
+        mine, gone = lines_of(t), set()
+        for theirs in (lines_of(e) for _, _, e in unique[:i]):
+            for x in range(len(mine)):
+                for y in range(len(theirs)):
+                    n = 0
+                    while x + n < len(mine) and y + n < len(theirs) and mine[x + n][1] == theirs[y + n][1]:
+                        n += 1
+                    if sum(len(words_of(line)) for _, line in mine[x:x + n]) >= 5:
+                        gone |= {m for m, _ in mine[x:x + n]}
+        out[d, t] = gone
+    return out
+
+
+def runs_fixture() -> list[tuple]:
+    rng = random.Random(9)
+    pool = [f"w{i} " * rng.choice([1, 1, 2, 3, 5, 6]) for i in range(14)]
+    return [(i // 2, "\n".join(rng.choice(pool) if rng.random() < .9 else rng.choice(["", f"own{i}"])
+                               for _ in range(rng.randrange(1, 12)))) for i in range(120)]
+
+
+def test_lines_that_no_partner_holds_in_order_go(spark, tmp_path):
+    a, b, c = (f"the line {x} has some seven words" for x in "abc")
+    moved = [(1, f"{a}\n{b}\n{c}"), (2, f"{c}\n{a}\n{b}"), (3, f"{b}\n{c}\n{a}\nthese words are its own here\n{a}"),
+             (4, "two words\nSee\nmore of"), (5, "See\nwhat is its own text\ntwo words\nSee\nmore of")]
+    rows = [(d + 1000, t) for d, t in moved] + runs_fixture() + line_fixture()
+    want = brute_runs(rows)
+    assert any(want[r] > brute_cuts(rows)[r] for r in want)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {(d, t): "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d, t]) for d, t in rows}
+    assert [kept[d + 1000, t] for d, t in moved] == [moved[0][1], "", "these words are its own here", moved[3][1],
+                                               "See\nwhat is its own text"]
+    got = rows_of(line_alignment.op3_line_alignment(spark, str(tmp_path)))
+    assert Counter(got) == Counter((d, t.count("\n") + 1, len(want[d, t]), hashlib.sha256(kept[d, t].encode()).hexdigest())
+                                   for d, t in rows)
+
+
 def test_lines_odd_input(docs):
     extra = docs.withColumn("h", F.lit(1)).withColumn("line", F.lit(2)).withColumn("k", F.lit(3)).withColumn("kept", F.lit(4))
     cut = line_alignment.cut_common_lines(extra)
